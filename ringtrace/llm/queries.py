@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, reshard, simhash, urlfilter
+from . import bpe, mixing, reshard, secretscan, simhash, tokencount, urlfilter
 from .shared import table
 
 ORACLES: dict[str, str] = {"op2_mix_to_weights": mixing.ORACLE, "op5_url_redirect_filter": urlfilter.ORACLE}
@@ -22,10 +22,23 @@ def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op5_url_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 16 hash shards to 24 of near equal bytes."""
     docs = table(spark, sf_dir, "documents")
