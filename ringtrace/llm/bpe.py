@@ -212,7 +212,7 @@ class TrieBpe:
         """For each text: ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
         rows = [self._parts(t) for t in texts]
         wanted = {p for row in rows for p in row}
-        fresh = wanted - self.pieces.keys()
+        fresh = {p for p in wanted if p not in self.pieces}
         if len(self.pieces) + len(fresh) > CACHED_PIECES:
             self.pieces.clear()
             fresh = wanted

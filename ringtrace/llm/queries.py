@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, reshard, secretscan, simhash, tokencount, urlfilter
+from . import bpe, mixing, quality, reshard, secretscan, simhash, tokencount, urlfilter
 from .shared import table
 
 ORACLES: dict[str, str] = {"op2_mix_to_weights": mixing.ORACLE, "op5_url_redirect_filter": urlfilter.ORACLE}
@@ -22,6 +22,17 @@ def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (quality.fold(F.col("doc_id")) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 

@@ -44,7 +44,7 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         rows = [None if len(t) > self.chunk + self.overlap else _pieces(t) for t in texts]
         wanted = {p for row in rows if row for p in row}
-        fresh = wanted - self.known.keys()
+        fresh = {p for p in wanted if p not in self.known}
         if len(self.known) + len(fresh) > CACHED_PIECES:
             self.known.clear()
             fresh = wanted
