@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import kept_in_worker
+
 CACHED_PIECES = 300_000
 
 
@@ -87,6 +89,7 @@ class TrieBpe:
                 node = node.setdefault(s, {})
             node[-1] = token
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.proper: dict[int, bool] = {}
 
     def _merge(self, symbols: list[int]) -> list[int]:
@@ -201,7 +204,8 @@ class TrieBpe:
         for p in marked:
             self.pieces[p] = (array("I", [self.added[p[1:]]]).tobytes(), p[1:].encode())
         split = {p: self.word_at.findall(self.normalise(p)) for p in fresh - marked}
-        words = self.encode_words({w for ws in split.values() for w in ws})
+        words = self.words
+        words.update(self.encode_words({w for ws in split.values() for w in ws if w not in words}))
         names = self.names
         for piece, parts in split.items():
             ids = [i for w in parts for i in words[w]]
@@ -215,6 +219,7 @@ class TrieBpe:
         fresh = {p for p in wanted if p not in self.pieces}
         if len(self.pieces) + len(fresh) > CACHED_PIECES:
             self.pieces.clear()
+            self.words.clear()
             fresh = wanted
         self._learn(fresh)
         pieces = self.pieces
@@ -280,11 +285,18 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
-        from hashlib import sha256
 
-        bpe = TrieBpe(spec)
+        bpe = kept_in_worker(("bpe", spec), lambda: TrieBpe(spec))
         gc.freeze()
         gc.disable()  # tries and caches hold no cycles, and walking them costs a quarter of the time
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            gc.enable()
+
+    def encoded(bpe: TrieBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
         for batch in slices(batches, 1):
             done = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
             cols = [batch.column(0), pa.array([len(a) // 4 for a, _ in done], pa.int64())]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +53,15 @@ def drop(df: DataFrame) -> None:
 def words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs in a text, as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def kept_in_worker(key: tuple, make):
+    """``make()``, kept for later tasks of the same Python worker process.
+
+    Functions are pickled by value, so a task can't keep anything in its module; this keeps it in
+    a module object of its own.  Only for things of bounded size that don't depend on the data.
+    """
+    home = sys.modules.setdefault("_ringtrace_worker", types.ModuleType("_ringtrace_worker")).__dict__
+    if key not in home:
+        home[key] = make()
+    return home[key]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import _pieces, default_tokenizer, slices
+from .shared import kept_in_worker
 
 BLANKS = " \t\n\r"
 CHUNK, OVERLAP = 16_384, 256
@@ -116,11 +117,17 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        import pyarrow.compute as pc
-
-        counter = Counter(spec, chunk, overlap)
+        counter = kept_in_worker(("counter", spec, chunk, overlap), lambda: Counter(spec, chunk, overlap))
         gc.freeze()
         gc.disable()  # the cache holds no cycles
+        try:
+            yield from counted(counter, batches)
+        finally:
+            gc.enable()
+
+    def counted(counter: Counter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         for batch in slices(batches, 1):
             n = counter.counts([t or "" for t in batch.column(1).to_pylist()])
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
