@@ -83,6 +83,45 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return now
 
 
+def _plan(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """One row a source, written: (s, source_size, target, whole, bar, left, tied).
+
+    Read back from a file, its size is known, so Spark broadcasts it while it is under its threshold
+    and shuffles when there are too many sources.
+    """
+    per = targets(rows, weights, share, most)
+    goal = F.floor(F.col("target") + 0.5).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
+    per = cut(per.withColumn("whole", whole).withColumn("budget", goal - whole * F.col("source_size")), "mix-goals")
+    bars = thresholds(rows.where("size > 0"), per.where("budget > 0").select("source", "budget"))
+    plan = per.join(bars.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    return cut(
+        plan.select(F.col("source").alias("__s"), "source_size", "target", "whole", "bar", "left", "tied"), "mix-plan"
+    )
+
+
+def _taken(size: Column, h: Column) -> Column:
+    part = (
+        F.when(F.col("bar").isNull() | (size == 0), F.lit(0))
+        .when(h < F.col("bar"), size)
+        .when(h == F.col("bar"), F.floor(size * F.col("left") / F.col("tied")))
+        .otherwise(0)
+    )
+    return (F.col("whole") * size + part).cast("long")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            words(F.col(text_col)).alias("size"),
+            id_hash(F.col(id_col)).alias("h"),
+        ),
+        "mix-rows",
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -99,57 +138,45 @@ def mix(
     source's taken words come to its rounded target.  Rows that repeat an id share the remainder
     in proportion, rounded down.  Null texts have size 0; a null source is a source of its own.
     """
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            words(F.col(text_col)).alias("size"),
-            id_hash(F.col(id_col)).alias("h"),
-        ),
-        "mix-rows",
-    )
-    per = targets(rows, weights, share, most)
-    goal = F.floor(F.col("target") + 0.5).cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
-    per = cut(per.withColumn("whole", whole).withColumn("budget", goal - whole * F.col("source_size")), "mix-goals")
-    bars = thresholds(rows.where("size > 0"), per.where("budget > 0").select("source", "budget"))
-    plan = (
-        per.join(bars.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-        .select(F.col("source").alias("s"), "source_size", "target", "whole", "bar", "left", "tied")
-    )
-    part = (
-        F.when(F.col("bar").isNull(), F.lit(0))
-        .when(F.col("h") < F.col("bar"), F.col("size"))
-        .when(F.col("h") == F.col("bar"), F.floor(F.col("size") * F.col("left") / F.col("tied")))
-        .otherwise(0)
-        .cast("long")
-    )
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken")
+    rows = _rows(docs, id_col, text_col, source_col)
+    plan = _plan(rows, weights, share, most)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("__s"))).select(
+        "doc_id", "source", "size", "source_size", "target", _taken(F.col("size"), F.col("h")).alias("taken")
     )
 
 
-def apply_mix(docs: DataFrame, **how) -> DataFrame:
+def apply_mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """``docs`` repeated or left out as ``mix`` decides, all columns unchanged.
 
     Whole documents only: the one at a threshold is taken if at least half of it is wanted.  A document
-    of no words belongs to every mix once.
+    of no words belongs to every mix once.  Texts are not shuffled: a row needs its own hash
+    and its source's line of the plan only.
     """
-    id_col, text_col, source_col = (how.pop(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    key = ["__id", "__src", "__size"]
-    chosen = plan.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), times.alias("__n")).distinct()
-    same = (
-        F.col(id_col).eqNullSafe(F.col(key[0]))
-        & F.col(source_col).eqNullSafe(F.col(key[1]))
-        & (words(F.col(text_col)) == F.col(key[2]))
+    rows = _rows(docs, id_col, text_col, source_col)
+    plan = _plan(rows, weights, share, most).select(*[F.col(c).alias(f"__{c}".replace("____", "__")) for c in PLAN])
+    size, h = F.col("__size"), id_hash(F.col(id_col))
+    both = docs.withColumn("__size", words(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
+    part = (
+        F.when(F.col("__bar").isNull(), F.lit(0))
+        .when(h < F.col("__bar"), 1)
+        .when(h == F.col("__bar"), F.floor(F.col("__left") / F.col("__tied") + 0.5))
+        .otherwise(0)
     )
-    taken = docs.join(chosen.where("__n > 0"), same)
-    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    times = F.when(size == 0, F.lit(1)).otherwise((F.col("__whole") + part).cast("int"))
+    copies = both.withColumn("__n", times).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return copies.select(*[docs[c] for c in docs.columns])
 
 
+PLAN = ("__s", "whole", "bar", "left", "tied")
+
 ORACLE = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h FROM documents),

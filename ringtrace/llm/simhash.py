@@ -183,6 +183,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = _components_of(marked).select("fp", "root")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))
     best = marked.distinct().join(roots, "fp").groupBy("root").agg(F.min(rank).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__best_fp"))
-    own = whole.join(best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(fp) == F.col("__best_fp")), "left_semi")
-    return own.dropDuplicates([id_col, fp]).select(*names)
+    best = best.select(_key(F.col("best.doc_id")).alias("__k"), F.col("best.fp").alias("__best_fp"))
+    # one exchange of the texts: the semi join and the removal of repeated rows share its partitioning
+    own = whole.withColumn("__key", _key(F.col(id_col)))
+    own = own.join(best, (F.col("__key") == F.col("__k")) & (F.col(fp) == F.col("__best_fp")), "left_semi")
+    return own.dropDuplicates(["__key", fp]).select(*names)
+
+
+def _key(id_column: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("i"), id_column.cast("string")), F.lit("none"))
