@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import features as X, geometry as G, reports as R
 from ..sources import adapters as A
+from . import features_q, geometry_q, partition_q  # noqa: F401  their table expressions are used below
 from .ctes import cte, pmod, with_
 from .registry import query
 
