@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranks import running_before
 
 
 # ---- detection metrics
@@ -64,13 +65,12 @@ def decisions(df: DataFrame, keys: list[str], station: str) -> DataFrame:
 def auc(df: DataFrame, features: list[str], label: str, classes: list) -> DataFrame:
     """(feature, class, auc) of one feature for one class against the rest; ties count half.
 
-    Rows are counted by feature and value first, so the ordered window sees each value once.
+    Rows are counted by feature and value first, and values add up in two levels.
     """
     arms = [F.count_if(F.col(label) == c).alias(f"p{k}") for k, c in enumerate(classes)]
     each = df.select(label, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("e"))
     g = each.where("e.v IS NOT NULL").groupBy("e.feature", "e.v").agg(F.count("*").alias("n"), *arms)
-    order = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2)
+    g = running_before(g, ["feature"], "v", F.col("n"), "before").withColumn("below", F.col("before") + (F.col("n") + 1) / 2)
     sums = g.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(len(classes))], *[F.sum(F.col("below") * F.col(f"p{k}")).alias(f"r{k}") for k in range(len(classes))])
     one = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"p{k}").alias("p"), F.col(f"r{k}").alias("r")) for k, c in enumerate(classes)])).alias("a")
     s = sums.select("feature", "n", one)
@@ -82,8 +82,7 @@ def matched_threshold(scores: DataFrame, station: list[str], target: float) -> D
     w = scores.groupBy(*station).agg(F.count("*").alias("rows"))
     n = w.count()
     each = scores.join(w, station).groupBy("score").agg(F.sum(1.0 / (F.lit(float(n)) * F.col("rows"))).alias("w"))
-    above = F.coalesce(F.sum("w").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return each.withColumn("above", above).where(F.col("above") <= target).agg(F.min("score").alias("threshold"))
+    return running_before(each, [], "score", F.col("w"), "above", descending=True).where(F.col("above") <= target).agg(F.min("score").alias("threshold"))
 
 
 def plausibility(train: DataFrame, test: DataFrame, checks: dict[str, tuple[str, str]], fpr: float, label: str) -> DataFrame:
@@ -167,8 +166,7 @@ def detection_curve(det: DataFrame, edges: list[float], least: int) -> DataFrame
 def rank_avg(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Average rank with ties, by value counts."""
     g = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("rank", below + (F.col("n") + 1) / 2)
+    return running_before(g, keys, value, F.col("n"), "__below").withColumn("rank", F.col("__below") + (F.col("n") + 1) / 2).drop("__below")
 
 
 def last_per_frame(df: DataFrame, keys: list[str], time: str, order: str, width: float, cols: list[str]) -> DataFrame:

@@ -28,10 +28,20 @@ def p01(spark, d):
     return P.clean(A.corpus(spark, d)).groupBy("key_seed").agg(F.count("*").alias("n"))
 
 
-@query("p02_feature_columns", "SELECT unnest(['app_quantity', 'app_price', 'phy_discount', 'phy_tax']) AS feature")
+def means(df, names):
+    """(feature, mean) of the named columns."""
+    row = df.agg(*[F.avg(n).alias(n) for n in names])
+    return row.unpivot([], names, "feature", "mean")
+
+
+def means_sql(rows: str, names: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS feature, avg({n}) AS mean FROM {rows}" for n in names)
+
+
+@query("p02_feature_columns", with_("corpus", means_sql("corpus", ["app_quantity", "app_price", "phy_discount", "phy_tax"])), "mean")
 def p02(spark, d):
-    names = P.feature_columns(P.check_features(A.corpus(spark, d), ["app_quantity", "app_price", "phy_discount", "phy_tax"]))
-    return A.corpus(spark, d).limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"))
+    df = P.check_features(A.corpus(spark, d), ["app_quantity", "app_price", "phy_discount", "phy_tax"])
+    return means(df, P.feature_columns(df))
 
 
 @query("p04_blocks", with_("corpus", "SELECT avg(app_quantity + app_price) AS app, avg(phy_discount + phy_tax) AS phy, avg(phy_tax) AS radio FROM corpus"), "app phy radio")
@@ -72,11 +82,10 @@ def p11(spark, d):
     return P.union_corpora(a, b, "b_", ["label_txNodeId"]).groupBy("key_seed", "label_txNodeId").agg(F.count("*").alias("n"))
 
 
-@query("p12_shared_features", "SELECT unnest(['app_quantity', 'phy_tax']) AS feature")
+@query("p12_shared_features", with_("ev", means_sql("ev", ["app_quantity", "phy_tax"])), "mean")
 def p12(spark, d):
     a, b = halves(spark, d)
-    shared = P.shared_features(a, b.select("app_quantity", "phy_tax"))
-    return a.limit(1).select(F.explode(F.array(*[F.lit(n) for n in shared])).alias("feature"))
+    return means(a, P.shared_features(a, b.select("app_quantity", "phy_tax")))
 
 
 @query("p13_label_copies", with_("corpus", """SELECT unnest(['app_quantity', 'copy']) AS feature, 'label_attackId' AS label, unnest([bool_and(app_quantity = label_attackId), true]) AS same FROM corpus"""))

@@ -84,12 +84,14 @@ def s07(spark, d):
     return IO.read_splits(spark, path).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("s08_read_schema", "SELECT unnest(['app_quantity', 'phy_tax']) AS name, unnest(['double', 'double']) AS dtype, unnest(['app', 'phy']) AS block, true AS is_feature")
+@query("s08_read_schema", with_("corpus", " UNION ALL ".join(f"SELECT '{n}' AS name, 'double' AS dtype, '{n[:3]}' AS block, true AS is_feature, count(DISTINCT {n}) AS distinct_values FROM corpus" for n in ("app_quantity", "phy_tax"))))
 def s08(spark, d):
-    path = IO.scratch(spark, "schema")
-    cols = [F.struct(F.lit(n).alias("name"), F.lit("double").alias("dtype"), F.lit(n[:3]).alias("block"), F.lit(True).alias("is_feature")) for n in P.feature_columns(A.corpus(spark, d)) if n in ("app_quantity", "phy_tax")]
-    A.corpus(spark, d).agg(F.array(*cols).alias("columns")).write.json(path)
-    return IO.read_schema(spark, path)
+    """The release's feature columns, from its schema file, with their distinct values."""
+    df, path, names = A.corpus(spark, d), IO.scratch(spark, "schema"), ["app_quantity", "phy_tax"]
+    cols = [F.struct(F.lit(n).alias("name"), F.lit("double").alias("dtype"), F.lit(n[:3]).alias("block"), F.lit(True).alias("is_feature")) for n in names]
+    df.agg(F.array(*cols).alias("columns")).write.json(path)
+    counts = df.agg(*[F.count_distinct(n).alias(n) for n in names]).unpivot([], names, "name", "distinct_values")
+    return IO.read_schema(spark, path).join(counts, "name")
 
 
 @query("s09_read_veremi", with_("rx", """SELECT messageID, sender, rxTimeMs, claimedX, rxX FROM (SELECT msgUid AS messageID, claimedStationId AS sender, rxTimeMs, claimedX, msgUid % 10 = 0 AS own,
