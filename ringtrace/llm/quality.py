@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .shared import tidy
 
 WORD_BUCKETS, SHAPE_BUCKETS, DIMS, NONZERO = 6144, 2048, 32, 4
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
-REACH = 2
-CACHED_WORDS = 300_000
+REACH = 1
+CACHED_WORDS = 150_000
 
 
 def fold(id_col: Column) -> Column:
@@ -42,39 +43,38 @@ def _index():
     return places, rng.choice([-1, 1], size=(BUCKETS, NONZERO))
 
 
-class _Words:
-    """Texts to bucket numbers, with a bounded cache."""
+class _Words(dict):
+    """Word to bucket numbers, the word's in the low and the shape's in the high 16 bits; a bounded cache."""
 
     def __init__(self):
         import re
 
-        self.known: dict[str, tuple[int, int]] = {}
         self.letters = re.compile(r"[^\W\d_]+")
         self.digits = re.compile(r"\d+")
 
-    def _of(self, word: str) -> tuple[int, int]:
-        low = word.lower()
-        shape = self.letters.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word)
-        shape = self.digits.sub("9", shape)[:12]
-        return crc32(low.encode("utf-8", "replace")) % WORD_BUCKETS, WORD_BUCKETS + crc32(shape.encode("utf-8", "replace")) % SHAPE_BUCKETS
+    def __missing__(self, word: str) -> int:
+        if word.isalpha():
+            shape = "A" if len(word) > 1 and word.isupper() else "a"
+        else:
+            shape = self.letters.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word)
+            shape = self.digits.sub("9", shape)[:12]
+        low = crc32(word.lower().encode("utf-8", "replace")) % WORD_BUCKETS
+        self[word] = both = low | (WORD_BUCKETS + crc32(shape.encode("utf-8", "replace")) % SHAPE_BUCKETS) << 16
+        return both
 
     def buckets(self, texts: list[str]):
         """(words, shapes, starts): bucket numbers of all texts in a row, and where each text starts."""
         import numpy as np
 
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        got: list[tuple[int, int]] = []
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        got: list[int] = []
         starts = []
         for text in texts:
             starts.append(len(got))
-            row = text.split()
-            for w in {w for w in row if w not in known}:
-                known[w] = self._of(w)
-            got += [known[w] for w in row]
-        both = np.array(got, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1], np.array([*starts, len(got)])
+            got += map(self.__getitem__, text.split())
+        both = np.array(got, np.int64)
+        return both & 0xFFFF, both >> 16, np.array([*starts, len(got)])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text"):
@@ -104,6 +104,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text"):
                             total += np.bincount(x * DIMS + places[y, k], weights=signs[y, k], minlength=BUCKETS * DIMS)
         some = np.flatnonzero(seen)
         sums = np.rint(total).astype(np.int64).reshape(BUCKETS, DIMS)[some]
+        words.clear()
+        tidy()
         cols = [pa.array(some, pa.int32()), pa.array(seen[some])] + [pa.array(sums[:, k]) for k in range(DIMS)]
         yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
@@ -243,6 +245,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, 1):
             x = pooled([t or "" for t in batch.column(1).to_pylist()], words, model.vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
+        words.clear()
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
@@ -257,5 +261,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
         for batch in slices(batches, at):
             x = pooled([t or "" for t in batch.column(at).to_pylist()], words, model.vectors)
             yield batch.filter(pa.array(model.scores(x) >= least))
+        words.clear()
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
-import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,13 +53,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def kept_in_worker(key: tuple, make):
-    """``make()``, kept for later tasks of the same Python worker process.
+def tidy() -> None:
+    """Give freed memory of a Python worker back to the machine; workers live on for later tasks."""
+    import ctypes
+    import gc
 
-    Functions are pickled by value, so a task can't keep anything in its module; this keeps it in
-    a module object of its own.  Only for things of bounded size that don't depend on the data.
-    """
-    home = sys.modules.setdefault("_ringtrace_worker", types.ModuleType("_ringtrace_worker")).__dict__
-    if key not in home:
-        home[key] = make()
-    return home[key]
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
