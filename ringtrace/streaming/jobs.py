@@ -50,7 +50,7 @@ def window_features_stream(rx: DataFrame, width: str = "1 day", late: str = "0 s
 
 
 def cbr_sliding_stream(pssch: DataFrame, width: str = "2 days", slide: str = "1 day", capacity: float = 100.0) -> DataFrame:
-    """Sliding channel busy ratio, capped at 1, corrupt receptions counted; neighbours approximately never: exact set sizes per window."""
+    """Sliding channel busy ratio, capped at 1, with exact neighbour counts; corrupt receptions count towards the load."""
     g = pssch.withWatermark("ts", "0 seconds").groupBy("rxNodeId", F.window("ts", width, slide).alias("w"))
     return g.agg(F.least(F.lit(1.0), F.sum("subChLen") / capacity).alias("cbr"), F.size(F.collect_set("txRnti")).alias("neighbours"), F.count_if(F.col("corrupt") == 1).alias("corrupt")).select("rxNodeId", F.unix_millis("w.start").alias("start_ms"), "cbr", "neighbours", "corrupt")
 
