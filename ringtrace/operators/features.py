@@ -134,32 +134,39 @@ def window_sweep(rows: DataFrame, widths: list[float]) -> DataFrame:
     return window_features(each, F.col("width_ms"), ["width_ms"])
 
 
-def tracking(rows: DataFrame, long_ms: float) -> DataFrame:
-    """How received power follows the power that the claimed distance implies, over long windows."""
-    pairs = rows.where("slRsrpDbm IS NOT NULL AND claimedDist IS NOT NULL").select(
-        *LINK, S.window_index("rxTimeMs", long_ms).alias("long_window"), F.col("slRsrpDbm").alias("m"), S.predicted_rsrp("claimedDist").alias("p"))
-    sums = pairs.groupBy(*LINK, "long_window").agg(
+def long_features(rows: DataFrame, long_ms: float) -> DataFrame:
+    """All long-window statistics of a link in one aggregation.
+
+    Tracking: how received power follows the power that the claimed distance implies.  Closest approach: when
+    the claimed distance is least against when the power is strongest.  Unused ones are pruned by the optimizer.
+    """
+    heard = rows.where("slRsrpDbm IS NOT NULL AND claimedDist IS NOT NULL").select(
+        *LINK, S.window_index("rxTimeMs", long_ms).alias("long_window"), "claimedDist", "rxTimeMs", "msgUid",
+        F.col("slRsrpDbm").alias("m"), S.predicted_rsrp("claimedDist").alias("p"))
+    g = heard.groupBy(*LINK, "long_window").agg(
         F.count("*").alias("n"), F.covar_pop("m", "p").alias("cov"), F.var_pop("m").alias("vm"), F.var_pop("p").alias("vp"),
-        (F.max("p") - F.min("p")).alias("phy_track_span"))
-    valid = (F.col("n") >= TRACKED) & (F.col("phy_track_span") >= SPAN_DB) & (F.col("vm") > 0) & (F.col("vp") > 0)
-    return sums.select(
-        *LINK, "long_window", F.when(valid, F.col("cov") / F.sqrt(F.col("vm") * F.col("vp"))).alias("phy_track_corr"),
-        F.when(valid, F.col("cov") / F.col("vp")).alias("phy_track_slope"),
-        F.when(valid, F.sqrt(S.at_least(F.col("vm") + F.col("vp") - 2 * F.col("cov"), 0.0))).alias("phy_track_resid_std"), "phy_track_span")
+        (F.max("p") - F.min("p")).alias("phy_track_span"), F.min(F.struct("claimedDist", "rxTimeMs", "msgUid", "p")).alias("near"),
+        F.min(F.struct((-F.col("m")).alias("neg"), "rxTimeMs", "msgUid")).alias("loud"), F.min("rxTimeMs").alias("t0"), F.max("rxTimeMs").alias("t1"))
+    tracked = (F.col("n") >= TRACKED) & (F.col("phy_track_span") >= SPAN_DB) & (F.col("vm") > 0) & (F.col("vp") > 0)
+    span, at = F.col("t1") - F.col("t0"), F.col("near.rxTimeMs")
+    passed = (at - F.col("t0") > EDGE * span) & (F.col("t1") - at > EDGE * span) & (F.col("n") >= TRACKED) & (span > 0)
+    lag = (F.col("loud.rxTimeMs") - at) / 1000.0
+    return g.select(
+        *LINK, "long_window", F.when(tracked, F.col("cov") / F.sqrt(F.col("vm") * F.col("vp"))).alias("phy_track_corr"),
+        F.when(tracked, F.col("cov") / F.col("vp")).alias("phy_track_slope"),
+        F.when(tracked, F.sqrt(S.at_least(F.col("vm") + F.col("vp") - 2 * F.col("cov"), 0.0))).alias("phy_track_resid_std"), "phy_track_span",
+        F.when(passed, lag).alias("phy_closest_lag_s"), F.when(passed, F.abs(lag)).alias("phy_closest_lag_abs"),
+        F.when(passed, -F.col("loud.neg") - F.col("near.p")).alias("phy_closest_power_gap"))
+
+
+def tracking(rows: DataFrame, long_ms: float) -> DataFrame:
+    f = long_features(rows, long_ms)
+    return f.select(*LINK, "long_window", *[c for c in f.columns if c.startswith("phy_track")])
 
 
 def closest_approach(rows: DataFrame, long_ms: float) -> DataFrame:
-    """Time of the claimed closest approach against the time of the strongest power, over long windows."""
-    heard = rows.where("slRsrpDbm IS NOT NULL AND claimedDist IS NOT NULL").withColumn("long_window", S.window_index("rxTimeMs", long_ms))
-    near = F.min(F.struct("claimedDist", "rxTimeMs", "msgUid", S.predicted_rsrp("claimedDist").alias("pred")))
-    loud = F.min(F.struct((-F.col("slRsrpDbm")).alias("neg"), "rxTimeMs", "msgUid"))
-    got = heard.groupBy(*LINK, "long_window").agg(
-        near.alias("near"), loud.alias("loud"), F.count("*").alias("n"), F.min("rxTimeMs").alias("t0"), F.max("rxTimeMs").alias("t1"))
-    span, at = F.col("t1") - F.col("t0"), F.col("near.rxTimeMs")
-    valid = (at - F.col("t0") > EDGE * span) & (F.col("t1") - at > EDGE * span) & (F.col("n") >= TRACKED) & (span > 0)
-    lag = (F.col("loud.rxTimeMs") - at) / 1000.0
-    return got.select(*LINK, "long_window", F.when(valid, lag).alias("phy_closest_lag_s"), F.when(valid, F.abs(lag)).alias("phy_closest_lag_abs"),
-                      F.when(valid, -F.col("loud.neg") - F.col("near.pred")).alias("phy_closest_power_gap"))
+    f = long_features(rows, long_ms)
+    return f.select(*LINK, "long_window", *[c for c in f.columns if c.startswith("phy_closest")])
 
 
 def merge_long(track: DataFrame, closest: DataFrame) -> DataFrame:

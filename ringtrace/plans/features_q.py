@@ -90,7 +90,7 @@ def owned(spark, d):
 def assembled(spark, d):
     rows = full(spark, d)
     load = X.channel_load(A.pssch(spark, d), W).join(X.neighbours(A.rx(spark, d), W), ["key_seed", "rxNodeId", "window"], "full")
-    long = X.merge_long(X.tracking(rows, LONG), X.closest_approach(rows, LONG))
+    long = X.long_features(rows, LONG)
     return X.assemble(X.window_features(rows, W), X.rsrp_stats(owned(spark, d), W), load, long, W, LONG)
 
 
