@@ -20,9 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import kept_in_worker
+from .shared import tidy
 
-CACHED_PIECES = 300_000
+CACHED_PIECES, TRIE_WORDS = 220_000, 16_000
 
 
 def byte_symbols() -> list[str]:
@@ -89,7 +89,7 @@ class TrieBpe:
                 node = node.setdefault(s, {})
             node[-1] = token
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
         self.proper: dict[int, bool] = {}
 
     def _merge(self, symbols: list[int]) -> list[int]:
@@ -105,11 +105,27 @@ class TrieBpe:
         return parts
 
     def _border_holds(self, a: int, b: int, key: tuple[int, int]) -> bool:
-        """Whether the symbols of ``a`` and ``b`` together are encoded as exactly these two tokens."""
-        single = self.token_of
-        spelt = self.spelling
-        held = self._merge([single[(s,)] for s in spelt(a) + spelt(b)]) == [a, b]
-        if len(self.fits) > 2_000_000:
+        """Whether the symbols of ``a`` and ``b`` together are encoded as exactly these two tokens.
+
+        Merges are undone from the last one on; the border fails if the two pieces that face it could
+        have merged before the merge that hid one of them.
+        """
+        merges, rank, halves = self.merges, self.rank, self.halves
+        limit = len(merges) + 1
+        while True:
+            made = merges.get((a, b))
+            if made is not None and made[0] < limit:
+                held = False
+                break
+            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            if ra == rb == -1:
+                held = True
+                break
+            if ra > rb:
+                limit, a = ra, halves[a][1]
+            else:
+                limit, b = rb + 1, halves[b][0]
+        if len(self.fits) > 500_000:
             self.fits.clear()
         self.fits[key] = held
         return held
@@ -132,7 +148,14 @@ class TrieBpe:
             self.proper[token] = self._merge([self.token_of[(s,)] for s in self.spelling(token)]) == [token]
         return self.proper[token]
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+    def encode_words(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Id bytes and decoded bytes of distinct words, in tries of neighbours in sorted order."""
+        order, out = sorted(words), {}
+        for at in range(0, len(order), TRIE_WORDS):
+            out |= self._walk(order[at : at + TRIE_WORDS])
+        return out
+
+    def _walk(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """Encodings of distinct words by a depth-first walk of their trie."""
         root: dict = {}
         for word in words:
@@ -141,8 +164,8 @@ class TrieBpe:
             for s in raw[:-1]:
                 node = node.setdefault(s, {})
             node.setdefault(raw[-1] + 256, {})[-1] = word
-        out: dict[str, tuple[int, ...]] = {}
-        fits, backwards, length = self.fits, self.backwards, self.length
+        out: dict[str, tuple[bytes, bytes]] = {}
+        fits, backwards, length, names = self.fits, self.backwards, self.length, self.names
         path: list[int] = []
         last: list[int] = []  # last token of every prefix on the path
         todo: list[tuple[int, int, dict]] = [(0, s, n) for s, n in root.items()]
@@ -183,7 +206,8 @@ class TrieBpe:
                     while at:
                         ids.append(last[at - 1])
                         at -= length[ids[-1]]
-                    out[child] = tuple(reversed(ids))
+                    ids.reverse()
+                    out[child] = (array("I", ids).tobytes(), " ".join([names[i] for i in ids]).encode())
                 else:
                     todo.append((size, s, child))
         return out
@@ -203,14 +227,18 @@ class TrieBpe:
         marked = {p for p in fresh if p[0] == " "}
         for p in marked:
             self.pieces[p] = (array("I", [self.added[p[1:]]]).tobytes(), p[1:].encode())
-        split = {p: self.word_at.findall(self.normalise(p)) for p in fresh - marked}
-        words = self.words
+        split: dict[str, list[str]] = {}
+        for piece in fresh - marked:
+            text = self.normalise(piece)
+            split[piece] = [text] if text.isalpha() else self.word_at.findall(text)  # letters alone are one word
+        words, pieces = self.words, self.pieces
         words.update(self.encode_words({w for ws in split.values() for w in ws if w not in words}))
-        names = self.names
         for piece, parts in split.items():
-            ids = [i for w in parts for i in words[w]]
-            pack = array("I", ids)
-            self.pieces[piece] = (pack.tobytes(), " ".join([names[i] for i in ids]).encode())
+            if len(parts) == 1:
+                pieces[piece] = words[parts[0]]
+            else:
+                got = [words[w] for w in parts]
+                pieces[piece] = (b"".join([g[0] for g in got]), b" ".join([g[1] for g in got]))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text: ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
@@ -257,7 +285,7 @@ def _pieces(text: str) -> list[str]:
     return [p for p in text.split(" ") if p]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``most`` bytes of text or a single row."""
     import pyarrow.compute as pc
 
@@ -274,42 +302,46 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 2_000_00
 
 
 def encode_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = True, keep_decoded: bool = True
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256), one row for each row of ``docs``.
 
-    Null and empty texts have no tokens.  With ``keep_ids`` off, ids and decoded text stay in the task
-    and only their digests come out.  Other columns are ignored.
+    Null and empty texts have no tokens.  Ids or decoded texts that are not kept stay in the task and only their
+    digests come out.  Other columns are ignored.
     """
     spec = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        bpe = kept_in_worker(("bpe", spec), lambda: TrieBpe(spec))
+        bpe = TrieBpe(spec)
         gc.freeze()
         gc.disable()  # tries and caches hold no cycles, and walking them costs a quarter of the time
         try:
             yield from encoded(bpe, batches)
         finally:
             gc.enable()
+            del bpe
+            tidy()
 
     def encoded(bpe: TrieBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
+        from itertools import accumulate
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 2_000_000):
             done = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
-            cols = [batch.column(0), pa.array([len(a) // 4 for a, _ in done], pa.int64())]
+            sizes = [len(a) // 4 for a, _ in done]
+            cols = [batch.column(0), pa.array(sizes, pa.int64())]
             if keep_ids:
-                cols += [
-                    pa.array([array("I", a).tolist() for a, _ in done], pa.list_(pa.int32())),
-                    pa.array([b.decode() for _, b in done]),
-                ]
+                flat = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join([a for a, _ in done]))])
+                cols.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), flat))
+            if keep_decoded:
+                cols.append(pa.array([b.decode() for _, b in done]))
             cols += [pa.array([sha256(x[k]).hexdigest() for x in done]) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    middle = "ids array<int>, decoded string, " if keep_ids else ""
+    middle = "ids array<int>, " * keep_ids + "decoded string, " * keep_decoded
     schema = f"doc_id {kind}, n_tokens long, {middle}ids_sha256 string, decoded_sha256 string"
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False, keep_decoded=False)
 
 
 def op5_url_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
