@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import _pieces, default_tokenizer, slices
-from .shared import kept_in_worker
+from .shared import tidy
 
 BLANKS = " \t\n\r"
 CHUNK, OVERLAP = 16_384, 256
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 
 
 class Counter:
@@ -117,13 +117,15 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        counter = kept_in_worker(("counter", spec, chunk, overlap), lambda: Counter(spec, chunk, overlap))
+        counter = Counter(spec, chunk, overlap)
         gc.freeze()
         gc.disable()  # the cache holds no cycles
         try:
             yield from counted(counter, batches)
         finally:
             gc.enable()
+            del counter
+            tidy()
 
     def counted(counter: Counter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
