@@ -10,7 +10,7 @@ character.  Values from ``10**bits`` guesses on are reported.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log10
 
 import pyarrow as pa
@@ -26,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Names that announce a credential, a separator, and a value up to a blank or a closing quote.
 CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|pwd|secret|token|credentials?|auth(?:orization)?|bearer|"""
-    r"""(?:api|access|private|client|encryption)[_-]?key)["']?\x20*(?:is|=>|:=|[:=])\x20*(?:"([^"\n]{6,200})"|'([^'\n]{6,200})'|([^\s"'<>,;]{6,200}))""",
+    r"""(?:api|access|private|client|encryption)[_-]?key)["']?\x20*(?:is|=>|:=|[:=])\x20*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
@@ -61,16 +61,36 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation; 0 for an empty value."""
-    n, low = len(value), value.lower()
+def _run_lengths(n: int, holds: Callable[[int], bool]) -> list[int]:
+    """For each place, how many places from there on hold without a break."""
+    out = [0] * (n + 1)
+    for k in range(n - 1, -1, -1):
+        out[k] = out[k + 1] + 1 if holds(k) else 0
+    return out
+
+
+def guess_cost(value: str, enough: float = float("inf")) -> float:
+    """log10 of the guesses for the cheapest segmentation; 0 for an empty value.
+
+    Time is linear in the value.  Once the value is proven to cost ``enough`` or more, a lower bound of at
+    least ``enough`` is returned instead: every segmentation has its first cut after a place between
+    there and the end of the longest part that starts before it.
+    """
+    n = len(value)
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     best = [0.0] + [float("inf")] * n
+    again = [_run_lengths(n, lambda k, u=u: k + u < n and low[k] == low[k + u]) for u in range(1, 9)]
+    steps = [_run_lengths(n, lambda k, d=d: k + 1 < n and value[k + 1].isalnum() and ord(value[k + 1]) - ord(value[k]) == d) for d in (1, -1)]
+    walked, walking = 0, float("inf")  # neighbouring keys before a place, cheapest walk of four or more keys that ends there
+    end = 1
 
     def offer(i: int, j: int, guesses: float) -> None:
+        nonlocal end
         cost = best[i] + log10(guesses)
         if cost < best[j]:
             best[j] = cost
+        end = max(end, j)
 
     for i in range(n):
         offer(i, i + 1, _alphabet(value[i]) * (1 if value[i] == low[i] else 2))
@@ -82,22 +102,20 @@ def guess_cost(value: str) -> float:
             if m:
                 offer(i, m.end(), 365 * 120 if m.end() - i > 4 else 120)
         for unit in range(1, min(8, (n - i) // 2) + 1):
-            j = i + unit
-            while low[j : j + unit] == low[i : i + unit] and len(low[j : j + unit]) == unit:
-                j += unit
+            j = i + unit + again[unit - 1][i] // unit * unit
             if j - i >= max(3, 2 * unit):
                 offer(i, j, max(2.0, 10 ** min(2 * unit, 16)) * ((j - i) // unit))
-        j = i + 1
-        while j < n and _near(low[j - 1], low[j]):
-            j += 1
-            if j - i >= 4:
-                offer(i, j, 40 * 3 ** (j - i - 3))
-        for step in (1, -1):
-            j = i + 1
-            while j < n and value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == step:
-                j += 1
+        walked = walked + 1 if i and _near(low[i - 1], low[i]) else 0
+        walking = min(walking + log10(3), best[i - 3] + log10(40 * 3)) if walked >= 3 else float("inf")
+        best[i + 1] = min(best[i + 1], walking)
+        for run in steps:
+            j = i + 1 + run[i]
             if j - i >= 3:
                 offer(i, j, 60 * (j - i))
+        if i % 16 == 15 and end - i < 256:
+            least = min(walking, *best[max(0, i - 2) : end + 1])
+            if least >= enough:
+                return least
     return best[n]
 
 
@@ -122,7 +140,7 @@ def cost_spans(text: str, least: float, low: str | None = None) -> list[tuple[st
     for m in CONTEXT.finditer(text):
         k = 1 if m[1] is not None else 2 if m[2] is not None else 3
         value = m[k].rstrip(".)]}") if k == 3 else m[k]
-        if len(value) >= 6 and guess_cost(value) >= least:
+        if len(value) >= 6 and guess_cost(value, least) >= least:
             found.append(("guess", m.start(k), m.start(k) + len(value)))
     return found
 

@@ -291,6 +291,18 @@ def test_costs_follow_segments():
     assert cost("passwordpassword") < cost("password") + cost("password") + 1
 
 
+def test_long_values_are_covered_whole():
+    rng = random.Random(8)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(5000))
+    for text in (f'{{"private_key": "{value}"}} end', f"client_key='{value}' end", f"authorization: {value} end"):
+        assert [text[a:b] for _, a, b in secretscan.cost_spans(text, 10.0)] == [value]
+        assert value[-50:] not in secretscan.redact_text(text, 10.0, "[SECRET]")
+    assert secretscan.guess_cost("a" * 5000) < 10 and secretscan.cost_spans("bearer: " + "a" * 5000, 10.0) == []
+    for text in ("a" * 40 + "kJ8dPq2LmZx7" * 2, "qwertyuiop" * 9 + "9f", value[:200]):
+        cost = secretscan.guess_cost(text)
+        assert all((secretscan.guess_cost(text, t) >= t) == (cost >= t) for t in (3.0, 7.0, 10.0, 15.0, 40.0))
+
+
 # ---- 10 sharding
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(4)
