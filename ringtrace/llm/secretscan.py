@@ -10,13 +10,16 @@ character.  Values from ``10**bits`` guesses on are reported.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import slices
+from .shared import cut, drop, tidy
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -26,12 +29,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Names that announce a credential, a separator, and a value up to a blank or a closing quote.
 CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|pwd|secret|token|credentials?|auth(?:orization)?|bearer|"""
-    r"""(?:api|access|private|client|encryption)[_-]?key)["']?\x20*(?:is|=>|:=|[:=])\x20*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))""",
+    r"""(?:api|access|private|client|encryption)[_-]?key)["']?\x20*(?:is(?=[\x20"'])|=>|:=|[:=])\x20*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
 
-#: Words that people put into passwords, most common first.
+#: Words that people put into passwords, most common first; the corpus adds its own.
 WORDS = (
     "password the qwerty and love you admin for welcome not monkey with dragon this letmein that login from "
     "master have sunshine princess football shadow superman secret test user root change default guest "
@@ -42,7 +45,9 @@ WORDS = (
     "please enter your here todo none null true false changeme placeholder redacted hidden value string"
 ).split()
 RANK = {w: n + 1 for n, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+LONGEST_WORD = 24
+#: Words as the corpus writes them: runs of letters that no letter, digit or underscore continues.
+LETTERS = re.compile(rf"\b[^\W\d_]{{3,{LONGEST_WORD}}}\b")
 #: The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("4@310$57!", "aaeiossti")
@@ -69,9 +74,11 @@ def _run_lengths(n: int, holds: Callable[[int], bool]) -> list[int]:
     return out
 
 
-def guess_cost(value: str, enough: float = float("inf")) -> float:
+def guess_cost(value: str, enough: float = float("inf"), ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation; 0 for an empty value.
 
+    A word in ``ranks`` takes about as many guesses as its rank.
+
     Time is linear in the value.  Once the value is proven to cost ``enough`` or more, a lower bound of at
     least ``enough`` is returned instead: every segmentation has its first cut after a place between
     there and the end of the longest part that starts before it.
@@ -96,8 +103,8 @@ def guess_cost(value: str, enough: float = float("inf")) -> float:
         offer(i, i + 1, _alphabet(value[i]) * (1 if value[i] == low[i] else 2))
         for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
             for form, extra in ((low, 1), (plain, 4)):
-                if form[i:j] in RANK:
-                    offer(i, j, (RANK[form[i:j]] + 1) * extra * (1 if value[i:j] == low[i:j] else 4))
+                if form[i:j] in ranks:
+                    offer(i, j, (ranks[form[i:j]] + 1) * extra * (1 if value[i:j] == low[i:j] else 4))
         for m in (DATE.match(value, i),):
             if m:
                 offer(i, m.end(), 365 * 120 if m.end() - i > 4 else 120)
@@ -131,7 +138,7 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[str, int, int]]:
     return found
 
 
-def cost_spans(text: str, least: float, low: str | None = None) -> list[tuple[str, int, int]]:
+def cost_spans(text: str, least: float, low: str | None = None, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int]]:
     """Values in credential contexts that take at least ``10**least`` guesses, as kind ``guess``."""
     low = text.lower() if low is None else low
     if not any(h in low for h in HINTS):
@@ -140,11 +147,52 @@ def cost_spans(text: str, least: float, low: str | None = None) -> list[tuple[st
     for m in CONTEXT.finditer(text):
         k = 1 if m[1] is not None else 2 if m[2] is not None else 3
         value = m[k].rstrip(".)]}") if k == 3 else m[k]
-        if len(value) >= 6 and guess_cost(value, least) >= least:
+        if len(value) >= 6 and guess_cost(value, least, ranks) >= least:
             found.append(("guess", m.start(k), m.start(k) + len(value)))
     return found
 
 
+def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 50_000, least_docs: int = 3) -> dict[str, int]:
+    """Word to rank by document frequency over the whole corpus, the fixed words included at their own ranks.
+
+    At most ``most`` words come to the driver: a histogram of the counts' logarithms (a few thousand
+    rows) gives the smallest count that leaves no more, and words of fewer documents stay out.
+    Values in credential contexts are not counted, so a secret that is copied does not become a word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in slices(batches, 0):
+            for text in batch.column(0).to_pylist():
+                if text:
+                    low = text.lower()
+                    if any(h in low for h in HINTS):
+                        low = CONTEXT.sub(" ", low)
+                    seen.update(set(LETTERS.findall(low)))
+            if len(seen) > 200_000:
+                yield flush()
+        yield flush()
+        tidy()
+
+    counts = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = cut(counts.where(F.col("n") >= least_docs).withColumn("size", F.floor(F.log2("n") * 64).cast("int")), "secret-words")
+    least, held = None, 0
+    for r in sorted(words.groupBy("size").count().collect(), reverse=True):
+        if held + r["count"] > most:
+            break
+        least, held = r["size"], held + r["count"]
+    rows = words.where(F.col("size") >= least).select("word", "n").collect() if held else []  # at most ``most``
+    drop(words)
+    found = {r.word: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r.n, r.word)))}
+    return found | {w: min(n, found.get(w, n)) for w, n in RANK.items()}
+
+
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 
@@ -157,7 +205,9 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
 
     ``base`` lists the spans of the fixed kinds, ``spans`` all, as ``kind:start:end`` in code points, end
     exclusive, by start and kind.  Null and empty texts have none.  Other columns are ignored.
+    Words are ranked over all of ``docs``.
     """
+    ranks = word_ranks(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -167,7 +217,7 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
                 low = text.lower()
                 base = base_spans(text, low)
                 kinds = [k for k, _, _ in base]
-                rows.append(([kinds.count(k) for k in ("assign", "access", "hex")], joined(base), joined(base + cost_spans(text, least, low))))
+                rows.append(([kinds.count(k) for k in ("assign", "access", "hex")], joined(base), joined(base + cost_spans(text, least, low, ranks))))
             cols = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(3)]
             cols += [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
@@ -179,10 +229,10 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
     )
 
 
-def redact_text(text: str, least: float, mark: str) -> str:
+def redact_text(text: str, least: float, mark: str, ranks: dict[str, int] = RANK) -> str:
     """``text`` with every span replaced by ``mark``; overlapping spans are one."""
     low = text.lower()
-    spans = sorted((a, b) for _, a, b in base_spans(text, low) + cost_spans(text, least, low))
+    spans = sorted((a, b) for _, a, b in base_spans(text, low) + cost_spans(text, least, low, ranks))
     out, at = [], 0
     for a, b in spans:
         if a >= at:
@@ -193,6 +243,7 @@ def redact_text(text: str, least: float, mark: str) -> str:
 
 def redact(docs: DataFrame, least: float = 10.0, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs`` with secrets replaced; all rows and columns stay, and ``n_chars``, if there, counts anew."""
+    ranks = word_ranks(docs, text_col)
     names = docs.columns
     at = names.index(text_col)
     counted = names.index("n_chars") if "n_chars" in names else None
@@ -202,7 +253,7 @@ def redact(docs: DataFrame, least: float = 10.0, mark: str = "[SECRET]", text_co
         for batch in slices(batches, at):
             cols = list(batch.columns)
             old = batch.column(at).to_pylist()
-            new = [None if t is None else redact_text(t, least, mark) for t in old]
+            new = [None if t is None else redact_text(t, least, mark, ranks) for t in old]
             cols[at] = pa.array(new, batch.column(at).type)
             if counted is not None and kind in ("bigint", "int"):
                 same = batch.column(counted).to_pylist()

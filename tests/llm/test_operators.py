@@ -303,6 +303,20 @@ def test_long_values_are_covered_whole():
         assert all((secretscan.guess_cost(text, t) >= t) == (cost >= t) for t in (3.0, 7.0, 10.0, 15.0, 40.0))
 
 
+def test_words_of_the_corpus_are_cheap(spark):
+    plain = "patience is required in every account of isomorphism and the harvest"
+    rows = [(k, plain, "a") for k in range(5)] + [(10, "The password is required", "a"), (11, "the secret is patience, really", "a"), (12, "token isomorphism here", "a")]
+    rows += [(20 + k, "the password is xkqjwpvzab here", "a") for k in range(5)] + [(30, 'pwd is "requiredharvestqvzxkwpj"', "a")]
+    docs = documents(spark, rows)
+    ranks = secretscan.word_ranks(docs)
+    assert ranks["required"] <= 20 and "xkqjwpvzab" not in ranks and ranks["password"] == 1
+    assert len(set(secretscan.word_ranks(docs, most=1)) - set(secretscan.RANK)) <= 1
+    spans = {r.doc_id: r.spans for r in secretscan.scan(docs).collect()}
+    assert all(spans[k] == "" for k in (10, 11, 12)) and all(spans[k].startswith("guess:16:26") for k in range(20, 25)) and spans[30]
+    clean = {r.doc_id: r.text for r in secretscan.redact(docs).collect()}
+    assert clean[10] == "The password is required" and clean[20] == "the password is [SECRET] here"
+
+
 # ---- 10 sharding
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(4)
