@@ -25,7 +25,7 @@ from .shared import tidy
 
 WORD_BUCKETS, SHAPE_BUCKETS, DIMS, NONZERO = 6144, 2048, 32, 4
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
-REACH = 1
+REACH = 2
 CACHED_WORDS = 150_000
 
 
@@ -57,7 +57,7 @@ class _Words(dict):
             shape = "A" if len(word) > 1 and word.isupper() else "a"
         else:
             shape = self.letters.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word)
-            shape = self.digits.sub("9", shape)[:12]
+            shape = self.digits.sub("9", shape)
         low = crc32(word.lower().encode("utf-8", "replace")) % WORD_BUCKETS
         self[word] = both = low | (WORD_BUCKETS + crc32(shape.encode("utf-8", "replace")) % SHAPE_BUCKETS) << 16
         return both

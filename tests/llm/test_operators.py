@@ -147,6 +147,20 @@ def test_quality_edges(spark, odd, empty):
     assert quality.score(empty, none).count() == 0 and quality.keep_good(odd, none).count() == len(ODD)
 
 
+def test_context_reaches_two_words_and_shapes_are_whole(spark):
+    words = quality._Words()
+    assert words["a1-" * 5 + "a1"] >> 16 != words["a1-" * 5 + "a1!?"] >> 16
+    (near, far, last), _, _ = words.buckets(["alpha beta gamma"])
+    vectors = quality.word_vectors(documents(spark, [(1, "alpha beta gamma", "a")]))
+    places, signs = quality._index()
+    want = np.zeros((2, quality.DIMS))
+    want[0, places[near]] = signs[near] / quality.NONZERO**0.5
+    for b in (far, last):
+        want[1, places[b]] += signs[b]
+    want[1] /= np.linalg.norm(want[1])
+    assert np.allclose(vectors[near], want.sum(axis=0), atol=1e-5)
+
+
 # ---- 4 BPE and 7 token counts
 HARD = [
     "", "   ", "It's we'll they've I'm he'd İstanbul ΣΑΣ Straße ½", "<|endoftext|>a <|startoftext|>b<|endoftext|>", "é é ẛ̣", "日本語テキスト 12345 ٣٤",
