@@ -11,6 +11,10 @@ Only distinct fingerprints are compared, so copies cost nothing.  An anchor that
 more than ``crowded`` fingerprints is not compared pairwise: its members go to the 65 points
 within one bit of them, and everything that shares such a midpoint is within two bits of each
 other, hence linked through the smallest member.  That is exact and linear in the group.
+
+The pipeline's stage has a rule of its own, Jaccard similarity of five-word shingles.  Fingerprints
+of pairs at 0.8 differ in about ten of 64 bits, too many for a covering code that separates
+texts, so the stage's anchors are bands of shingle minima, and every candidate's sets are compared.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import slices
 from .components import connected_components
-from .shared import cut
+from .shared import cut, tidy
 
 BITS, CHECKS = 31, 5
 
@@ -159,35 +165,110 @@ def _components_of(marked: DataFrame) -> DataFrame:
     return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
+#: The stage's own rule: shingles of five words, linked from this Jaccard similarity on.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Anchors of the stage: a pair at similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
+
+
+def _sketches(texts: pa.Array, shingle: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(class, anchors, set) of each text: a hash of its word sequence, ``BANDS`` hashes of ``ROWS`` minima over its
+    shingles, and the sorted 32-bit hashes of its distinct shingles."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(64)
+    a, b = (rng.integers(0, 1 << 64, size=(BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
+    a |= np.uint64(1)
+    mix = rng.integers(0, 1 << 64, size=ROWS, dtype=np.uint64) | np.uint64(1)
+    classes, anchors, sets = [], [], []
+    for text in texts:
+        row = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+        whole = b" ".join(row)
+        classes.append(xxh64_intdigest(whole, 7))
+        parts = [b" ".join(s) for s in zip(*(row[i:] for i in range(shingle)))] if len(row) >= shingle else [whole] if row else []
+        hs = np.unique(np.array([xxh64_intdigest(p, 42) for p in parts], np.uint64))
+        sets.append(np.unique((hs >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+        if not len(hs):
+            anchors.append(np.empty(0, np.int64))
+            continue
+        least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max)
+        for at in range(0, len(hs), 4096):
+            least = np.minimum(least, (hs[None, at : at + 4096] * a + b).min(axis=1, keepdims=True))
+        least ^= least >> np.uint64(29)
+        joint = (least.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64)
+        anchors.append((joint ^ (joint >> np.uint64(31))).view(np.int64))
+    return (
+        pa.array(np.array(classes, np.uint64).view(np.int64)),
+        pa.array(anchors, pa.list_(pa.int64())),
+        pa.array(sets, pa.list_(pa.int32())),
+    )
+
+
+def similar(sketched: DataFrame, similarity: float = STAGE_SIMILARITY, crowded: int = 12) -> DataFrame:
+    """Links (a, b) between the classes in (cls, anchors, grams) whose sets have at least this Jaccard similarity.
+
+    Classes that share an anchor are candidates: all pairs of an anchor with at most ``crowded``
+    classes, else every class with the two smallest of its anchor, so that the pairs of a large group
+    are linear in it.  Every candidate is checked on its whole set.
+    """
+    at = sketched.select("cls", F.posexplode("anchors").alias("band", "anchor"))
+    sizes = at.groupBy("band", "anchor").agg(F.count("*").alias("n"), F.min("cls").alias("m")).where("n > 1")
+    few = at.join(sizes.where(F.col("n") <= crowded).select("band", "anchor"), ["band", "anchor"])
+    few = few.groupBy("band", "anchor").agg(F.collect_list("cls").alias("all")).select("all", F.explode("all").alias("a"))
+    pairs = few.select("a", F.explode(F.filter("all", lambda c: c > F.col("a"))).alias("b"))
+    many = at.join(sizes.where(F.col("n") > crowded).select("band", "anchor", "m"), ["band", "anchor"])
+    next_ = many.where("cls > m").groupBy("band", "anchor").agg(F.min("cls").alias("m2"))
+    star = many.where("cls > m").select(F.col("m").alias("a"), F.col("cls").alias("b"))
+    second = many.join(next_, ["band", "anchor"]).where("cls > m2").select(F.col("m2").alias("a"), F.col("cls").alias("b"))
+    pairs = pairs.union(star).union(second).distinct()
+    left = sketched.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
+    right = sketched.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest id (null last).
 
-    Rows that repeat an id and a text count as copies, so one of them stays.  All columns are
-    returned unchanged.
+    Texts link if they have the same words or if their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more.  Rows that repeat an id and a text count as copies, so one of
+    them stays.  All columns are returned unchanged.
     """
-    import pyspark.sql.types as T
-
     names = docs.columns
-    at = names.index(text_col)
-    fp = "__fp"
-    while fp in names:
-        fp += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_sketches(batch.column(1), STAGE_SHINGLE)], ["doc_id", "cls", "anchors", "grams"])
+        tidy()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    shown = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, cls long, anchors array<long>, grams array<int>")
+    marked = cut(shown, "sketches")
+    sketched = cut(marked.groupBy("cls").agg(F.first("anchors").alias("anchors"), F.first("grams").alias("grams")), "classes")
+    roots = connected_components(similar(sketched)).withColumnRenamed("node", "cls")
+    ids = marked.select("doc_id", "cls").distinct().join(roots, "cls", "left")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("cls"))
+    best = ids.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(rank).alias("best"))
+    best = best.select(_key(F.col("best.doc_id")).alias("__k"), F.col("best.cls").alias("__best"))
+    cls = "__cls"
+    while cls in names:
+        cls += "_"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _fingerprints_of(batch.column(at), 3)], [*names, fp])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    whole = cut(docs.mapInArrow(run, schema), "simhash-docs")
-    marked = whole.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
-    roots = _components_of(marked).select("fp", "root")
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))
-    best = marked.distinct().join(roots, "fp").groupBy("root").agg(F.min(rank).alias("best"))
-    best = best.select(_key(F.col("best.doc_id")).alias("__k"), F.col("best.fp").alias("__best_fp"))
+            found = [xxh64_intdigest(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()), 7) for t in batch.column(names.index(text_col))]
+            signed = [h - (1 << 64) if h >> 63 else h for h in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, pa.int64())], [*names, cls])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType())])
     # one exchange of the texts: the semi join and the removal of repeated rows share its partitioning
-    own = whole.withColumn("__key", _key(F.col(id_col)))
-    own = own.join(best, (F.col("__key") == F.col("__k")) & (F.col(fp) == F.col("__best_fp")), "left_semi")
-    return own.dropDuplicates(["__key", fp]).select(*names)
+    own = docs.mapInArrow(mark, schema).withColumn("__key", _key(F.col(id_col)))
+    own = own.join(best, (F.col("__key") == F.col("__k")) & (F.col(cls) == F.col("__best")), "left_semi")
+    return own.dropDuplicates(["__key", cls]).select(*names)
 
 
 def _key(id_column: Column) -> Column:

@@ -108,6 +108,35 @@ def test_one_document_of_each_group_stays(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_stage_drops_near_copies_by_jaccard(spark):
+    rng = random.Random(9)
+
+    def near(words, n):
+        out = list(words)
+        for k in range(n):
+            out[10 + 25 * k] = f"new{rng.random()}"
+        return " ".join(out)
+
+    def grams(text):
+        row = text.split()
+        return {tuple(row[k : k + 5]) for k in range(len(row) - 4)}
+
+    rows, want, at = [], set(), 0
+    for changed in (1, 2, 4, 12):
+        for _ in range(40):
+            words = [f"w{rng.randrange(5000)}" for _ in range(300)] if changed == 12 else [f"w{rng.randrange(5000)}" for _ in range(200)]
+            pair = " ".join(words), near(words, min(changed, 11))
+            a, b = map(grams, pair)
+            rows += [(at, pair[0], "a"), (at + 1, pair[1], "a")]
+            want |= {at} if len(a & b) >= 0.8 * len(a | b) else {at, at + 1}
+            at += 2
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows += [(1000 + k, near(base, 1), "b") for k in range(100)]
+    want.add(1000)
+    got = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
+    assert want <= got and len(got - want) <= 2
+
+
 # ---- 2 mixing
 def test_mix_meets_targets(spark):
     rng = random.Random(5)
