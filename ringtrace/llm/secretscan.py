@@ -26,10 +26,12 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Names that announce a credential, a separator, and a value up to a blank or a closing quote.
+#: Names that announce a credential, a separator, an authorization scheme if there is one, and a value up to a blank or a
+#: closing quote; a bearer scheme without a header's name announces values of 20 characters or more.
 CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|pwd|secret|token|credentials?|auth(?:orization)?|bearer|"""
-    r"""(?:api|access|private|client|encryption)[_-]?key)["']?\x20*(?:is(?=[\x20"'])|=>|:=|[:=])\x20*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))""",
+    r"""(?:(?:password|passwd|passphrase|pwd|secret|token|credentials?|auth(?:orization)?|bearer|"""
+    r"""(?:api|access|private|client|encryption)[_-]?key)["']?\x20*(?:is(?=[\x20"'])|=>|:=|[:=])\x20*(?:(?:bearer|basic|digest|token|apikey)\x20+)?"""
+    r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))|\bbearer\x20+([^\s"'<>,;]{20,}))""",
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
@@ -145,8 +147,8 @@ def cost_spans(text: str, least: float, low: str | None = None, ranks: dict[str,
         return []
     found = []
     for m in CONTEXT.finditer(text):
-        k = 1 if m[1] is not None else 2 if m[2] is not None else 3
-        value = m[k].rstrip(".)]}") if k == 3 else m[k]
+        k = m.lastindex
+        value = m[k].rstrip(".)]}") if k >= 3 else m[k]
         if len(value) >= 6 and guess_cost(value, least, ranks) >= least:
             found.append(("guess", m.start(k), m.start(k) + len(value)))
     return found
