@@ -12,13 +12,15 @@ more than ``crowded`` fingerprints is not compared pairwise: its members go to t
 within one bit of them, and everything that shares such a midpoint is within two bits of each
 other, hence linked through the smallest member.  That is exact and linear in the group.
 
-The pipeline's stage has a rule of its own, Jaccard similarity of five-word shingles.  Fingerprints
-of pairs at 0.8 differ in about ten of 64 bits, too many for a covering code that separates
-texts, so the stage's anchors are bands of shingle minima, and every candidate's sets are compared.
+The pipeline's stage has a rule of its own, Jaccard similarity of five-word shingles.  Bits of pairs at
+0.8 differ with probability 0.15 each, so two of them are within one bit in a 31-bit block with
+probability 0.04: covering codes would need 170 blocks of 16 anchors a document to miss one pair in a
+thousand.  The stage's anchors are bands of shingle minima instead, and every candidate's sets are compared.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -30,9 +32,12 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .components import connected_components
-from .shared import cut, tidy
+from .shared import cut, drop, fresh, tidy
 
 BITS, CHECKS = 31, 5
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are split into words at a time, so that a giant document never is one list.
+SLICE = 400_000
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -52,9 +57,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def _word_runs(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists of about ``SLICE`` bytes."""
+    at = 0
+    while at < len(raw):
+        end = at + SLICE
+        if end < len(raw):
+            blank = BLANK.search(raw, end)
+            end = blank.start() if blank else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[list[int]]:
+    """XXH64 (seed 42) of the text's shingles in order, repeats included, slice by slice."""
+    from xxhash import xxh64_intdigest
+
+    tail: list[bytes] = []
+    some = False
+    for row in _word_runs((text or "").encode("utf-8", "surrogatepass").lower()):
+        row = tail + row
+        if len(row) >= shingle:
+            some = True
+            yield [xxh64_intdigest(b" ".join(s), 42) for s in zip(*(row[i:] for i in range(shingle)))]
+        tail = row[len(row) - shingle + 1 :] if len(row) >= shingle else row
+    if tail and not some:
+        yield [xxh64_intdigest(b" ".join(tail), 42)]
+
+
+def _class_of(text: str | None) -> int:
+    """A signed 64-bit hash of the text's word sequence."""
+    from xxhash import xxh64
+
+    h = xxh64(seed=7)
+    for row in _word_runs((text or "").encode("utf-8", "surrogatepass").lower()):
+        if row:
+            h.update(b" ".join(row) + b" ")
+    n = h.intdigest()
+    return n - (1 << 64) if n >> 63 else n
+
+
 def _fingerprints_of(texts: pa.Array, shingle: int) -> pa.Array:
     import numpy as np
-    from xxhash import xxh64_intdigest
 
     ones = np.zeros((len(texts), 64), np.int64)
     total = np.zeros(len(texts), np.int64)
@@ -65,19 +109,15 @@ def _fingerprints_of(texts: pa.Array, shingle: int) -> pa.Array:
         if hashes:
             raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
             bits = np.unpackbits(raw, axis=1, bitorder="little")
-            ones[[k for k, _ in spans]] += np.add.reduceat(bits, [at for _, at in spans], axis=0, dtype=np.int64)
+            np.add.at(ones, [k for k, _ in spans], np.add.reduceat(bits, [at for _, at in spans], axis=0, dtype=np.int64))
             hashes.clear()
             spans.clear()
 
     for k, text in enumerate(texts):
-        row = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-        if row:
+        for part in _shingle_hashes(text.as_py(), shingle):
             spans.append((k, len(hashes)))
-            if len(row) < shingle:
-                hashes.append(xxh64_intdigest(b" ".join(row), 42))
-            else:
-                hashes.extend([xxh64_intdigest(b" ".join(s), 42) for s in zip(*(row[i:] for i in range(shingle)))])
-            total[k] = len(hashes) - spans[-1][1]
+            hashes.extend(part)
+            total[k] += len(part)
             if len(hashes) > 60_000:
                 flush()
     flush()
@@ -175,19 +215,16 @@ def _sketches(texts: pa.Array, shingle: int) -> tuple[pa.Array, pa.Array, pa.Arr
     """(class, anchors, set) of each text: a hash of its word sequence, ``BANDS`` hashes of ``ROWS`` minima over its
     shingles, and the sorted 32-bit hashes of its distinct shingles."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
     rng = np.random.default_rng(64)
     a, b = (rng.integers(0, 1 << 64, size=(BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
     a |= np.uint64(1)
     mix = rng.integers(0, 1 << 64, size=ROWS, dtype=np.uint64) | np.uint64(1)
     classes, anchors, sets = [], [], []
-    for text in texts:
-        row = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-        whole = b" ".join(row)
-        classes.append(xxh64_intdigest(whole, 7))
-        parts = [b" ".join(s) for s in zip(*(row[i:] for i in range(shingle)))] if len(row) >= shingle else [whole] if row else []
-        hs = np.unique(np.array([xxh64_intdigest(p, 42) for p in parts], np.uint64))
+    for text in map(pa.Scalar.as_py, texts):
+        classes.append(_class_of(text))
+        parts = [np.unique(np.array(p, np.uint64)) for p in _shingle_hashes(text, shingle)]
+        hs = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
         sets.append(np.unique((hs >> np.uint64(32)).astype(np.uint32)).view(np.int32))
         if not len(hs):
             anchors.append(np.empty(0, np.int64))
@@ -199,18 +236,24 @@ def _sketches(texts: pa.Array, shingle: int) -> tuple[pa.Array, pa.Array, pa.Arr
         joint = (least.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64)
         anchors.append((joint ^ (joint >> np.uint64(31))).view(np.int64))
     return (
-        pa.array(np.array(classes, np.uint64).view(np.int64)),
+        pa.array(classes, pa.int64()),
         pa.array(anchors, pa.list_(pa.int64())),
         pa.array(sets, pa.list_(pa.int32())),
     )
 
 
+#: Classes in a bin of the exact comparison of a crowded anchor, and shingles in it at most (one class aside).
+BIN, BIN_SHINGLES = 512, 1_000_000
+
+
 def similar(sketched: DataFrame, similarity: float = STAGE_SIMILARITY, crowded: int = 12) -> DataFrame:
-    """Links (a, b) between the classes in (cls, anchors, grams) whose sets have at least this Jaccard similarity.
+    """Links (a, b) that connect the classes in (cls, anchors, grams) whose sets have at least this Jaccard similarity.
 
-    Classes that share an anchor are candidates: all pairs of an anchor with at most ``crowded``
-    classes, else every class with the two smallest of its anchor, so that the pairs of a large group
-    are linear in it.  Every candidate is checked on its whole set.
+    Classes that share an anchor are candidates, checked on their whole sets: all pairs of an anchor with at
+    most ``crowded`` classes.  In larger ones every class is checked against the two smallest first, which
+    leaves most groups of near copies in one component; where an anchor still holds several components
+    its pairs across components are all checked, in bins, so no connection of an anchor is lost and a
+    large group of copies costs in proportion to its members.
     """
     at = sketched.select("cls", F.posexplode("anchors").alias("band", "anchor"))
     sizes = at.groupBy("band", "anchor").agg(F.count("*").alias("n"), F.min("cls").alias("m")).where("n > 1")
@@ -226,7 +269,81 @@ def similar(sketched: DataFrame, similarity: float = STAGE_SIMILARITY, crowded:
     right = sketched.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = cut(found, "near-links")
+    roots = cut(connected_components(found).withColumnRenamed("node", "cls"), "near-roots")
+    # anchors of equal members count once, so a group of copies is not looked at in every band
+    member = many.select("band", "anchor", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    open_ = member.groupBy("band", "anchor").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s")
+    ).where("lo < hi")
+    open_ = cut(open_.groupBy("n", "s").agg(F.min(F.struct("band", "anchor")).alias("k")).select("k.band", "k.anchor"), "near-open")
+    if open_.isEmpty():
+        return found
+    member = member.join(open_, ["band", "anchor"]).join(sketched.select("cls", F.size("grams").alias("size")), "cls")
+    return found.union(_across(member, sketched.select("cls", "grams"), similarity))
+
+
+def _across(member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the components inside an anchor, one at least for every two that are linked.
+
+    ``member`` is (band, anchor, cls, root, size).  Sizes of linked sets differ by a factor of
+    ``similarity`` at most, so classes are dealt by the logarithm of their size; a component over a bin
+    has bins of its own, smaller ones share bins, and two bins meet unless they hold one and the same component.
+    """
+    from math import log
+
+    place = ["band", "anchor", "step"]
+    member = member.withColumn("step", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(log(1 / similarity)) + 1e-9).cast("int"))
+    most = F.greatest(F.lit(1), F.least(F.lit(BIN), F.floor(F.lit(BIN_SHINGLES) / F.max(F.greatest("size", F.lit(1))))))
+    per_root = member.groupBy(*place, "root").agg(F.count("*").alias("n"), most.alias("most"))
+    per_root = per_root.withColumn("own", F.when(F.col("n") >= F.col("most"), F.col("root")))
+    bins = per_root.groupBy(*place, "own").agg(F.ceil(F.sum("n") / F.min("most")).cast("int").alias("bins"))
+    bins = bins.select(*[F.col(c).alias("b_" + c) for c in place], F.col("own").alias("b_own"), "bins")
+    per_root = cut(per_root.select(*place, "root", "own"), "near-sizes")
+    dealt = member.join(per_root, [*place, "root"])
+    dealt = dealt.join(bins, reduce(Column.__and__, [F.col(c) == F.col("b_" + c) for c in place]) & F.col("own").eqNullSafe(F.col("b_own")))
+    nth = F.pmod(F.xxhash64("cls"), F.col("bins")).cast("int")
+    end = F.struct("step", F.col("own").isNull().alias("mixed"), F.coalesce("own", F.lit(0)).alias("own"), nth.alias("nth"))
+    dealt = cut(dealt.select("band", "anchor", "cls", "root", end.alias("e")), "near-bins")
+    kinds = dealt.select("band", "anchor", "e").distinct()
+    meet = kinds.withColumnRenamed("e", "i").join(kinds.withColumnRenamed("e", "j"), ["band", "anchor"])
+    alike = ~F.col("i.mixed") & ~F.col("j.mixed") & (F.col("i.own") == F.col("j.own"))  # one and the same component
+    meet = cut(meet.where((F.col("i") <= F.col("j")) & (F.abs(F.col("i.step") - F.col("j.step")) <= 1) & ~alike), "near-meets")
+    ends = meet.select("band", "anchor", "i", "j", F.col("i").alias("e")).union(meet.where("i <> j").select("band", "anchor", "i", "j", "j"))
+    rows = dealt.join(ends, ["band", "anchor", "e"]).join(sets, "cls")
+    unit = F.xxhash64("band", "anchor", "i", "j")
+    rows = rows.select(unit.alias("unit"), (F.col("e") == F.col("i")).alias("left"), (F.col("i") == F.col("j")).alias("same"), "cls", "root", "grams")
+
+    def run(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        cls, root = (np.asarray(table.column(k)) for k in ("cls", "root"))
+        grams = table.column("grams").combine_chunks()
+        size = np.diff(np.asarray(grams.offsets))
+        left, same = np.asarray(table.column("left")), np.asarray(table.column("same"))
+        ones = np.flatnonzero(left)
+        twos = ones if same.all() else np.flatnonzero(~left)
+        parts = [np.asarray(grams[int(k)].values) for k in twos]
+        held = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        owner = np.repeat(np.arange(len(twos)), [len(p) for p in parts])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        seen: set[tuple[int, int]] = set()
+        out = []
+        for k in ones:
+            mine = np.asarray(grams[int(k)].values)
+            lo, hi = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
+            hits = [owner[p:q] for p, q in zip(lo, hi) if q > p]
+            common = np.bincount(np.concatenate(hits), minlength=len(twos)) if hits else np.zeros(len(twos), int)
+            for t in np.flatnonzero((common >= similarity * (size[k] + size[twos] - common)) & (root[twos] != root[k])):
+                both = tuple(sorted((int(root[k]), int(root[twos[t]]))))
+                if both not in seen:
+                    seen.add(both)
+                    out.append((int(cls[k]), int(cls[twos[t]])))
+        return pa.table({n: pa.array([o[c] for o in out], pa.int64()) for c, n in enumerate("ab")})
+
+    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +351,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts link if they have the same words or if their sets of five-word shingles have a Jaccard
     similarity of 0.8 or more.  Rows that repeat an id and a text count as copies, so one of
-    them stays.  All columns are returned unchanged.
+    them stays.  All columns are returned unchanged, whatever their names.
     """
     names = docs.columns
 
@@ -251,24 +368,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = marked.select("doc_id", "cls").distinct().join(roots, "cls", "left")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("cls"))
     best = ids.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(rank).alias("best"))
-    best = best.select(_key(F.col("best.doc_id")).alias("__k"), F.col("best.cls").alias("__best"))
-    cls = "__cls"
-    while cls in names:
-        cls += "_"
+    cls, key, k, b = fresh(names, "cls", "key", "best_key", "best_cls")
+    best = cut(best.select(_key(F.col("best.doc_id")).alias(k), F.col("best.cls").alias(b)), "near-kept")
+    drop(marked)
+    drop(sketched)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            found = [xxh64_intdigest(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()), 7) for t in batch.column(names.index(text_col))]
-            signed = [h - (1 << 64) if h >> 63 else h for h in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, pa.int64())], [*names, cls])
+            found = [_class_of(t.as_py()) for t in batch.column(names.index(text_col))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*names, cls])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType())])
     # one exchange of the texts: the semi join and the removal of repeated rows share its partitioning
-    own = docs.mapInArrow(mark, schema).withColumn("__key", _key(F.col(id_col)))
-    own = own.join(best, (F.col("__key") == F.col("__k")) & (F.col(cls) == F.col("__best")), "left_semi")
-    return own.dropDuplicates(["__key", cls]).select(*names)
+    own = docs.mapInArrow(mark, schema).withColumn(key, _key(F.col(id_col)))
+    own = own.join(best, (F.col(key) == F.col(k)) & (F.col(cls) == F.col(b)), "left_semi")
+    return own.dropDuplicates([key, cls]).select(*names)
 
 
 def _key(id_column: Column) -> Column:
