@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from .shared import tidy
 
 CACHED_PIECES, TRIE_WORDS = 220_000, 16_000
+#: Characters from which a word is walked by itself, without a trie, and is not kept in the caches.
+LONG = 512
 
 
 def byte_symbols() -> list[str]:
@@ -41,6 +43,21 @@ def default_tokenizer() -> str:
         return f.read()
 
 
+class _Tail:
+    """The trie of a single long word, one node at a time."""
+
+    __slots__ = ("raw", "at", "word")
+
+    def __init__(self, raw: bytes, at: int, word: str):
+        self.raw, self.at, self.word = raw, at, word
+
+    def items(self) -> tuple:
+        raw, at = self.raw, self.at
+        if at == len(raw):
+            return ((-1, self.word),)
+        return ((raw[at] + 256 * (at + 1 == len(raw)), _Tail(raw, at + 1, self.word)),)
+
+
 class TrieBpe:
     """Encoder and decoder for a word-end BPE vocabulary given as tokenizer JSON."""
 
@@ -91,6 +108,7 @@ class TrieBpe:
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.proper: dict[int, bool] = {}
+        self.long: list[str] = []
 
     def _merge(self, symbols: list[int]) -> list[int]:
         """Plain merging of token ids, used only to settle one border of two tokens."""
@@ -149,14 +167,20 @@ class TrieBpe:
         return self.proper[token]
 
     def encode_words(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Id bytes and decoded bytes of distinct words, in tries of neighbours in sorted order."""
-        order, out = sorted(words), {}
+        """Id bytes and decoded bytes of distinct words, in tries of neighbours in sorted order.
+
+        A long word shares little and its nodes would cost a hundred bytes a symbol, so it has no stored trie.
+        """
+        order, out = sorted(w for w in words if len(w) <= LONG), {}
+        for word in words:
+            if len(word) > LONG:
+                out |= self._search(_Tail(word.encode("utf-8"), 0, word))
         for at in range(0, len(order), TRIE_WORDS):
             out |= self._walk(order[at : at + TRIE_WORDS])
         return out
 
     def _walk(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Encodings of distinct words by a depth-first walk of their trie."""
+        """The trie of distinct words, and their encodings from it."""
         root: dict = {}
         for word in words:
             raw = word.encode("utf-8")
@@ -164,6 +188,10 @@ class TrieBpe:
             for s in raw[:-1]:
                 node = node.setdefault(s, {})
             node.setdefault(raw[-1] + 256, {})[-1] = word
+        return self._search(root)
+
+    def _search(self, root: dict | _Tail) -> dict[str, tuple[bytes, bytes]]:
+        """Encodings of all words of a trie by a depth-first walk."""
         out: dict[str, tuple[bytes, bytes]] = {}
         fits, backwards, length, names = self.fits, self.backwards, self.length, self.names
         path: list[int] = []
@@ -232,7 +260,9 @@ class TrieBpe:
             text = self.normalise(piece)
             split[piece] = [text] if text.isalpha() else self.word_at.findall(text)  # letters alone are one word
         words, pieces = self.words, self.pieces
-        words.update(self.encode_words({w for ws in split.values() for w in ws if w not in words}))
+        unknown = {w for ws in split.values() for w in ws if w not in words}
+        self.long = [w for w in unknown if len(w) > LONG]
+        words.update(self.encode_words(unknown))
         for piece, parts in split.items():
             if len(parts) == 1:
                 pieces[piece] = words[parts[0]]
@@ -255,6 +285,12 @@ class TrieBpe:
         for row in rows:
             got = [pieces[p] for p in row]
             out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])))
+        for piece in [p for p in fresh if len(p) > LONG]:  # the caches are bounded in bytes as well
+            del pieces[piece]
+        if self.long:
+            for word in self.long:
+                self.words.pop(word, None)
+            self.long.clear()
         return out
 
     def _parts(self, text: str) -> list[str]:
