@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, mixing, quality, reshard, secretscan, simhash, tokencount, urlfilter, vecdedup
-from .shared import table
+from .shared import new_path, table
 
 ORACLES: dict[str, str] = {"op2_mix_to_weights": mixing.ORACLE, "op5_url_redirect_filter": urlfilter.ORACLE}
 
@@ -59,12 +60,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 16 hash shards to 24 of near equal bytes."""
+    """From 16 hash shards to 24 of near equal bytes; the rows are read back from the shards' new files.
+
+    The table has no shards yet, so the old ones are dealt by a hash of the text, and all are affected.
+    """
     docs = table(spark, sf_dir, "documents")
-    placed = reshard.reshard(docs, reshard.hash_layout(F.col("doc_id"), 16), 24)
+    path = new_path(spark, "reshard-files")
+    old = reshard.hash_layout(F.xxhash64("text"), 16)
+    reshard.rewrite_affected(docs, old, 24, path)
+    kept = T.StructType([docs.schema["doc_id"], docs.schema["text"], T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    placed = spark.read.schema(kept).parquet(path) if docs.take(1) else spark.createDataFrame([], kept)
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+        "doc_id", reshard.row_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"),
     )
 
 

@@ -1,12 +1,13 @@
 """Resharding by minimum-cost flow.
 
-The state is a layout of rows over old shards.  Every old shard is ordered by a hash of the
-row's id; block sums of that order (old shard, hash bucket) are the only sizes gathered.  On
-the graph of old and new shards, whose size is the number of shards and not of rows, the
-minimum-cost flow from the old sizes to the new capacities says how many bytes go from each
-old shard to each new one; a byte that stays costs nothing.  A flow is a stretch of
-the old shard's order, so whole blocks move and only the row at a border decides by its middle.
-Only shards that give or get rows are rewritten.
+The state is a layout of rows over old shards.  Every old shard is ordered by a hash of the text,
+then of the id, so equal texts lie together; block sums of that order (old shard, hash bucket) are
+the only sizes gathered.  On the graph of old and new shards, whose size is the number of shards
+and not of rows, the minimum-cost flow from the old sizes to the new capacities says how many
+bytes go from each old shard to each new one; a byte that stays costs nothing.  A flow is a
+stretch of the old shard's order.  A group of equal texts goes whole to the shard that its middle
+falls into, as long as it holds at most ``tolerance`` of a new shard; a larger group is cut into units
+by a hash of the id, and each unit goes by its own middle.  Only shards that give or get rows are rewritten.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 BUCKETS = 4096
+#: Units of a group of equal texts: what one task numbers at a time.
+UNITS = 4096
+#: Rows of a written file, and copies of one row that a task writes out at a time.
+PER_FILE, PER_TASK = 250_000, 1_000_000
 
 
 def row_size(text: Column) -> Column:
@@ -93,35 +98,35 @@ def min_cost_flow(supply: list[int], demand: list[int], cost) -> list[dict[int,
 
 
 def hash_layout(key: Column, shards: int) -> Column:
-    """An old layout for tables that carry none: a hash of the id modulo the number of shards."""
+    """An old layout for tables that carry none: a hash of ``key`` modulo the number of shards."""
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def reshard(
-    docs: DataFrame,
-    old_shard: Column,
-    new_shards: int,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    cost=lambda i, j: 0 if i == j else 1,
-) -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot), one row for each row of ``docs``.
+def _keyed(docs: DataFrame, old_shard: Column, id_col: str, text_col: str) -> list[Column]:
+    text = F.col(text_col)
+    return [
+        F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
+        F.xxhash64(F.lit(7), text).alias("t"),
+        F.col(id_col).alias("doc_id"),
+        row_size(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    ]
 
-    New capacities are equal, so shard sizes differ by about a row; slots are gapless from 0 in
-    each shard.  Null texts count 8 bytes and have CRC 0; rows that repeat an id keep rows
-    of their own.  The old shard numbers are few and known; a null old shard is read as 0.
-    """
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            row_size(F.col(text_col)).alias("size"),
-            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-            F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
-            F.xxhash64(F.lit(7), F.col(id_col)).alias("h"),
-        ).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int")),
-        "reshard-rows",
-    )
-    blocks = cut(rows.groupBy("old_shard", "bucket").agg(F.sum("size").alias("mass")), "reshard-blocks")
+
+ROW = ["old_shard", "t", "doc_id", "size", "text_crc32"]
+BLOCK = ["old_shard", "bucket"]
+
+
+def _placed(docs: DataFrame, old_shard: Column, new_shards: int, id_col: str, text_col: str, cost, tolerance: float) -> DataFrame:
+    """(old_shard, t, doc_id, size, text_crc32, n, shard, slot): the first slot of the ``n`` rows that are alike."""
+    # rows alike in id and text are one line with a count, so no repeated row makes a hot task
+    alike = docs.select(*_keyed(docs, old_shard, id_col, text_col)).groupBy(*ROW).agg(F.count("*").alias("n"))
+    bucket = F.pmod(F.shiftright("t", 40), F.lit(BUCKETS)).cast("int").alias("bucket")
+    unit = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(UNITS)).cast("int").alias("unit")
+    rows = cut(alike.select(*ROW, "n", bucket, unit), "reshard-rows")
+    units = rows.groupBy(*BLOCK, "t", "unit").agg(F.sum(F.col("n") * F.col("size")).alias("mass"), F.sum("n").alias("c"))
+    units = cut(units, "reshard-units")
+    blocks = cut(units.groupBy(*BLOCK).agg(F.sum("mass").alias("mass")), "reshard-blocks")
     olds = blocks.groupBy("old_shard").agg(F.sum("mass").alias("mass")).orderBy("old_shard").collect()  # a row a shard
     supply = {r["old_shard"]: r["mass"] for r in olds}
     total = sum(supply.values())
@@ -136,25 +141,49 @@ def reshard(
             at += row[j]
     plan = _plan(ends)
     ahead = Window.partitionBy("old_shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("start", F.coalesce(F.sum("mass").over(ahead), F.lit(0))).select(
-        "old_shard", "bucket", "start"
-    )
-    inside = Window.partitionBy("old_shard", "bucket").orderBy("h", "doc_id", "text_crc32", "size")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("start") + F.sum("size").over(upto) - F.col("size") / 2
-    placed = cut(
-        rows.join(starts, ["old_shard", "bucket"])
-        .withColumn("middle", middle)
-        .withColumn("shard", plan)
-        .withColumn("n", F.row_number().over(Window.partitionBy("old_shard", "bucket", "shard").orderBy("middle"))),
-        "reshard-placed",
-    )
-    counts = placed.groupBy("shard", "old_shard", "bucket").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("shard").orderBy("old_shard", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    return placed.join(offsets, ["shard", "old_shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("offset") + F.col("n") - 1).alias("slot")
-    )
+    starts = blocks.withColumn("start", F.coalesce(F.sum("mass").over(ahead), F.lit(0))).select(*BLOCK, "start")
+    inside = Window.partitionBy(*BLOCK).orderBy("t", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*BLOCK, "t")
+    before = F.coalesce(F.sum("mass").over(inside), F.lit(0))
+    units = units.withColumn("before", before).withColumn("held", F.sum("mass").over(group)).withColumn("first", F.min("before").over(group))
+    whole = F.col("held") <= F.lit(tolerance * total / new_shards)
+    middle = F.when(whole, F.col("first") + F.col("held") / 2).otherwise(F.col("before") + F.col("mass") / 2)
+    units = units.join(starts, BLOCK).withColumn("middle", F.col("start") + middle).withColumn("shard", plan)
+    units = cut(units.select(*BLOCK, "t", "unit", "c", "shard"), "reshard-placed")
+    counts = units.groupBy("shard", *BLOCK).agg(F.sum("c").alias("c"))
+    above = Window.partitionBy("shard").orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(above), F.lit(0))).drop("c")
+    within = Window.partitionBy("shard", *BLOCK).orderBy("t", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("at", F.coalesce(F.sum("c").over(within), F.lit(0))).join(offsets, ["shard", *BLOCK])
+    units = units.select(*BLOCK, "t", "unit", "shard", (F.col("at") + F.col("offset")).alias("at"))
+    line = Window.partitionBy(*BLOCK, "t", "unit").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(units, [*BLOCK, "t", "unit"]).withColumn("slot", F.col("at") + F.coalesce(F.sum("n").over(line), F.lit(0)))
+    return cut(out.select(*ROW, "n", "shard", "slot"), "reshard-lines")
+
+
+def reshard(
+    docs: DataFrame,
+    old_shard: Column,
+    new_shards: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cost=lambda i, j: 0 if i == j else 1,
+    tolerance: float = 0.005,
+) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, shard, slot), one row for each row of ``docs``.
+
+    New capacities are equal; shard sizes differ by about a row or ``tolerance`` of a shard, and equal texts
+    of one old shard stay together unless they hold more than that.  Slots are gapless from 0 in
+    each shard.  Null texts count 8 bytes and have CRC 0; rows that repeat an id keep rows
+    of their own, null ids likewise.  The old shard numbers are few and known; a null old shard is read as 0.
+    """
+    lines = _placed(docs, old_shard, new_shards, id_col, text_col, cost, tolerance)
+    cols = ["doc_id", "size", "text_crc32", "old_shard", "shard"]
+    few = lines.where(F.col("n") <= PER_TASK).select(*cols, F.explode(F.sequence("slot", F.col("slot") + F.col("n") - 1)).alias("slot"))
+    parts = F.explode(F.sequence("slot", F.col("slot") + F.col("n") - 1, F.lit(PER_TASK)))
+    many = lines.where(F.col("n") > PER_TASK).select(*cols, (F.col("slot") + F.col("n")).alias("end"), parts.alias("from")).repartition("shard", "from")
+    each = F.explode(F.sequence("from", F.least(F.col("from") + PER_TASK, F.col("end")) - 1))
+    return few.union(many.select(*cols, each.alias("slot")))
 
 
 def _plan(ends: list[tuple[int, int, int, int]]) -> Column:
@@ -170,15 +199,36 @@ def _plan(ends: list[tuple[int, int, int, int]]) -> Column:
     return (F.lit(0) if out is None else out).cast("int")
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
-    """Write the new files of shards that give or get rows, as ``shard=N`` folders; return their numbers.
-
-    ``placed`` is the result of ``reshard`` over a table whose ids are unique and not null.
+def rewrite_affected(
+    docs: DataFrame,
+    old_shard: Column,
+    new_shards: int,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cost=lambda i, j: 0 if i == j else 1,
+    tolerance: float = 0.005,
+) -> list[int]:
+    """Place ``docs`` as ``reshard`` does and write the new files of the shards that give or get rows.
+
+    Files go to ``path/shard=N`` in slot order with all columns of ``docs`` and a column ``slot``; a shard
+    is several files, none of much over ``PER_FILE`` rows.  Returns the numbers of the written shards;
+    the files of all others stay as they are.  Null and repeated ids keep all their rows.  Columns of
+    ``docs`` that are called shard or slot are replaced.
     """
-    moved = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("k")).distinct()
-    touched = sorted(r["k"] for r in moved.collect())  # shard numbers
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
-    new = placed.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    out = docs.select(*names).join(new, F.col(id_col) == F.col("__id")).drop("__id")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    lines = _placed(docs, old_shard, new_shards, id_col, text_col, cost, tolerance)
+    moved = lines.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("k")).distinct()
+    touched = sorted(r["k"] for r in moved.collect() if r["k"] < new_shards)  # shard numbers
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    new = lines.where(F.col("shard").isin(touched))
+    keys = [F.struct(*_keyed(docs, old_shard, id_col, text_col)).alias("key")]
+    rows = docs.select(*keys, F.struct(*[docs[c] for c in names]).alias("row"))
+    same = [F.col(f"key.{c}").eqNullSafe(F.col(c)) for c in ROW]
+    both = rows.join(new, same[1] & same[0] & same[2] & same[3] & same[4])
+    copies = Window.partitionBy(*[f"key.{c}" for c in ROW]).orderBy(F.lit(0))
+    single = both.where("n = 1").select("row", "shard", "slot")
+    again = both.where("n > 1").select("row", "shard", (F.col("slot") + F.row_number().over(copies) - 1).alias("slot"))
+    piece = F.floor(F.col("slot") / PER_FILE)
+    out = single.union(again).repartition("shard", piece).sortWithinPartitions("shard", "slot")
+    out.select("row.*", "slot", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
     return touched
