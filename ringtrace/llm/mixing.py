@@ -1,10 +1,10 @@
 """Mixing sources to target weights by hash-threshold histograms; DataFrame functions only.
 
-Every row has a 48-bit hash of its id.  Sizes are summed by source and the top 16 bits, the
+Every row has a 48-bit hash of its id (of its text if it has none).  Sizes are summed by source and the top 16 bits, the
 bucket where the running sum crosses a source's budget is found, only rows of that boundary
 bucket are summed by the next 16 bits, and again by the last 16.  The result is one
-threshold per source, so the last pass is a filter by comparison: no row is ever sorted, and
-each window runs over at most 65,536 sums of one source.
+threshold per source, so the last pass is a filter by comparison: no row is ever sorted.  Each
+histogram is searched in two steps of 256 sums, so that is what a window over one source holds.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, words
+from .shared import cut, drop, words
 
 LEVELS, STEP = 3, 16
 
 
-def id_hash(key: Column) -> Column:
-    """48 bits of the MD5 of the id as text: SQL engines agree on it, so plans can be replayed elsewhere."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long")
+def id_hash(key: Column, text: Column) -> Column:
+    """48 bits of the MD5 of the id as text, of the text's own MD5 if the id is null: SQL engines agree on it, so plans can be replayed elsewhere."""
+    name = F.coalesce(key.cast("string"), F.md5(text.cast("binary")), F.lit(""))
+    return F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -69,20 +70,27 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
             F.shiftright("h", shift) == F.shiftright("bar", shift)
         )
         sums = inside.groupBy("source", "left", "bar", _digit(level).alias("digit")).agg(F.sum("size").alias("mass"))
-        upto = Window.partitionBy("source").orderBy("digit")
-        run = sums.withColumn("reached", F.sum("mass").over(upto)).where(F.col("reached") > F.col("left"))
-        first = F.row_number().over(upto)
+        sums = cut(sums.withColumn("high", F.shiftright("digit", STEP // 2)), "mix-sums")
+        coarse = _crossing(sums.groupBy("source", "left", "bar", "high").agg(F.sum("mass").alias("mass")), "high")
+        coarse = coarse.select(F.col("source").alias("s"), "high", F.col("left").alias("rest"))
+        fine = sums.join(coarse, sums["source"].eqNullSafe(F.col("s")) & (sums["high"] == coarse["high"]))
         unit = 1 << (STEP * (LEVELS - 1 - level))
-        now = run.withColumn("k", first).where("k = 1").select(
-            "source",
-            (F.col("left") - (F.col("reached") - F.col("mass"))).alias("left"),
-            (F.col("bar") + F.col("digit") * unit).alias("bar"),
-            F.col("mass").alias("tied"),
+        now = _crossing(fine.select("source", F.col("rest").alias("left"), "bar", "digit", "mass"), "digit").select(
+            "source", "left", (F.col("bar") + F.col("digit") * unit).alias("bar"), F.col("mass").alias("tied")
         )
         now = cut(now, "mix-bars")
+        drop(sums)
     return now
 
 
+def _crossing(sums: DataFrame, digit: str) -> DataFrame:
+    """The line of each source in whose ``mass`` the running sum passes ``left``; ``left`` becomes what it has to give."""
+    upto = Window.partitionBy("source").orderBy(digit)
+    run = sums.withColumn("reached", F.sum("mass").over(upto)).where(F.col("reached") > F.col("left"))
+    first = run.withColumn("k", F.row_number().over(upto)).where("k = 1")
+    return first.withColumn("left", F.col("left") - (F.col("reached") - F.col("mass"))).drop("k", "reached")
+
+
 def _plan(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
     """One row a source, written: (s, source_size, target, whole, bar, left, tied).
 
@@ -100,11 +108,13 @@ def _plan(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
     )
 
 
-def _taken(size: Column, h: Column) -> Column:
+def _taken(size: Column, h: Column, whole_docs: bool) -> Column:
+    """Words taken of a document: whole repeats, and once more or in part as its hash says."""
+    at_bar = F.floor(F.col("left") / F.col("tied") + 0.5) * size if whole_docs else F.floor(size * F.col("left") / F.col("tied"))
     part = (
         F.when(F.col("bar").isNull() | (size == 0), F.lit(0))
         .when(h < F.col("bar"), size)
-        .when(h == F.col("bar"), F.floor(size * F.col("left") / F.col("tied")))
+        .when(h == F.col("bar"), at_bar)
         .otherwise(0)
     )
     return (F.col("whole") * size + part).cast("long")
@@ -116,7 +126,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             words(F.col(text_col)).alias("size"),
-            id_hash(F.col(id_col)).alias("h"),
+            id_hash(F.col(id_col), F.col(text_col)).alias("h"),
         ),
         "mix-rows",
     )
@@ -130,18 +140,20 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    whole_docs: bool = False,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row for each row of ``docs``.
 
     ``taken`` is whole repeats of the document plus, for hashes under the source's threshold, one
     more; the document at the threshold gives the words that are still missing, so a
-    source's taken words come to its rounded target.  Rows that repeat an id share the remainder
-    in proportion, rounded down.  Null texts have size 0; a null source is a source of its own.
+    source's taken words come to its rounded target.  With ``whole_docs`` that document is taken if at least
+    half of it is wanted, which is what ``apply_mix`` does; a source is then half a document off at most.
+    Rows that repeat an id share the remainder in proportion, rounded down.  Null texts have size 0; a null source is a source of its own.
     """
     rows = _rows(docs, id_col, text_col, source_col)
     plan = _plan(rows, weights, share, most)
     return rows.join(plan, F.col("source").eqNullSafe(F.col("__s"))).select(
-        "doc_id", "source", "size", "source_size", "target", _taken(F.col("size"), F.col("h")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", _taken(F.col("size"), F.col("h"), whole_docs).alias("taken")
     )
 
 
@@ -154,32 +166,23 @@ def apply_mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` repeated or left out as ``mix`` decides, all columns unchanged.
+    """``docs`` repeated or left out as ``mix`` with ``whole_docs`` decides, all columns unchanged.
 
     Whole documents only: the one at a threshold is taken if at least half of it is wanted.  A document
     of no words belongs to every mix once.  Texts are not shuffled: a row needs its own hash
     and its source's line of the plan only.
     """
-    rows = _rows(docs, id_col, text_col, source_col)
-    plan = _plan(rows, weights, share, most).select(*[F.col(c).alias(f"__{c}".replace("____", "__")) for c in PLAN])
-    size, h = F.col("__size"), id_hash(F.col(id_col))
-    both = docs.withColumn("__size", words(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
-    part = (
-        F.when(F.col("__bar").isNull(), F.lit(0))
-        .when(h < F.col("__bar"), 1)
-        .when(h == F.col("__bar"), F.floor(F.col("__left") / F.col("__tied") + 0.5))
-        .otherwise(0)
-    )
-    times = F.when(size == 0, F.lit(1)).otherwise((F.col("__whole") + part).cast("int"))
-    copies = both.withColumn("__n", times).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return copies.select(*[docs[c] for c in docs.columns])
-
+    plan = _plan(_rows(docs, id_col, text_col, source_col), weights, share, most)
+    both = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), words(docs[text_col]).alias("size"), id_hash(docs[id_col], docs[text_col]).alias("h"))
+    both = both.join(plan, F.col(f"row.`{source_col}`").eqNullSafe(F.col("__s")))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise((_taken(F.col("size"), F.col("h"), True) / F.col("size")).cast("int"))
+    copies = both.select("row", times.alias("n")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return copies.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
-PLAN = ("__s", "whole", "bar", "left", "tied")
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 12) AS BIGINT) AS h FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 wt AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w,
     source_size * 2.0::DOUBLE AS cap FROM per),
