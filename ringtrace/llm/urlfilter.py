@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut
+from .shared import cut, fresh
 
 #: (action, host, path prefix).
 RULES = (
@@ -131,11 +131,15 @@ def judge(
     return out.select(*cols, verdict.alias("verdict"), "via")
 
 
-def drop_blocked(pages: DataFrame, **how) -> DataFrame:
-    """``pages`` without the rows judged ``block`` (rows are told apart by id and url)."""
-    id_col, url_col = how.get("id_col", "page_id"), how.get("url_col", "url")
-    ids = judge(pages, **how).where("verdict = 'block'").select(F.col("page_id").alias("__id")).distinct()
-    return pages.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+def drop_blocked(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``pages`` without the rows judged ``block``, all columns unchanged.
+
+    The verdict belongs to the url, whatever the id: rows of one url go or stay together, null urls stay.
+    """
+    own = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    urls = judge(own.withColumn("page_id", F.col("url")), redirects, rules).where("verdict = 'block'").select("page_id").distinct()
+    gone, = fresh(pages.columns, "gone")
+    return pages.join(urls.withColumnRenamed("page_id", gone), pages[url_col] == F.col(gone), "left_anti")
 
 
 def _case(column: int) -> str:
@@ -147,10 +151,48 @@ def _case(column: int) -> str:
     return "CASE " + " ".join(arms) + " END"
 
 
-#: Without alias edges in the table's html the components are empty; tests/llm covers those with brute force.
+def _host(url: str) -> str:
+    return f"coalesce(translate(regexp_extract({url}, '^(?s:.*?)://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _node(url: str) -> str:
+    rest = f"regexp_extract({url}, '^(?s:.*?)://[^/?#]*([^#]*)', 1)"
+    return f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || CASE WHEN starts_with({rest}, '/') THEN {rest} ELSE '/' || {rest} END END"
+
+
+def _value(tag: str, name: str) -> str:
+    quoted = f"""regexp_extract({tag}, '(?is)\\b{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)"""
+    return f"""regexp_replace({quoted}, '^["'']|["'']$', '', 'g')"""
+
+
+def _tag(tag: str, mark: str) -> str:
+    return f"list_filter(regexp_extract_all(html, '(?is)<{tag}\\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\\b{mark}\\b'))[1]"
+
+
+#: Alias edges from the html, their components by recursion, and the verdicts.
 ORACLE = f"""
-WITH u AS (SELECT page_id,
-    coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
-    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
-SELECT page_id, host, path, {_case(0)} AS rule, coalesce({_case(1)}, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS via FROM u
+WITH RECURSIVE tags AS (SELECT url, {_tag("link", "rel[ ]*=[ ]*[''" + '"' + "]?[ ]*canonical")} AS link,
+    {_tag("meta", "http-equiv[ ]*=[ ]*[''" + '"' + "]?[ ]*refresh")} AS meta FROM pages),
+aims AS (SELECT url, trim(replace(unnest([{_value("link", "href")},
+    regexp_extract({_value("meta", "content")}, '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1)]), '&amp;', '&'), ' ') AS t FROM tags),
+base AS (SELECT url, t, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, {_host("url")} AS host,
+    regexp_extract({_path("url")}, '^((?s:.*)/)[^/]*$', 1) AS folder FROM aims WHERE t <> ''),
+full_ AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t
+    WHEN starts_with(t, '/') THEN scheme || '://' || host || t
+    ELSE scheme || '://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS t FROM base),
+ends AS (SELECT {_node("url")} AS a, {_node("t")} AS b FROM full_),
+edges AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
+reach AS (SELECT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+groups AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+hit AS (SELECT root, {_host("'x://' || node")} AS host, {_path("'x://' || node")} AS path FROM groups),
+blocked AS (SELECT DISTINCT root FROM hit WHERE {_case(1)} = 'block'),
+alias AS (SELECT node, root FROM groups WHERE root IN (SELECT root FROM blocked)),
+u AS (SELECT page_id, url, {_host("url")} AS host, {_path("url")} AS path FROM pages),
+j AS (SELECT *, {_case(0)} AS rule, {_case(1)} AS own FROM u)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN root IS NOT NULL THEN 'block' END, 'allow') AS verdict, root AS via
+FROM j LEFT JOIN alias ON j.own IS NULL AND {_node("url")} = alias.node
 """
