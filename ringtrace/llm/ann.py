@@ -164,15 +164,18 @@ def scan_noise(x, books, ratio: float) -> float:
     return float(((x - coded) @ x[:256].T).std())
 
 
-def encode(rows: DataFrame, books, centres, ratio: float = 4.0) -> DataFrame:
-    """``rows`` with ``code``, SUBSPACES codes of 4 bits, two in a byte, and with ``cell``."""
+def encode(rows: DataFrame, books, centres, ratio: float = 4.0, scale: float = 1.0) -> DataFrame:
+    """``rows`` with ``code``, SUBSPACES codes of 4 bits, two in a byte, and with ``cell``.
+
+    Books and centres are in units of ``scale``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             parts = []
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1)) / scale
             for at in range(0, len(x), 4096):
                 codes = _assign(_padded(x[at : at + 4096]), books, ratio).astype(np.uint8)
                 parts += [c.tobytes() for c in codes[:, ::2] | codes[:, 1::2] << 4]
@@ -194,7 +197,7 @@ def _merge(best_d, best_i, best_c, d, i, c, k: int):
     return d[order], i[order], c[order]
 
 
-def _unit(rows: pa.Table, asked: pa.Table, books, k: int, depth: int, slack: float) -> pa.Table:
+def _unit(rows: pa.Table, asked: pa.Table, books, k: int, depth: int, slack: float, scale: float) -> pa.Table:
     """(q, vec_id, copies, score): the nearest rows of one unit for every query that probes its cell."""
     import numpy as np
 
@@ -203,8 +206,8 @@ def _unit(rows: pa.Table, asked: pa.Table, books, k: int, depth: int, slack: flo
     own = np.asarray(asked.column("id"))
     q = _padded(_matrix(asked.column("v").combine_chunks()))
     codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(vec), -1)
-    half = ((x**2).sum(axis=1) / 2).astype(np.float32)
-    tables = np.einsum("qmw,mkw->qmk", q.reshape(len(q), SUBSPACES, -1), books)
+    half = (((x / scale) ** 2).sum(axis=1) / 2).astype(np.float32)
+    tables = np.einsum("qmw,mkw->qmk", (q / scale).reshape(len(q), SUBSPACES, -1), books)
     low, high = np.arange(256) & 15, np.arange(256) >> 4
     tables = (tables[:, ::2][:, :, low] + tables[:, 1::2][:, :, high]).astype(np.float32)
     out = []
@@ -230,7 +233,7 @@ def _unit(rows: pa.Table, asked: pa.Table, books, k: int, depth: int, slack: flo
     return pa.table({"q": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "copies": cols[2].astype(np.int64), "score": cols[3]})
 
 
-def _true_cells(coded: DataFrame, ids, queries, k: int) -> DataFrame:
+def _true_cells(coded: DataFrame, ids, queries, k: int, scale: float) -> DataFrame:
     """(q, cell, score, vec_id): each task's ``k`` nearest rows of a bounded set of queries, by brute force."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +241,7 @@ def _true_cells(coded: DataFrame, ids, queries, k: int) -> DataFrame:
 
         held = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32)) for _ in ids]
         for batch in batches:
-            x, vec, cell = _matrix(batch.column(1)), np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            x, vec, cell = _matrix(batch.column(1)) / scale, np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for at in range(0, len(x), 8192):
                 part = slice(at, at + 8192)
                 d = (x[part] ** 2).sum(axis=1)[None] - 2 * queries @ x[part].T + (queries**2).sum(axis=1)[:, None]
@@ -259,14 +262,14 @@ def _true_cells(coded: DataFrame, ids, queries, k: int) -> DataFrame:
     return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
 
 
-def probes_needed(coded: DataFrame, asked: DataFrame, centres, k: int, reach: float, sample: int = 128) -> int:
+def probes_needed(coded: DataFrame, asked: DataFrame, centres, k: int, reach: float, scale: float = 1.0, sample: int = 128) -> int:
     """The fewest nearest cells that hold ``reach`` of the true neighbours of ``sample`` queries, measured on all rows."""
     import numpy as np
 
     drawn = asked.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow()  # a bounded sample
-    ids, queries = drawn.column(0).to_pylist(), _matrix(drawn.column(1).combine_chunks())
+    ids, queries = drawn.column(0).to_pylist(), _matrix(drawn.column(1).combine_chunks()) / scale
     place = np.argsort(_nearest_cells(queries, centres, len(centres)), axis=1)
-    at = [place[r["q"], r["cell"]] for r in _true_cells(coded, ids, queries, k).select("q", "cell").collect()]
+    at = [place[r["q"], r["cell"]] for r in _true_cells(coded, ids, queries, k, scale).select("q", "cell").collect()]
     return int(np.sort(at)[min(len(at), int(np.ceil(reach * len(at)))) - 1]) + 1 if at else 1
 
 
@@ -296,23 +299,25 @@ def search(
     drawn = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toArrow()  # a bounded sample
     if drawn.num_rows == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    taught = _matrix(drawn.column(0).combine_chunks())
+    # codes and cells in units of the largest component, so that no square leaves the range of a float
+    scale = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    taught = _matrix(drawn.column(0).combine_chunks()) / scale
     books = fit_codebooks(taught, ratio)
     slack = 4 * scan_noise(taught, books, ratio)
     total = rows.count()
     wanted = cells or (1 if total <= UNIT_ROWS else min(1024, len(taught) // 16, round(total**0.5 / 2)))
     centres = fit_cells(taught, wanted)
-    coded = cut(encode(rows, books, centres, ratio), "ann-codes")
+    coded = cut(encode(rows, books, centres, ratio, scale), "ann-codes")
     asked = coded.where(is_query).select("id", "v")
     sizes = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.sum("copies").alias("n")).collect()}  # a row a cell
     filled = [sizes.get(c, 0) for c in range(len(centres))]
-    probes = probes_needed(coded, asked, centres, k, reach) if len(centres) > 1 else 1
+    probes = probes_needed(coded, asked, centres, k, reach, scale) if len(centres) > 1 else 1
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            cell = _nearest_cells(_matrix(batch.column(1)), centres, len(centres))
+            cell = _nearest_cells(_matrix(batch.column(1)) / scale, centres, len(centres))
             # the measured number, and more where these hold fewer than k others
             enough = (np.cumsum(np.asarray(filled)[cell], axis=1) <= k).sum(axis=1) + 1
             lists = [row[: max(probes, n)].astype(np.int32) for row, n in zip(cell, enough)]
@@ -333,7 +338,7 @@ def search(
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("q", pa.int64()), ("vec_id", pa.int64()), ("copies", pa.int64()), ("score", pa.float64()))})
-        return _unit(rows, asked, books, k, depth, slack)
+        return _unit(rows, asked, books, k, depth, slack, scale)
 
     keys = ["cell", "i", "j"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "q long, vec_id long, copies long, score double")

@@ -221,7 +221,7 @@ def _sketches(texts: pa.Array, shingle: int) -> tuple[pa.Array, pa.Array, pa.Arr
     a |= np.uint64(1)
     mix = rng.integers(0, 1 << 64, size=ROWS, dtype=np.uint64) | np.uint64(1)
     classes, anchors, sets = [], [], []
-    for text in map(pa.Scalar.as_py, texts):
+    for text in (t.as_py() for t in texts):
         classes.append(_class_of(text))
         parts = [np.unique(np.array(p, np.uint64)) for p in _shingle_hashes(text, shingle)]
         hs = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
