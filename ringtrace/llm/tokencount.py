@@ -7,7 +7,10 @@ token that starts there: the tokenizer drops white space and no pre-token spans
 precedes the place cannot change with the text to the right, nor what follows with the text to
 the left.  Counts are spliced at the first such place.  If an overlap has none (long runs
 without blanks), it is widened four times over and over, up to the rest of the document.
-That proof needs a tokenizer that drops white space; others are refused.
+
+By the same proof every blank inside a single chunk is a stable boundary, so such a chunk is counted
+by its runs between blanks, each distinct run being encoded once a task; no offsets are needed there.
+The proof needs a tokenizer that drops white space; others are refused.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import default_tokenizer, slices
+from .bpe import _pieces, default_tokenizer, slices
 from .shared import tidy
 
 BLANKS = " \t\n\r"
 CHUNK, OVERLAP = 8192, 256
+CACHED_RUNS = 400_000
 #: Blank runs and what may stand around them; a tokenizer that drops white space gives the same ids for both sides.
 PROBES = (("a b", "a  b"), ("it's .5 a", " it's\n\t.5  a "), ("<|endoftext|> b", "<|endoftext|>b"), (" ", ""))
 
@@ -47,15 +51,25 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
+        self.known: dict[str, int] = {}
         self.widened = self.spliced = 0
         check_drops_blanks(self.tokenizer)
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; single chunks are encoded together, without the offsets that only a splice needs."""
-        whole = [k for k, t in enumerate(texts) if len(t) <= self.chunk + self.overlap]
-        done = self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)
-        single = dict(zip(whole, map(len, done)))
-        return [single[k] if k in single else self.huge(t) for k, t in enumerate(texts)]
+        """Tokens of each text: single chunks by their runs, longer texts by overlapping chunks."""
+        rows = [None if len(t) > self.chunk + self.overlap else _pieces(t) for t in texts]
+        wanted = {p for row in rows if row for p in row}
+        unknown = {p for p in wanted if p not in self.known}
+        if len(self.known) + len(unknown) > CACHED_RUNS:
+            self.known.clear()
+            unknown = wanted
+        todo = list(unknown)
+        for at in range(0, len(todo), 20_000):
+            some = todo[at : at + 20_000]
+            done = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update(zip(some, map(len, done)))
+        known = self.known
+        return [self.huge(t) if row is None else sum([known[p] for p in row]) for t, row in zip(texts, rows)]
 
     def _starts(self, text: str, begin: int, end: int) -> list[int]:
         """Where the tokens of one chunk start, in the whole text."""
@@ -121,7 +135,7 @@ def count_tokens(
 
         counter = Counter(spec, chunk, overlap)
         gc.freeze()
-        gc.disable()  # encodings hold no cycles
+        gc.disable()  # the memo holds no cycles
         try:
             yield from counted(counter, batches)
         finally:
@@ -132,7 +146,7 @@ def count_tokens(
     def counted(counter: Counter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for batch in slices(batches, 1, 500_000):
+        for batch in slices(batches, 1, 2_000_000):
             n = counter.counts([t or "" for t in batch.column(1).to_pylist()])
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             cols = [batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
