@@ -104,5 +104,4 @@ def entropy_terms(p) -> Column:
 MESSAGE = {1: "DENM", 2: "CAM", 14: "CPM", 16: "VAM", 20: "MCM"}
 CLASS = {0: "benign", 1: "const_offset", 3: "random_offset", 4: "replay", 5: "speed", 6: "sybil", 7: "dos", 8: "sps",
          11: "small_offset", 12: "low_rate_dos", 13: "medium_offset"}
-FAMILY = {1: "spoofing", 3: "spoofing", 5: "spoofing", 6: "spoofing", 11: "spoofing", 13: "spoofing",
-          7: "flooding", 12: "flooding", 4: "replay"}
+FAMILY = {1: "spoofing", 3: "spoofing", 11: "spoofing", 13: "spoofing", 7: "flooding", 12: "flooding", 4: "replay"}

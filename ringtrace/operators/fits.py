@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geometry import EDGES, MIN_OBS, TRIPLE
+from .geometry import EDGES, MIN_OBS, TRIPLE, claim_fit, residual_range_corr
 
 FIT_CAP = 48
 
@@ -55,31 +57,39 @@ def gauss_newton(ox, oy, power, halfwidth=None, mu=None, sd=None, huber=False, r
 
 
 def free_fit(units: DataFrame, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False, cap: int = FIT_CAP) -> DataFrame:
-    """(triple, n_obs, estX, estY, estA, estN, free_rmse); a unit's fit uses at most ``cap`` receivers, by hash."""
+    """(triple, n_obs, estX, estY, estA, estN, free_rmse); a unit's fit uses at most ``cap`` receivers, by hash.
+
+    The cap belongs to the method.  Receivers are ranked within hash parts of a unit first, so that a crowded
+    unit is cut before it meets in one task.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        order = np.argsort(np.asarray(table.column("h")), kind="stable")[:cap]
+        order = np.lexsort((np.asarray(table.column("rxX")), np.asarray(table.column("h"))))[:cap]
+        n = table.column("n_obs")[0].as_py()
         ox, oy, power = (np.asarray(table.column(c), dtype=float)[order] for c in ("rxX", "rxY", "phy_rsrp_mean"))
         keys = {k: [table.column(k)[0].as_py()] for k in TRIPLE}
-        fit = gauss_newton(ox, oy, power, halfwidth, mu, sd, huber) if table.num_rows >= MIN_OBS else [None] * 5
-        return pa.table(keys | {"n_obs": [table.num_rows]} | {c: pa.array([v], pa.float64()) for c, v in zip(names, fit)})
+        fit = gauss_newton(ox, oy, power, halfwidth, mu, sd, huber) if n >= MIN_OBS else [None] * 5
+        return pa.table(keys | {"n_obs": [n]} | {c: pa.array([v], pa.float64()) for c, v in zip(names, fit)})
 
     names = ["estX", "estY", "estA", "estN", "free_rmse"]
     rows = units.where("phy_rsrp_mean IS NOT NULL").select(*TRIPLE, "rxX", "rxY", "phy_rsrp_mean", F.xxhash64("rxNodeId").alias("h"))
+    part = F.pmod(F.xxhash64("h", "rxX"), F.lit(64))
+    kept = rows.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(*TRIPLE, "part").orderBy("h", "rxX"))).where(F.col("r") <= cap)
+    kept = kept.join(rows.groupBy(*TRIPLE).agg(F.count("*").alias("n_obs")), TRIPLE).drop("part", "r")
     schema = "key_seed string, key_claimedStationId long, key_window long, n_obs long, " + ", ".join(f"{n} double" for n in names)
-    return rows.groupBy(*TRIPLE).applyInArrow(run, schema)
+    return kept.groupBy(*TRIPLE).applyInArrow(run, schema)
 
 
 def consensus(units: DataFrame, halfwidth: float | None = None) -> DataFrame:
     """Claim fit and free fit side by side: the consensus statistics of a unit."""
-    from .geometry import claim_fit
-
     claim = units.groupBy(*TRIPLE).agg(F.first("claimedX").alias("cx"), F.first("claimedY").alias("cy"))
-    both = claim_fit(units).drop("n_obs").join(free_fit(units, halfwidth), TRIPLE).join(claim, TRIPLE)
+    fitted = claim_fit(units)
+    span = units.where("phy_rsrp_mean IS NOT NULL").groupBy(*TRIPLE).agg((F.max("rxX") - F.min("rxX")).alias("obs_span"))
+    both = fitted.drop("n_obs").join(free_fit(units, halfwidth), TRIPLE).join(claim, TRIPLE).join(span, TRIPLE).join(residual_range_corr(units, fitted), TRIPLE)
     return both.select(
-        *TRIPLE, "n_obs", "claim_rmse", "claim_r2", "claim_exp", "free_rmse", F.try_divide("claim_rmse", "free_rmse").alias("rmse_ratio"),
+        *TRIPLE, "n_obs", "obs_span", F.col("claim_range_corr").alias("claim_resid_corr"), "claim_rmse", "claim_r2", "claim_exp", "free_rmse", F.try_divide("claim_rmse", "free_rmse").alias("rmse_ratio"),
         F.hypot(F.col("estX") - F.col("cx"), F.col("estY") - F.col("cy")).alias("mlat_err"), (F.col("estX") - F.col("cx")).alias("mlat_dx"),
         F.col("estN").alias("mlat_exp"))
 
@@ -97,34 +107,79 @@ def estimator_study(units: DataFrame, truth: DataFrame, mu, sd, halfwidth: float
                                   F.percentile("err", F.lit(0.9)).alias("p90"), F.sqrt(F.avg(F.col("err") ** 2)).alias("rms"), F.count_if(F.col("err") > 500).alias("diverged"))
 
 
-def detection_floor(stations: DataFrame, replicates: int = 50) -> DataFrame:
+def _poisson(unit, replicates: int):
+    """Poisson(1) counts of every unit in every replicate, by hash; replicate 0 counts each unit once."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        z = unit.astype(np.uint64)[:, None] + np.arange(replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
+    w = np.searchsorted(steps, u.ravel()).reshape(u.shape).astype(float)
+    w[:, 0] = 1.0
+    return w
+
+
+def detection_floor(stations: DataFrame, replicates: int = 2000, rounds: int = 25) -> DataFrame:
     """(cluster, replicate, crossing): where a logistic curve of caught on log displacement crosses one half.
 
     ``stations`` is (key_seed, station, offset, caught); replicate 0 is the whole table, others weigh every
-    station, or every seed, by a Poisson count drawn from a hash, so a replicate is one pass of weights.
+    station, or every seed, by a Poisson count drawn from a hash.  All replicates are fitted together: each Newton
+    step is one pass in which tasks return a few sums for each replicate, so no resample is ever written or moved.
     """
-    def run(table: pa.Table) -> pa.Table:
-        import numpy as np
+    import numpy as np
 
-        x, y, w = (np.asarray(table.column(c), dtype=float) for c in ("x", "y", "w"))
-        z = np.c_[np.ones(len(x)), x]
-        beta = np.zeros(2)
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            h = (z * (w * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
-            step = np.linalg.solve(h, z.T @ (w * (y - p)) - 1e-6 * beta)
-            beta += step
-            if np.abs(step).max() < 1e-9:
-                break
-        at = float(np.exp(-beta[0] / beta[1])) if beta[1] > 1e-9 else None
-        return pa.table({"cluster": [table.column("cluster")[0].as_py()], "replicate": pa.array([table.column("replicate")[0].as_py()], pa.int32()), "crossing": pa.array([at], pa.float64())})
-
-    rep = stations.withColumn("cluster", F.explode(F.array(F.lit("station"), F.lit("seed")))).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    unit = F.when(F.col("cluster") == "station", F.concat_ws(":", "key_seed", "station")).otherwise(F.col("key_seed"))
-    u = F.pmod(F.xxhash64(unit, "replicate"), F.lit(1_000_003)) / 1_000_003.0
-    # Poisson(1) by its distribution function: fixed values 1/e, 2/e, 2.5/e, 2.667/e
-    w = F.when(F.col("replicate") == 0, 1).when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-    rows = rep.select("cluster", "replicate", F.log("offset").alias("x"), F.col("caught").cast("double").alias("y"), w.cast("double").alias("w")).where("w > 0")
-    # equal displacements and outcomes weigh together, so a replicate is a short table
-    rows = rows.groupBy("cluster", "replicate", F.round("x", 3).alias("x"), "y").agg(F.sum("w").alias("w"))
-    return rows.groupBy("cluster", "replicate").applyInArrow(run, "cluster string, replicate int, crossing double")
+    unit = F.concat_ws(":", "key_seed", F.col("station").cast("string"))
+    rows = stations.where("offset > 0 AND caught IS NOT NULL").select(
+        F.xxhash64(F.lit(1), unit).alias("s"), F.xxhash64(F.lit(2), "key_seed").alias("k"), F.log("offset").alias("x"), F.col("caught").cast("double").alias("y"))
+    wide = replicates + 1
+    beta = {c: np.zeros((wide, 2)) for c in ("station", "seed")}
+    schema = "cluster string, sums array<double>"
+
+    def sums_at(beta):
+        def run(batches):
+            import numpy as np
+
+            total = {c: np.zeros((5, wide)) for c in beta}
+            for batch in batches:
+                s, k, x, y = (np.asarray(batch.column(c)) for c in range(4))
+                for at in range(0, len(x), 256):
+                    part = slice(at, at + 256)
+                    for c, key in (("station", s), ("seed", k)):
+                        w = _poisson(key[part], replicates)
+                        p = 1 / (1 + np.exp(-np.clip(beta[c][:, 0] + x[part, None] * beta[c][:, 1], -30, 30)))
+                        r, h = w * (y[part, None] - p), w * p * (1 - p)
+                        xs = x[part, None]
+                        total[c] += np.stack([r.sum(0), (r * xs).sum(0), h.sum(0), (h * xs).sum(0), (h * xs**2).sum(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t.ravel() for t in total.values()], pa.list_(pa.float64()))], ["cluster", "sums"])
+
+        parts = rows.mapInArrow(run, schema).select("cluster", F.posexplode("sums")).groupBy("cluster", "pos").agg(F.sum("col").alias("v"))
+        out = {c: np.zeros(5 * wide) for c in beta}
+        for r in parts.collect():  # five sums a replicate
+            out[r["cluster"]][r["pos"]] = r["v"]
+        return {c: v.reshape(5, wide) for c, v in out.items()}
+
+    for _ in range(rounds):
+        moved = 0.0
+        for c, (g0, g1, h00, h01, h11) in sums_at(beta).items():
+            b = beta[c]
+            g0, g1, h00, h11 = g0 - 1e-6 * b[:, 0], g1 - 1e-6 * b[:, 1], h00 + 1e-6, h11 + 1e-6
+            det = h00 * h11 - h01**2
+            step = np.stack([(h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det], axis=1)
+            step *= np.minimum(1, 5 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-12))  # a long step may overshoot
+            beta[c] = b + step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-7:
+            break
+    out = [(c, k, float(np.exp(-b0 / b1)) if b1 > 1e-9 and -b0 / b1 < 700 else None) for c, b in beta.items() for k, (b0, b1) in enumerate(b)]
+    return stations.sparkSession.createDataFrame(out, "cluster string, replicate int, crossing double")
+
+
+def floor_interval(replicates: DataFrame) -> DataFrame:
+    """(cluster, crossing, low, high, failed): the whole table's crossing, the middle 95 % of the replicates, and how many have none."""
+    one = F.col("replicate") > 0
+    drawn = F.percentile(F.when(one, F.col("crossing")), F.array(F.lit(0.025), F.lit(0.975)))
+    g = replicates.groupBy("cluster").agg(F.max(F.when(~one, F.col("crossing"))).alias("crossing"), drawn.alias("q"), F.count_if(one & F.col("crossing").isNull()).alias("failed"))
+    return g.select("cluster", "crossing", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "failed")

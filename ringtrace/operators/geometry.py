@@ -210,14 +210,24 @@ def power_evasion(units: DataFrame, law: tuple[float, float]) -> DataFrame:
 
 
 def best_response(units: DataFrame, levels: list[float], angles: int = 72, lateral: float | None = None) -> DataFrame:
-    """Smallest pooled RMSE of a lie of each length over all directions, and directions off the road."""
+    """Smallest pooled RMSE of a lie of each length over all directions, the direction it lies in, its angle from
+    the road, and how many directions leave the road.
+
+    Receivers move once, by triple; the grid of lengths and directions is unfolded and summed where they
+    are, so it never reaches an exchange.
+    """
     grid = F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level")
-    rows = units.select(*TRIPLE, "rxX", "rxY", "trueX", "trueY", "phy_rsrp_mean", grid)
+    rows = units.select(*TRIPLE, "rxX", "rxY", "trueX", "trueY", "phy_rsrp_mean").repartition(*TRIPLE).select("*", grid)
     rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(angles - 1)))).withColumn("th", F.col("step") * (2 * math.pi / angles))
     rows = rows.withColumn("claimedX", F.col("trueX") + F.col("level") * F.cos("th")).withColumn("claimedY", F.col("trueY") + F.col("level") * F.sin("th"))
     off = F.lit(False) if lateral is None else F.abs(F.col("claimedY")) > lateral
     fits = claim_fit(rows.withColumn("off", off), [*TRIPLE, "level", "step", "off"])
-    return fits.groupBy(*TRIPLE, "level").agg(F.min(F.when(~F.col("off"), F.col("claim_rmse"))).alias("best_rmse"), F.count_if(F.col("off")).alias("blocked"))
+    # equal to a millionth of a decibel: the smaller direction
+    best = F.min(F.when(~F.col("off"), F.struct(F.round("claim_rmse", 6).alias("rmse"), "step")))
+    g = fits.groupBy(*TRIPLE, "level").agg(best.alias("b"), F.count_if(F.col("off")).alias("blocked"))
+    degrees = F.col("b.step") * (360.0 / angles)
+    return g.select(*TRIPLE, "level", F.col("b.rmse").alias("best_rmse"), degrees.alias("direction"),
+                    F.least(F.pmod(degrees, F.lit(180.0)), 180.0 - F.pmod(degrees, F.lit(180.0))).alias("off_axis"), "blocked")
 
 
 def caught(honest: DataFrame, lies: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -248,7 +258,7 @@ def confounding(a: DataFrame, least: int = 500) -> DataFrame:
 def surface(unit: DataFrame, reach: int, step: int) -> DataFrame:
     """Pooled RMSE of one unit for claims on a grid around the truth."""
     xs = F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step)))
-    rows = unit.withColumn("gx", xs).withColumn("gy", F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))))
+    rows = unit.repartition(*TRIPLE).withColumn("gx", xs).withColumn("gy", F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))))
     rows = rows.withColumn("claimedX", F.col("trueX") + F.col("gx")).withColumn("claimedY", F.col("trueY") + F.col("gy"))
     return claim_fit(rows, [*TRIPLE, "gx", "gy"]).select(*TRIPLE, "gx", "gy", "claim_rmse", "claim_exp")
 

@@ -126,10 +126,10 @@ def found_by(tracks: DataFrame, by: Column) -> DataFrame:
 
 
 def family_scores(pred: DataFrame) -> DataFrame:
-    """Flagged and correctly named shares per attack family, and the false alarm share."""
+    """Flagged and correctly named shares per attack family, of attacks without a family, and of benign rows (false alarms)."""
     fam = S.code_map("y", S.FAMILY)
     named = S.code_map("p", S.FAMILY)
-    return pred.groupBy(F.coalesce(fam, F.lit("benign")).alias("family")).agg(F.avg((F.col("p") != 0).cast("int")).alias("flagged"), F.avg(F.coalesce((named == fam).cast("int"), F.lit(0))).alias("named"))
+    return pred.groupBy(F.coalesce(fam, F.when(F.col("y") == 0, "benign").otherwise("other")).alias("family")).agg(F.avg((F.col("p") != 0).cast("int")).alias("flagged"), F.avg(F.coalesce((named == fam).cast("int"), F.lit(0))).alias("named"))
 
 
 def vote(df: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -287,14 +287,18 @@ def binned_quantiles(df: DataFrame, x: Column, edges: list[float], y: Column) ->
 
 
 def prr_pairs(tx: DataFrame, stations: DataFrame, heard: DataFrame) -> DataFrame:
-    """Every sent message against every other station of its seed, and whether it was received.
+    """(key_seed, sender, receiver, sent, got): messages of every sender against every other station of its seed.
 
-    The register of a seed is one short list, joined by seed: nothing is crossed.
+    Counts are taken before stations meet, so the grid has a row for each two stations that can meet, not
+    for each message and station.
     """
-    lists = stations.groupBy("key_seed").agg(F.collect_set("stationId").alias("all"))
-    grid = tx.join(lists, "key_seed").withColumn("receiver", F.explode("all")).where("receiver <> claimedStationId")
-    got = heard.select("msgUid", F.col("rxNodeId").alias("receiver")).distinct().withColumn("got", F.lit(1))
-    return grid.join(got, ["msgUid", "receiver"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    sent = tx.groupBy("key_seed", F.col("claimedStationId").alias("sender")).agg(F.count("*").alias("sent"))
+    others = stations.select("key_seed", F.col("stationId").alias("receiver")).distinct()
+    heard = heard.select("msgUid", F.col("rxNodeId").alias("receiver")).distinct()
+    got = tx.select("key_seed", "msgUid", F.col("claimedStationId").alias("sender")).join(heard, "msgUid")
+    got = got.groupBy("key_seed", "sender", "receiver").agg(F.count("*").alias("got"))
+    grid = sent.join(others, "key_seed").where("sender <> receiver")
+    return grid.join(got, ["key_seed", "sender", "receiver"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
 
 
 def cbr_summary(tx: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def q03(spark, d):
 @query("q04_nearest_neighbour")
 def q04(spark, d):
     df = A.corpus(spark, d)
-    return R.metrics(Q.nearest_class(df.where("label_txNodeId % 5 > 0"), df.where("label_txNodeId % 5 = 0"), FS, Y, "key_rxNodeId", 500))
+    return R.metrics(Q.nearest_class(df.where("label_txNodeId % 5 > 0"), df.where("label_txNodeId % 5 = 0"), FS, Y, "key_rxNodeId"))
 
 
 @query("q04_small_tree")

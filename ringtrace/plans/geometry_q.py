@@ -212,12 +212,13 @@ def m14(spark, d):
     return G.power_evasion(A.units(spark, d), (-30.0, 2.5))
 
 
-cte("lies", "units", """SELECT *, trueX + lv * cos(st * (2 * pi() / 8)) AS cx, trueY + lv * sin(st * (2 * pi() / 8)) AS cy FROM units, (VALUES (50.0::DOUBLE), (100.0::DOUBLE)) l("lv"), range(8) s(st)""")
+cte("lies", "units", """SELECT *, trueX + lv * cos(st * (2 * pi() / 72)) AS cx, trueY + lv * sin(st * (2 * pi() / 72)) AS cy FROM units, (VALUES (25.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE), (200.0::DOUBLE)) l("lv"), range(72) s(st)""")
 
 
-@query("m15_best_response", with_("lies", f"""SELECT {T}, lv AS level, min(CASE WHEN NOT off THEN claim_rmse END) AS best_rmse, count(*) FILTER (off) AS blocked FROM ({fit_sql('(SELECT *, abs(cy) > 18 AS off FROM lies)', T + ', lv, st, off', 'cx', 'cy')}) GROUP BY ALL"""), "level best_rmse")
+@query("m15_best_response", with_("lies", f"""SELECT {T}, level, b.r AS best_rmse, b.st * 5.0::DOUBLE AS direction, least(b.st * 5.0::DOUBLE % 180, 180 - b.st * 5.0::DOUBLE % 180) AS off_axis, blocked FROM (SELECT {T}, lv AS level,
+ min({{'r': round(claim_rmse, 6), 'st': st}}) FILTER (NOT off) AS b, count(*) FILTER (off) AS blocked FROM ({fit_sql('(SELECT *, abs(cy) > 18 AS off FROM lies)', T + ', lv, st, off', 'cx', 'cy')}) GROUP BY ALL)"""), "level best_rmse direction off_axis")
 def m15(spark, d):
-    return G.best_response(A.units(spark, d), [50, 100], angles=8, lateral=18.0)
+    return G.best_response(A.units(spark, d), [25, 50, 100, 200], lateral=18.0)
 
 
 @query("m16_caught", with_("fit", """SELECT key_seed, avg(CAST(claim_rmse > (SELECT quantile_cont(claim_rmse, 0.95) FROM fit WHERE key_claimedStationId % 5 > 0) AS INT)) AS one_sided,
@@ -269,12 +270,12 @@ def m20(spark, d):
 def m21(spark, d):
     f = G.claim_fit(A.units(spark, d))
     st = f.select("key_seed", F.col("key_claimedStationId").alias("station"), (1 + F.col("claim_rmse") * 20).alias("offset"), (F.col("claim_rmse") > 2).alias("caught"))
-    return fits.detection_floor(st, 20)
+    return fits.floor_interval(fits.detection_floor(st))
 
 
-cte("grid", "units", "SELECT *, trueX + gx AS cx, trueY + gy AS cy FROM (SELECT * FROM units WHERE key_claimedStationId % 10 = 0 AND key_window = 1), (SELECT unnest([-200, -100, 0, 100, 200]) AS gx), (SELECT unnest([-200, -100, 0, 100, 200]) AS gy)")
+cte("grid", "units", "SELECT *, trueX + gx AS cx, trueY + gy AS cy FROM (SELECT * FROM units), (SELECT unnest([-200, -100, 0, 100, 200]) AS gx), (SELECT unnest([-200, -100, 0, 100, 200]) AS gy)")
 
 
 @query("m37_response_surface", with_("grid", f"SELECT {T}, gx, gy, claim_rmse, claim_exp FROM ({fit_sql('grid', T + ', gx, gy', 'cx', 'cy')})"), "claim_rmse claim_exp")
 def m37(spark, d):
-    return G.surface(A.units(spark, d).where("key_claimedStationId % 10 = 0 AND key_window = 1"), 200, 100)
+    return G.surface(A.units(spark, d), 200, 100)

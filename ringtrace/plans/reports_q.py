@@ -212,7 +212,7 @@ def g43(spark, d):
     return R.found_by(ep(spark, d), F.col("key_claimedStationId") % 5)
 
 
-@query("g44_family_scores", with_("pred", "SELECT CASE WHEN y IN (1, 3, 5, 6, 11, 13) THEN 'spoofing' WHEN y IN (7, 12) THEN 'flooding' WHEN y = 4 THEN 'replay' ELSE 'benign' END AS family, avg(CAST(p <> 0 AS INT)) AS flagged, avg(CAST(y <> 0 AND p IN (1, 11) AS INT)) AS named FROM pred GROUP BY 1"), "flagged named")
+@query("g44_family_scores", with_("pred", "SELECT CASE WHEN y IN (1, 3, 11, 13) THEN 'spoofing' WHEN y IN (7, 12) THEN 'flooding' WHEN y = 4 THEN 'replay' WHEN y = 0 THEN 'benign' ELSE 'other' END AS family, avg(CAST(p <> 0 AS INT)) AS flagged, avg(CAST(y <> 0 AND p IN (1, 11) AS INT)) AS named FROM pred GROUP BY 1"), "flagged named")
 def g44(spark, d):
     return R.family_scores(pred(spark, d))
 
@@ -278,10 +278,10 @@ def g21(spark, d):
 B = "CASE WHEN d > 0 AND d <= 500 THEN 0 WHEN d > 500 AND d <= 1500 THEN 1 WHEN d > 1500 AND d <= 3000 THEN 2 END"
 
 
-@query("j14_prr_pairs", with_("tx stations rx", """SELECT s.stationId AS receiver, count(*) AS sent, CAST(count(g.msgUid) AS BIGINT) AS got FROM tx JOIN stations s ON s.stationId <> tx.claimedStationId AND s.stationId % 10 < 2 LEFT JOIN rx g ON g.msgUid = tx.msgUid AND g.rxNodeId = s.stationId GROUP BY 1"""))
+@query("j14_prr_pairs", with_("tx stations rx", """SELECT s.stationId AS receiver, CAST(count(*) AS BIGINT) AS sent, CAST(count(g.msgUid) AS BIGINT) AS got FROM tx JOIN stations s ON s.stationId <> tx.claimedStationId LEFT JOIN rx g ON g.msgUid = tx.msgUid AND g.rxNodeId = s.stationId GROUP BY 1"""))
 def j14(spark, d):
-    st = A.stations(spark, d).where("stationId % 10 < 2").withColumn("key_seed", F.lit("r1"))
-    return R.prr_pairs(A.tx(spark, d), st, A.rx(spark, d)).groupBy("receiver").agg(F.count("*").alias("sent"), F.sum("got").alias("got"))
+    st = A.stations(spark, d).withColumn("key_seed", F.lit("r1"))
+    return R.prr_pairs(A.tx(spark, d), st, A.rx(spark, d)).groupBy("receiver").agg(F.sum("sent").alias("sent"), F.sum("got").alias("got"))
 
 
 @query("g22_prr_by_distance", with_("rxs", f"SELECT {B} AS bin, count(*) AS n, avg(CAST(msgType = 2 AS INT)) AS prr FROM rxs GROUP BY 1"), "prr")
@@ -313,9 +313,9 @@ def j15(spark, d):
     return u.select("key_seed", "rxNodeId", "rxX", "rxY").distinct().join(liars, "key_seed").select("key_seed", "rxNodeId", "rxX", away.alias("d"))
 
 
-@query("g26_victim_effect", with_("units", """SELECT CASE WHEN d > 0 AND d <= 20 THEN 0 WHEN d > 20 AND d <= 100 THEN 1 WHEN d > 100 AND d <= 3000 THEN 2 END AS bin, count(*) AS n, avg(CAST(phy_rsrp_mean < -100 AS INT)) AS weak FROM (SELECT a.*, (SELECT min(sqrt((a.rxX - x) ^ 2 + (a.rxY - y) ^ 2)) FROM (SELECT DISTINCT key_seed AS ks, trueX AS x, trueY AS y FROM units WHERE label = 1) WHERE ks = a.key_seed) AS d FROM units a WHERE a.key_window <= 2) GROUP BY 1"""), "weak")
+@query("g26_victim_effect", with_("units", """SELECT CASE WHEN d > 0 AND d <= 20 THEN 0 WHEN d > 20 AND d <= 100 THEN 1 WHEN d > 100 AND d <= 3000 THEN 2 END AS bin, count(*) AS n, avg(CAST(phy_rsrp_mean < -100 AS INT)) AS weak FROM (SELECT a.*, (SELECT min(sqrt((a.rxX - x) ^ 2 + (a.rxY - y) ^ 2)) FROM (SELECT DISTINCT key_seed AS ks, trueX AS x, trueY AS y FROM units WHERE label = 1) WHERE ks = a.key_seed) AS d FROM units a) GROUP BY 1"""), "weak")
 def g26(spark, d):
-    u = A.units(spark, d).where("key_window <= 2")
+    u = A.units(spark, d)
     liars = u.where("label = 1").groupBy("key_seed").agg(F.collect_set(F.struct(F.col("trueX").alias("x"), F.col("trueY").alias("y"))).alias("l"))
     away = F.array_min(F.transform("l", lambda p: F.hypot(F.col("rxX") - p["x"], F.col("rxY") - p["y"])))
     return R.binned_mean(u.join(liars, "key_seed"), away, [0, 20, 100, 3000], weak=(F.col("phy_rsrp_mean") < -100).cast("int"))
