@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATION = ["key_seed", "label_txNodeId"]
+PRINT_BUCKETS = 1024
 
 
 def hashed(key, seed: int = 0) -> Column:
@@ -58,10 +59,15 @@ def seed_offset(tag, block: int = 100_000) -> Column:
 
 
 def rebase(df: DataFrame, id_col: str, block: int = 100_000) -> DataFrame:
-    """Ids moved into their seed's block; fails if ids of a seed span blocks already."""
+    """Ids moved into their seed's block; fails if ids of a seed span blocks already, if a tag has no number, or if
+    two seeds would share a block."""
     spans = df.groupBy("key_seed").agg(F.count_distinct(F.floor(F.col(id_col) / block)).alias("n")).where("n > 1").limit(1).collect()
     if spans:
         raise ValueError(f"ids of seed {spans[0][0]} span several blocks")
+    blocks = df.select("key_seed").distinct().groupBy(seed_offset("key_seed", block).alias("at")).agg(F.count("*").alias("n"), F.min("key_seed").alias("seed"))
+    clash = blocks.where("n > 1 OR at IS NULL").limit(1).collect()
+    if clash:
+        raise ValueError(f"seed {clash[0]['seed']} has no block of its own")
     return df.withColumn(id_col, F.pmod(F.col(id_col), F.lit(block)) + seed_offset("key_seed", block))
 
 
@@ -92,9 +98,14 @@ def on_road(df: DataFrame, halfwidth: float) -> DataFrame:
     return g.withColumn("kind", F.when(F.col("share") == 1, "on").when(F.col("share") == 0, "off").otherwise("mixed"))
 
 
-def attach_split(df: DataFrame, splits: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their frozen split; a small distinct split table, and rows without one keep null."""
-    return df.join(splits.select(*keys, "split").dropDuplicates(keys), keys, "left")
+def attach_split(df: DataFrame, splits: DataFrame, keys: list[str], complete: bool = False) -> DataFrame:
+    """Rows with their frozen split; rows without one keep null, or fail where the split must be ``complete``."""
+    out = df.join(splits.select(*keys, "split").dropDuplicates(keys), keys, "left")
+    if complete:
+        lost = out.where("split IS NULL").select(*keys).limit(3).collect()
+        if lost:
+            raise ValueError(f"no split for {[tuple(r) for r in lost]}")
+    return out
 
 
 def held_out(df: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -113,11 +124,33 @@ def assert_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
 
 
 def fingerprint(tx: DataFrame) -> DataFrame:
-    """A digest of the first benign position of every sender, per seed: equal digests are one scenario twice."""
+    """A digest of the first benign position of every sender, per seed: equal digests are one scenario twice.
+
+    Senders are digested in hash buckets that grow with their number, then the buckets' digests together.
+    """
     first = tx.where("attackId = 0").groupBy("key_seed", "txNodeId").agg(F.min(F.struct("txTimeMs", "msgUid", "trueX", "trueY")).alias("p"))
     spot = F.concat_ws(":", F.col("txNodeId"), F.rint(F.col("p.trueX") * 100).cast("long"), F.rint(F.col("p.trueY") * 100).cast("long"))
-    # one short string a sender and seed
-    return first.groupBy("key_seed").agg(F.sha1(F.concat_ws(",", F.sort_array(F.collect_list(spot)))).alias("print"))
+    some = first.select("key_seed", spot.alias("spot"), (hashed("txNodeId") % PRINT_BUCKETS).alias("bucket"))
+    parts = some.groupBy("key_seed", "bucket").agg(F.sha1(F.concat_ws(",", F.sort_array(F.collect_list("spot")))).alias("part"))
+    # at most ``PRINT_BUCKETS`` digests a seed
+    return parts.groupBy("key_seed").agg(F.sha1(F.concat_ws(",", F.sort_array(F.collect_list("part")))).alias("print"))
+
+
+def require_distinct_prints(prints: DataFrame) -> DataFrame:
+    """Fails if two seeds have one fingerprint."""
+    twice = prints.groupBy("print").agg(F.min("key_seed").alias("a"), F.max("key_seed").alias("b")).where("a < b").limit(1).collect()
+    if twice:
+        raise ValueError(f"seeds {twice[0]['a']} and {twice[0]['b']} are one scenario")
+    return prints
+
+
+def require_no_twins(a: DataFrame, b: DataFrame, most: float = 0.5) -> DataFrame:
+    """The share of positions two inputs have in common; fails over ``most``."""
+    out = twin_share(a, b)
+    share = out.first()["share"]
+    if share is not None and share > most:
+        raise ValueError(f"{share:.0%} of the positions are shared")
+    return out
 
 
 def twin_share(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -245,7 +278,8 @@ def bootstrap(df: DataFrame, n: int, cluster: str, value: str) -> DataFrame:
     """(replicate, mean): cluster bootstrap by hashed Poisson weights, so no resample is materialised."""
     per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     rep = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = F.pmod(F.xxhash64(cluster, "replicate"), F.lit(1_000_003)) / 1_000_003.0
+    # two rounds of a hash that any SQL engine can repeat, then Poisson(1) by its distribution function (fixed values)
+    u = hashed(F.floor(hashed(F.col(cluster) * 7919 + F.col("replicate") * 104729) / 4096), 1) / 4294967296
     w = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
     return rep.groupBy("replicate").agg(F.try_divide(F.sum(F.col("s") * w), F.sum(F.col("c") * w)).alias("mean"))
 

@@ -106,7 +106,7 @@ def p15(spark, d):
 @query("j17_attach_split", with_("corpus split", "SELECT split, count(*) AS n FROM corpus LEFT JOIN split USING (key_seed, label_txNodeId) GROUP BY 1"))
 def j17(spark, d):
     df = A.corpus(spark, d)
-    return P.attach_split(df, P.assign(P.station_table(df)), P.STATION).groupBy("split").agg(F.count("*").alias("n"))
+    return P.attach_split(df, P.assign(P.station_table(df)), P.STATION, complete=True).groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query("j18_held_out", with_("corpus", f"SELECT count(*) AS n, count(DISTINCT label_txNodeId) AS stations FROM corpus WHERE {h('label_txNodeId')} >= 0.2::DOUBLE * 4294967296"))
@@ -120,19 +120,25 @@ def j19(spark, d):
     return P.overlap_count(*halves(spark, d), ["key_rxNodeId"])
 
 
-@query("j20_fingerprint", with_("tx", """SELECT key_seed, sha1(string_agg(s, ',' ORDER BY s)) AS "print" FROM (SELECT key_seed, concat_ws(':', txNodeId, CAST(round_even(first(trueX ORDER BY txTimeMs, msgUid) * 100, 0) AS BIGINT), CAST(round_even(first(trueY ORDER BY txTimeMs, msgUid) * 100, 0) AS BIGINT)) AS s FROM tx WHERE attackId = 0 GROUP BY key_seed, txNodeId) GROUP BY 1"""))
+@query("j20_fingerprint", with_("tx", """SELECT key_seed, sha1(string_agg(part, ',' ORDER BY part)) AS "print" FROM (SELECT key_seed, sha1(string_agg(s, ',' ORDER BY s)) AS part FROM (SELECT key_seed, ((txNodeId * 2654435761) % 4294967296) % 1024 AS bucket, concat_ws(':', txNodeId, CAST(round_even(first(trueX ORDER BY txTimeMs, msgUid) * 100, 0) AS BIGINT), CAST(round_even(first(trueY ORDER BY txTimeMs, msgUid) * 100, 0) AS BIGINT)) AS s FROM tx WHERE attackId = 0 GROUP BY key_seed, txNodeId) GROUP BY key_seed, bucket) GROUP BY 1"""))
 def j20(spark, d):
-    return P.fingerprint(A.tx(spark, d))
+    return P.require_distinct_prints(P.fingerprint(A.tx(spark, d)))
 
 
 @query("j21_twin_share", with_("tx", """SELECT common, common / CAST(least(na, nb) AS DOUBLE) AS share FROM (SELECT (SELECT count(*) FROM (SELECT round_even(trueX, 0), round_even(trueY, 0) FROM tx WHERE txNodeId % 2 = 0 INTERSECT SELECT round_even(trueX, 0), round_even(trueY, 0) FROM tx WHERE txNodeId % 2 = 1)) AS common,
  (SELECT count(*) FROM (SELECT DISTINCT round_even(trueX, 0), round_even(trueY, 0) FROM tx WHERE txNodeId % 2 = 0)) AS na, (SELECT count(*) FROM (SELECT DISTINCT round_even(trueX, 0), round_even(trueY, 0) FROM tx WHERE txNodeId % 2 = 1)) AS nb)"""), "share")
 def j21(spark, d):
     t = A.tx(spark, d)
-    return P.twin_share(t.where("txNodeId % 2 = 0"), t.where("txNodeId % 2 = 1"))
+    return P.twin_share(t.where("txNodeId % 2 = 0"), t.where("txNodeId % 2 = 1"))  # ``require_no_twins`` refuses over half
 
 
-@query("j22_own_error")
+cte("own", "tx", f"""SELECT txNodeId, CAST(floor(txTimeMs / {A.WEEK_MS}) AS BIGINT) AS "window", avg(claimedX - trueX) AS ex, avg(claimedY - trueY) AS ey, max(attackId) AS attack FROM tx GROUP BY ALL""")
+cte("rk", "own", f"""SELECT txNodeId, max(attack) = 0 AS honest, row_number() OVER (PARTITION BY max(attack) = 0 ORDER BY {h('txNodeId')}, txNodeId) - 1 AS r FROM own GROUP BY 1""")
+
+
+@query("j22_own_error", with_("rk", """SELECT f.txNodeId, f."window", CASE WHEN f.attack = 0 THEN f.ex ELSE o.ex END AS ex, CASE WHEN f.attack = 0 THEN f.ey ELSE o.ey END AS ey FROM own f
+ LEFT JOIN rk l ON NOT l.honest AND l.txNodeId = f.txNodeId LEFT JOIN rk d ON d.honest AND d.r = l.r % (SELECT greatest(1, count(*)) FROM rk WHERE honest)
+ LEFT JOIN own o ON o.txNodeId = d.txNodeId AND o."window" = f."window" """), "ex ey")
 def j22(spark, d):
     return P.own_error(A.tx(spark, d), A.WEEK_MS)
 
@@ -224,7 +230,8 @@ def o11(spark, d):
     return P.holdout_tx(A.corpus(spark, d), 0.3)
 
 
-@query("o12_bootstrap")
+@query("o12_bootstrap", with_("corpus", f"""SELECT CAST(rep AS INT) AS replicate, sum(s * w) / CAST(sum(c * w) AS DOUBLE) AS mean FROM (SELECT rep, s, c, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 ELSE 4 END AS w FROM
+ (SELECT rep, s, c, (((((label_txNodeId * 7919 + rep * 104729) * 2654435761) % 4294967296) // 4096) * 2654435761 + 40503) % 4294967296 / 4294967296::DOUBLE AS u FROM (SELECT label_txNodeId, sum(app_quantity) AS s, count(app_quantity) AS c FROM corpus GROUP BY 1), range(1, 51) r(rep))) GROUP BY 1"""), "mean")
 def o12(spark, d):
     return P.bootstrap(A.corpus(spark, d), 50, "label_txNodeId", "app_quantity")
 
