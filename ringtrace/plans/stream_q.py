@@ -13,16 +13,22 @@ from .registry import query
 from .reports_q import pred
 
 DAY = 86_400_000
-#: The last windows stay open until later rows arrive; both sides leave them out.
-CLOSED = "start_ms + {w} <= (SELECT max(epoch_ms(ts)) FROM events)"
+#: Rows reach the jobs up to two days late, mixed over six files that are read one a batch.
+LATE_MS, LATE = 2 * DAY, "2 days"
 
 
-def closed(out, spark, d, width):
-    last = A.table(spark, d, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
-    return out.where(F.col("start_ms") + width <= last)
+def stream(spark, rows, ms, name):
+    return J.file_stream(spark, J.with_time(rows, ms), name, time="ts", late_ms=LATE_MS)
+
+
+def closed(out, rows, ms, width):
+    """Windows that the final watermark has passed; the others stay open until later rows arrive, and both sides leave them out."""
+    last = rows.agg(F.max(F.col(ms).cast("long"))).first()[0]
+    return out.where(F.col("start_ms") + width <= last - LATE_MS)
 
 
 cte("rxd", "rx", f"SELECT *, CAST(floor(rxTimeMs / {DAY}) AS BIGINT) * {DAY} AS start_ms, sqrt((claimedX - rxX) ^ 2 + (claimedY - rxY) ^ 2) AS d FROM rx")
+RX_END = f"start_ms + {DAY} <= (SELECT max(CAST(trunc(rxTimeMs) AS BIGINT)) FROM rx) - {LATE_MS}"
 
 
 @query("t01_score_stream", with_("pred", "SELECT y, p, count(*) AS n FROM pred GROUP BY ALL"))
@@ -37,41 +43,39 @@ def t01m(spark, d):
     return J.score_stream(J.file_stream(spark, df.where("label_txNodeId % 5 = 0"), "corpus"), lambda b: L.score(m, b, FS, [F.col(Y).alias("y")]), "t01m")
 
 
-@query("t02_window_features_stream", with_("rxd", f"SELECT key_seed, rxNodeId, claimedStationId, start_ms, count(*) AS n, avg(claimedSpeed) AS speed, avg(d) AS dist FROM rxd WHERE {CLOSED.format(w=DAY)} GROUP BY ALL"), "speed dist")
+@query("t02_window_features_stream", with_("rxd", f"""SELECT key_seed, rxNodeId, claimedStationId, start_ms, count(*) AS app_n_msgs, count(*) FILTER (msgType = 2) AS app_n_cam, count(*) FILTER (msgType = 1) AS app_n_denm, count(*) FILTER (msgType = 14) AS app_n_cpm,
+ avg(d) AS app_claimed_dist_mean, stddev_samp(d) AS app_claimed_dist_std, avg(claimedSpeed) AS app_claimed_speed_mean, stddev_samp(claimedSpeed) AS app_claimed_speed_std FROM rxd WHERE {RX_END} GROUP BY ALL"""),
+ "app_claimed_dist_mean app_claimed_dist_std app_claimed_speed_mean app_claimed_speed_std")
 def t02(spark, d):
-    rx = J.file_stream(spark, J.with_time(A.rx(spark, d), "rxTimeMs"), "rx")
-    return closed(J.run_to_table(J.window_features_stream(rx), "t02"), spark, d, DAY)
+    rx = A.rx(spark, d)
+    return closed(J.run_to_table(J.window_features_stream(stream(spark, rx, "rxTimeMs", "rx"), late=LATE), "t02"), rx, "rxTimeMs", DAY)
 
 
-@query("t03_residuals_stream", with_("res", "SELECT msgUid, dt, dx, dy FROM res"), "dt dx dy")
+@query("t03_residuals_stream", with_("res", f"SELECT msgUid, {', '.join(J.RESIDUALS)} FROM res WHERE CAST(trunc(rxTimeMs) AS BIGINT) < (SELECT max(CAST(trunc(rxTimeMs) AS BIGINT)) FROM rx) - {LATE_MS}"), " ".join(J.RESIDUALS))
 def t03(spark, d):
-    rx = J.file_stream(spark, J.with_time(A.rx(spark, d), "rxTimeMs"), "rx")
-    return J.run_to_table(J.residuals_stream(rx), "t03")
+    return J.run_to_table(J.residuals_stream(stream(spark, A.rx(spark, d), "rxTimeMs", "rx"), LATE), "t03")
 
 
-@query("t04_cbr_sliding_stream", with_("pssch", f"""SELECT rxNodeId, start_ms, least(1.0::DOUBLE, sum(subChLen) / 2000.0::DOUBLE) AS cbr, CAST(count(DISTINCT txRnti) AS INT) AS neighbours, count(*) FILTER (corrupt = 1) AS corrupt FROM
- (SELECT *, (CAST(floor(timeMs / {DAY}) AS BIGINT) - k) * {DAY} AS start_ms FROM pssch, (SELECT unnest([0, 1]) AS k)) WHERE {CLOSED.format(w=4 * DAY)} GROUP BY ALL"""), "cbr")
+@query("t04_cbr_sliding_stream", with_("pssch", f"""SELECT rxNodeId, start_ms, least(1.0::DOUBLE, sum(subChLen) / 2000.0::DOUBLE) AS cbr, CAST(count(DISTINCT txRnti) AS INT) AS neighbours, count(*) FILTER (corrupt = 1) AS corrupt,
+ first(slRsrpDbm ORDER BY timeMs DESC, radioUid DESC) AS last_power FROM (SELECT *, (CAST(floor(timeMs / {DAY}) AS BIGINT) - k) * {DAY} AS start_ms FROM pssch, (SELECT unnest([0, 1]) AS k))
+ WHERE start_ms + {2 * DAY} <= (SELECT max(CAST(trunc(timeMs) AS BIGINT)) FROM pssch) - {LATE_MS} GROUP BY ALL"""), "cbr last_power")
 def t04(spark, d):
-    p = J.file_stream(spark, J.with_time(A.pssch(spark, d), "timeMs"), "pssch")
-    return closed(J.run_to_table(J.cbr_sliding_stream(p, capacity=2000.0), "t04"), spark, d, 4 * DAY)
+    p = A.pssch(spark, d)
+    return closed(J.run_to_table(J.cbr_sliding_stream(stream(spark, p, "timeMs", "pssch"), capacity=2000.0, late=LATE), "t04"), p, "timeMs", 2 * DAY)
 
 
-@query("t05_alerts_stream", with_("fired", "SELECT key_window, fired, fired AND NOT coalesce(lag(fired) OVER (PARTITION BY key_region, key_claimedStationId ORDER BY timeMs, key_window), false) AS edge FROM fired"))
+@query("t05_alerts_stream", with_("fired", f"SELECT key_window, fired, edge FROM (SELECT key_window, timeMs, fired, fired AND NOT coalesce(lag(fired) OVER (PARTITION BY key_region, key_claimedStationId ORDER BY timeMs, key_window), false) AS edge FROM fired) WHERE CAST(trunc(timeMs) AS BIGINT) < (SELECT max(CAST(trunc(timeMs) AS BIGINT)) FROM fired) - {LATE_MS}"))
 def t05(spark, d):
-    t = J.file_stream(spark, J.with_time(A.tracks(spark, d), "timeMs"), "tracks")
-    return J.run_to_table(J.alerts_stream(t, 3, 5), "t05")
+    return J.run_to_table(J.alerts_stream(stream(spark, A.tracks(spark, d), "timeMs", "tracks"), 3, 5, LATE), "t05")
 
 
 @query("t06_asof_stream", with_("near_radio", "SELECT msgUid, sinr FROM near_radio"), "sinr")
 def t06(spark, d):
-    rx = J.file_stream(spark, J.with_time(A.rx(spark, d), "rxTimeMs"), "rx")
-    p = J.file_stream(spark, J.with_time(A.pssch(spark, d), "timeMs"), "pssch")
-    return J.nearest(J.run_to_table(J.asof_stream(rx, p), "t06"))
+    rx, p = stream(spark, A.rx(spark, d), "rxTimeMs", "rx"), stream(spark, A.pssch(spark, d), "timeMs", "pssch")
+    return J.nearest(J.run_to_table(J.asof_stream(rx, p, late=LATE), "t06"))
 
 
-@query("t07_vote_stream", with_("rxd", f"SELECT claimedStationId, start_ms, count(*) AS n, count(*) FILTER (msgType <> 1) AS k, count(*) FILTER (msgType <> 1) >= ceil(count(*) * 0.5::DOUBLE) AS alert FROM rxd WHERE {CLOSED.format(w=DAY)} GROUP BY ALL"))
+@query("t07_vote_stream", with_("rxd", f"SELECT claimedStationId, start_ms, count(*) AS n, count(*) FILTER (msgType <> 1) AS k, count(*) FILTER (msgType <> 1) >= ceil(count(*) * 0.5::DOUBLE) AS alert FROM rxd WHERE {RX_END} GROUP BY ALL"))
 def t07(spark, d):
     v = A.rx(spark, d).withColumn("p", F.when(F.col("msgType") != 1, 1).otherwise(0))
-    return closed(J.run_to_table(J.vote_stream(J.file_stream(spark, J.with_time(v, "rxTimeMs"), "votes"), 0.5), "t07"), spark, d, DAY)
-
-
+    return closed(J.run_to_table(J.vote_stream(stream(spark, v, "rxTimeMs", "votes"), 0.5, late=LATE), "t07"), v, "rxTimeMs", DAY)

@@ -2,12 +2,18 @@
 
 Sources are file streams with a given schema.  State expires by watermark, so it does not grow with
 every identity ever heard.
+
+Lateness: every job takes ``late``, how far behind the newest event a row may arrive.  Rows that come later
+than that may be dropped by Spark; all others count.  Jobs that need the order of events hold rows
+back until the watermark has passed them, so rows may be mixed over files and batches within ``late``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +24,26 @@ from ..operators import features as X, reports as R
 from ..sources.io import scratch
 
 
-def file_stream(spark: SparkSession, df: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """``df`` written to a shared folder and read back as a stream."""
+def file_stream(spark: SparkSession, df: DataFrame, name: str, files: int = 6, time: str | None = None, late_ms: int = 0, per_trigger: int = 1) -> DataFrame:
+    """``df`` written to a shared folder and read back as a stream of ``per_trigger`` files a batch.
+
+    With a ``time`` column rows go to files in order of event time plus a hashed delay of up to ``late_ms``, as
+    a network would deliver them; files are written one after another so that they are read in that order.
+    """
     path = scratch(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    if time is None:
+        df.repartition(files).write.parquet(path)
+    else:
+        ms = F.unix_millis(F.col(time))
+        ends = df.agg(F.min(ms), F.max(ms)).first()
+        low, span = ends[0] or 0, (ends[1] or 0) - (ends[0] or 0) + late_ms + 1
+        arrival = ms + (F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)) / float(1 << 20) * late_ms).cast("long")
+        parts = df.withColumn("__file", F.floor((arrival - low) * files / span).cast("int"))
+        kept = scratch(spark, name + "-rows")
+        parts.write.partitionBy("__file").parquet(kept)
+        for n in range(files):
+            spark.read.parquet(kept).where(F.col("__file") == n).select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 def with_time(df: DataFrame, ms: str) -> DataFrame:
@@ -42,33 +63,37 @@ def run_to_table(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def window_features_stream(rx: DataFrame, width: str = "1 day", late: str = "0 seconds") -> DataFrame:
-    """Tumbling link-window features; rows later than the watermark are dropped."""
+    """Tumbling link-window features that need no earlier message; rows later than the watermark are dropped."""
     w = F.window("ts", width)
     d = S.distance(F.col("claimedX") - F.col("rxX"), F.col("claimedY") - F.col("rxY"))
     g = rx.withWatermark("ts", late).groupBy("key_seed", "rxNodeId", "claimedStationId", w.alias("w"))
-    return g.agg(F.count("*").alias("n"), F.avg("claimedSpeed").alias("speed"), F.avg(d).alias("dist")).select("key_seed", "rxNodeId", "claimedStationId", F.unix_millis("w.start").alias("start_ms"), "n", "speed", "dist")
+    kinds = [F.count_if(F.col("msgType") == code).alias(f"app_n_{name}") for name, code in (("cam", 2), ("denm", 1), ("cpm", 14))]
+    out = g.agg(F.count("*").alias("app_n_msgs"), *kinds, F.avg(d).alias("app_claimed_dist_mean"), F.stddev_samp(d).alias("app_claimed_dist_std"),
+                F.avg("claimedSpeed").alias("app_claimed_speed_mean"), F.stddev_samp("claimedSpeed").alias("app_claimed_speed_std"))
+    return out.select("key_seed", "rxNodeId", "claimedStationId", F.unix_millis("w.start").alias("start_ms"), *[c for c in out.columns if c.startswith("app_")])
 
 
-def cbr_sliding_stream(pssch: DataFrame, width: str = "2 days", slide: str = "1 day", capacity: float = 100.0) -> DataFrame:
-    """Sliding channel busy ratio, capped at 1, with exact neighbour counts; corrupt receptions count towards the load."""
-    g = pssch.withWatermark("ts", "0 seconds").groupBy("rxNodeId", F.window("ts", width, slide).alias("w"))
-    return g.agg(F.least(F.lit(1.0), F.sum("subChLen") / capacity).alias("cbr"), F.size(F.collect_set("txRnti")).alias("neighbours"), F.count_if(F.col("corrupt") == 1).alias("corrupt")).select("rxNodeId", F.unix_millis("w.start").alias("start_ms"), "cbr", "neighbours", "corrupt")
+def cbr_sliding_stream(pssch: DataFrame, width: str = "2 days", slide: str = "1 day", capacity: float = 100.0, late: str = "0 seconds") -> DataFrame:
+    """Sliding channel busy ratio, capped at 1, with exact neighbour counts and the last power; corrupt receptions count towards the load."""
+    g = pssch.withWatermark("ts", late).groupBy("rxNodeId", F.window("ts", width, slide).alias("w"))
+    return g.agg(F.least(F.lit(1.0), F.sum("subChLen") / capacity).alias("cbr"), F.size(F.collect_set("txRnti")).alias("neighbours"), F.count_if(F.col("corrupt") == 1).alias("corrupt"),
+                 F.max(F.struct("timeMs", "radioUid", "slRsrpDbm")).alias("last")).select("rxNodeId", F.unix_millis("w.start").alias("start_ms"), "cbr", "neighbours", "corrupt", F.col("last.slRsrpDbm").alias("last_power"))
 
 
-def vote_stream(verdicts: DataFrame, share: float, width: str = "1 day") -> DataFrame:
+def vote_stream(verdicts: DataFrame, share: float, width: str = "1 day", late: str = "0 seconds") -> DataFrame:
     """Receivers, flags and the alert of each station and window."""
-    g = verdicts.withWatermark("ts", "0 seconds").groupBy("claimedStationId", F.window("ts", width).alias("w"))
+    g = verdicts.withWatermark("ts", late).groupBy("claimedStationId", F.window("ts", width).alias("w"))
     out = g.agg(F.count("*").alias("n"), F.count_if(F.col("p") != 0).alias("k"))
     return out.select("claimedStationId", F.unix_millis("w.start").alias("start_ms"), "n", "k", (F.col("k") >= F.ceil(F.col("n") * share)).alias("alert"))
 
 
-def asof_stream(rx: DataFrame, pssch: DataFrame, within: str = "30 minutes") -> DataFrame:
+def asof_stream(rx: DataFrame, pssch: DataFrame, within: str = "30 minutes", late: str = "30 minutes") -> DataFrame:
     """Stream-stream interval join: all data-channel receptions of a message's radio within the interval.
 
     ``nearest`` then keeps the closest one; state of both sides is bounded by the interval.
     """
-    left = rx.withWatermark("ts", within).select("msgUid", "rxNodeId", "claimedStationId", F.col("ts").alias("t"))
-    right = pssch.withWatermark("ts", within).select(F.col("rxNodeId").alias("node"), "txRnti", "radioUid", "sinr", F.col("ts").alias("t2"))
+    left = rx.withWatermark("ts", late).select("msgUid", "rxNodeId", "claimedStationId", F.col("ts").alias("t"))
+    right = pssch.withWatermark("ts", late).select(F.col("rxNodeId").alias("node"), "txRnti", "radioUid", "sinr", F.col("ts").alias("t2"))
     on = (F.col("rxNodeId") == F.col("node")) & (F.col("claimedStationId") == F.col("txRnti")) & F.expr(f"t2 BETWEEN t - INTERVAL {within} AND t + INTERVAL {within}")
     return left.join(right, on).select("msgUid", "radioUid", "sinr", (F.unix_millis("t2") - F.unix_millis("t")).alias("lag_ms"))
 
@@ -79,57 +104,89 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("msgUid").agg(F.min_by("sinr", rank).alias("sinr"))
 
 
-def _per_key(df: DataFrame, keys: list[str], step: Callable, out: str, state: str, hold_ms: int) -> DataFrame:
-    """Rows of a key in event order through ``step(rows, state) -> (rows, state)``; the state goes after ``hold_ms``."""
+def _per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable, out: str, late: str, hold_ms: int) -> DataFrame:
+    """Rows of a key in event order through ``step(rows, last) -> (rows, last)``.
+
+    Rows wait in the state until the watermark has passed them, ``late`` at most, and are then taken in
+    ``order``; ``last`` is what ``step`` keeps of a key, any JSON value, and goes ``hold_ms`` after the key's
+    last row.  A row that comes behind the watermark is dropped, so what comes out never depends on the batches.
+    """
 
     def run(key, frames: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        if st.hasTimedOut:
+        known = json.loads(st.get[0]) if st.exists else {"wait": [], "last": None, "seen": None}
+        mark = st.getCurrentWatermarkMs()
+        for rows in frames:
+            new = rows[columns].astype(object).where(rows[columns].notna(), None)
+            known["wait"] += [[int(t.timestamp() * 1000), *r] for t, r in zip(rows["ts"], new.to_numpy().tolist()) if int(t.timestamp() * 1000) >= mark]
+        ready = [r for r in known["wait"] if r[0] < mark]
+        known["wait"] = [r for r in known["wait"] if r[0] >= mark]
+        if ready:
+            rows = pd.DataFrame([r[1:] for r in ready], columns=columns).sort_values(order)
+            made, known["last"] = step(rows, known["last"])
+            known["seen"] = max(r[0] for r in ready)
+        if not known["wait"] and (known["seen"] is None or known["seen"] + hold_ms < mark):
             st.remove()
-            return
-        rows = pd.concat(list(frames))
-        old = st.get if st.exists else None
-        made, new = step(rows, old)
-        st.update(new)
-        st.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), st.getCurrentWatermarkMs()) + hold_ms)
-        yield made
+        else:
+            st.update((json.dumps(known, default=lambda v: v.item()),))
+            at = min(r[0] for r in known["wait"]) if known["wait"] else known["seen"] + hold_ms
+            st.setTimeoutTimestamp(max(at, mark + 1))
+        if ready:
+            yield made
+
+    return df.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, "s string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+RESIDUALS = ["dt", "claimedDist", "dx", "dy", "moved", "dmv", "ssc", "predict", "heading", "accel"]
+
 
-    return df.withWatermark("ts", "0 seconds").groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+def residuals_stream(rx: DataFrame, late: str = "0 seconds", road_length: float = 6000.0, hold_ms: int = 40 * 86_400_000) -> DataFrame:
+    """All residuals of a message against the one before it on its link, the last message being the state."""
+    kept = ["rxTimeMs", "claimedX", "claimedY", "claimedSpeed", "claimedHeading"]
 
+    def step(rows: pd.DataFrame, last):
+        now = rows[kept].to_numpy(float)
+        first = np.full((1, 5), np.nan) if last is None else np.array([[np.nan if v is None else v for v in last]])
+        was = np.concatenate([first, now[:-1]])
+        t, x, y, v, h = now.T
+        pt, px, py, pv, ph = was.T
 
-def residuals_stream(rx: DataFrame, hold_ms: int = 40 * 86_400_000) -> DataFrame:
-    """Gap and movement since the previous message of a link, the last message being the state."""
+        def unwrap(d):
+            return d - np.rint(d / road_length) * road_length
 
-    def step(rows: pd.DataFrame, old):
-        rows = rows.sort_values(["rxTimeMs", "msgUid"])
-        first = old if old is not None else (None, None, None)
-        t, x, y = ([first[k], *rows[c].tolist()] for k, c in enumerate(("rxTimeMs", "claimedX", "claimedY")))
-        out = pd.DataFrame({"msgUid": rows["msgUid"].to_numpy()})
-        out["dt"] = [None if a is None else (b - a) / 1000 for a, b in zip(t, t[1:])]
-        out["dx"] = [None if a is None else (b - a) - round((b - a) / 6000.0) * 6000.0 for a, b in zip(x, x[1:])]
-        out["dy"] = [None if a is None else b - a for a, b in zip(y, y[1:])]
-        return out, (float(t[-1]), float(x[-1]), float(y[-1]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dt = (t - pt) / 1000.0
+            dx, dy = unwrap(x - px), y - py
+            moved = np.hypot(dx, dy)
+            per = np.where(dt == 0, np.nan, dt)
+            ex, ey = px + pv * dt * np.sin(np.radians(ph)), py + pv * dt * np.cos(np.radians(ph))
+            gap = np.abs(h - np.degrees(np.arctan2(dx, dy)) % 360.0) % 360.0
+            made = {
+                "dt": dt, "claimedDist": np.hypot(x - rows["rxX"].to_numpy(float), y - rows["rxY"].to_numpy(float)), "dx": dx, "dy": dy, "moved": moved,
+                "dmv": moved - pv * dt, "ssc": moved / per - v, "predict": np.hypot(unwrap(x - ex), y - ey),
+                "heading": np.where(moved > 1.0, np.minimum(gap, 360.0 - gap), np.nan), "accel": (v - pv) / per,
+            }
+        out = pd.DataFrame({"msgUid": rows["msgUid"].to_numpy("int64")} | {c: pd.array(np.where(np.isnan(made[c]), None, made[c]), dtype="Float64") for c in RESIDUALS})
+        return out, [None if np.isnan(z) else float(z) for z in now[-1]]
 
-    return _per_key(rx, X.LINK, step, "msgUid long, dt double, dx double, dy double", "t double, x double, y double", hold_ms)
+    schema = "msgUid long, " + ", ".join(f"{c} double" for c in RESIDUALS)
+    return _per_key(rx, X.LINK, ["rxTimeMs", "msgUid"], ["msgUid", *kept, "rxX", "rxY"], step, schema, late, hold_ms)
 
 
-def alerts_stream(hits: DataFrame, k: int, m: int, hold_ms: int = 40 * 86_400_000) -> DataFrame:
+def alerts_stream(hits: DataFrame, k: int, m: int, late: str = "0 seconds", hold_ms: int = 40 * 86_400_000) -> DataFrame:
     """K-of-M alerts and episode starts of each track, the last M hits being the state."""
 
-    def step(rows: pd.DataFrame, old):
-        rows = rows.sort_values(["timeMs", "key_window"])
-        last = list(old[0]) if old is not None else []
-        on = bool(old[1]) if old is not None else False
+    def step(rows: pd.DataFrame, last):
+        hits, on = last if last is not None else ([], False)
         fired, edge = [], []
         for h in rows["hit"]:
-            last = [*last, bool(h)][-m:]
-            now = sum(last) >= k
+            hits = [*hits, bool(h)][-m:]
+            now = sum(hits) >= k
             fired.append(now)
             edge.append(now and not on)
             on = now
-        out = pd.DataFrame({"key_window": rows["key_window"].to_numpy(), "fired": fired, "edge": edge})
-        return out, (last, on)
+        return pd.DataFrame({"key_window": rows["key_window"].to_numpy("int64"), "fired": fired, "edge": edge}), [hits, on]
 
-    return _per_key(hits, ["key_region", "key_claimedStationId"], step, "key_window long, fired boolean, edge boolean", "last array<boolean>, fired boolean", hold_ms)
+    return _per_key(hits, ["key_region", "key_claimedStationId"], ["timeMs", "key_window"], ["key_window", "timeMs", "hit"], step, "key_window long, fired boolean, edge boolean", late, hold_ms)
 
 
 def score_stream(src: DataFrame, predict: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
