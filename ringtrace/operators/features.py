@@ -181,13 +181,40 @@ def assemble(agg: DataFrame, power: DataFrame, load: DataFrame, long: DataFrame,
     return out.withColumn("phy_rsrp_vs_claimed", F.col("phy_rsrp_mean") - S.predicted_rsrp("app_claimed_dist_mean"))
 
 
-def voiceprint(agg: DataFrame, apart: float = 30.0) -> DataFrame:
-    """Smallest power difference to another station of the same receiver and window that claims to be far."""
-    mine = agg.select(*LINK, "window", F.col("phy_rsrp_mean").alias("r"), F.col("app_claimed_dist_mean").alias("x"))
-    other = mine.select("key_seed", "rxNodeId", "window", F.col("claimedStationId").alias("o"), F.col("r").alias("r2"), F.col("x").alias("x2"))
+def voiceprint(agg: DataFrame, apart: float = 30.0, step: float = 30.0, crowded: int = 64) -> DataFrame:
+    """Smallest power difference to another station of the same receiver and window that claims to be far.
+
+    Stations of a receiver and window are compared two by two while they are at most ``crowded``.  In larger
+    groups they lie in cells of their claimed distance, ``step`` wide.  Stations of cells further
+    apart than ``apart`` always count, so the nearest power before and after is found by windows
+    ordered by power, one for each cell, and only neighbouring cells are compared two by two.
+    """
+    group = ["key_seed", "rxNodeId", "window"]
+    mine = agg.where("phy_rsrp_mean IS NOT NULL AND app_claimed_dist_mean IS NOT NULL")
+    mine = mine.select(*group, "claimedStationId", F.col("phy_rsrp_mean").alias("r"), F.col("app_claimed_dist_mean").alias("x"))
+    large = mine.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select(*group)
+    some, mine = mine.join(large, group, "left_anti"), mine.join(large, group, "left_semi")
     far = (F.col("claimedStationId") != F.col("o")) & (F.abs(F.col("x") - F.col("x2")) >= apart)
-    best = mine.join(other.where("r2 IS NOT NULL"), ["key_seed", "rxNodeId", "window"]).where(far & F.col("r").isNotNull())
-    best = best.groupBy(*LINK, "window").agg(F.min(F.abs(F.col("r") - F.col("r2"))).alias("phy_rsrp_voiceprint_min"))
+
+    def others(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(*group, F.col("claimedStationId").alias("o"), F.col("r").alias("r2"), F.col("x").alias("x2"), *more)
+
+    least = F.min(F.abs(F.col("r") - F.col("r2"))).alias("d")
+    few = some.join(others(some), group).where(far).groupBy(*LINK, "window").agg(least)
+    mine = mine.withColumn("cell", F.floor(F.col("x") / step))
+    near = int(-(-apart // step))  # cells in which a station may be too near
+    around = mine.withColumn("c2", F.explode(F.sequence(F.col("cell") - near, F.col("cell") + near)))
+    close = around.join(others(mine, F.col("cell").alias("c2")), [*group, "c2"]).where(far).groupBy(*LINK, "window").agg(least)
+    cells = mine.select(*group, "cell").distinct()
+    aims = cells.join(cells.withColumnRenamed("cell", "aim"), group).where(F.abs(F.col("cell") - F.col("aim")) > near)
+    asks = mine.select(*LINK, "window", "cell", "r").join(aims, [*group, "cell"]).select(*LINK, "window", "r", "aim", F.lit(0).alias("side"))
+    gives = mine.select(*LINK, "window", "r", F.col("cell").alias("aim"), F.lit(1).alias("side"))
+    order = Window.partitionBy(*group, "aim").orderBy("r", "side")
+    power = F.when(F.col("side") == 1, F.col("r"))
+    low = F.last(power, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first(power, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    wide = asks.unionByName(gives).withColumn("d", F.least(F.col("r") - low, high - F.col("r"))).where("side = 0")
+    best = few.unionByName(close).unionByName(wide.groupBy(*LINK, "window").agg(F.min("d").alias("d"))).groupBy(*LINK, "window").agg(F.min("d").alias("phy_rsrp_voiceprint_min"))
     return agg.join(best, [*LINK, "window"], "left")
 
 

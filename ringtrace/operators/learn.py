@@ -11,7 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import partition as P, reports as R
+from . import fits, geometry as G, partition as P, reports as R
+from ..sources.io import cut
 
 
 def forest(trees: int = 20, depth: int = 6, seed: int = 0) -> RandomForestClassifier:
@@ -28,10 +29,11 @@ def fit(train: DataFrame, cols: list[str], label: str, model=None, scaled: bool
 
 
 def score(fitted, test: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns with the predicted label ``p`` and, where there are any, class probabilities."""
+    """``keep`` columns with the predicted label ``p`` and, where there are any, class probabilities, as an array and by class."""
     names = F.array(*[F.lit(x) for x in fitted.stages[0].labels])
     out = fitted.transform(P.matrix(test, cols))
-    prob = [vector_to_array("probability").alias("prob")] if "probability" in out.columns else []
+    chances = F.map_from_arrays(F.transform(names, lambda n: n.cast("int")), F.slice(vector_to_array("probability"), 1, F.size(names)))
+    prob = [vector_to_array("probability").alias("prob"), chances.alias("chances")] if "probability" in out.columns else []
     return out.select(*keep, F.get(names, F.col("prediction").cast("int")).cast("int").alias("p"), *prob)
 
 
@@ -53,7 +55,7 @@ def families(df: DataFrame, cols: list[str], label: str, group: str) -> DataFram
     k = df.select(label).distinct().count() + 1
     makers = {"forest": (forest(), False), "boosting": (OneVsRest(classifier=GBTClassifier(labelCol="idx", maxIter=3, maxDepth=3), labelCol="idx"), False),
               "perceptron": (MultilayerPerceptronClassifier(labelCol="idx", layers=[len(cols), 8, k], maxIter=20, seed=0), True), "logistic": (LogisticRegression(labelCol="idx", maxIter=20), True)}
-    parts = [R.metrics(out_of_fold(df, cols, label, group, model=m, scaled=s).drop("prob")).select(F.lit(n).alias("family"), "*") for n, (m, s) in makers.items()]
+    parts = [R.metrics(out_of_fold(df, cols, label, group, model=m, scaled=s).drop("prob", "chances")).select(F.lit(n).alias("family"), "*") for n, (m, s) in makers.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -106,8 +108,44 @@ def separability(df: DataFrame, cols: list[str], label: str, classes: list[int],
 
 
 def pool_arms(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Single receiver, majority vote and mean probability on the same units, one prediction each."""
+    """(keys, y, arm, p): one receiver picked by hash, majority vote and mean probabilities of one model, on the same units.
+
+    ``scored`` is what ``out_of_fold`` gives for single receivers, with their node id.
+    """
     one = F.min_by("p", P.hashed("rxNodeId"))
-    labels = scored.groupBy(*keys).agg(F.max("y").alias("y"), one.alias("single"), F.mode("p", True).alias("vote"), F.avg(F.get("prob", F.lit(1))).alias("soft"))
-    arm = F.explode(F.array(F.struct(F.lit("single").alias("arm"), F.col("single").alias("p")), F.struct(F.lit("vote").alias("arm"), F.col("vote").alias("p")), F.struct(F.lit("vote-soft").alias("arm"), (F.col("soft") >= 0.5).cast("int").alias("p"))))
-    return R.metrics(labels.withColumn("a", arm).select("a.arm", "y", "a.p"), ["arm"])
+    hard = scored.groupBy(*keys).agg(F.max("y").alias("y"), one.alias("single"), F.mode("p", True).alias("vote"))
+    each = scored.select(*keys, F.explode("chances").alias("class", "chance")).groupBy(*keys, "class").agg(F.avg("chance").alias("chance"))
+    soft = each.groupBy(*keys).agg(F.max_by("class", F.struct("chance", -F.col("class"))).alias("soft"))
+    arm = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(c).cast("int").alias("p")) for n, c in (("single", "single"), ("vote", "vote"), ("vote-soft", "soft"))]))
+    return hard.join(soft, keys).select(*keys, "y", arm.alias("a")).select(*keys, "y", "a.arm", "a.p")
+
+
+def pooled_units(obs: DataFrame, cols: list[str], keys: list[str], label: str, group: str) -> tuple[DataFrame, list[str], list[str]]:
+    """A row a unit with the means of all features (``pm_``) and the consensus block (``pool_``), and both column lists."""
+    means = G.pool_means(obs, cols)
+    means = means.select(*keys, *[c for c in means.columns if c.startswith("pm_")])
+    block = fits.consensus(obs)
+    block = block.select(*keys, *[F.col(c).alias(f"pool_{c}") for c in block.columns if c not in keys])
+    truth = obs.groupBy(*keys).agg(F.mode(label, True).alias(label), F.mode(group, True).alias(group))
+    whole = cut(truth.join(means, keys).join(block, keys), "pooled-units")
+    return whole, [c for c in whole.columns if c.startswith("pm_")], [c for c in whole.columns if c.startswith("pool_")]
+
+
+def all_arms(obs: DataFrame, cols: list[str], keys: list[str], label: str, group: str, k: int = 2, seed: int = 0, singles: bool = True) -> DataFrame:
+    """Metrics of the six ways to use a unit's receivers, on identical folds by transmitter.
+
+    Single receiver, vote and soft vote share one model of single receivers; pooled mean, consensus alone and
+    pooled consensus have a model of whole units each.  Without ``singles`` only those three.
+    """
+    whole, means, block = pooled_units(obs, cols, keys, label, group)
+    arms = {"pooled-mean": means, "consensus-only": block, "pooled-consensus": means + block}
+    parts = [out_of_fold(whole, c, label, group, k, keys, seed=seed).select(*keys, "y", F.lit(n).alias("arm"), "p") for n, c in arms.items()]
+    if singles:
+        parts.append(pool_arms(out_of_fold(obs, cols, label, group, k, [*keys, "rxNodeId"], seed=seed), keys))
+    return R.metrics(reduce(DataFrame.unionByName, parts), ["arm"])
+
+
+def receiver_sweep(obs: DataFrame, cols: list[str], keys: list[str], label: str, group: str, sizes: list[int]) -> DataFrame:
+    """The pooled arms with at most so many receivers a unit, picked by hash."""
+    parts = [all_arms(P.per_key(obs, keys, n, "rxNodeId"), cols, keys, label, group, singles=False).select(F.lit(n).alias("receivers"), "*") for n in sizes]
+    return reduce(DataFrame.unionByName, parts)

@@ -84,12 +84,12 @@ def q09(spark, d):
 def m23(spark, d):
     df = A.corpus(spark, d)
     m = L.fit(df.where("label_txNodeId % 5 > 0"), FS, Y)
-    return L.score(m, df.where("label_txNodeId % 5 = 0"), FS, ["key_seed", "key_rxNodeId", F.col(Y).alias("y")]).drop("prob")
+    return L.score(m, df.where("label_txNodeId % 5 = 0"), FS, ["key_seed", "key_rxNodeId", F.col(Y).alias("y")]).drop("prob", "chances")
 
 
 @query("m24_out_of_fold")
 def m24(spark, d):
-    return L.out_of_fold(A.corpus(spark, d), FS, Y, "label_txNodeId", keep=["key_seed", "key_rxNodeId"]).drop("prob")
+    return L.out_of_fold(A.corpus(spark, d), FS, Y, "label_txNodeId", keep=["key_seed", "key_rxNodeId"]).drop("prob", "chances")
 
 
 @query("m25_benchmark")
@@ -98,11 +98,18 @@ def m25(spark, d):
     return L.benchmark(df, {k: v for k, v in P.blocks_of(df, ["phy_discount"]).items() if k in ("app", "phy", "fused")}, Y, "label_txNodeId")
 
 
+def receivers(spark, d):
+    return A.units(spark, d).withColumn("away", F.hypot(F.col("rxX") - F.col("claimedX"), F.col("rxY") - F.col("claimedY"))).withColumn("label_tx", F.col("key_claimedStationId"))
+
+
 @query("m27_pool_arms")
 def m27(spark, d):
-    u = A.units(spark, d).withColumn("away", F.hypot(F.col("rxX") - F.col("claimedX"), F.col("rxY") - F.col("claimedY"))).withColumn("label_tx", F.col("key_claimedStationId"))
-    s = L.out_of_fold(u, ["away", "phy_rsrp_mean"], "label", "label_tx", keep=[*G.TRIPLE, "rxNodeId"])
-    return L.pool_arms(s, G.TRIPLE)
+    return L.all_arms(receivers(spark, d), ["away", "phy_rsrp_mean"], G.TRIPLE, "label", "label_tx")
+
+
+@query("m27_receiver_sweep")
+def m27s(spark, d):
+    return L.receiver_sweep(receivers(spark, d), ["away", "phy_rsrp_mean"], G.TRIPLE, "label", "label_tx", [6, 24])
 
 
 @query("m29_select_in_fold")

@@ -13,11 +13,22 @@ CORRUPT = "_corrupt_record"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder all machines share: under ``spark.checkpoint.dir`` where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder all machines share: under ``spark.checkpoint.dir``, or a temporary one for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/ringtrace-{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new shared folder and read back: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_trace(spark: SparkSession, path: str, schema: T.StructType, time_col: str, max_time_ms: float | None = None, cols: list[str] | None = None) -> DataFrame:
     """Trace CSV: lines with too many fields go, short ones are padded with nulls unless the time is missing."""
     kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])

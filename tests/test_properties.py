@@ -154,3 +154,117 @@ def test_duplicates_and_dead_features(spark):
     whole = Q.gate_duplicates(df, ["app_a", "app_b"], "y").where("y IS NULL").first()
     assert whole.duplicates == pytest.approx(1 / 3)
     assert [r.feature for r in Q.gate_dead(df, ["app_a", "app_b"], "y").collect()] == ["app_b"]
+
+
+@pytest.mark.parametrize("crowded", [3, 1000])
+def test_voiceprint_equals_all_pairs(spark, crowded):
+    rng = np.random.default_rng(5)
+    rows = [("s", int(rng.integers(0, 2)), k, 1, None if k % 11 == 0 else float(rng.normal(-80, 5)), None if k % 13 == 0 else float(rng.uniform(0, 400))) for k in range(120)]
+    rows += [("s", 0, 500, 1, rows[1][4], rows[1][5]), ("s", 1, 1, 2, -50.0, 10.0)]
+    df = spark.createDataFrame(rows, "key_seed string, rxNodeId int, claimedStationId long, window long, phy_rsrp_mean double, app_claimed_dist_mean double")
+    got = {(r.rxNodeId, r.claimedStationId, r.window): r.phy_rsrp_voiceprint_min for r in X.voiceprint(df, crowded=crowded).collect()}
+    for _, n, k, w, r, x in rows:
+        gaps = [abs(r - r2) for _, n2, k2, w2, r2, x2 in rows if None not in (r, r2, x, x2) and (n, w) == (n2, w2) and k != k2 and abs(x - x2) >= 30.0]
+        assert got[n, k, w] == (pytest.approx(min(gaps)) if gaps else None)
+
+
+def test_families_of_all_codes(spark):
+    named = {1: "spoofing", 3: "spoofing", 11: "spoofing", 13: "spoofing", 7: "flooding", 12: "flooding", 4: "replay", 0: "benign", 5: "other", 6: "other", 8: "other"}
+    df = spark.createDataFrame([(y, p) for y in named for p in (0, y, 11)], "y int, p int")
+    got = {r.family: r for r in R.family_scores(df).collect()}
+    assert set(got) == set(named.values())
+    assert got["benign"].flagged == pytest.approx(1 / 3) and got["replay"].named == pytest.approx(1 / 3) and got["spoofing"].named == pytest.approx(2 / 3)
+
+
+def test_gates_can_fail(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1.0, 0.5), (1, 2.0, 0.5), (1, 3.0, 0.7)], "y int, app_a double, app_b double")
+    assert [r.feature for r in Q.gate_dead(df, ["app_a", "app_b"], "y").collect()] == ["app_a", "app_b"]
+    assert {r.y: r.ok for r in Q.gate_balance(spark.createDataFrame([(0,)] * 95 + [(1,)] * 5, "y int"), "y").collect()} == {0: False, 1: True}
+    sure = spark.createDataFrame([(k % 3, k % 3) for k in range(30)], "y int, p int")
+    assert Q.leakage_alarm(R.metrics(sure)).first().alarm and not Q.leakage_alarm(R.metrics(sure.withColumn("p", F.lit(1)))).first().alarm
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    made = IO.checksums(spark, str(tmp_path)).collect()
+    listed = spark.createDataFrame(made, IO.checksums(spark, str(tmp_path)).schema)
+    (tmp_path / "b.txt").write_text("changed")
+    (tmp_path / "c.txt").write_text("new")
+    bad = IO.verify_checksums(IO.checksums(spark, str(tmp_path)), listed).first()
+    assert any(v for v in bad.asDict().values() if v) and not all(v == 0 for v in bad.asDict().values())
+
+
+def test_residual_correlation_of_another_law(spark):
+    u = A.units(spark, SF)
+    wrong = G.claim_fit(u).withColumn("claim_exp", F.col("claim_exp") + 1.0)
+    assert all(abs(r.claim_range_corr) > 0.5 for r in G.residual_range_corr(u, wrong).collect() if r.claim_range_corr != 0) and G.residual_range_corr(u, wrong).where("abs(claim_range_corr) > 0.5").count() > 0
+
+
+def test_guards_refuse_shared_scenarios(spark):
+    ids = "key_seed string, id long"
+    for rows in ([("s1", 5), ("t1", 6)], [("nothing", 5)]):
+        with pytest.raises(ValueError):
+            P.rebase(spark.createDataFrame(rows, ids), "id")
+    tx = A.tx(spark, SF)
+    twice = tx.unionByName(tx.withColumn("key_seed", F.lit("r2")))
+    with pytest.raises(ValueError):
+        P.require_distinct_prints(P.fingerprint(twice))
+    with pytest.raises(ValueError):
+        P.require_no_twins(tx, tx)
+    df = A.corpus(spark, SF)
+    with pytest.raises(ValueError):
+        P.attach_split(df, P.assign(P.station_table(df)).where("label_txNodeId % 2 = 0"), P.STATION, complete=True)
+
+
+def test_floor_finds_a_planted_crossing(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(600):
+        offset = float(np.exp(rng.uniform(1, 6)))
+        rows.append((f"s{k % 8}", k, offset, bool(rng.random() < 1 / (1 + np.exp(-3 * (np.log(offset) - np.log(47.0)))))))
+    st_ = spark.createDataFrame(rows, "key_seed string, station long, offset double, caught boolean")
+    got = {r.cluster: r for r in fits.floor_interval(fits.detection_floor(st_, replicates=200)).collect()}
+    for r in got.values():
+        assert r.low < r.crossing < r.high and r.low < 47 < r.high and r.high - r.low < 30 and r.failed == 0
+    none = fits.detection_floor(st_.withColumn("caught", F.lit(False)), replicates=3)
+    assert all(r.crossing is None for r in none.where("replicate = 0").collect())
+
+
+def test_nearest_class_equals_plain_search(spark):
+    df = A.corpus(spark, SF)
+    fs = ["app_quantity", "app_price", "phy_discount", "phy_tax"]
+    train, test = df.where("label_txNodeId % 5 > 0"), df.where("label_txNodeId % 5 = 0")
+    a, b = train.toPandas(), test.toPandas()
+    m, s = a[fs].mean(), a[fs].std(ddof=0)
+    x, q = ((t[fs] - m).to_numpy() / s.to_numpy() for t in (a, b))
+    d = ((q[:, None] - x[None]) ** 2).sum(2)
+    want = [a.label_attackId[row <= row.min() + 2e-9].min() for row in d]
+    got = Q.nearest_class(train, test, fs, "label_attackId", "key_rxNodeId").groupBy("y", "p").count().collect()
+    assert {(r.y, r.p): r["count"] for r in got} == pd.Series(list(zip(b.label_attackId, want))).value_counts().to_dict()
+
+
+@pytest.mark.parametrize("late_ms", [0, 3 * 86_400_000])
+def test_streams_hold_rows_for_order_and_drop_later_ones(spark, late_ms):
+    from ringtrace.streaming import jobs as J
+
+    rx = J.with_time(A.rx(spark, SF), "rxTimeMs")
+    want = {r.msgUid: r for r in X.message_residuals(A.rx(spark, SF)).collect()}
+    times = {r.msgUid: int(r.rxTimeMs) for r in want.values()}
+    end = max(times.values()) - late_ms
+    src = J.file_stream(spark, rx, "late", files=5, time="ts", late_ms=late_ms)
+    got = {r.msgUid: r for r in J.run_to_table(J.residuals_stream(src, f"{late_ms} milliseconds"), "late-out").collect()}
+    assert set(got) == {m for m, t in times.items() if t < end}
+    for m, r in got.items():
+        for c in J.RESIDUALS:
+            assert (r[c] is None) == (want[m][c] is None) and (r[c] is None or r[c] == pytest.approx(want[m][c], abs=1e-6))
+    if late_ms:  # half the lateness that the rows have: some are dropped, none comes out twice
+        src = J.file_stream(spark, rx, "late", files=5, time="ts", late_ms=late_ms)
+        less = [r.msgUid for r in J.run_to_table(J.residuals_stream(src, "1 hour"), "later-out").collect()]
+        assert len(less) == len(set(less)) < len(times)
+
+
+def test_soft_votes_follow_the_mean_chance(spark):
+    from ringtrace.operators import learn as L
+
+    rows = [("u", 1, 7, 3, {3: 0.6, 7: 0.4}), ("u", 2, 7, 3, {3: 0.55, 7: 0.45}), ("u", 3, 7, 7, {3: 0.1, 7: 0.9})]
+    df = spark.createDataFrame(rows, "key string, rxNodeId long, y int, p int, chances map<int,double>")
+    got = {r.arm: r.p for r in L.pool_arms(df, ["key"]).collect()}
+    assert got["vote"] == 3 and got["vote-soft"] == 7 and got["single"] in (3, 7)
