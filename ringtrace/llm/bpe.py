@@ -61,10 +61,11 @@ class _Tail:
 class TrieBpe:
     """Encoder and decoder for a word-end BPE vocabulary given as tokenizer JSON."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, cached: int = CACHED_PIECES):
         import regex
 
         data = json.loads(spec)
+        self.cached = cached
         self.suffix = data["model"]["end_of_word_suffix"]
         vocab: dict[str, int] = data["model"]["vocab"]
         added = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -143,7 +144,7 @@ class TrieBpe:
                 limit, a = ra, halves[a][1]
             else:
                 limit, b = rb + 1, halves[b][0]
-        if len(self.fits) > 500_000:
+        if len(self.fits) > 2 * self.cached + 60_000:
             self.fits.clear()
         self.fits[key] = held
         return held
@@ -172,11 +173,12 @@ class TrieBpe:
         A long word shares little and its nodes would cost a hundred bytes a symbol, so it has no stored trie.
         """
         order, out = sorted(w for w in words if len(w) <= LONG), {}
+        most = min(TRIE_WORDS, self.cached // 10 + 1)
         for word in words:
             if len(word) > LONG:
                 out |= self._search(_Tail(word.encode("utf-8"), 0, word))
-        for at in range(0, len(order), TRIE_WORDS):
-            out |= self._walk(order[at : at + TRIE_WORDS])
+        for at in range(0, len(order), most):
+            out |= self._walk(order[at : at + most])
         return out
 
     def _walk(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
@@ -275,7 +277,7 @@ class TrieBpe:
         rows = [self._parts(t) for t in texts]
         wanted = {p for row in rows for p in row}
         fresh = {p for p in wanted if p not in self.pieces}
-        if len(self.pieces) + len(fresh) > CACHED_PIECES:
+        if len(self.pieces) + len(fresh) > self.cached:
             self.pieces.clear()
             self.words.clear()
             fresh = wanted
@@ -338,19 +340,22 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 1_000_00
 
 
 def encode_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = True, keep_decoded: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = True, keep_decoded: bool = True,
+    cached: int = CACHED_PIECES,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256), one row for each row of ``docs``.
 
     Null and empty texts have no tokens.  Ids or decoded texts that are not kept stay in the task and only their
-    digests come out.  Other columns are ignored.
+    digests come out.  Other columns are ignored.  ``cached`` bounds the pieces a task remembers: it trades
+    memory for time and changes no result.
     """
     spec = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        bpe = TrieBpe(spec)
+        bpe = TrieBpe(spec, cached)
+        tidy()  # what reading the vocabulary left behind
         gc.freeze()
         gc.disable()  # tries and caches hold no cycles, and walking them costs a quarter of the time
         try:
@@ -364,7 +369,7 @@ def encode_documents(
         from hashlib import sha256
         from itertools import accumulate
 
-        for batch in slices(batches, 1, 2_000_000):
+        for batch in slices(batches, 1, min(2_000_000, 10 * cached)):
             done = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
             sizes = [len(a) // 4 for a, _ in done]
             cols = [batch.column(0), pa.array(sizes, pa.int64())]

@@ -223,6 +223,7 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
             cols = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(3)]
             cols += [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"]
@@ -262,5 +263,6 @@ def redact(docs: DataFrame, least: float = 10.0, mark: str = "[SECRET]", text_co
                 sizes = [c if a == b else len(b) for c, a, b in zip(same, old, new)]
                 cols[counted] = pa.array(sizes, batch.column(counted).type)
             yield pa.RecordBatch.from_arrays(cols, names)
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -377,6 +377,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             found = [_class_of(t.as_py()) for t in batch.column(names.index(text_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*names, cls])
+        tidy()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType())])
     # one exchange of the texts: the semi join and the removal of repeated rows share its partitioning
