@@ -17,13 +17,13 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop
 
 BUCKETS = 4096
 #: Units of a group of equal texts: what one task numbers at a time.
 UNITS = 4096
 #: Rows of a written file, and copies of one row that a task writes out at a time.
-PER_FILE, PER_TASK = 250_000, 1_000_000
+PER_FILE, PER_TASK = 50_000, 1_000_000
 
 
 def row_size(text: Column) -> Column:
@@ -125,7 +125,7 @@ def _placed(docs: DataFrame, old_shard: Column, new_shards: int, id_col: str, te
     unit = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(UNITS)).cast("int").alias("unit")
     rows = cut(alike.select(*ROW, "n", bucket, unit), "reshard-rows")
     units = rows.groupBy(*BLOCK, "t", "unit").agg(F.sum(F.col("n") * F.col("size")).alias("mass"), F.sum("n").alias("c"))
-    units = cut(units, "reshard-units")
+    all_units = units = cut(units, "reshard-units")
     blocks = cut(units.groupBy(*BLOCK).agg(F.sum("mass").alias("mass")), "reshard-blocks")
     olds = blocks.groupBy("old_shard").agg(F.sum("mass").alias("mass")).orderBy("old_shard").collect()  # a row a shard
     supply = {r["old_shard"]: r["mass"] for r in olds}
@@ -149,7 +149,9 @@ def _placed(docs: DataFrame, old_shard: Column, new_shards: int, id_col: str, te
     whole = F.col("held") <= F.lit(tolerance * total / new_shards)
     middle = F.when(whole, F.col("first") + F.col("held") / 2).otherwise(F.col("before") + F.col("mass") / 2)
     units = units.join(starts, BLOCK).withColumn("middle", F.col("start") + middle).withColumn("shard", plan)
-    units = cut(units.select(*BLOCK, "t", "unit", "c", "shard"), "reshard-placed")
+    summed, units = all_units, cut(units.select(*BLOCK, "t", "unit", "c", "shard"), "reshard-placed")
+    placed = units
+    drop(summed)
     counts = units.groupBy("shard", *BLOCK).agg(F.sum("c").alias("c"))
     above = Window.partitionBy("shard").orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(above), F.lit(0))).drop("c")
@@ -158,7 +160,10 @@ def _placed(docs: DataFrame, old_shard: Column, new_shards: int, id_col: str, te
     units = units.select(*BLOCK, "t", "unit", "shard", (F.col("at") + F.col("offset")).alias("at"))
     line = Window.partitionBy(*BLOCK, "t", "unit").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(units, [*BLOCK, "t", "unit"]).withColumn("slot", F.col("at") + F.coalesce(F.sum("n").over(line), F.lit(0)))
-    return cut(out.select(*ROW, "n", "shard", "slot"), "reshard-lines")
+    out = cut(out.select(*ROW, "n", "shard", "slot"), "reshard-lines")
+    for done in (rows, placed, blocks):
+        drop(done)
+    return out
 
 
 def reshard(
@@ -230,5 +235,5 @@ def rewrite_affected(
     again = both.where("n > 1").select("row", "shard", (F.col("slot") + F.row_number().over(copies) - 1).alias("slot"))
     piece = F.floor(F.col("slot") / PER_FILE)
     out = single.union(again).repartition("shard", piece).sortWithinPartitions("shard", "slot")
-    out.select("row.*", "slot", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    out.select("row.*", "slot", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
     return touched
