@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from . import partition as P
 
 
+#: Codes of the constant, small and medium position offsets.
+POSITION = [1, 11, 13]
+
+
 def step_of(name: str) -> float:
     """The precision a measurement carries, by the words in its name."""
     if any(w in name for w in ("rsrp", "sinr", "tbler")):
@@ -102,14 +106,29 @@ def nearest_class(train: DataFrame, test: DataFrame, features: list[str], label:
 
 
 def check_campaign(tx: DataFrame, stations: DataFrame) -> DataFrame:
-    """(check, ok, detail): roadside units present, CAM at least CPM, gaps not deterministic, errors not zero, attackers speak."""
-    e = tx.agg(F.count_if(F.col("msgType") == 2).alias("cam"), F.count_if(F.col("msgType") == 14).alias("cpm"), F.count_if(F.col("attackId") > 0).alias("attack"),
-               F.max(F.when(F.col("attackId") == 0, F.hypot(F.col("claimedX") - F.col("trueX"), F.col("claimedY") - F.col("trueY")))).alias("err")).first()
+    """(check, ok, detail): roadside units present, CAM at least CPM, gaps not deterministic, errors not zero, attackers
+    speak, headings err by a degree at least, most position attackers lie, magnitude bands do not overlap.
+
+    A message lies beyond the largest benign error; the band of a class is its range of station medians of lies.
+    """
+    err = F.hypot(F.col("claimedX") - F.col("trueX"), F.col("claimedY") - F.col("trueY"))
+    turn = F.abs(F.pmod(F.col("claimedHeading") - F.col("trueHeading") + 180.0, F.lit(360.0)) - 180.0)
+    e = tx.agg(F.percentile(F.when(F.col("attackId") == 0, err), F.lit(0.95)).alias("p95"), F.max(F.when(F.col("attackId") == 0, turn)).alias("turn"),
+               F.count_if(F.col("msgType") == 2).alias("cam"), F.count_if(F.col("msgType") == 14).alias("cpm"), F.count_if(F.col("attackId") > 0).alias("attack"),
+               F.max(F.when(F.col("attackId") == 0, err)).alias("err")).first()
     rsu = stations.where("role = 'rsu'").count()
     w = Window.partitionBy("txNodeId").orderBy("txTimeMs", "msgUid")
     gaps = tx.select((F.col("txTimeMs") - F.lag("txTimeMs").over(w)).alias("g")).agg(F.count_distinct("g").alias("n")).first()["n"]
+    lying = tx.where(F.col("attackId").isin(*POSITION)).groupBy("attackId", "txNodeId").agg(
+        F.percentile(err, F.lit(0.99)).alias("top"), F.percentile(F.when(err > (e["err"] or 0.0), err), F.lit(0.5)).alias("lie"))
+    bands = {r["attackId"]: r for r in lying.groupBy("attackId").agg(
+        F.count("*").alias("n"), F.count_if(F.col("top") < (e["p95"] or 0.0)).alias("silent"), F.min("lie").alias("lo"), F.max("lie").alias("hi")).collect()}  # a row a class
+    n, silent = sum(r["n"] for r in bands.values()), sum(r["silent"] for r in bands.values())
+    small, medium = (bands.get(c) for c in POSITION[1:])
+    apart = not (small and medium and small["hi"] is not None and medium["lo"] is not None) or small["hi"] <= medium["lo"]
     rows = [("rsu", rsu > 0, str(rsu)), ("cpm", e["cpm"] <= e["cam"], f"{e['cpm']} of {e['cam']}"), ("gaps", gaps > 3, str(gaps)),
-            ("error", (e["err"] or 0) > 0, f"{e['err'] or 0:.3f}"), ("attackers", e["attack"] > 0, str(e["attack"]))]
+            ("error", (e["err"] or 0) > 0, f"{e['err'] or 0:.3f}"), ("attackers", e["attack"] > 0, str(e["attack"])),
+            ("heading", e["turn"] is None or e["turn"] >= 1.0, f"{e['turn'] or 0:.3f}"), ("silent", silent <= n / 2, f"{silent} of {n}"), ("bands", apart, str(len(bands)))]
     return tx.sparkSession.createDataFrame(rows, "check string, ok boolean, detail string")
 
 

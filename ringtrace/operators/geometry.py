@@ -178,11 +178,16 @@ def position_bound(units: DataFrame, n_exp: float, sigma: float, keys: list[str]
 
 
 def bound_summary(bounds: DataFrame) -> DataFrame:
-    """Medians and root mean squares of the bounds by number of receivers."""
+    """Medians, anisotropy (median across over median along) and root mean squares of the bounds by number of
+    receivers; ``rms_trim`` leaves out units over the 99th percentile of their bin."""
     label = F.when(F.col("n_obs") < 10, "5 to 9").when(F.col("n_obs") < 25, "10 to 24").when(F.col("n_obs") < 85, "25 to 84").otherwise("85 or more")
-    return bounds.groupBy(label.alias("receivers")).agg(
-        F.count("*").alias("units"), F.percentile("free_across", F.lit(0.5)).alias("across"), F.percentile("free_along", F.lit(0.5)).alias("along"),
-        F.percentile("road_along", F.lit(0.5)).alias("road"), F.sqrt(F.avg(F.col("free_along") ** 2 + F.col("free_across") ** 2)).alias("rms"))
+    rows = bounds.select(label.alias("receivers"), "free_across", "free_along", "road_along", (F.col("free_along") ** 2 + F.col("free_across") ** 2).alias("trace"))
+    tops = rows.groupBy("receivers").agg(F.percentile("trace", F.lit(0.99)).alias("top"))  # a row a bin
+    across, along = F.percentile("free_across", F.lit(0.5)), F.percentile("free_along", F.lit(0.5))
+    return rows.join(tops, "receivers").groupBy("receivers").agg(
+        F.count("*").alias("units"), across.alias("across"), along.alias("along"), F.try_divide(across, along).alias("anisotropy"),
+        F.percentile("road_along", F.lit(0.5)).alias("road"), F.sqrt(F.avg("trace")).alias("rms"),
+        F.sqrt(F.avg(F.when(F.col("trace") <= F.col("top"), F.col("trace")))).alias("rms_trim"))
 
 
 def placement_sweep(units: DataFrame, offsets: list[float], is_rsu: Column, n_exp: float, sigma: float) -> DataFrame:
@@ -230,6 +235,18 @@ def best_response(units: DataFrame, levels: list[float], angles: int = 72, later
                     F.least(F.pmod(degrees, F.lit(180.0)), 180.0 - F.pmod(degrees, F.lit(180.0))).alias("off_axis"), "blocked")
 
 
+def toward_estimate(lies: DataFrame, truth: DataFrame, estimates: DataFrame) -> DataFrame:
+    """``lies`` of ``best_response`` with the distance of the best claim, and of the truth, to the unit's estimated position.
+
+    Units without an estimate, or without a claim on the road, keep null distances.
+    """
+    j = lies.join(truth.select(*TRIPLE, "trueX", "trueY"), TRIPLE).join(estimates.select(*TRIPLE, "estX", "estY"), TRIPLE, "left")
+    th = F.radians("direction")
+    x, y = F.col("trueX") + F.col("level") * F.cos(th), F.col("trueY") + F.col("level") * F.sin(th)
+    return j.select(*TRIPLE, "level", "direction", F.hypot(x - F.col("estX"), y - F.col("estY")).alias("claim_to_estimate"),
+                    F.hypot(F.col("trueX") - F.col("estX"), F.col("trueY") - F.col("estY")).alias("truth_to_estimate"))
+
+
 def caught(honest: DataFrame, lies: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Share of lies over the honest 95th percentile, and outside the middle 95 % of honest values."""
     cut = honest.agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.95), F.lit(0.975))).alias("q")).first()["q"]

@@ -44,18 +44,40 @@ def out_of_fold(df: DataFrame, cols: list[str], label: str, group: str, k: int =
     return reduce(DataFrame.unionByName, parts)
 
 
-def benchmark(df: DataFrame, blocks: dict[str, list[str]], label: str, group: str) -> DataFrame:
-    """Accuracy, macro F1 and MCC of each feature block on identical folds."""
-    parts = [R.metrics(out_of_fold(df, c, label, group)).select(F.lit(n).alias("block"), "*") for n, c in blocks.items() if c]
+def out_of_fold_mean(df: DataFrame, cols: list[str], label: str, group: str, key: list[str], seeds=(0, 1, 2), k: int = 2) -> DataFrame:
+    """(``key``, y, class, chance): out-of-fold probabilities averaged over fold seeds; ``key`` names a row."""
+    parts = [out_of_fold(df, cols, label, group, k, key, seed=s).select(*key, "y", F.explode("chances").alias("class", "chance")) for s in seeds]
+    return reduce(DataFrame.unionByName, parts).groupBy(*key, "y", "class").agg(F.avg("chance").alias("chance"))
+
+
+def likeliest(chances: DataFrame, key: list[str]) -> DataFrame:
+    """(``key``, y, p): the class of the largest mean probability, the smaller one of equals."""
+    return chances.groupBy(*key, "y").agg(F.max_by("class", F.struct("chance", -F.col("class"))).alias("p"))
+
+
+def importances(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """(feature, importance) of a forest of all rows; they sum to 1."""
+    found = fit(df, cols, label).stages[-1].featureImportances.toArray()
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, found)], "feature string, importance double")  # a row a feature
+
+
+def benchmark(df: DataFrame, blocks: dict[str, list[str]], label: str, group: str, inert: list[int] = ()) -> DataFrame:
+    """Accuracy, macro F1, MCC and macro F1 without the ``inert`` classes of each feature block on identical folds."""
+    parts = []
+    for name, cols in blocks.items():
+        if cols:
+            scored = out_of_fold(df, cols, label, group)
+            active = R.class_scores(scored).where(~F.col("class").isin(list(inert))).agg(F.avg("f1").alias("macro_f1_active"))
+            parts.append(R.metrics(scored).crossJoin(active).select(F.lit(name).alias("block"), "*"))  # one row each
     return reduce(DataFrame.unionByName, parts)
 
 
 def families(df: DataFrame, cols: list[str], label: str, group: str) -> DataFrame:
-    """Forest, boosting, perceptron and logistic regression on identical folds."""
+    """(family, y, p): forest, boosting, perceptron and logistic regression on identical folds."""
     k = df.select(label).distinct().count() + 1
     makers = {"forest": (forest(), False), "boosting": (OneVsRest(classifier=GBTClassifier(labelCol="idx", maxIter=3, maxDepth=3), labelCol="idx"), False),
               "perceptron": (MultilayerPerceptronClassifier(labelCol="idx", layers=[len(cols), 8, k], maxIter=20, seed=0), True), "logistic": (LogisticRegression(labelCol="idx", maxIter=20), True)}
-    parts = [R.metrics(out_of_fold(df, cols, label, group, model=m, scaled=s).drop("prob", "chances")).select(F.lit(n).alias("family"), "*") for n, (m, s) in makers.items()]
+    parts = [out_of_fold(df, cols, label, group, model=m, scaled=s).select(F.lit(n).alias("family"), "y", "p") for n, (m, s) in makers.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -73,6 +95,33 @@ def select_in_fold(df: DataFrame, cols: list[str], label: str, group: str, sizes
     return reduce(DataFrame.unionByName, out)
 
 
+def stability(selected: DataFrame) -> DataFrame:
+    """(size, feature, folds): in how many training folds of ``select_in_fold`` a feature was picked."""
+    return selected.select("size", F.explode(F.split("features", ",")).alias("feature")).groupBy("size", "feature").agg(F.count("*").alias("folds"))
+
+
+def best_family(per_class: DataFrame) -> DataFrame:
+    """(class, family, f1): the learner with the best F1 of each class, the first by name of equals."""
+    return per_class.groupBy("class").agg(F.min(F.struct(-F.col("f1"), "family", "f1")).alias("b")).select("class", "b.family", "b.f1")
+
+
+def region_arms(obs: DataFrame, target: float, label: str = "label", region: str = "key_region") -> DataFrame:
+    """(rule, y, threshold, flagged): one roadside region alone against any region, each at the threshold of the same
+    benign false-flag rate.
+
+    A unit's score in a region is its pooled RMSE over that region's receivers; any region flags a unit by its largest.
+    """
+    station = ["key_seed", "key_claimedStationId"]
+    scores = G.claim_fit(obs, [*G.TRIPLE, region]).select(*G.TRIPLE, region, F.col("claim_rmse").alias("score"))
+    scores = cut(scores.join(obs.groupBy(*G.TRIPLE).agg(F.mode(label, True).alias("y")), G.TRIPLE), "region-scores")
+    parts = []
+    for rule, rows in (("per region", scores), ("any region", R.any_region(scores, [*G.TRIPLE, "y"]))):
+        t = R.matched_threshold(rows.where("y = 0"), station, target).first()["threshold"]
+        rates = R.flag_rates(rows, [*station, "y"], float("inf") if t is None else t)
+        parts.append(rates.groupBy("y").agg(F.lit(rule).alias("rule"), F.lit(t).cast("double").alias("threshold"), F.count("*").alias("stations"), F.avg("rate").alias("flagged")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_scenario(df: DataFrame, scenario: str, cols: list[str], label: str) -> DataFrame:
     """Each scenario scored by a model of the others and by one of its own other rows, equal training sizes."""
     names = sorted(r[0] for r in df.select(scenario).distinct().collect())  # a handful of scenarios
@@ -93,14 +142,20 @@ def temporal(df: DataFrame, time: str, cut: float, width: float, cols: list[str]
     return R.metrics(score(fitted, late, cols, ["bin", F.col(label).alias("y")]), ["bin"])
 
 
-def separability(df: DataFrame, cols: list[str], label: str, classes: list[int], key: str, cap: int = 2000) -> DataFrame:
-    """AUC of each class against benign on held-out transmitters, and of relabelled benign stations as control."""
+def separability(df: DataFrame, cols: list[str], label: str, classes: list[int], key: str, cap: int | None = None) -> DataFrame:
+    """AUC of each class against benign on held-out transmitters, and of relabelled benign stations as control.
+
+    ``cap`` rows a side where it is given, else all.
+    """
+    def side(rows: DataFrame, y: int) -> DataFrame:
+        return (rows if cap is None else P.sample_n(rows, cap, "key_rxNodeId")).withColumn("y", F.lit(y))
+
     out = []
     for c in [*classes, -1]:
         ben = df.where(F.col(label) == 0)
         pos = ben.where(P.hashed(key, 5) % 2 == 0) if c < 0 else df.where(F.col(label) == c)
         neg = ben.where(P.hashed(key, 5) % 2 == 1) if c < 0 else ben
-        both = P.sample_n(pos, cap, "key_rxNodeId").withColumn("y", F.lit(1)).unionByName(P.sample_n(neg, cap, "key_rxNodeId").withColumn("y", F.lit(0)))
+        both = side(pos, 1).unionByName(side(neg, 0))
         test = P.hashed(key, 9) % 3 == 0
         s = score(fit(both.where(~test), cols, "y"), both.where(test), cols, ["y"]).withColumn("s", F.get("prob", F.lit(1)))
         out.append(R.auc(s, ["s"], "y", [1]).select(F.lit(c).alias("class"), "auc"))

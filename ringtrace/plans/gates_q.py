@@ -92,10 +92,22 @@ def m24(spark, d):
     return L.out_of_fold(A.corpus(spark, d), FS, Y, "label_txNodeId", keep=["key_seed", "key_rxNodeId"]).drop("prob", "chances")
 
 
+@query("m24_fold_seeds")
+def m24s(spark, d):
+    """Predictions from probabilities averaged over three fold seeds; order and line name a row."""
+    key = ["key_seed", "key_rxNodeId"]
+    return L.likeliest(L.out_of_fold_mean(A.corpus(spark, d), FS, Y, "label_txNodeId", key), key)
+
+
 @query("m25_benchmark")
 def m25(spark, d):
     df = A.corpus(spark, d)
-    return L.benchmark(df, {k: v for k, v in P.blocks_of(df, ["phy_discount"]).items() if k in ("app", "phy", "fused")}, Y, "label_txNodeId")
+    return L.benchmark(df, {k: v for k, v in P.blocks_of(df, ["phy_discount"]).items() if k in ("app", "phy", "fused")}, Y, "label_txNodeId", inert=[11])
+
+
+@query("m25_importances")
+def m25i(spark, d):
+    return L.importances(A.corpus(spark, d), FS, Y)
 
 
 def receivers(spark, d):
@@ -117,9 +129,19 @@ def m29(spark, d):
     return L.select_in_fold(A.corpus(spark, d), FS, Y, "label_txNodeId", [1, 3])
 
 
+@query("m29_stability")
+def m29s(spark, d):
+    return L.stability(L.select_in_fold(A.corpus(spark, d), FS, Y, "label_txNodeId", [2]))
+
+
 @query("m30_families")
 def m30(spark, d):
-    return L.families(A.corpus(spark, d), FS, Y, "label_txNodeId")
+    return R.metrics(L.families(A.corpus(spark, d), FS, Y, "label_txNodeId"), ["family"])
+
+
+@query("m30_best_family")
+def m30b(spark, d):
+    return L.best_family(R.class_scores(L.families(A.corpus(spark, d), FS, Y, "label_txNodeId"), ["family"]))
 
 
 @query("m31_cross_scenario")
@@ -148,3 +170,11 @@ def m38(spark, d):
         one = rows.groupBy("y").agg(F.lit(arm).alias("arm"), F.lit(t).alias("threshold"), F.avg((F.col("score") > t).cast("int")).alias("flagged"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("m38_region_arms")
+def m38r(spark, d):
+    """Regions of four roadside units; one region alone and any region at the same benign false-flag rate."""
+    u = A.units(spark, d)
+    rsu = u.select("key_seed").distinct().withColumn("nodeId", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("x", F.col("nodeId") * 1500.0).withColumn("y", F.lit(0.0))
+    return L.region_arms(G.nearest_region(u, rsu), 0.05)

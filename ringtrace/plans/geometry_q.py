@@ -177,10 +177,10 @@ def m10(spark, d):
     return logs(G.position_bound(A.units(spark, d), 2.5, 3.0), LOGS)
 
 
-@query("m12_bound_summary", with_("bound", """SELECT receivers, count(*) AS units, ln(quantile_cont(free_across, 0.5)) AS across, ln(quantile_cont(free_along, 0.5)) AS along, ln(quantile_cont(road_along, 0.5)) AS road, ln(sqrt(avg(free_along ^ 2 + free_across ^ 2))) AS rms FROM
- (SELECT *, CASE WHEN n_obs < 10 THEN '5 to 9' WHEN n_obs < 25 THEN '10 to 24' WHEN n_obs < 85 THEN '25 to 84' ELSE '85 or more' END AS receivers FROM bound) GROUP BY 1"""), "across along road rms")
+@query("m12_bound_summary", with_("bound", """SELECT receivers, count(*) AS units, ln(quantile_cont(free_across, 0.5)) AS across, ln(quantile_cont(free_along, 0.5)) AS along, ln(quantile_cont(free_across, 0.5) / quantile_cont(free_along, 0.5)) AS anisotropy, ln(quantile_cont(road_along, 0.5)) AS road, ln(sqrt(avg(trace))) AS rms, ln(sqrt(avg(CASE WHEN trace <= top THEN trace END))) AS rms_trim FROM
+ (SELECT *, quantile_cont(trace, 0.99) OVER (PARTITION BY receivers) AS top FROM (SELECT *, free_along ^ 2 + free_across ^ 2 AS trace, CASE WHEN n_obs < 10 THEN '5 to 9' WHEN n_obs < 25 THEN '10 to 24' WHEN n_obs < 85 THEN '25 to 84' ELSE '85 or more' END AS receivers FROM bound)) GROUP BY 1"""), "across along anisotropy road rms rms_trim")
 def m12(spark, d):
-    return logs(G.bound_summary(G.position_bound(A.units(spark, d), 2.5, 3.0)), ["across", "along", "road", "rms"])
+    return logs(G.bound_summary(G.position_bound(A.units(spark, d), 2.5, 3.0)), ["across", "along", "anisotropy", "road", "rms", "rms_trim"])
 
 
 cte("moved", "units", """SELECT * REPLACE (CASE WHEN rxNodeId % 4 = 0 THEN CASE WHEN rxNodeId % 8 < 4 THEN o ELSE -o END ELSE rxY END AS rxY), o AS move FROM units, (VALUES (10.0::DOUBLE), (50.0::DOUBLE)) v(o)""")
@@ -221,6 +221,14 @@ def m15(spark, d):
     return G.best_response(A.units(spark, d), [25, 50, 100, 200], lateral=18.0)
 
 
+@query("m15_toward_estimate")
+def m15e(spark, d):
+    """How near the best lies come to where the free fit puts the sender."""
+    u = A.units(spark, d)
+    truth = u.groupBy(*G.TRIPLE).agg(F.max("trueX").alias("trueX"), F.max("trueY").alias("trueY"))
+    return G.toward_estimate(G.best_response(u, [25, 50, 100, 200], lateral=18.0), truth, fits.free_fit(u, 18.0))
+
+
 @query("m16_caught", with_("fit", """SELECT key_seed, avg(CAST(claim_rmse > (SELECT quantile_cont(claim_rmse, 0.95) FROM fit WHERE key_claimedStationId % 5 > 0) AS INT)) AS one_sided,
  avg(CAST(claim_rmse < (SELECT quantile_cont(claim_rmse, 0.025) FROM fit WHERE key_claimedStationId % 5 > 0) OR claim_rmse > (SELECT quantile_cont(claim_rmse, 0.975) FROM fit WHERE key_claimedStationId % 5 > 0) AS INT)) AS two_sided FROM fit WHERE key_claimedStationId % 5 = 0 GROUP BY 1"""), "one_sided two_sided")
 def m16(spark, d):

@@ -143,3 +143,20 @@ def s16v(spark, d):
 @query("s17_export_replay", with_("pred", """SELECT "second", '{"second":' || "second" || ',"cells":[' || string_agg('{"y":' || y || ',"p":' || p || ',"n":' || n || '}', ',' ORDER BY y, p, n) || ']}' AS record FROM (SELECT key_window // 100 AS "second", y, p, count(*) AS n FROM pred GROUP BY ALL) GROUP BY 1"""))
 def s17(spark, d):
     return IO.export_replay(pred(spark, d), F.floor(F.col("key_window") / 100))
+
+
+def split_release(spark, d):
+    return release(spark, d).withColumn("split", F.expr("CASE label_txNodeId % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END"))
+
+
+cte("split_rel", "rel", "SELECT *, CASE label_txNodeId % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split FROM rel")
+
+
+@query("s15_coverage_gaps", with_("split_rel", "SELECT scenario, \"class\", split FROM (SELECT DISTINCT scenario FROM split_rel), (VALUES (0), (1), (11), (13)) c(\"class\"), (VALUES ('train'), ('validation'), ('test')) p(split) WHERE (scenario, \"class\", split) NOT IN (SELECT (scenario, label_attackId, split) FROM split_rel)"))
+def s15g(spark, d):
+    return IO.coverage_gaps(split_release(spark, d), [0, 1, 11, 13])
+
+
+@query("s15_scenario_kinds", with_("split_rel", """SELECT scenario, "rows", transmitters, seeds, gaps, CASE WHEN gaps = 0 THEN 'benchmark' ELSE 'supplementary' END AS kind FROM (SELECT scenario, count(*) AS "rows", count(DISTINCT (key_seed, label_txNodeId)) AS transmitters, count(DISTINCT key_seed) AS seeds, 9 - count(DISTINCT (label_attackId, split)) AS gaps FROM split_rel GROUP BY 1)"""))
+def s15k(spark, d):
+    return IO.scenario_kinds(split_release(spark, d), [0, 1, 11])

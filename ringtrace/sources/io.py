@@ -137,6 +137,20 @@ def scenario_manifest(df: DataFrame) -> DataFrame:
     return df.groupBy("scenario").agg(F.count("*").alias("rows"), F.count_distinct("key_seed", "label_txNodeId").alias("transmitters"), F.count_distinct("key_seed").alias("seeds"))
 
 
+def coverage_gaps(df: DataFrame, declared: list[int], splits=("train", "validation", "test")) -> DataFrame:
+    """(scenario, class, split) without a transmitter, over every declared class and not only those present."""
+    grid = df.select("scenario").distinct().select("scenario", F.explode(F.array(*[F.lit(c) for c in declared])).alias("class"))
+    grid = grid.select("*", F.explode(F.array(*[F.lit(s) for s in splits])).alias("split"))
+    return grid.join(df.select("scenario", F.col("label_attackId").alias("class"), "split").distinct(), ["scenario", "class", "split"], "left_anti")
+
+
+def scenario_kinds(df: DataFrame, declared: list[int]) -> DataFrame:
+    """``scenario_manifest`` with the number of coverage gaps, and the kind: a benchmark has none."""
+    gaps = coverage_gaps(df, declared).groupBy("scenario").agg(F.count("*").alias("gaps"))
+    out = scenario_manifest(df).join(gaps, "scenario", "left").withColumn("gaps", F.coalesce("gaps", F.lit(0).cast("long")))
+    return out.withColumn("kind", F.when(F.col("gaps") == 0, "benchmark").otherwise("supplementary"))
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256, bytes) of every file under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -9,7 +9,7 @@ from ringtrace.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"m25_benchmark", "m29_select_in_fold", "m30_families", "m31_cross_scenario", "m34_separability", "m17_estimator_study"}
+SLOW = {"m25_benchmark", "m29_select_in_fold", "m30_families", "m30_best_family", "m29_stability", "m31_cross_scenario", "m34_separability", "m17_estimator_study"}
 QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 
