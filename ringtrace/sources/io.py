@@ -116,6 +116,36 @@ def read_nextgen(spark: SparkSession, path: str) -> DataFrame:
     return out.where("messageID IS NOT NULL AND sender IS NOT NULL AND claimedX IS NOT NULL AND claimedY IS NOT NULL")
 
 
+#: Attack code of each variant of these logs, which only the path names.
+NEXTGEN_VARIANTS = {"constantPositionOffset": 2, "randomPositionOffset": 1}
+
+
+def read_nextgen_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """A folder with one JSON array for each receiver (``veh_N.json``): positions as text, times in nanoseconds.
+
+    The variant, hence the attack code, comes from the path; fails if it names none or both.  Records
+    without sender, receiver or a number go.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "veh_*.json").load(path).select("path")
+    named = files.agg(*[F.count_if(F.contains("path", F.lit(v))).alias(v) for v in NEXTGEN_VARIANTS]).first()
+    found = [v for v in NEXTGEN_VARIANTS if named[v]]
+    if len(found) != 1:
+        raise ValueError(f"the path names {found or 'none'} of {sorted(NEXTGEN_VARIANTS)}")
+    schema = "rcvTime string, sender_id string, messageID string, attacker string, sender struct<pos string, spd string, hed string>, receiver struct<pos string>"
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "veh_*.json").json(path)
+
+    def part(column: str, k: int):
+        return F.get(F.split(column, ","), F.lit(k)).try_cast("double")
+
+    out = rows.select(
+        (F.col("rcvTime").try_cast("double") / 1e6).alias("rxTimeMs"), F.regexp_extract("sender_id", "([^_]*)$", 1).try_cast("long").alias("claimedStationId"), F.col("messageID").try_cast("long").alias("msgUid"),
+        part("sender.pos", 0).alias("claimedX"), part("sender.pos", 1).alias("claimedY"), part("receiver.pos", 0).alias("rxX"), part("receiver.pos", 1).alias("rxY"),
+        F.col("sender.spd").try_cast("double").alias("claimedSpeed"), F.pmod(F.col("sender.hed").try_cast("double"), F.lit(360.0)).alias("claimedHeading"),
+        F.when(F.coalesce(F.col("attacker").try_cast("int"), F.lit(0)) != 0, NEXTGEN_VARIANTS[found[0]]).otherwise(0).alias("label_attackId"),
+        F.regexp_extract(F.input_file_name(), r"veh_(\d+)", 1).try_cast("long").alias("rxNodeId"))
+    return out.na.drop(subset=[c for c in out.columns if c != "rxNodeId"])
+
+
 def require_fields(df: DataFrame, cols: list[str]) -> DataFrame:
     lacking = [c for c in cols if c not in df.columns]
     if lacking:

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from ringtrace.functions import scalars as S
-from ringtrace.operators import asof, features as X, fits, gates as Q, geometry as G, partition as P, reports as R
+from ringtrace.operators import asof, features as X, fits, gates as Q, geometry as G, learn as L, partition as P, reports as R
 from ringtrace.sources import adapters as A, io as IO
 
 SF = "/root/testdata/sf0.001"
@@ -268,3 +268,71 @@ def test_soft_votes_follow_the_mean_chance(spark):
     df = spark.createDataFrame(rows, "key string, rxNodeId long, y int, p int, chances map<int,double>")
     got = {r.arm: r.p for r in L.pool_arms(df, ["key"]).collect()}
     assert got["vote"] == 3 and got["vote-soft"] == 7 and got["single"] in (3, 7)
+
+
+def test_nextgen_arrays(spark, tmp_path):
+    import json
+
+    home = tmp_path / "constantPositionOffset" / "logs"
+    home.mkdir(parents=True)
+    good = {"rcvTime": 2_500_000, "sender_id": "veh_7", "messageID": 5, "attacker": 1, "sender": {"pos": "1.5,2,0", "spd": "3", "hed": "-90"}, "receiver": {"pos": "4,5,0"}}
+    (home / "veh_3.json").write_text(json.dumps([good, good | {"sender": {"pos": "x,2", "spd": "3", "hed": "0"}}, good | {"receiver": None}, good | {"attacker": 0, "messageID": 6}]))
+    (home / "veh_4.json").write_text("[]")
+    rows = {r.msgUid: r for r in IO.read_nextgen_arrays(spark, str(tmp_path)).collect()}
+    assert set(rows) == {5, 6} and (rows[5].label_attackId, rows[6].label_attackId) == (2, 0)
+    assert tuple(rows[5])[:9] == (2.5, 7, 5, 1.5, 2.0, 4.0, 5.0, 3.0, 270.0) and rows[5].rxNodeId == 3
+    (tmp_path / "randomPositionOffset").mkdir()
+    (tmp_path / "randomPositionOffset" / "veh_1.json").write_text("[]")
+    with pytest.raises(ValueError, match="names"):
+        IO.read_nextgen_arrays(spark, str(tmp_path))
+
+
+def campaign_tx(spark, heading, lies):
+    """Ten benign stations with errors up to 4 m, and stations of the classes in ``lies`` with their offsets."""
+    rows = [(s, t, t * 7 + s, 2, 0, float(t % 5), heading) for s in range(10) for t in range(0, 50)]
+    rows += [(100 * c + k, t, t * 7, 2, c, off, 0.0) for c, offs in lies.items() for k, off in enumerate(offs) for t in range(20)]
+    df = pd.DataFrame(rows, columns=["txNodeId", "msgUid", "txTimeMs", "msgType", "attackId", "claimedX", "claimedHeading"])
+    df["txTimeMs"] = df.msgUid**2 % 97
+    return spark.createDataFrame(df.assign(claimedY=0.0, trueX=0.0, trueY=0.0, trueHeading=0.0))
+
+
+@pytest.mark.parametrize("heading, lies, failed", [
+    (359.0, {1: [150.0], 11: [12.0, 14.0], 13: [40.0]}, set()),
+    (0.5, {11: [12.0], 13: [40.0]}, {"heading"}),
+    (2.0, {11: [12.0, 50.0], 13: [40.0]}, {"bands"}),
+    (2.0, {1: [0.0, 0.0, 90.0]}, {"silent"}),
+    (2.0, {}, {"attackers"}),
+])
+def test_campaign_problems(spark, heading, lies, failed):
+    stations = spark.createDataFrame([(1, 1, "rsu")], "nodeId long, stationId long, role string")
+    assert {r.check for r in Q.check_campaign(campaign_tx(spark, heading, lies), stations).collect() if not r.ok} == failed
+
+
+def test_region_arms_match_rates(spark):
+    u = A.units(spark, SF).withColumn("key_region", F.col("rxNodeId") % 3)
+    got = {(r.rule, r.y): r for r in L.region_arms(u, 0.2).collect()}
+    s = G.claim_fit(u, [*G.TRIPLE, "key_region"]).withColumn("y", (F.col("key_claimedStationId") % 5 == 0).cast("int")).toPandas()
+    best = s.groupby([*G.TRIPLE, "y"], as_index=False).claim_rmse.max()
+    for rule, rows in (("per region", s), ("any region", best)):
+        t = got[rule, 0].threshold
+        rate = rows.assign(f=rows.claim_rmse > t).groupby(["key_seed", "key_claimedStationId", "y"]).f.mean().groupby("y").mean()
+        assert rate[0] <= 0.2 and got[rule, 0].flagged == pytest.approx(rate[0]) and got[rule, 1].flagged == pytest.approx(rate[1])
+
+
+def test_choices_of_learners(spark):
+    picked = spark.createDataFrame([(0, 2, "a,b"), (1, 2, "b,c"), (0, 1, "b")], "fold int, size int, features string")
+    assert {tuple(r) for r in L.stability(picked).collect()} == {(2, "a", 1), (2, "b", 2), (2, "c", 1), (1, "b", 1)}
+    f1 = spark.createDataFrame([(0, "forest", 0.5), (0, "boosting", 0.5), (1, "forest", 0.9), (1, "boosting", 0.2)], "class int, family string, f1 double")
+    assert {tuple(r) for r in L.best_family(f1).collect()} == {(0, "boosting", 0.5), (1, "forest", 0.9)}
+    ch = spark.createDataFrame([("r", 0, 0, 0.4), ("r", 0, 1, 0.4), ("r", 0, 11, 0.2)], "k string, y int, class int, chance double")
+    assert [tuple(r) for r in L.likeliest(ch, ["k"]).collect()] == [("r", 0, 0)]
+
+
+def test_distance_of_lies_to_the_estimate(spark):
+    key = "key_seed string, key_claimedStationId long, key_window long"
+    lies = spark.createDataFrame([("s", 1, 1, 10.0, 90.0), ("s", 2, 1, 10.0, None)], key + ", level double, direction double")
+    truth = spark.createDataFrame([("s", 1, 1, 5.0, 0.0), ("s", 2, 1, 0.0, 0.0)], key + ", trueX double, trueY double")
+    est = spark.createDataFrame([("s", 1, 1, 5.0, 4.0)], key + ", estX double, estY double")
+    rows = {r.key_claimedStationId: r for r in G.toward_estimate(lies, truth, est).collect()}
+    assert rows[1].claim_to_estimate == pytest.approx(6.0) and rows[1].truth_to_estimate == pytest.approx(4.0)
+    assert rows[2].claim_to_estimate is None and rows[2].truth_to_estimate is None
