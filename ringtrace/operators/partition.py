@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import hash_rank
+
 STATION = ["key_seed", "label_txNodeId"]
 PRINT_BUCKETS = 1024
 
@@ -168,8 +170,7 @@ def own_error(tx: DataFrame, window_ms: float) -> DataFrame:
     w = F.floor(F.col("txTimeMs") / window_ms).alias("window")
     own = tx.groupBy("txNodeId", w).agg(F.avg(F.col("claimedX") - F.col("trueX")).alias("ex"), F.avg(F.col("claimedY") - F.col("trueY")).alias("ey"), F.max("attackId").alias("attack"))
     kinds = own.groupBy("txNodeId").agg(F.max("attack").alias("attack"))
-    rank = F.row_number().over(Window.partitionBy("honest").orderBy(hashed("txNodeId"), "txNodeId")) - 1
-    ranked = kinds.withColumn("honest", F.col("attack") == 0).withColumn("r", rank)  # one row a vehicle
+    ranked = hash_rank(kinds.withColumn("honest", F.col("attack") == 0), ["honest"], hashed("txNodeId"), ["txNodeId"], "r", "n").withColumn("r", F.col("r") - 1)  # one row a vehicle
     donors = ranked.where("honest").select(F.col("txNodeId").alias("donor"), F.col("r").alias("dr"))
     n = donors.count()
     lent = ranked.where("NOT honest").select("txNodeId", (F.col("r") % max(n, 1)).alias("dr")).join(donors, "dr").select("txNodeId", "donor")
@@ -204,9 +205,7 @@ def multi(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 def assign(st: DataFrame, fractions=(0.6, 0.2), seed: int = 0) -> DataFrame:
     """Train, validation and test per station, stratified by class; each is non-empty from three stations on."""
-    group = Window.partitionBy("label_attackId")
-    r = F.row_number().over(group.orderBy(hashed("label_txNodeId", seed), "key_seed", "label_txNodeId"))
-    st = st.withColumn("r", r).withColumn("n", F.count("*").over(group))
+    st = hash_rank(st, ["label_attackId"], hashed("label_txNodeId", seed), ["key_seed", "label_txNodeId"], "r", "n")
     tr, va = F.rint(F.col("n") * fractions[0]), F.rint(F.col("n") * fractions[1])
     st = st.withColumn("tr", F.when(F.col("n") >= 3, F.greatest(F.lit(1.0), F.least(tr, F.col("n") - 2))).otherwise(tr))
     st = st.withColumn("va", F.when(F.col("n") >= 3, F.greatest(F.lit(1.0), F.least(va, F.col("n") - F.col("tr") - 1))).otherwise(va))
@@ -219,8 +218,8 @@ def grouped_folds(df: DataFrame, group: str, k: int, y: str | None = None, seed:
     if y is None:  # by hash alone: no sort of all groups
         return df.select(group).distinct().select(group, (hashed(group, seed) % k).cast("int").alias("fold"))
     groups = df.groupBy(group).agg(F.mode(y, True).alias("y"))
-    r = F.row_number().over(Window.partitionBy("y").orderBy(hashed(group, seed), group))
-    return groups.select(group, ((r - 1) % k).alias("fold"))
+    ranked = hash_rank(groups, ["y"], hashed(group, seed), [group], "r", "n")
+    return ranked.select(group, ((F.col("r") - 1) % k).cast("int").alias("fold"))
 
 
 def sample_n(df: DataFrame, n: int, key, seed: int = 0) -> DataFrame:
@@ -269,8 +268,7 @@ def clients(df: DataFrame, column: str, least: int, seed: int = 0) -> DataFrame:
 def holdout_tx(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Transmitters held out within each class."""
     tx = df.groupBy("label_txNodeId").agg(F.mode("label_attackId", True).alias("class"))
-    g = Window.partitionBy("class")
-    r = tx.withColumn("r", F.row_number().over(g.orderBy(hashed("label_txNodeId", seed), "label_txNodeId"))).withColumn("n", F.count("*").over(g))
+    r = hash_rank(tx, ["class"], hashed("label_txNodeId", seed), ["label_txNodeId"], "r", "n")
     return r.where(F.col("r") <= F.ceil(F.col("n") * fraction)).select("label_txNodeId", "class")
 
 

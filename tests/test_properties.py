@@ -4,10 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ringtrace.functions import scalars as S
 from ringtrace.operators import asof, features as X, fits, gates as Q, geometry as G, learn as L, partition as P, reports as R
+from ringtrace.operators.ranks import hash_rank
 from ringtrace.sources import adapters as A, io as IO
 
 SF = "/root/testdata/sf0.001"
@@ -336,3 +337,14 @@ def test_distance_of_lies_to_the_estimate(spark):
     rows = {r.key_claimedStationId: r for r in G.toward_estimate(lies, truth, est).collect()}
     assert rows[1].claim_to_estimate == pytest.approx(6.0) and rows[1].truth_to_estimate == pytest.approx(4.0)
     assert rows[2].claim_to_estimate is None and rows[2].truth_to_estimate is None
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_hash_rank_is_a_row_number(spark, bits):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(None if k == 3 else int(k), int(i)) for i, k in enumerate(rng.choice(4, 500, p=[0.7, 0.1, 0.1, 0.1]))], "k int, id long")
+    h = P.hashed("id") % 50 * 85899345  # ties, over the whole range
+    got = {r.id: (r.r, r.n) for r in hash_rank(df, ["k"], h, ["id"], "r", "n", bits).collect()}
+    g = Window.partitionBy("k")
+    want = {r.id: (r.r, r.n) for r in df.withColumn("r", F.row_number().over(g.orderBy(h, "id"))).withColumn("n", F.count("*").over(g)).collect()}
+    assert got == want and hash_rank(df.limit(0), ["k"], h, ["id"], "r", "n").count() == 0
