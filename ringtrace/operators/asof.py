@@ -16,12 +16,16 @@ def asof_nearest(
     left_id: str,
     right_id: str,
     tolerance: float | None = None,
+    slice_of: float | None = None,
 ) -> DataFrame:
     """``left`` with ``carry`` columns of the row of ``right`` nearest in time under equal keys.
 
     ``by`` maps left key columns to right ones.  At equal distance the earlier row wins, among equal
     times before the left row the one with the largest ``right_id``, after it the smallest.  A left
     row with a null key, or with nothing within ``tolerance`` (inclusive), gets nulls.
+
+    With ``slice_of``, a length of time, a key is cut into slices of it: rows are sorted inside a slice only, and
+    the last and first row of ``right`` in the slices around it are carried in, so a busy key is many tasks.
     """
     keys = [f"__k{n}" for n in range(len(by))]
     payload = F.struct(F.col(right_time).alias("t"), *[F.col(c) for c in carry])
@@ -39,10 +43,18 @@ def asof_nearest(
         F.lit(0).alias("__side"), F.col(left_id).cast("long").alias("__rid"), apart.alias("__apart"),
     )
     both = own.unionByName(rows, allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "__apart").orderBy("__t", F.desc("__side"), "__rid")
+    both = both.withColumn("__w", F.lit(0) if slice_of is None else F.floor(F.col("__t") / slice_of))
+    order = Window.partitionBy(*keys, "__apart", "__w").orderBy("__t", F.desc("__side"), "__rid")
     back = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     found = both.withColumn("__b", back).withColumn("__f", ahead).where("__side = 0")
+    if slice_of is not None:
+        at = F.when(F.col("__side") == 1, F.struct("__t", "__rid"))
+        ends = both.where("__apart IS NULL").groupBy(*keys, "__w").agg(F.max_by("__r", at).alias("__last"), F.min_by("__r", at).alias("__first"))
+        along = Window.partitionBy(*keys).orderBy("__w")  # a row a slice
+        ends = ends.select(*keys, "__w", F.last("__last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__past"),
+                           F.first("__first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__next"))
+        found = found.join(ends, [*keys, "__w"], "left").withColumn("__b", F.coalesce("__b", "__past")).withColumn("__f", F.coalesce("__f", "__next"))
     earlier = F.col("__f").isNull() | (F.col("__t") - F.col("__b.t") <= F.col("__f.t") - F.col("__t"))
     best = F.when(F.col("__b").isNotNull() & earlier, F.col("__b")).otherwise(F.col("__f"))
     near = F.lit(True) if tolerance is None else F.abs(F.col("__t") - F.col("__m.t")) <= tolerance

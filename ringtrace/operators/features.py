@@ -54,23 +54,23 @@ def mode_by(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame
     return df.groupBy(*keys).agg(F.mode(column, True).alias(name))
 
 
-def radio_match(rx: DataFrame, pssch: DataFrame, tolerance: float) -> DataFrame:
+def radio_match(rx: DataFrame, pssch: DataFrame, tolerance: float, slice_of: float | None = None) -> DataFrame:
     """Each message with the nearest data-channel reception of its radio."""
     return asof_nearest(rx, pssch, "rxTimeMs", "timeMs", {"rxNodeId": "rxNodeId", "radio": "txRnti"},
-                        ["sinr", "tbler", "corrupt", "mcs"], "msgUid", "radioUid", tolerance)
+                        ["sinr", "tbler", "corrupt", "mcs"], "msgUid", "radioUid", tolerance, slice_of)
 
 
-def power_match(rx: DataFrame, pscch: DataFrame, tolerance: float) -> DataFrame:
+def power_match(rx: DataFrame, pscch: DataFrame, tolerance: float, slice_of: float | None = None) -> DataFrame:
     """Each message with the power of the nearest decoded control channel of its radio."""
     return asof_nearest(rx, pscch.where("corrupt = 0"), "rxTimeMs", "timeMs", {"rxNodeId": "rxNodeId", "radio": "txRnti"},
-                        ["slRsrpDbm"], "msgUid", "radioUid", tolerance)
+                        ["slRsrpDbm"], "msgUid", "radioUid", tolerance, slice_of)
 
 
-def owned_channels(pscch: DataFrame, rx: DataFrame) -> DataFrame:
+def owned_channels(pscch: DataFrame, rx: DataFrame, slice_of: float | None = None) -> DataFrame:
     """Each decoded control channel with the identity whose message from that radio is nearest in time."""
     heard = rx.where("radio IS NOT NULL").select("rxNodeId", "radio", "rxTimeMs", "claimedStationId", "msgUid")
     return asof_nearest(pscch.where("corrupt = 0"), heard, "timeMs", "rxTimeMs", {"rxNodeId": "rxNodeId", "txRnti": "radio"},
-                        ["claimedStationId"], "radioUid", "msgUid")
+                        ["claimedStationId"], "radioUid", "msgUid", slice_of=slice_of)
 
 
 def rsrp_stats(owned: DataFrame, window_ms: float) -> DataFrame:

@@ -118,13 +118,13 @@ def j01(spark, d):
 @query("j02_asof_data_channel", with_("rx near_radio", "SELECT msgUid, sinr, tbler, corrupt, mcs FROM rx LEFT JOIN near_radio USING (msgUid)"), "sinr tbler")
 def j02(spark, d):
     rows = A.rx(spark, d).withColumn("radio", F.col("claimedStationId"))
-    return X.radio_match(rows, A.pssch(spark, d), TOL).select("msgUid", "sinr", "tbler", "corrupt", "mcs")
+    return X.radio_match(rows, A.pssch(spark, d), TOL, A.WEEK_MS).select("msgUid", "sinr", "tbler", "corrupt", "mcs")
 
 
 @query("j03_asof_control_power", with_("rx near_power", "SELECT msgUid, slRsrpDbm FROM rx LEFT JOIN near_power USING (msgUid)"), "slRsrpDbm")
 def j03(spark, d):
     rows = A.rx(spark, d).withColumn("radio", F.col("claimedStationId"))
-    return X.power_match(rows, A.pssch(spark, d), TOL).select("msgUid", "slRsrpDbm")
+    return X.power_match(rows, A.pssch(spark, d), TOL, A.WEEK_MS).select("msgUid", "slRsrpDbm")
 
 
 @query("j04_channel_owner", with_("owner", "SELECT radioUid, claimedStationId FROM owner"))

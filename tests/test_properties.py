@@ -14,15 +14,16 @@ from ringtrace.sources import adapters as A, io as IO
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("slice_of", [None, 7.0, 1000.0])
 @pytest.mark.parametrize("tolerance", [None, 5.0])
-def test_asof_equals_pandas(spark, tolerance):
+def test_asof_equals_pandas(spark, tolerance, slice_of):
     rng = np.random.default_rng(1)
     left = pd.DataFrame({"id": range(800), "k": rng.integers(0, 4, 800), "t": rng.integers(0, 300, 800).astype(float)})
     right = pd.DataFrame({"rid": range(800), "k": rng.integers(0, 5, 800), "t2": rng.integers(0, 300, 800).astype(float)})
     right["v"] = right.rid * 10
     want = pd.merge_asof(left.sort_values(["t", "id"]), right.sort_values(["t2", "rid"]), left_on="t", right_on="t2", by="k", direction="nearest", tolerance=tolerance)
     lost = spark.createDataFrame([(9001, None, 5.0)], "id long, k long, t double")
-    got = asof.asof_nearest(spark.createDataFrame(left).union(lost), spark.createDataFrame(right), "t", "t2", {"k": "k"}, ["v"], "id", "rid", tolerance)
+    got = asof.asof_nearest(spark.createDataFrame(left).union(lost), spark.createDataFrame(right), "t", "t2", {"k": "k"}, ["v"], "id", "rid", tolerance, slice_of)
     got = {r.id: r.v for r in got.collect()}
     assert got.pop(9001) is None
     assert got == {i: None if pd.isna(v) else int(v) for i, v in zip(want.id, want.v)}
