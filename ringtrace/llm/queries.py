@@ -8,10 +8,10 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality, reshard, secretscan, simhash, tokencount, urlfilter, vecdedup
+from . import align, ann, bpe, bytebpe, mixing, phrases, quality, reshard, secretscan, simhash, tokencount, urlfilter, vecdedup
 from .shared import new_path, table
 
-ORACLES: dict[str, str] = {"op2_mix_to_weights": mixing.ORACLE, "op5_url_redirect_filter": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op2_mix_to_weights": mixing.ORACLE, "op5_url_redirect_filter": urlfilter.ORACLE, "op12_phrase_collocations": phrases.ORACLE}
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +76,17 @@ def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False, keep_decoded=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
