@@ -62,12 +62,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 16 hash shards to 24 of near equal bytes; the rows are read back from the shards' new files.
 
-    The table has no shards yet, so the old ones are dealt by a hash of the text, and all are affected.
+    The table has no shards yet: the old ones are dealt by a hash of the text, and all are written.
     """
     docs = table(spark, sf_dir, "documents")
     path = new_path(spark, "reshard-files")
     old = reshard.hash_layout(F.xxhash64("text"), 16)
-    reshard.rewrite_affected(docs, old, 24, path)
+    reshard.rewrite_affected(docs, old, 24, path, has_files=False)
     kept = T.StructType([docs.schema["doc_id"], docs.schema["text"], T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     placed = spark.read.schema(kept).parquet(path) if docs.take(1) else spark.createDataFrame([], kept)
     return placed.select(

@@ -204,6 +204,21 @@ def _plan(ends: list[tuple[int, int, int, int]]) -> Column:
     return (F.lit(0) if out is None else out).cast("int")
 
 
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``copy``, a number from 0 among the rows of a key: each partition of the join that made them numbers
+    its own, which AQE splits where a key is large, and their counts are added up."""
+    rows = cut(rows.withColumn("part", F.spark_partition_id()), "reshard-copies")
+    names = [f"k{n}" for n in range(len(keys))]
+    counts = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("part").alias("p")).agg(F.count("*").alias("c"))
+    ahead = Window.partitionBy(*names).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.lit(0))) - 1
+    same = F.col("part") == F.col("p")
+    for k, n in zip(keys, names):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return rows.withColumn("inside", inside).join(counts, same).withColumn("copy", F.col("ahead") + F.col("inside"))
+
+
 def rewrite_affected(
     docs: DataFrame,
     old_shard: Column,
@@ -213,26 +228,28 @@ def rewrite_affected(
     text_col: str = "text",
     cost=lambda i, j: 0 if i == j else 1,
     tolerance: float = 0.005,
+    has_files: bool = True,
 ) -> list[int]:
     """Place ``docs`` as ``reshard`` does and write the new files of the shards that give or get rows.
 
+    The files of other shards stay as they are; with ``has_files=False``, for an old layout that is only a rule, there
+    are none yet and every shard is written.
+
     Files go to ``path/shard=N`` in slot order with all columns of ``docs`` and a column ``slot``; a shard
-    is several files, none of much over ``PER_FILE`` rows.  Returns the numbers of the written shards;
-    the files of all others stay as they are.  Null and repeated ids keep all their rows.  Columns of
+    is several files, none of much over ``PER_FILE`` rows.  Returns the numbers of the written shards.  Null and repeated ids keep all their rows.  Columns of
     ``docs`` that are called shard or slot are replaced.
     """
     lines = _placed(docs, old_shard, new_shards, id_col, text_col, cost, tolerance)
     moved = lines.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("k")).distinct()
-    touched = sorted(r["k"] for r in moved.collect() if r["k"] < new_shards)  # shard numbers
+    touched = sorted(r["k"] for r in moved.collect() if r["k"] < new_shards) if has_files else list(range(new_shards))  # shard numbers
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     new = lines.where(F.col("shard").isin(touched))
     keys = [F.struct(*_keyed(docs, old_shard, id_col, text_col)).alias("key")]
     rows = docs.select(*keys, F.struct(*[docs[c] for c in names]).alias("row"))
     same = [F.col(f"key.{c}").eqNullSafe(F.col(c)) for c in ROW]
     both = rows.join(new, same[1] & same[0] & same[2] & same[3] & same[4])
-    copies = Window.partitionBy(*[f"key.{c}" for c in ROW]).orderBy(F.lit(0))
     single = both.where("n = 1").select("row", "shard", "slot")
-    again = both.where("n > 1").select("row", "shard", (F.col("slot") + F.row_number().over(copies) - 1).alias("slot"))
+    again = _numbered(both.where("n > 1"), [f"key.{c}" for c in ROW]).select("row", "shard", (F.col("slot") + F.col("copy")).alias("slot"))
     piece = F.floor(F.col("slot") / PER_FILE)
     out = single.union(again).repartition("shard", piece).sortWithinPartitions("shard", "slot")
     out.select("row.*", "slot", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)

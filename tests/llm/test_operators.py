@@ -679,6 +679,24 @@ def test_shards_are_even_gapless_and_repeatable(spark, odd, empty, tmp_path):
     assert reshard.rewrite_affected(odd, F.lit(1), 2, str(tmp_path / "more")) == [0, 1]
 
 
+@pytest.mark.parametrize("n", [1, 16, 20, 60, 200])
+def test_every_row_comes_back_from_the_files(spark, tmp_path, n):
+    rng = random.Random(n)
+    rows = [(k // 3 if n == 200 else k, "equal" if n == 16 else f"text {k // 3} " * rng.randrange(1, 9), None) for k in range(n)]
+    documents(spark, rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_flow_reshard(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    for s in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_copies_are_numbered_over_parts(spark):
+    rows = spark.createDataFrame([(k % 2, None) for k in range(50)], "a long, b string").repartition(5)
+    got = reshard._numbered(rows, ["a", "b"]).collect()
+    assert sorted((r.a, r.copy) for r in got) == [(a, k) for a in (0, 1) for k in range(25)]
+
+
 def test_equal_texts_stay_together_and_large_groups_are_cut(spark):
     rng = random.Random(12)
     rows = [(k, f"copy {k // 3}", "a") for k in range(3000)] + [(5000 + k, "hot text of a third of all rows", "a") for k in range(1500)] + [(None, "no id", "b")] * 300
