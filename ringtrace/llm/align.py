@@ -33,7 +33,7 @@ from .bpe import byte_symbols, slices
 from .shared import cut, drop, tidy
 
 #: Bytes of text in a block, units a task remembers, and characters from which a unit is not remembered.
-BLOCK, CACHED_UNITS, LONG = 12_000_000, 400_000, 256
+BLOCK, CACHED_UNITS, LONG = 6_000_000, 250_000, 256
 #: An id pair is one number: the first id times this, plus the second.
 SECOND = 1 << 31
 #: Blanks at which a text is not cut, besides one at its start.
