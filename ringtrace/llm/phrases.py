@@ -24,7 +24,7 @@ from .bpe import slices
 from .shared import cut, drop, tidy
 
 #: Bytes of text in a block; side of a tile, tiles a side that may be dense, and the share of a tile's cells its pairs must reach.
-BLOCK, TILE, DENSE_TILES, DENSE_SHARE = 24_000_000, 1024, 16, 1 / 16
+BLOCK, TILE, DENSE_TILES, DENSE_SHARE = 8_000_000, 1024, 16, 1 / 16
 #: Ids are 32-bit.
 MOST_IDS = (1 << 31) - 1
 #: Words are ``[^\x20\x09]+`` in pieces between ``[.,;:!?\x0A-\x0D]``; A-Z are lower-cased.
@@ -169,6 +169,8 @@ def _replaced(arrays: DataFrame, found: DataFrame, neighbours: bool) -> DataFram
         out = np.full(len(wanted), -1, np.int64)
         hit = keys[at] == wanted
         out[hit] = values[at[hit]]
+        del keys, values, order, wanted, at, hit, ids
+        tidy()
         return pa.table({"block": mine.column("block"), "ids": pa.array([out.astype("<i4").tobytes()], pa.binary())})
 
     return arrays.select("block", "ids").groupBy("block").cogroup(found.select("block", "key", "id").groupBy("block")).applyInArrow(run, "block long, ids binary")
