@@ -63,13 +63,31 @@ def asof_nearest(
     )
 
 
-def position_at(queries: DataFrame, positions: DataFrame, by: list[str], query_time: str, time: str, carry: list[str], query_id: str) -> DataFrame:
-    """``queries`` with ``carry`` of the first position at or after the time; past the end, the last one."""
-    rows = positions.select(*by, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.struct(*carry).alias("__r"))
-    own = queries.select("*", F.col(query_time).alias("__t"), F.lit(0).alias("__side"))
+def position_at(
+    queries: DataFrame, positions: DataFrame, by: list[str], query_time: str, time: str, carry: list[str], query_id: str, slice_of: float | None = None,
+) -> DataFrame:
+    """``queries`` with ``carry`` of the first position at or after the time; past the end, the last one.
+
+    With ``slice_of``, a length of time, a key is cut into slices of it: rows are sorted inside a slice only, and the
+    first position of the slices behind and the last of those before are carried in.
+    """
+    rows = positions.select(*by, F.col(time).cast("double").alias("__t"), F.lit(1).alias("__side"), F.struct(*carry).alias("__r"))
+    own = queries.select("*", F.col(query_time).cast("double").alias("__t"), F.lit(0).alias("__side"))
     both = own.unionByName(rows, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("__t", "__side", query_id)
+    both = both.withColumn("__w", F.lit(0) if slice_of is None else F.floor(F.col("__t") / slice_of))
+    order = Window.partitionBy(*by, "__w").orderBy("__t", "__side", query_id)
     after = F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     before = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("__m", F.coalesce(after, before)).where("__side = 0")
-    return found.select(*queries.columns, *[F.col(f"__m.{c}").alias(c) for c in carry])
+    found = both.withColumn("__a", after).withColumn("__b", before).where("__side = 0")
+    if slice_of is not None:
+        at = F.when(F.col("__side") == 1, F.col("__t"))
+        names = [f"__k{n}" for n in range(len(by))]
+        ends = both.groupBy(*[F.col(c).alias(k) for c, k in zip(by, names)], F.col("__w").alias("__s")).agg(F.max_by("__r", at).alias("__last"), F.min_by("__r", at).alias("__first"))
+        along = Window.partitionBy(*names).orderBy("__s")  # a row a slice
+        ends = ends.withColumn("__past", F.last("__last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+        ends = ends.withColumn("__next", F.first("__first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)))
+        same = F.col("__w").eqNullSafe(F.col("__s"))
+        for c, k in zip(by, names):
+            same = same & F.col(c).eqNullSafe(F.col(k))
+        found = found.join(ends, same, "left").withColumn("__a", F.coalesce("__a", "__next")).withColumn("__b", F.coalesce("__b", "__past"))
+    return found.withColumn("__m", F.coalesce("__a", "__b")).select(*queries.columns, *[F.col(f"__m.{c}").alias(c) for c in carry])

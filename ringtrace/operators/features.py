@@ -92,12 +92,13 @@ def neighbours(rx: DataFrame, window_ms: float) -> DataFrame:
         F.count_distinct("claimedStationId").alias("phy_neighbours"))
 
 
-def window_features(rows: DataFrame, window_ms, extra_keys: list[str] | None = None) -> DataFrame:
+def window_features(rows: DataFrame, window_ms, extra_keys: list[str] | None = None, window: Column | None = None) -> DataFrame:
     """One pass over residual rows (with ``seq_gap``) to the application features of each link and window.
 
-    Radio statistics are added where the rows carry radio columns.
+    Radio statistics are added where the rows carry radio columns.  A stream gives its own ``window``, an expression of
+    its event time.
     """
-    rows = rows.withColumn("window", S.window_index("rxTimeMs", window_ms))
+    rows = rows.withColumn("window", S.window_index("rxTimeMs", window_ms) if window is None else window)
     gaps = F.sum("seq_gap")
     aggs = [
         F.count("*").alias("app_n_msgs"), F.count_if(F.col("msgType") == 2).alias("app_n_cam"),

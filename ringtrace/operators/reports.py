@@ -282,25 +282,6 @@ def binned_mean(df: DataFrame, x: Column, edges: list[float], **values: Column)
     return df.groupBy(S.cut_bins(x, edges).alias("bin")).agg(F.count("*").alias("n"), *[F.avg(v.cast("double")).alias(k) for k, v in values.items()])
 
 
-def binned_quantiles(df: DataFrame, x: Column, edges: list[float], y: Column) -> DataFrame:
-    return df.groupBy(S.cut_bins(x, edges).alias("bin")).agg(F.count("*").alias("n"), *[F.percentile(y, F.lit(q)).alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
-
-
-def prr_pairs(tx: DataFrame, stations: DataFrame, heard: DataFrame) -> DataFrame:
-    """(key_seed, sender, receiver, sent, got): messages of every sender against every other station of its seed.
-
-    Counts are taken before stations meet, so the grid has a row for each two stations that can meet, not
-    for each message and station.
-    """
-    sent = tx.groupBy("key_seed", F.col("claimedStationId").alias("sender")).agg(F.count("*").alias("sent"))
-    others = stations.select("key_seed", F.col("stationId").alias("receiver")).distinct()
-    heard = heard.select("msgUid", F.col("rxNodeId").alias("receiver")).distinct()
-    got = tx.select("key_seed", "msgUid", F.col("claimedStationId").alias("sender")).join(heard, "msgUid")
-    got = got.groupBy("key_seed", "sender", "receiver").agg(F.count("*").alias("got"))
-    grid = sent.join(others, "key_seed").where("sender <> receiver")
-    return grid.join(got, ["key_seed", "sender", "receiver"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
-
-
 def cbr_summary(tx: DataFrame) -> DataFrame:
     span = (F.max("txTimeMs") - F.min("txTimeMs")) / 1000.0
     return tx.agg(F.avg("txCbr").alias("mean"), F.percentile("txCbr", F.lit(0.5)).alias("median"), F.percentile("txCbr", F.lit(0.95)).alias("p95"), F.max("txCbr").alias("most"),

@@ -53,6 +53,7 @@ cte("tx", "rx", """SELECT key_seed, msgUid, rxTimeMs AS txTimeMs, claimedStation
  claimedSpeed, claimedHeading, claimedX - CASE claimedStationId % 5 WHEN 0 THEN 150 WHEN 1 THEN 12 ELSE msgUid % 9 - 4 END AS trueX,
  claimedY AS trueY, claimedSpeed AS trueSpeed, CAST((msgUid * 37 + 5) % 360 AS DOUBLE) AS trueHeading,
  CAST(CASE claimedStationId % 5 WHEN 0 THEN 1 WHEN 1 THEN 11 ELSE 0 END AS INT) AS attackId, (msgUid % 100) / 100.0::DOUBLE AS txCbr FROM rx""")
+cte("ears", "", "SELECT 'r1' AS key_seed, event_id AS msgUid, user_id + k AS rxNodeId FROM events, (SELECT unnest(range(1, 9)) AS k) WHERE event_id % (k + 1) = 0")
 cte("stations", "", """SELECT DISTINCT user_id AS nodeId, user_id AS stationId, CASE WHEN user_id % 10 = 0 THEN 'rsu' ELSE 'vehicle' END AS role FROM events""")
 cte("units0", "", """SELECT concat('s', l_linenumber) AS key_seed, l_suppkey AS key_claimedStationId, CAST(l_linenumber AS BIGINT) AS key_window,
  l_orderkey AS rxNodeId, CAST((l_partkey * 37) % 6000 AS DOUBLE) AS rxX, CAST(l_orderkey % 25 - 12 AS DOUBLE) AS rxY,

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
 
 def _load() -> None:
-    from . import features_q, gates_q, geometry_q, partition_q, reports_q, scan_q, stream_q  # noqa: F401
+    from . import features_q, gates_q, geometry_q, partition_q, reports_q, scan_q, spacetime_q, stream_q  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -278,18 +278,6 @@ def g21(spark, d):
 B = "CASE WHEN d > 0 AND d <= 500 THEN 0 WHEN d > 500 AND d <= 1500 THEN 1 WHEN d > 1500 AND d <= 3000 THEN 2 END"
 
 
-@query("j14_prr_pairs", with_("tx stations rx", """SELECT s.stationId AS receiver, CAST(count(*) AS BIGINT) AS sent, CAST(count(g.msgUid) AS BIGINT) AS got FROM tx JOIN stations s ON s.stationId <> tx.claimedStationId LEFT JOIN rx g ON g.msgUid = tx.msgUid AND g.rxNodeId = s.stationId GROUP BY 1"""))
-def j14(spark, d):
-    st = A.stations(spark, d).withColumn("key_seed", F.lit("r1"))
-    return R.prr_pairs(A.tx(spark, d), st, A.rx(spark, d)).groupBy("receiver").agg(F.sum("sent").alias("sent"), F.sum("got").alias("got"))
-
-
-@query("g22_prr_by_distance", with_("rxs", f"SELECT {B} AS bin, count(*) AS n, avg(CAST(msgType = 2 AS INT)) AS prr FROM rxs GROUP BY 1"), "prr")
-def g22(spark, d):
-    x = F.hypot(F.col("claimedX") - F.col("rxX"), F.col("claimedY") - F.col("rxY"))
-    return R.binned_mean(A.rx(spark, d), x, [0, 500, 1500, 3000], prr=(F.col("msgType") == 2).cast("int"))
-
-
 @query("g23_bler", with_("pssch", "SELECT CASE WHEN x > -30 AND x <= 0 THEN 0 WHEN x > 0 AND x <= 7 THEN 1 WHEN x > 7 AND x <= 30 THEN 2 END AS bin, count(*) AS n, avg(corrupt) AS bler, avg(tbler) AS tbler FROM (SELECT *, CASE WHEN sinr > 0 THEN 10 * log10(sinr) END AS x FROM pssch) GROUP BY 1"), "bler tbler")
 def g23(spark, d):
     return R.binned_mean(A.pssch(spark, d), S.to_db("sinr"), [-30, 0, 7, 30], bler=F.col("corrupt"), tbler=F.col("tbler"))
@@ -300,27 +288,6 @@ def g24(spark, d):
     return R.cbr_summary(A.tx(spark, d))
 
 
-@query("g25_rsrp_profile", with_("units", "SELECT CASE WHEN d > 0 AND d <= 500 THEN 0 WHEN d > 500 AND d <= 1500 THEN 1 WHEN d > 1500 AND d <= 3000 THEN 2 END AS bin, count(*) AS n, quantile_cont(phy_rsrp_mean, 0.1) AS p10, quantile_cont(phy_rsrp_mean, 0.5) AS p50, quantile_cont(phy_rsrp_mean, 0.9) AS p90 FROM (SELECT *, sqrt((rxX - trueX) ^ 2 + (rxY - trueY) ^ 2) AS d FROM units) GROUP BY 1"), "p10 p50 p90")
-def g25(spark, d):
-    return R.binned_quantiles(A.units(spark, d), F.hypot(F.col("rxX") - F.col("trueX"), F.col("rxY") - F.col("trueY")), [0, 500, 1500, 3000], F.col("phy_rsrp_mean"))
-
-
-@query("j15_nearest_attacker", with_("units", """SELECT a.key_seed, a.rxNodeId, a.rxX, min(sqrt((a.rxX - b.x) ^ 2 + (a.rxY - b.y) ^ 2)) AS d FROM units a JOIN (SELECT DISTINCT key_seed, trueX AS x, trueY AS y FROM units WHERE label = 1) b USING (key_seed) GROUP BY a.key_seed, a.rxNodeId, a.rxX, a.rxY"""), "rxX d")
-def j15(spark, d):
-    u = A.units(spark, d)
-    liars = u.where("label = 1").groupBy("key_seed").agg(F.collect_set(F.struct(F.col("trueX").alias("x"), F.col("trueY").alias("y"))).alias("l"))  # the attackers of a seed
-    away = F.array_min(F.transform("l", lambda p: F.hypot(F.col("rxX") - p["x"], F.col("rxY") - p["y"])))
-    return u.select("key_seed", "rxNodeId", "rxX", "rxY").distinct().join(liars, "key_seed").select("key_seed", "rxNodeId", "rxX", away.alias("d"))
-
-
-@query("g26_victim_effect", with_("units", """SELECT CASE WHEN d > 0 AND d <= 20 THEN 0 WHEN d > 20 AND d <= 100 THEN 1 WHEN d > 100 AND d <= 3000 THEN 2 END AS bin, count(*) AS n, avg(CAST(phy_rsrp_mean < -100 AS INT)) AS weak FROM (SELECT a.*, (SELECT min(sqrt((a.rxX - x) ^ 2 + (a.rxY - y) ^ 2)) FROM (SELECT DISTINCT key_seed AS ks, trueX AS x, trueY AS y FROM units WHERE label = 1) WHERE ks = a.key_seed) AS d FROM units a) GROUP BY 1"""), "weak")
-def g26(spark, d):
-    u = A.units(spark, d)
-    liars = u.where("label = 1").groupBy("key_seed").agg(F.collect_set(F.struct(F.col("trueX").alias("x"), F.col("trueY").alias("y"))).alias("l"))
-    away = F.array_min(F.transform("l", lambda p: F.hypot(F.col("rxX") - p["x"], F.col("rxY") - p["y"])))
-    return R.binned_mean(u.join(liars, "key_seed"), away, [0, 20, 100, 3000], weak=(F.col("phy_rsrp_mean") < -100).cast("int"))
-
-
 @query("j16_radio_to_node", with_("pssch", "SELECT txRnti, first(rxNodeId ORDER BY n DESC, rxNodeId) AS node FROM (SELECT txRnti, rxNodeId, count(*) AS n FROM pssch GROUP BY ALL) GROUP BY 1"))
 def j16(spark, d):
     return X.mode_by(A.pssch(spark, d), ["txRnti"], "rxNodeId", "node")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import learn as L
 from ..sources import adapters as A
 from ..streaming import jobs as J
-from .ctes import cte, with_
+from .ctes import cte, rsrp, with_
+from .features_q import APP, APP_D, LINK, PHY, PHY_D, TOL
 from .gates_q import FS, Y
 from .registry import query
 from .reports_q import pred
@@ -43,12 +44,17 @@ def t01m(spark, d):
     return J.score_stream(J.file_stream(spark, df.where("label_txNodeId % 5 = 0"), "corpus"), lambda b: L.score(m, b, FS, [F.col(Y).alias("y")]), "t01m")
 
 
-@query("t02_window_features_stream", with_("rxd", f"""SELECT key_seed, rxNodeId, claimedStationId, start_ms, count(*) AS app_n_msgs, count(*) FILTER (msgType = 2) AS app_n_cam, count(*) FILTER (msgType = 1) AS app_n_denm, count(*) FILTER (msgType = 14) AS app_n_cpm,
- avg(d) AS app_claimed_dist_mean, stddev_samp(d) AS app_claimed_dist_std, avg(claimedSpeed) AS app_claimed_speed_mean, stddev_samp(claimedSpeed) AS app_claimed_speed_std FROM rxd WHERE {RX_END} GROUP BY ALL"""),
- "app_claimed_dist_mean app_claimed_dist_std app_claimed_speed_mean app_claimed_speed_std")
+cte("g01day", "fullrx", f"""SELECT {LINK}, start_ms // {DAY} AS "window", {APP}{PHY} FROM (SELECT *, CAST(floor(rxTimeMs / {DAY}) AS BIGINT) * {DAY} AS start_ms, CASE WHEN sinr > 0 THEN 10 * log10(sinr) END AS db, slRsrpDbm - {rsrp('claimedDist')} AS rr FROM fullrx)
+ WHERE start_ms + {DAY} + {TOL} <= least((SELECT max(CAST(trunc(rxTimeMs) AS BIGINT)) FROM rx), (SELECT max(CAST(trunc(timeMs) AS BIGINT)) FROM pssch)) - {LATE_MS} GROUP BY ALL""")
+
+
+@query("t02_window_features_stream", with_("g01day", "SELECT * FROM g01day"), f"{APP_D} {PHY_D}")
 def t02(spark, d):
-    rx = A.rx(spark, d)
-    return closed(J.run_to_table(J.window_features_stream(stream(spark, rx, "rxTimeMs", "rx"), late=LATE), "t02"), rx, "rxTimeMs", DAY)
+    rx, p = A.rx(spark, d), A.pssch(spark, d)
+    out = J.run_to_table(J.link_features_stream(stream(spark, rx, "rxTimeMs", "rx"), stream(spark, p.drop("claimedStationId"), "timeMs", "pssch"), DAY, TOL, LATE), "t02")
+    # both sides leave out windows that the final watermark, the lesser of the two streams', has not passed
+    last = min(df.agg(F.max(F.col(c).cast("long"))).first()[0] for df, c in ((rx, "rxTimeMs"), (p, "timeMs")))
+    return out.where((F.col("window") + 1) * DAY + TOL <= last - LATE_MS)
 
 
 @query("t03_residuals_stream", with_("res", f"SELECT msgUid, {', '.join(J.RESIDUALS)} FROM res WHERE CAST(trunc(rxTimeMs) AS BIGINT) < (SELECT max(CAST(trunc(rxTimeMs) AS BIGINT)) FROM rx) - {LATE_MS}"), " ".join(J.RESIDUALS))
@@ -69,10 +75,11 @@ def t05(spark, d):
     return J.run_to_table(J.alerts_stream(stream(spark, A.tracks(spark, d), "timeMs", "tracks"), 3, 5, LATE), "t05")
 
 
-@query("t06_asof_stream", with_("near_radio", "SELECT msgUid, sinr FROM near_radio"), "sinr")
+@query("t06_asof_stream", with_("rx pssch near_radio", f"""SELECT rx.msgUid, n.sinr FROM rx LEFT JOIN near_radio n USING (msgUid) WHERE CAST(trunc(rxTimeMs) AS BIGINT) + {TOL} <
+ least((SELECT max(CAST(trunc(rxTimeMs) AS BIGINT)) FROM rx), (SELECT max(CAST(trunc(timeMs) AS BIGINT)) FROM pssch)) - {LATE_MS}"""), "sinr")
 def t06(spark, d):
     rx, p = stream(spark, A.rx(spark, d), "rxTimeMs", "rx"), stream(spark, A.pssch(spark, d), "timeMs", "pssch")
-    return J.nearest(J.run_to_table(J.asof_stream(rx, p, late=LATE), "t06"))
+    return J.run_to_table(J.asof_stream(rx, p, TOL, LATE), "t06")
 
 
 @query("t07_vote_stream", with_("rxd", f"SELECT claimedStationId, start_ms, count(*) AS n, count(*) FILTER (msgType <> 1) AS k, count(*) FILTER (msgType <> 1) >= ceil(count(*) * 0.5::DOUBLE) AS alert FROM rxd WHERE {RX_END} GROUP BY ALL"))

@@ -46,6 +46,12 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receptions by other stations: up to eight of the sender's neighbours by number hear a message."""
+    return table(spark, sf_dir, "events").selectExpr("'r1' AS key_seed", "event_id AS msgUid", "user_id", "explode(sequence(1, 8)) AS k").where(
+        "event_id % (k + 1) = 0").selectExpr("key_seed", "msgUid", "user_id + k AS rxNodeId")
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station register: one user in ten is a roadside unit."""
     return table(spark, sf_dir, "events").selectExpr(

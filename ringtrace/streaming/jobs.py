@@ -10,18 +10,14 @@ back until the watermark has passed them, so rows may be mixed over files and ba
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions import scalars as S
 from ..operators import features as X, reports as R
 from ..sources.io import scratch
+from .stateful import in_order, moment, nearest_stream
 
 
 def file_stream(spark: SparkSession, df: DataFrame, name: str, files: int = 6, time: str | None = None, late_ms: int = 0, per_trigger: int = 1) -> DataFrame:
@@ -50,29 +46,21 @@ def with_time(df: DataFrame, ms: str) -> DataFrame:
     return df.withColumn("ts", F.timestamp_millis(F.col(ms).cast("long")))
 
 
-def run_to_table(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(out: DataFrame, name: str, mode: str = "append", report: list | None = None) -> DataFrame:
     """Process all that is there into a Parquet table in the shared folder and return it.
 
-    Exactly once by the checkpoint: the sink is a file sink, the offsets are in the checkpoint folder.
+    Exactly once by the checkpoint: the sink is a file sink, the offsets are in the checkpoint folder.  ``report`` gets a
+    row for each batch and stateful operator: (batch, operator, rows of state, rows dropped as late, bytes).
     """
     spark = out.sparkSession
     path = scratch(spark, name)
     q = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", path + "-state").trigger(availableNow=True).start(path)
     q.awaitTermination()
+    if report is not None:
+        report += [(p.batchId, s.operatorName, s.numRowsTotal, s.numRowsDroppedByWatermark, s.memoryUsedBytes) for p in q.recentProgress for s in p.stateOperators]
     return spark.read.schema(out.schema).parquet(path)
 
 
-def window_features_stream(rx: DataFrame, width: str = "1 day", late: str = "0 seconds") -> DataFrame:
-    """Tumbling link-window features that need no earlier message; rows later than the watermark are dropped."""
-    w = F.window("ts", width)
-    d = S.distance(F.col("claimedX") - F.col("rxX"), F.col("claimedY") - F.col("rxY"))
-    g = rx.withWatermark("ts", late).groupBy("key_seed", "rxNodeId", "claimedStationId", w.alias("w"))
-    kinds = [F.count_if(F.col("msgType") == code).alias(f"app_n_{name}") for name, code in (("cam", 2), ("denm", 1), ("cpm", 14))]
-    out = g.agg(F.count("*").alias("app_n_msgs"), *kinds, F.avg(d).alias("app_claimed_dist_mean"), F.stddev_samp(d).alias("app_claimed_dist_std"),
-                F.avg("claimedSpeed").alias("app_claimed_speed_mean"), F.stddev_samp("claimedSpeed").alias("app_claimed_speed_std"))
-    return out.select("key_seed", "rxNodeId", "claimedStationId", F.unix_millis("w.start").alias("start_ms"), *[c for c in out.columns if c.startswith("app_")])
-
-
 def cbr_sliding_stream(pssch: DataFrame, width: str = "2 days", slide: str = "1 day", capacity: float = 100.0, late: str = "0 seconds") -> DataFrame:
     """Sliding channel busy ratio, capped at 1, with exact neighbour counts and the last power; corrupt receptions count towards the load."""
     g = pssch.withWatermark("ts", late).groupBy("rxNodeId", F.window("ts", width, slide).alias("w"))
@@ -87,106 +75,113 @@ def vote_stream(verdicts: DataFrame, share: float, width: str = "1 day", late: s
     return out.select("claimedStationId", F.unix_millis("w.start").alias("start_ms"), "n", "k", (F.col("k") >= F.ceil(F.col("n") * share)).alias("alert"))
 
 
-def asof_stream(rx: DataFrame, pssch: DataFrame, within: str = "30 minutes", late: str = "30 minutes") -> DataFrame:
-    """Stream-stream interval join: all data-channel receptions of a message's radio within the interval.
+def asof_stream(rx: DataFrame, pssch: DataFrame, within_ms: int = 1_800_000, late: str = "30 minutes") -> DataFrame:
+    """(msgUid, sinr): every message with the nearest data-channel reception of its radio, one row each, null if none is near.
 
-    ``nearest`` then keeps the closest one; state of both sides is bounded by the interval.
+    A message comes out when the watermark has passed its interval; receptions leave the state when no message can need them.
     """
-    left = rx.withWatermark("ts", late).select("msgUid", "rxNodeId", "claimedStationId", F.col("ts").alias("t"))
-    right = pssch.withWatermark("ts", late).select(F.col("rxNodeId").alias("node"), "txRnti", "radioUid", "sinr", F.col("ts").alias("t2"))
-    on = (F.col("rxNodeId") == F.col("node")) & (F.col("claimedStationId") == F.col("txRnti")) & F.expr(f"t2 BETWEEN t - INTERVAL {within} AND t + INTERVAL {within}")
-    return left.join(right, on).select("msgUid", "radioUid", "sinr", (F.unix_millis("t2") - F.unix_millis("t")).alias("lag_ms"))
+    out = nearest_stream(rx, pssch, {"rxNodeId": "rxNodeId", "claimedStationId": "txRnti"}, ("msgUid", "radioUid"), ("rxTimeMs", "timeMs"), [], {"": (F.lit(True), ["sinr"])}, within_ms, late)
+    return out.select(F.col("uid").alias("msgUid"), "sinr")
 
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """The closest pair of each message; at equal distance the earlier, then the batch join's order of ids."""
-    rank = F.struct(F.abs("lag_ms"), F.col("lag_ms") > 0, F.when(F.col("lag_ms") <= 0, -F.col("radioUid")).otherwise(F.col("radioUid")))
-    return pairs.groupBy("msgUid").agg(F.min_by("sinr", rank).alias("sinr"))
+RESIDUALS = ["dt", "claimedDist", "dx", "dy", "moved", "dmv", "ssc", "predict", "heading", "accel"]
 
 
-def _per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable, out: str, late: str, hold_ms: int) -> DataFrame:
-    """Rows of a key in event order through ``step(rows, last) -> (rows, last)``.
+KEPT = "rxTimeMs double, claimedX double, claimedY double, claimedSpeed double, claimedHeading double"
 
-    Rows wait in the state until the watermark has passed them, ``late`` at most, and are then taken in
-    ``order``; ``last`` is what ``step`` keeps of a key, any JSON value, and goes ``hold_ms`` after the key's
-    last row.  A row that comes behind the watermark is dropped, so what comes out never depends on the batches.
-    """
 
-    def run(key, frames: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        known = json.loads(st.get[0]) if st.exists else {"wait": [], "last": None, "seen": None}
-        mark = st.getCurrentWatermarkMs()
-        for rows in frames:
-            new = rows[columns].astype(object).where(rows[columns].notna(), None)
-            known["wait"] += [[int(t.timestamp() * 1000), *r] for t, r in zip(rows["ts"], new.to_numpy().tolist()) if int(t.timestamp() * 1000) >= mark]
-        ready = [r for r in known["wait"] if r[0] < mark]
-        known["wait"] = [r for r in known["wait"] if r[0] >= mark]
-        if ready:
-            rows = pd.DataFrame([r[1:] for r in ready], columns=columns).sort_values(order)
-            made, known["last"] = step(rows, known["last"])
-            known["seen"] = max(r[0] for r in ready)
-        if not known["wait"] and (known["seen"] is None or known["seen"] + hold_ms < mark):
-            st.remove()
-        else:
-            st.update((json.dumps(known, default=lambda v: v.item()),))
-            at = min(r[0] for r in known["wait"]) if known["wait"] else known["seen"] + hold_ms
-            st.setTimeoutTimestamp(max(at, mark + 1))
-        if ready:
-            yield made
-
-    return df.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, "s string", "append", GroupStateTimeout.EventTimeTimeout)
+def residual_step(road_length: float) -> Callable[[dict, tuple | None], tuple[tuple, tuple]]:
+    """The residuals of a message (in the order of ``RESIDUALS``) against the one before it on its link, and what to keep of it."""
+    import math
 
+    def unwrap(d):
+        return None if d is None else d - float(round(d / road_length)) * road_length
 
-RESIDUALS = ["dt", "claimedDist", "dx", "dy", "moved", "dmv", "ssc", "predict", "heading", "accel"]
+    def minus(a, b):
+        return None if a is None or b is None else a - b
+
+    def over(a, b):
+        return None if a is None or not b else a / b
+
+    def hypot(a, b):
+        return None if a is None or b is None else math.hypot(a, b)
+
+    def step(r: dict, last: tuple | None) -> tuple[tuple, tuple]:
+        now = (r["rxTimeMs"], r["claimedX"], r["claimedY"], r["claimedSpeed"], r["claimedHeading"])
+        t, x, y, v, h = now
+        pt, px, py, pv, ph = last or (None,) * 5
+        away = hypot(minus(x, r["rxX"]), minus(y, r["rxY"]))
+        gap = minus(t, pt)
+        dt = None if gap is None else gap / 1000.0
+        dx, dy = unwrap(minus(x, px)), minus(y, py)
+        moved = hypot(dx, dy)
+        way = None if pv is None or dt is None else pv * dt
+        turn = None if ph is None else math.radians(ph)
+        known = None not in (px, py, way, turn)
+        ahead = hypot(unwrap(minus(x, px + way * math.sin(turn))), minus(y, py + way * math.cos(turn))) if known else None
+        heading = None
+        if moved is not None and moved > 1.0 and h is not None:
+            turned = math.fmod(abs(h - math.degrees(math.atan2(dx, dy)) % 360.0), 360.0)
+            heading = min(turned, 360.0 - turned)
+        return (dt, away, dx, dy, moved, minus(moved, way), minus(over(moved, dt), v), ahead, heading, over(minus(v, pv), dt)), now
+
+    return step
+
+
+POSITION = ["rxTimeMs", "claimedX", "claimedY", "claimedSpeed", "claimedHeading", "rxX", "rxY"]
 
 
 def residuals_stream(rx: DataFrame, late: str = "0 seconds", road_length: float = 6000.0, hold_ms: int = 40 * 86_400_000) -> DataFrame:
     """All residuals of a message against the one before it on its link, the last message being the state."""
-    kept = ["rxTimeMs", "claimedX", "claimedY", "claimedSpeed", "claimedHeading"]
-
-    def step(rows: pd.DataFrame, last):
-        now = rows[kept].to_numpy(float)
-        first = np.full((1, 5), np.nan) if last is None else np.array([[np.nan if v is None else v for v in last]])
-        was = np.concatenate([first, now[:-1]])
-        t, x, y, v, h = now.T
-        pt, px, py, pv, ph = was.T
-
-        def unwrap(d):
-            return d - np.rint(d / road_length) * road_length
-
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dt = (t - pt) / 1000.0
-            dx, dy = unwrap(x - px), y - py
-            moved = np.hypot(dx, dy)
-            per = np.where(dt == 0, np.nan, dt)
-            ex, ey = px + pv * dt * np.sin(np.radians(ph)), py + pv * dt * np.cos(np.radians(ph))
-            gap = np.abs(h - np.degrees(np.arctan2(dx, dy)) % 360.0) % 360.0
-            made = {
-                "dt": dt, "claimedDist": np.hypot(x - rows["rxX"].to_numpy(float), y - rows["rxY"].to_numpy(float)), "dx": dx, "dy": dy, "moved": moved,
-                "dmv": moved - pv * dt, "ssc": moved / per - v, "predict": np.hypot(unwrap(x - ex), y - ey),
-                "heading": np.where(moved > 1.0, np.minimum(gap, 360.0 - gap), np.nan), "accel": (v - pv) / per,
-            }
-        out = pd.DataFrame({"msgUid": rows["msgUid"].to_numpy("int64")} | {c: pd.array(np.where(np.isnan(made[c]), None, made[c]), dtype="Float64") for c in RESIDUALS})
-        return out, [None if np.isnan(z) else float(z) for z in now[-1]]
+    inner = residual_step(road_length)
+
+    def step(r: dict, last: tuple | None) -> tuple[tuple, tuple]:
+        made, kept = inner(r, last)
+        return (r["msgUid"], *made), kept
 
     schema = "msgUid long, " + ", ".join(f"{c} double" for c in RESIDUALS)
-    return _per_key(rx, X.LINK, ["rxTimeMs", "msgUid"], ["msgUid", *kept, "rxX", "rxY"], step, schema, late, hold_ms)
+    return in_order(rx, X.LINK, ["rxTimeMs", "msgUid"], ["msgUid", *POSITION], step, KEPT, schema, late, hold_ms)
+
+
+def link_features_stream(rx: DataFrame, pssch: DataFrame, width_ms: int, within_ms: int = 1_800_000, late: str = "0 seconds", road_length: float = 6000.0, hold_ms: int = 40 * 86_400_000) -> DataFrame:
+    """All link-window features in one plan of three stateful operators: nearest receptions, residuals, windows.
+
+    Rows leave the first operator ``within_ms`` after their own time, which is the event time from there on; windows are laid so
+    that they hold the same messages as the batch's.  Sequence gaps are taken in the order of time, as the
+    batch's are where sequence numbers rise with it.
+    """
+    carry = [*X.LINK, "msgType", "seqNo", *POSITION]
+    picks = {"": (F.lit(True), ["sinr", "tbler", "corrupt", "mcs"]), "clear_": (F.col("corrupt") == 0, ["slRsrpDbm"])}
+    near = nearest_stream(rx, pssch, {"rxNodeId": "rxNodeId", "claimedStationId": "txRnti"}, ("msgUid", "radioUid"), ("rxTimeMs", "timeMs"), carry, picks, within_ms, late)
+    near = near.withColumnRenamed("clear_slRsrpDbm", "slRsrpDbm").withColumnRenamed("uid", "msgUid").withColumnRenamed("ready", "ts")
+    through = ["msgType", "seqNo", "sinr", "tbler", "corrupt", "mcs", "slRsrpDbm"]
+    kinds, inner = dict(near.dtypes), residual_step(road_length)
+
+    def step(r: dict, last: tuple | None) -> tuple[tuple, tuple]:
+        made, kept = inner(r, None if last is None else last[1:])
+        before, seq = None if last is None else last[0], r["seqNo"]
+        gap = None if before is None or seq is None else max(seq - before - 1, 0)
+        return (moment(r["ms"]), *[r[c] for c in X.LINK], r["rxTimeMs"], gap, r["claimedSpeed"], *[r[c] for c in through], *made), (seq, *kept)
+
+    schema = ["ts timestamp", *[f"{c} {kinds[c]}" for c in X.LINK], "rxTimeMs double", "seq_gap long", "claimedSpeed double"]
+    schema += [f"{c} {kinds[c]}" for c in through] + [f"{c} double" for c in RESIDUALS]
+    rows = in_order(near, X.LINK, ["rxTimeMs", "msgUid"], ["msgUid", *POSITION, *X.LINK, *through], step, "seqNo long, " + KEPT, ", ".join(schema), "", hold_ms, "ts")
+    window = F.window("ts", f"{width_ms} milliseconds", f"{width_ms} milliseconds", f"{within_ms % width_ms} milliseconds")
+    out = X.window_features(rows, None, window=window)
+    start = F.unix_millis("window.start") - within_ms
+    return out.withColumn("window", F.floor(start / width_ms).cast("long"))
 
 
 def alerts_stream(hits: DataFrame, k: int, m: int, late: str = "0 seconds", hold_ms: int = 40 * 86_400_000) -> DataFrame:
     """K-of-M alerts and episode starts of each track, the last M hits being the state."""
 
-    def step(rows: pd.DataFrame, last):
-        hits, on = last if last is not None else ([], False)
-        fired, edge = [], []
-        for h in rows["hit"]:
-            hits = [*hits, bool(h)][-m:]
-            now = sum(hits) >= k
-            fired.append(now)
-            edge.append(now and not on)
-            on = now
-        return pd.DataFrame({"key_window": rows["key_window"].to_numpy("int64"), "fired": fired, "edge": edge}), [hits, on]
-
-    return _per_key(hits, ["key_region", "key_claimedStationId"], ["timeMs", "key_window"], ["key_window", "timeMs", "hit"], step, "key_window long, fired boolean, edge boolean", late, hold_ms)
+    def step(r: dict, last: tuple | None) -> tuple[tuple, tuple]:
+        hits, on = (list(last[0]), last[1]) if last is not None else ([], False)
+        hits = [*hits, bool(r["hit"])][-m:]
+        fired = sum(hits) >= k
+        return (r["key_window"], fired, fired and not on), (hits, fired)
+
+    return in_order(hits, ["key_region", "key_claimedStationId"], ["timeMs", "key_window"], ["key_window", "timeMs", "hit"], step, "hits array<boolean>, fired boolean", "key_window long, fired boolean, edge boolean", late, hold_ms)
 
 
 def score_stream(src: DataFrame, predict: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
