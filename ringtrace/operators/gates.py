@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import partition as P
+from .quantiles import quantile_numbers
 
 
 #: Codes of the constant, small and medium position offsets.
@@ -113,7 +114,8 @@ def check_campaign(tx: DataFrame, stations: DataFrame) -> DataFrame:
     """
     err = F.hypot(F.col("claimedX") - F.col("trueX"), F.col("claimedY") - F.col("trueY"))
     turn = F.abs(F.pmod(F.col("claimedHeading") - F.col("trueHeading") + 180.0, F.lit(360.0)) - 180.0)
-    e = tx.agg(F.percentile(F.when(F.col("attackId") == 0, err), F.lit(0.95)).alias("p95"), F.max(F.when(F.col("attackId") == 0, turn)).alias("turn"),
+    p95 = quantile_numbers(tx, {"e": F.when(F.col("attackId") == 0, err)}, {"p95": ("e", 0.95)})["p95"] or 0.0
+    e = tx.agg(F.max(F.when(F.col("attackId") == 0, turn)).alias("turn"),
                F.count_if(F.col("msgType") == 2).alias("cam"), F.count_if(F.col("msgType") == 14).alias("cpm"), F.count_if(F.col("attackId") > 0).alias("attack"),
                F.max(F.when(F.col("attackId") == 0, err)).alias("err")).first()
     rsu = stations.where("role = 'rsu'").count()
@@ -122,7 +124,7 @@ def check_campaign(tx: DataFrame, stations: DataFrame) -> DataFrame:
     lying = tx.where(F.col("attackId").isin(*POSITION)).groupBy("attackId", "txNodeId").agg(
         F.percentile(err, F.lit(0.99)).alias("top"), F.percentile(F.when(err > (e["err"] or 0.0), err), F.lit(0.5)).alias("lie"))
     bands = {r["attackId"]: r for r in lying.groupBy("attackId").agg(
-        F.count("*").alias("n"), F.count_if(F.col("top") < (e["p95"] or 0.0)).alias("silent"), F.min("lie").alias("lo"), F.max("lie").alias("hi")).collect()}  # a row a class
+        F.count("*").alias("n"), F.count_if(F.col("top") < p95).alias("silent"), F.min("lie").alias("lo"), F.max("lie").alias("hi")).collect()}  # a row a class
     n, silent = sum(r["n"] for r in bands.values()), sum(r["silent"] for r in bands.values())
     small, medium = (bands.get(c) for c in POSITION[1:])
     apart = not (small and medium and small["hi"] is not None and medium["lo"] is not None) or small["hi"] <= medium["lo"]

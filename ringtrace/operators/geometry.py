@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.io import cut
+from .quantiles import exact_quantiles, quantile_numbers, with_quantiles
 
 TRIPLE = ["key_seed", "key_claimedStationId", "key_window"]
 WRAP_SPAN_M, MIN_OBS = 1000.0, 5
@@ -145,7 +147,8 @@ def variance_split(df: DataFrame, link: list[str]) -> DataFrame:
 
 def ambiguity(df: DataFrame, between: float, n_exp: float, qs=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """What the persistent floor is worth in metres at quantiles of the link distance."""
-    at = df.agg(F.percentile("d", F.array(*[F.lit(q) for q in qs])).alias("p"))
+    names = {f"q{k}": ("d", q) for k, q in enumerate(qs)}
+    at = exact_quantiles(df, [], {"d": F.col("d")}, names).select(F.array(*names).alias("p"))
     ratio = 10.0 ** (between / (10.0 * n_exp)) - 1.0
     return at.select(F.posexplode("p").alias("k", "distance")).select(
         F.get(F.array(*[F.lit(q) for q in qs]), F.col("k")).alias("q"), "distance", (F.col("distance") * ratio).alias("ambiguity"))
@@ -182,12 +185,12 @@ def bound_summary(bounds: DataFrame) -> DataFrame:
     receivers; ``rms_trim`` leaves out units over the 99th percentile of their bin."""
     label = F.when(F.col("n_obs") < 10, "5 to 9").when(F.col("n_obs") < 25, "10 to 24").when(F.col("n_obs") < 85, "25 to 84").otherwise("85 or more")
     rows = bounds.select(label.alias("receivers"), "free_across", "free_along", "road_along", (F.col("free_along") ** 2 + F.col("free_across") ** 2).alias("trace"))
-    tops = rows.groupBy("receivers").agg(F.percentile("trace", F.lit(0.99)).alias("top"))  # a row a bin
-    across, along = F.percentile("free_across", F.lit(0.5)), F.percentile("free_along", F.lit(0.5))
+    rows = cut(rows, "bounds")
+    values = {c: F.col(c) for c in ("free_across", "free_along", "road_along", "trace")}
+    tops = exact_quantiles(rows, ["receivers"], values, {"across": ("free_across", 0.5), "along": ("free_along", 0.5), "road": ("road_along", 0.5), "top": ("trace", 0.99)})  # a row a bin
     return rows.join(tops, "receivers").groupBy("receivers").agg(
-        F.count("*").alias("units"), across.alias("across"), along.alias("along"), F.try_divide(across, along).alias("anisotropy"),
-        F.percentile("road_along", F.lit(0.5)).alias("road"), F.sqrt(F.avg("trace")).alias("rms"),
-        F.sqrt(F.avg(F.when(F.col("trace") <= F.col("top"), F.col("trace")))).alias("rms_trim"))
+        F.count("*").alias("units"), F.max("across").alias("across"), F.max("along").alias("along"), F.try_divide(F.max("across"), F.max("along")).alias("anisotropy"),
+        F.max("road").alias("road"), F.sqrt(F.avg("trace")).alias("rms"), F.sqrt(F.avg(F.when(F.col("trace") <= F.col("top"), F.col("trace")))).alias("rms_trim"))
 
 
 def placement_sweep(units: DataFrame, offsets: list[float], is_rsu: Column, n_exp: float, sigma: float) -> DataFrame:
@@ -249,9 +252,9 @@ def toward_estimate(lies: DataFrame, truth: DataFrame, estimates: DataFrame) ->
 
 def caught(honest: DataFrame, lies: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Share of lies over the honest 95th percentile, and outside the middle 95 % of honest values."""
-    cut = honest.agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.95), F.lit(0.975))).alias("q")).first()["q"]
+    at = quantile_numbers(honest, {"v": F.col(value)}, {"low": ("v", 0.025), "top": ("v", 0.95), "high": ("v", 0.975)})
     v = F.col(value)
-    return lies.groupBy(*by).agg(F.avg((v > cut[1]).cast("int")).alias("one_sided"), F.avg(((v < cut[0]) | (v > cut[2])).cast("int")).alias("two_sided"))
+    return lies.groupBy(*by).agg(F.avg((v > at["top"]).cast("int")).alias("one_sided"), F.avg(((v < at["low"]) | (v > at["high"])).cast("int")).alias("two_sided"))
 
 
 def transfer(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -290,4 +293,5 @@ def pool_means(units: DataFrame, features: list[str], keys: list[str] = TRIPLE)
 def localisation_check(fits: DataFrame, truth: DataFrame) -> DataFrame:
     """Error of estimated positions against the truth, by class; for evaluation only."""
     j = fits.join(truth, TRIPLE).withColumn("err", F.hypot(F.col("estX") - F.col("trueX"), F.col("estY") - F.col("trueY")))
-    return j.groupBy("label").agg(F.count("*").alias("n"), F.percentile("err", F.lit(0.5)).alias("median"), F.percentile("err", F.lit(0.9)).alias("p90"))
+    j = cut(j.select("label", "err"), "localisation")
+    return with_quantiles(j.groupBy("label").agg(F.count("*").alias("n")), j, ["label"], {"e": F.col("err")}, {"median": ("e", 0.5), "p90": ("e", 0.9)})

@@ -74,3 +74,9 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, Column], wan
 def quantile_numbers(df: DataFrame, values: dict[str, Column], wanted: dict[str, tuple[str, float]]) -> dict[str, float | None]:
     """The same without groups, as numbers; what has no value is None."""
     return exact_quantiles(df, [], values, wanted).first().asDict()
+
+
+def with_quantiles(stats: DataFrame, rows: DataFrame, by: list[str], values: dict[str, Column], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """``stats``, one row a group, with the exact quantiles of the group's ``rows``; null keys are equal."""
+    found = exact_quantiles(rows, by, values, wanted).withColumnsRenamed({c: f"__k{n}" for n, c in enumerate(by)})
+    return stats.join(found, _same(stats, found, by), "left").select(*stats.columns, *wanted)

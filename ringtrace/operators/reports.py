@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.io import cut
+from .quantiles import quantile_numbers, with_quantiles
 from .ranks import running_before
 
 
@@ -88,7 +90,9 @@ def matched_threshold(scores: DataFrame, station: list[str], target: float) -> D
 def plausibility(train: DataFrame, test: DataFrame, checks: dict[str, tuple[str, str]], fpr: float, label: str) -> DataFrame:
     """Share of each class that every check fires on, thresholds from benign training rows, and their union."""
     tail = {n: [fpr / 2, 1 - fpr / 2] if side == "both" else [1 - fpr if side == "hi" else fpr] for n, (c, side) in checks.items()}
-    cuts = train.where(F.col(label) == 0).agg(*[F.percentile(c, F.array(*[F.lit(q) for q in tail[n]])).alias(n) for n, (c, _) in checks.items()]).first()
+    columns = {c: F.col(c) for c, _ in checks.values()}
+    found = quantile_numbers(train.where(F.col(label) == 0), columns, {f"{n}{k}": (checks[n][0], q) for n, qs in tail.items() for k, q in enumerate(qs)})
+    cuts = {n: [F.lit(found[f"{n}{k}"]).cast("double") for k in range(len(qs))] for n, qs in tail.items()}
     fired = {}
     for n, (c, side) in checks.items():
         t = cuts[n]
@@ -229,7 +233,8 @@ def feature_shift(a: DataFrame, b: DataFrame, features: list[str]) -> DataFrame:
 def pool_separation(df: DataFrame, stats: list[str], label: str) -> DataFrame:
     """Median of each class against benign, in benign standard deviations."""
     each = df.select(label, F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in stats])).alias("e")).select(label, "e.*")
-    g = each.groupBy("stat", label).agg(F.percentile("v", F.lit(0.5)).alias("m"), F.stddev_samp("v").alias("s"))
+    g = with_quantiles(each.groupBy("stat", label).agg(F.stddev_samp("v").alias("s")), each, ["stat", label], {"v": F.col("v")}, {"m": ("v", 0.5)})
+    g = cut(g, "separation")  # a row a class and statistic
     ben = g.where(F.col(label) == 0).select("stat", F.col("m").alias("bm"), F.col("s").alias("bs"))
     return g.where(F.col(label) != 0).join(ben, "stat").select("stat", label, F.try_divide(F.col("m") - F.col("bm"), F.col("bs")).alias("shift"))
 
@@ -244,18 +249,21 @@ def refit_scaling(train: DataFrame, target: DataFrame, features: list[str], key:
 
 # ---- campaign reports
 def receiver_counts(units: DataFrame) -> DataFrame:
-    g = units.agg(F.percentile("n", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.1))).alias("q"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg((F.col("n") < 80).cast("int")).alias("thin"))
-    m = F.get("q", F.lit(0))
-    return g.select(m.alias("median"), F.get("q", F.lit(1)).alias("p25"), F.get("q", F.lit(2)).alias("p10"), "least", "most", "thin", *[F.ceil(m / k).alias(f"colluders_{k}") for k in (2, 3, 4)])
+    q = quantile_numbers(units, {"n": F.col("n")}, {"median": ("n", 0.5), "p25": ("n", 0.25), "p10": ("n", 0.1)})
+    g = units.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg((F.col("n") < 80).cast("int")).alias("thin"))
+    numbers = {k: F.lit(v).cast("double") for k, v in q.items()}
+    return g.select(*[v.alias(k) for k, v in numbers.items()], "least", "most", "thin", *[F.ceil(numbers["median"] / k).alias(f"colluders_{k}") for k in (2, 3, 4)])
 
 
 def magnitude_ladder(tx: DataFrame) -> DataFrame:
     """Lies per class: messages beyond the largest benign error, per-station median, quartiles, share inside the benign p95."""
     e = tx.withColumn("err", F.hypot(F.col("claimedX") - F.col("trueX"), F.col("claimedY") - F.col("trueY")))
-    b = e.where("attackId = 0").agg(F.max("err").alias("m"), F.percentile("err", F.lit(0.95)).alias("q")).first()
+    b = quantile_numbers(e.where("attackId = 0"), {"e": F.col("err")}, {"m": ("e", 1.0), "q": ("e", 0.95)})
     top, p95 = (b["m"] or 0.0), (b["q"] or 0.0)
     st = e.where((F.col("attackId") > 0) & (F.col("err") > top)).groupBy("attackId", "txNodeId").agg(F.percentile("err", F.lit(0.5)).alias("lie"))
-    return st.groupBy("attackId").agg(F.count("*").alias("stations"), *[F.percentile("lie", F.lit(q)).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], F.avg((F.col("lie") <= p95).cast("int")).alias("inside_benign"))
+    st = cut(st, "ladder")
+    stats = st.groupBy("attackId").agg(F.count("*").alias("stations"), F.avg((F.col("lie") <= p95).cast("int")).alias("inside_benign"))
+    return with_quantiles(stats, st, ["attackId"], {"lie": F.col("lie")}, {"p25": ("lie", 0.25), "p50": ("lie", 0.5), "p75": ("lie", 0.75)})
 
 
 def carriageway_share(tx: DataFrame, widths: list[float], window_ms: float) -> DataFrame:
@@ -271,8 +279,9 @@ def carriageway_share(tx: DataFrame, widths: list[float], window_ms: float) -> D
 def sybil_residual(units: DataFrame, value: str, count: str, label: str) -> DataFrame:
     """Excess of the attackers' residual over benign, and the part their channel counts explain."""
     x, y, ben = F.log(count), F.col(value), F.col(label) == 0
-    f = units.agg(F.regr_slope(F.when(ben, y), F.when(ben, x)).alias("b"), F.regr_intercept(F.when(ben, y), F.when(ben, x)).alias("a"), F.corr(F.when(ben, x), F.when(ben, y)).alias("r"),
-                  F.percentile(F.when(ben, y), F.lit(0.5)).alias("mb"), F.percentile(F.when(~ben, y), F.lit(0.5)).alias("ms"), F.percentile(F.when(~ben, x), F.lit(0.5)).alias("mx"))
+    q = quantile_numbers(units, {"b": F.when(ben, y), "s": F.when(~ben, y), "x": F.when(~ben, x)}, {"mb": ("b", 0.5), "ms": ("s", 0.5), "mx": ("x", 0.5)})
+    f = units.agg(F.regr_slope(F.when(ben, y), F.when(ben, x)).alias("b"), F.regr_intercept(F.when(ben, y), F.when(ben, x)).alias("a"), F.corr(F.when(ben, x), F.when(ben, y)).alias("r"))
+    f = f.select("*", *[F.lit(v).cast("double").alias(k) for k, v in q.items()])
     # the prediction is monotone in x, so its median is the prediction at the median
     return f.select("a", "b", "r", (F.col("ms") - F.col("mb")).alias("excess"), (F.col("a") + F.col("b") * F.col("mx") - F.col("mb")).alias("explained"))
 
@@ -284,8 +293,9 @@ def binned_mean(df: DataFrame, x: Column, edges: list[float], **values: Column)
 
 def cbr_summary(tx: DataFrame) -> DataFrame:
     span = (F.max("txTimeMs") - F.min("txTimeMs")) / 1000.0
-    return tx.agg(F.avg("txCbr").alias("mean"), F.percentile("txCbr", F.lit(0.5)).alias("median"), F.percentile("txCbr", F.lit(0.95)).alias("p95"), F.max("txCbr").alias("most"),
-                  (F.count("*") / F.count_distinct("txNodeId") / span).alias("rate"))
+    q = quantile_numbers(tx, {"c": F.col("txCbr")}, {"median": ("c", 0.5), "p95": ("c", 0.95)})
+    stats = tx.agg(F.avg("txCbr").alias("mean"), F.max("txCbr").alias("most"), (F.count("*") / F.count_distinct("txNodeId") / span).alias("rate"))
+    return stats.select("mean", *[F.lit(v).cast("double").alias(k) for k, v in q.items()], "most", "rate")
 
 
 def station_offsets(tx: DataFrame) -> DataFrame:
@@ -309,13 +319,18 @@ def campaign_summary(tx: DataFrame) -> DataFrame:
     """Message mix and benign CAM gaps by class."""
     w = Window.partitionBy("txNodeId").orderBy("txTimeMs", "msgUid")
     g = tx.withColumn("gap", F.col("txTimeMs") - F.lag("txTimeMs").over(w))
-    return g.groupBy("attackId").agg(F.count("*").alias("n"), F.count_distinct("txNodeId").alias("stations"), *[F.count_if(F.col("msgType") == c).alias(S.MESSAGE[c].lower()) for c in (1, 2, 14)],
-                                     F.percentile("gap", F.lit(0.5)).alias("gap_median"), F.avg("gap").alias("gap_mean"), F.count_distinct("gap").alias("gaps"))
+    stats = g.groupBy("attackId").agg(F.count("*").alias("n"), F.count_distinct("txNodeId").alias("stations"), *[F.count_if(F.col("msgType") == c).alias(S.MESSAGE[c].lower()) for c in (1, 2, 14)],
+                                      F.avg("gap").alias("gap_mean"), F.count_distinct("gap").alias("gaps"))
+    return with_quantiles(stats, g, ["attackId"], {"gap": F.col("gap")}, {"gap_median": ("gap", 0.5)})
 
 
 def benign_error(tx: DataFrame) -> DataFrame:
     b = tx.where("attackId = 0").select("txNodeId", F.hypot(F.col("claimedX") - F.col("trueX"), F.col("claimedY") - F.col("trueY")).alias("e"), F.abs(S.signed_angle(F.col("claimedHeading") - F.col("trueHeading"))).alias("h"), F.abs(F.col("claimedSpeed") - F.col("trueSpeed")).alias("s"))
-    return b.agg(F.percentile("e", F.lit(0.5)).alias("median"), F.percentile("e", F.lit(0.95)).alias("p95"), F.max("e").alias("most"), F.count_if(F.col("e") == 0).alias("zero"), F.percentile("h", F.lit(0.5)).alias("heading"), F.max("s").alias("speed"))
+    means = b.groupBy("txNodeId").agg(F.avg("e").alias("m"))
+    q = quantile_numbers(b, {"e": F.col("e"), "h": F.col("h")}, {"median": ("e", 0.5), "p95": ("e", 0.95), "heading": ("h", 0.5)})
+    q |= quantile_numbers(means, {"m": F.col("m")}, {"station_p25": ("m", 0.25), "station_p50": ("m", 0.5), "station_p75": ("m", 0.75)})
+    stats = b.agg(F.max("e").alias("most"), F.count_if(F.col("e") == 0).alias("zero"), F.max("s").alias("speed"))
+    return stats.select("*", *[F.lit(v).cast("double").alias(k) for k, v in q.items()])
 
 
 # ---- update aggregation

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fits, geometry as G
+from ..operators.quantiles import with_quantiles
 from ..sources import adapters as A
+from ..sources.io import cut
 from .ctes import cte, with_
 from .registry import query
 
@@ -189,7 +191,10 @@ cte("moved", "units", """SELECT * REPLACE (CASE WHEN rxNodeId % 4 = 0 THEN CASE
 @query("m13_placement_sweep", with_("moved", f"SELECT move, count(*) AS units, ln(quantile_cont(free_across, 0.5)) AS across, ln(quantile_cont(free_along, 0.5)) AS along FROM ({bound_sql('moved', 'move, ' + T)}) GROUP BY 1"), "move across along")
 def m13(spark, d):
     b = G.placement_sweep(A.units(spark, d), [10, 50], F.col("rxNodeId") % 4 == 0, 2.5, 3.0)
-    return logs(b.groupBy("move").agg(F.count("*").alias("units"), F.percentile("free_across", F.lit(0.5)).alias("across"), F.percentile("free_along", F.lit(0.5)).alias("along")), ["across", "along"])
+    b = cut(b.select("move", "free_across", "free_along"), "sweep")
+    values = {c: F.col(c) for c in ("free_across", "free_along")}
+    found = with_quantiles(b.groupBy("move").agg(F.count("*").alias("units")), b, ["move"], values, {"across": ("free_across", 0.5), "along": ("free_along", 0.5)})
+    return logs(found, ["across", "along"])
 
 
 @query("m11_median_radial")

@@ -313,7 +313,10 @@ def g37(spark, d):
     return R.campaign_summary(A.tx(spark, d))
 
 
-@query("g38_benign_error", with_("err", f"SELECT quantile_cont(err, 0.5) AS median, quantile_cont(err, 0.95) AS p95, max(err) AS most, count(*) FILTER (err = 0) AS zero, quantile_cont(abs({pmod('claimedHeading - trueHeading + 180')} - 180), 0.5) AS heading, max(abs(claimedSpeed - trueSpeed)) AS speed FROM err WHERE attackId = 0"), "median p95 most heading speed")
+cte("means", "err", "SELECT avg(err) AS m FROM err WHERE attackId = 0 GROUP BY txNodeId")
+
+
+@query("g38_benign_error", with_("err means", f"SELECT quantile_cont(err, 0.5) AS median, quantile_cont(err, 0.95) AS p95, max(err) AS most, count(*) FILTER (err = 0) AS zero, quantile_cont(abs({pmod('claimedHeading - trueHeading + 180')} - 180), 0.5) AS heading, max(abs(claimedSpeed - trueSpeed)) AS speed, (SELECT quantile_cont(m, 0.25) FROM means) AS station_p25, (SELECT quantile_cont(m, 0.5) FROM means) AS station_p50, (SELECT quantile_cont(m, 0.75) FROM means) AS station_p75 FROM err WHERE attackId = 0"), "median p95 most heading speed station_p25 station_p50 station_p75")
 def g38(spark, d):
     return R.benign_error(A.tx(spark, d))
 
