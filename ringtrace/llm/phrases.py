@@ -150,7 +150,10 @@ def _pair_counts(arrays: DataFrame) -> DataFrame:
 
 
 def _replaced(arrays: DataFrame, found: DataFrame, neighbours: bool) -> DataFrame:
-    """Arrays of new ids: ``found`` has (block, key, id), keys being places or pairs of neighbours; -1 where there is none."""
+    """Arrays of new ids: ``found`` has (block, key, id), keys being places or pairs of neighbours.
+
+    Where there is none a run of places becomes a single -1, so that arrays shrink with the levels.
+    """
 
     def run(mine: pa.Table, new: pa.Table) -> pa.Table:
         import numpy as np
@@ -169,6 +172,8 @@ def _replaced(arrays: DataFrame, found: DataFrame, neighbours: bool) -> DataFram
         out = np.full(len(wanted), -1, np.int64)
         hit = keys[at] == wanted
         out[hit] = values[at[hit]]
+        gap = out < 0
+        out = out[~gap | ~np.concatenate([[True], gap[:-1]])]  # one gap parts neighbours as well as many
         del keys, values, order, wanted, at, hit, ids
         tidy()
         return pa.table({"block": mine.column("block"), "ids": pa.array([out.astype("<i4").tobytes()], pa.binary())})
