@@ -217,25 +217,108 @@ def power_evasion(units: DataFrame, law: tuple[float, float]) -> DataFrame:
         F.col("claim_rmse").alias("pooled_rmse"), F.abs(F.col("claim_exp") - law[1]).alias("pooled_exp_dev"))
 
 
-def best_response(units: DataFrame, levels: list[float], angles: int = 72, lateral: float | None = None) -> DataFrame:
+#: Receivers of a unit from which it is not summed in one task, and rows of which the matrices of directions are held at once.
+HOT_UNIT, CHUNK = 200_000, 1024
+
+
+def best_response(units: DataFrame, levels: list[float], angles: int = 72, lateral: float | None = None, least: int = MIN_OBS, hot: int = HOT_UNIT) -> DataFrame:
     """Smallest pooled RMSE of a lie of each length over all directions, the direction it lies in, its angle from
     the road, and how many directions leave the road.
 
-    Receivers move once, by triple; the grid of lengths and directions is unfolded and summed where they
-    are, so it never reaches an exchange.
+    Receivers move once, by unit.  Where they are, each gives a row of a matrix over lengths and directions, whose sums a unit
+    are the closed form of its fits; nothing is unfolded.  Units of over ``hot`` receivers are unfolded and summed
+    where their rows lie, before any exchange.  A unit has one true place.  Units of fewer than ``least`` receivers with
+    power have no row; where all directions leave the road the best is null.
     """
-    grid = F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level")
-    rows = units.select(*TRIPLE, "rxX", "rxY", "trueX", "trueY", "phy_rsrp_mean").repartition(*TRIPLE).select("*", grid)
+    rows = units.where("phy_rsrp_mean IS NOT NULL AND rxX IS NOT NULL AND rxY IS NOT NULL AND trueX IS NOT NULL AND trueY IS NOT NULL")
+    rows = rows.select(*TRIPLE, *[F.col(c).cast("double").alias(c) for c in ("rxX", "rxY", "trueX", "trueY", "phy_rsrp_mean")])
+    large = cut(rows.groupBy(*TRIPLE).count().where(F.col("count") > hot).select(*TRIPLE), "hot-units")
+    found = _response_sums(rows.join(large, TRIPLE, "left_anti"), levels, angles, lateral, least)
+    if not large.isEmpty():
+        found = found.union(_response_unfolded(rows.join(large, TRIPLE, "left_semi"), levels, angles, lateral, least))
+    degrees = F.col("step") * (360.0 / angles)
+    return found.select(*TRIPLE, "level", "best_rmse", degrees.alias("direction"),
+                        F.least(F.pmod(degrees, F.lit(180.0)), 180.0 - F.pmod(degrees, F.lit(180.0))).alias("off_axis"), "blocked")
+
+
+def _response_unfolded(rows: DataFrame, levels: list[float], angles: int, lateral: float | None, least: int) -> DataFrame:
+    """(unit, level, best_rmse, step, blocked) by unfolding all lies of each receiver, with partial sums before the exchange."""
+    rows = rows.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
     rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(angles - 1)))).withColumn("th", F.col("step") * (2 * math.pi / angles))
     rows = rows.withColumn("claimedX", F.col("trueX") + F.col("level") * F.cos("th")).withColumn("claimedY", F.col("trueY") + F.col("level") * F.sin("th"))
     off = F.lit(False) if lateral is None else F.abs(F.col("claimedY")) > lateral
-    fits = claim_fit(rows.withColumn("off", off), [*TRIPLE, "level", "step", "off"])
+    fits = claim_fit(rows.withColumn("off", off), [*TRIPLE, "level", "step", "off"], least=least)
     # equal to a millionth of a decibel: the smaller direction
     best = F.min(F.when(~F.col("off"), F.struct(F.round("claim_rmse", 6).alias("rmse"), "step")))
     g = fits.groupBy(*TRIPLE, "level").agg(best.alias("b"), F.count_if(F.col("off")).alias("blocked"))
-    degrees = F.col("b.step") * (360.0 / angles)
-    return g.select(*TRIPLE, "level", F.col("b.rmse").alias("best_rmse"), degrees.alias("direction"),
-                    F.least(F.pmod(degrees, F.lit(180.0)), 180.0 - F.pmod(degrees, F.lit(180.0))).alias("off_axis"), "blocked")
+    return g.select(*TRIPLE, "level", F.col("b.rmse").alias("best_rmse"), "b.step", "blocked")
+
+
+def _response_sums(rows: DataFrame, levels: list[float], angles: int, lateral: float | None, least: int) -> DataFrame:
+    """The same by matrices (receivers x lies), a chunk at a time, from rows that lie sorted by unit."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        th = np.arange(angles) * (2 * math.pi / angles)
+        length = np.repeat(np.array(levels, float), angles)
+        east, north = length * np.tile(np.cos(th), len(levels)), length * np.tile(np.sin(th), len(levels))
+
+        def sums(x, y, tx, ty, power, starts):
+            dist = np.hypot(x[:, None] - tx[:, None] - east, y[:, None] - ty[:, None] - north)
+            l = -10 * np.log10(np.maximum(dist, 1.0))
+            cols = [np.ones(len(x))[:, None], power[:, None], (power**2)[:, None], l, l * l, l * power[:, None]]
+            return np.concatenate([np.add.reduceat(c, starts, axis=0) for c in cols], axis=1)
+
+        def solved(keys, places, total):
+            """Best lies of finished units: ``total`` has a row a unit."""
+            n, width = total[:, :1], len(length)
+            keep = n[:, 0] >= least
+            keys, places, total, n = [k[keep] for k in keys], places[keep], total[keep], n[keep]
+            if not len(n):
+                return None
+            my, ml = total[:, 1:2] / n, total[:, 3 : 3 + width] / n
+            vy = total[:, 2:3] / n - my * my
+            vl, c = total[:, 3 + width : 3 + 2 * width] / n - ml * ml, total[:, 3 + 2 * width :] / n - my * ml
+            slope = np.divide(c, vl, out=np.zeros_like(c), where=vl > 1e-12)
+            rmse = np.floor(np.sqrt(np.maximum(vy - slope * c, 0.0)) * 1e6 + 0.5) / 1e6  # equal to a millionth: the smaller direction
+            off = np.zeros(rmse.shape, bool) if lateral is None else np.abs(places[:, 1:2] + north) > lateral
+            rmse = np.where(off, np.inf, rmse).reshape(len(n), len(levels), angles)
+            step = rmse.argmin(axis=2)
+            best = rmse.min(axis=2)
+            cols = [pa.array(np.repeat(k, len(levels)), t) for k, t in zip(keys, kinds)]
+            none = np.isinf(best).ravel()
+            cols += [pa.array(np.tile(np.array(levels, float), len(n))), pa.array(best.ravel(), mask=none), pa.array(step.ravel().astype(np.int32), mask=none)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(off.reshape(rmse.shape).sum(axis=2).ravel().astype(np.int64))], out)
+
+        held = None  # the unit that may go on: keys, place, sums
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in range(3)]
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                keys = [part.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+                x, y, tx, ty, power = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8))
+                new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+                starts = np.flatnonzero(new)
+                total = sums(x, y, tx, ty, power, starts)
+                heads, places = [k[starts] for k in keys], np.stack([tx, ty], axis=1)[starts]
+                if held is not None:
+                    if all(h[0] == k[0] for h, k in zip(held[0], heads)):
+                        total[0] += held[2][0]
+                        places[0] = held[1][0]
+                    elif (done := solved(*held)) is not None:
+                        yield done
+                if len(starts) > 1 and (done := solved([k[:-1] for k in heads], places[:-1], total[:-1])) is not None:
+                    yield done
+                held = ([k[-1:] for k in heads], places[-1:], total[-1:])
+        if held is not None and (done := solved(*held)) is not None:
+            yield done
+
+    out = [*TRIPLE, "level", "best_rmse", "step", "blocked"]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in TRIPLE) + ", level double, best_rmse double, step int, blocked long"
+    return rows.repartition(*TRIPLE).sortWithinPartitions(*TRIPLE).mapInArrow(run, schema)
 
 
 def toward_estimate(lies: DataFrame, truth: DataFrame, estimates: DataFrame) -> DataFrame:
