@@ -182,40 +182,51 @@ def assemble(agg: DataFrame, power: DataFrame, load: DataFrame, long: DataFrame,
     return out.withColumn("phy_rsrp_vs_claimed", F.col("phy_rsrp_mean") - S.predicted_rsrp("app_claimed_dist_mean"))
 
 
-def voiceprint(agg: DataFrame, apart: float = 30.0, step: float = 30.0, crowded: int = 64) -> DataFrame:
-    """Smallest power difference to another station of the same receiver and window that claims to be far.
+def voiceprint(agg: DataFrame, apart: float = 30.0, crowded: int = 64) -> DataFrame:
+    """Smallest power difference to another station of the same receiver and window that claims to be ``apart`` or more away.
 
     Stations of a receiver and window are compared two by two while they are at most ``crowded``.  In larger
-    groups they lie in cells of their claimed distance, ``step`` wide.  Stations of cells further
-    apart than ``apart`` always count, so the nearest power before and after is found by windows
-    ordered by power, one for each cell, and only neighbouring cells are compared two by two.
+    groups they are ranked by claimed distance: those far below are a prefix of the ranks, those far above a suffix.  A tree
+    of halves over the ranks splits either into a logarithmic number of nodes, each of them one list sorted by power, in
+    which a station finds the nearest power before and after its own: n log n rows in a group of n.
     """
     group = ["key_seed", "rxNodeId", "window"]
     mine = agg.where("phy_rsrp_mean IS NOT NULL AND app_claimed_dist_mean IS NOT NULL")
     mine = mine.select(*group, "claimedStationId", F.col("phy_rsrp_mean").alias("r"), F.col("app_claimed_dist_mean").alias("x"))
-    large = mine.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select(*group)
-    some, mine = mine.join(large, group, "left_anti"), mine.join(large, group, "left_semi")
+    large = mine.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    some, many = mine.join(large, group, "left_anti"), mine.join(large, group)
+    other = some.select(*group, F.col("claimedStationId").alias("o"), F.col("r").alias("r2"), F.col("x").alias("x2"))
     far = (F.col("claimedStationId") != F.col("o")) & (F.abs(F.col("x") - F.col("x2")) >= apart)
-
-    def others(df: DataFrame, *more: Column) -> DataFrame:
-        return df.select(*group, F.col("claimedStationId").alias("o"), F.col("r").alias("r2"), F.col("x").alias("x2"), *more)
-
-    least = F.min(F.abs(F.col("r") - F.col("r2"))).alias("d")
-    few = some.join(others(some), group).where(far).groupBy(*LINK, "window").agg(least)
-    mine = mine.withColumn("cell", F.floor(F.col("x") / step))
-    near = int(-(-apart // step))  # cells in which a station may be too near
-    around = mine.withColumn("c2", F.explode(F.sequence(F.col("cell") - near, F.col("cell") + near)))
-    close = around.join(others(mine, F.col("cell").alias("c2")), [*group, "c2"]).where(far).groupBy(*LINK, "window").agg(least)
-    cells = mine.select(*group, "cell").distinct()
-    aims = cells.join(cells.withColumnRenamed("cell", "aim"), group).where(F.abs(F.col("cell") - F.col("aim")) > near)
-    asks = mine.select(*LINK, "window", "cell", "r").join(aims, [*group, "cell"]).select(*LINK, "window", "r", "aim", F.lit(0).alias("side"))
-    gives = mine.select(*LINK, "window", "r", F.col("cell").alias("aim"), F.lit(1).alias("side"))
-    order = Window.partitionBy(*group, "aim").orderBy("r", "side")
+    few = some.join(other, group).where(far).groupBy(*LINK, "window").agg(F.min(F.abs(F.col("r") - F.col("r2"))).alias("d"))
+
+    keys = ", ".join(group)
+    many = many.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("x", "claimedStationId")).cast("long") - 1)
+    for name, way in (("below", "x"), ("above", "x DESC")):  # how many stations are far on either side
+        many = many.withColumn(name, F.expr(f"count(1) OVER (PARTITION BY {keys} ORDER BY {way} RANGE BETWEEN UNBOUNDED PRECEDING AND {float(apart)}D PRECEDING)"))
+    many = many.withColumn("top", F.ceil(F.log2("n")).cast("int"))
+
+    def bits(c: str) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.col("top")), lambda b: F.call_function("getbit", F.col(c), b) == 1)
+
+    def node(level: Column, index: Column) -> Column:
+        return F.struct(level.alias("level"), index.cast("long").alias("index"))
+
+    def shifted(c: Column, b: Column) -> Column:
+        return F.call_function("shiftright", c, b)
+
+    # a prefix of p ranks is a node for each set bit of p; a suffix likewise, counted from the end of the whole tree
+    many = many.withColumn("rest", F.when(F.col("above") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("top")) - (F.col("n") - F.col("above"))).otherwise(F.lit(0).cast("long")))
+    low = F.transform(bits("below"), lambda b: node(b, shifted(F.col("below"), b) - 1))
+    high = F.transform(bits("rest"), lambda b: node(b, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("top") - b) - shifted(F.col("rest"), b)))
+    own = F.transform(F.sequence(F.lit(0), F.col("top")), lambda b: node(b, shifted(F.col("rank"), b)))
+    asks = many.select(*LINK, "window", "r", F.explode(F.concat(low, high)).alias("node"), F.lit(0).alias("side"))
+    gives = many.select(*LINK, "window", "r", F.explode(own).alias("node"), F.lit(1).alias("side"))
+    order = Window.partitionBy(*group, "node.level", "node.index").orderBy("r", "side")
     power = F.when(F.col("side") == 1, F.col("r"))
-    low = F.last(power, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(power, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    wide = asks.unionByName(gives).withColumn("d", F.least(F.col("r") - low, high - F.col("r"))).where("side = 0")
-    best = few.unionByName(close).unionByName(wide.groupBy(*LINK, "window").agg(F.min("d").alias("d"))).groupBy(*LINK, "window").agg(F.min("d").alias("phy_rsrp_voiceprint_min"))
+    before = F.last(power, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(power, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    wide = asks.unionByName(gives).withColumn("d", F.least(F.col("r") - before, after - F.col("r"))).where("side = 0")
+    best = few.unionByName(wide.groupBy(*LINK, "window").agg(F.min("d").alias("d"))).withColumnRenamed("d", "phy_rsrp_voiceprint_min")
     return agg.join(best, [*LINK, "window"], "left")
 
 
