@@ -135,11 +135,49 @@ def cross_scenario(df: DataFrame, scenario: str, cols: list[str], label: str) ->
     return reduce(DataFrame.unionByName, out)
 
 
-def temporal(df: DataFrame, time: str, cut: float, width: float, cols: list[str], label: str) -> DataFrame:
-    """A model frozen at a time, scored on later bins."""
-    fitted = fit(df.where(F.col(time) < cut), cols, label)
-    late = df.where(F.col(time) >= cut).withColumn("bin", F.floor((F.col(time) - cut) / width))
-    return R.metrics(score(fitted, late, cols, ["bin", F.col(label).alias("y")]), ["bin"])
+def seed_and_time(df: DataFrame, time: str, share: float = 0.5, seed: str = "key_seed") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(train, late, control, held): seeds are held out as well as time, or a model would be asked about stations it knows.
+
+    The last third of the seeds, one at least, is held out; training rows are of the others before the cut, which lies at
+    ``share`` of the span of time.  Late rows are of held seeds from the cut on, control rows of the same seeds before it, so that their
+    difference is the time's alone.  With one seed it is on both sides, and the control is a training fit.
+    """
+    seeds = sorted(r[0] for r in df.select(seed).where(F.col(seed).isNotNull()).distinct().collect())  # a row a seed
+    held = seeds[-max(1, len(seeds) // 3) :]
+    rest = [s for s in seeds if s not in held] or seeds
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    at = low + (high - low) * share
+    early, ours = F.col(time) < at, F.col(seed).isin(held)
+    return df.where(F.col(seed).isin(rest) & early), df.where(ours & ~early), df.where(ours & early), df.where(ours)
+
+
+def temporal(df: DataFrame, time: str, blocks: dict[str, list[str]], label: str, share: float = 0.5, model=None) -> DataFrame:
+    """(block, late_f1, control_f1, time_cost, late_mcc, control_mcc, train, late, control) of a model frozen at the cut, by feature block."""
+    train, late, control, _ = seed_and_time(df, time, share)
+    train, parts = cut(train, "temporal-train"), []
+    sizes = [F.lit(x.count()).alias(n) for x, n in ((train, "train"), (late, "late"), (control, "control"))]
+    for name, cols in blocks.items():
+        fitted = fit(train, cols, label, model)
+        a, b = (R.metrics(score(fitted, rows, cols, [F.col(label).alias("y")])).select(F.col("macro_f1").alias(f"{n}_f1"), F.col("mcc").alias(f"{n}_mcc")) for rows, n in ((late, "late"), (control, "control")))
+        one = a.crossJoin(b)  # one row each
+        parts.append(one.select(F.lit(name).alias("block"), "late_f1", "control_f1", (F.col("late_f1") - F.col("control_f1")).alias("time_cost"), "late_mcc", "control_mcc", *sizes))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def prequential(df: DataFrame, time: str, bins: int, cols: list[str], label: str, share: float = 0.5, least: int = 200, model=None) -> DataFrame:
+    """(bin, start, rows, macro_f1, mcc) of a model frozen at the cut over equal bins of the whole span, on held seeds only.
+
+    Bins of fewer than ``least`` rows, or of one class, have null scores.
+    """
+    train, _, _, held = seed_and_time(df, time, share)
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    width = (high - low) / bins or 1.0
+    rows = held.withColumn("bin", F.floor((F.col(time) - low) / width)).where(F.col("bin") < bins)  # the last moment is the open end
+    scored = cut(score(fit(train, cols, label, model), rows, cols, ["bin", F.col(label).alias("y")]).select("bin", "y", "p"), "prequential")
+    sizes = scored.groupBy("bin").agg(F.count("*").alias("rows"), F.count_distinct("y").alias("classes"))
+    enough = (F.col("rows") >= least) & (F.col("classes") > 1)
+    out = sizes.join(R.metrics(scored, ["bin"]), "bin", "left")
+    return out.select("bin", (F.lit(low) + F.col("bin") * width).cast("double").alias("start"), "rows", *[F.when(enough, F.col(c)).alias(c) for c in ("macro_f1", "mcc")])
 
 
 def separability(df: DataFrame, cols: list[str], label: str, classes: list[int], key: str, cap: int | None = None) -> DataFrame:

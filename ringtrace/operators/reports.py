@@ -360,21 +360,3 @@ def server_step(updates: DataFrame, rate: float = 1.0) -> DataFrame:
     """Adaptive server step from zero state: the mean update over its own magnitude."""
     m = aggregate_updates(updates, "weighted")
     return m.select("dim", (rate * 0.1 * F.col("value") / (F.sqrt(0.01 * F.col("value") * F.col("value")) + 1e-3)).alias("value"))
-
-
-def mix_models(models: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
-    """(node, dim, v) after averaging with live neighbours ``steps`` times, Metropolis weights on ``edges`` (src, dst)."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    deg = both.groupBy("src").agg(F.count("*").alias("d"))
-    w = both.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst").select("src", "dst", (1.0 / (1 + F.greatest("d", "e"))).alias("w"))
-    own = w.groupBy("src").agg((1 - F.sum("w")).alias("w")).select("src", F.col("src").alias("dst"), "w")
-    w = w.unionByName(own)
-    for _ in range(steps):
-        models = w.join(models.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "dim").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    return models
-
-
-def consensus_distance(models: DataFrame) -> DataFrame:
-    mean = models.groupBy("dim").agg(F.avg("v").alias("m"))
-    per = models.join(mean, "dim").groupBy("node").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("d"))
-    return per.agg(F.avg("d").alias("distance"))

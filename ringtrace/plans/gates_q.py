@@ -152,7 +152,13 @@ def m31(spark, d):
 
 @query("m32_temporal")
 def m32(spark, d):
-    return L.temporal(A.corpus(spark, d), "key_window", 1500, 250, FS, Y)
+    df = A.corpus(spark, d)
+    return L.temporal(df, "key_window", {k: v for k, v in P.blocks_of(df, ["phy_discount"]).items() if k in ("app", "phy", "fused")}, Y)
+
+
+@query("m32_prequential")
+def m32p(spark, d):
+    return L.prequential(A.corpus(spark, d), "key_window", 10, FS, Y)
 
 
 @query("m34_separability")

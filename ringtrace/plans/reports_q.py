@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import features as X, geometry as G, reports as R
+from ..operators import features as X, geometry as G, mesh as M, reports as R
 from ..sources import adapters as A
 from . import features_q, geometry_q, partition_q  # noqa: F401  their table expressions are used below
 from .ctes import cte, pmod, with_
@@ -352,14 +352,42 @@ def m35s(spark, d):
 cte("ring", "dims", "SELECT DISTINCT class AS node, CAST(dim AS INT) AS dim, avg(v) OVER (PARTITION BY class, dim) AS v FROM dims")
 
 
-@query("m36_peer_mixing", with_("ring", "SELECT node, dim, (v + a + b) / 3 AS v FROM (SELECT r.node, r.dim, r.v, a.v AS a, b.v AS b FROM ring r JOIN ring a ON a.dim = r.dim AND a.node = (r.node + 1) % 10 JOIN ring b ON b.dim = r.dim AND b.node = (r.node + 9) % 10)"), "v")
+#: Nodes of the mesh: clients by number; links of a ring and one more each; one node in seven is dead.
+NODES = 64
+cte("node", "updates", f"SELECT DISTINCT client % {NODES} AS node FROM updates")
+cte("link", "node", f"SELECT DISTINCT * FROM (SELECT node AS src, (node + 1) % {NODES} AS dst FROM node UNION ALL SELECT node, (node * 37 + 11) % {NODES} FROM node) WHERE src <> dst")
+cte("twoway", "link node", "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM link UNION ALL SELECT dst, src FROM link) WHERE src % 7 <> 3 AND dst % 7 <> 3 AND src IN (SELECT node FROM node) AND dst IN (SELECT node FROM node)")
+cte("weights", "twoway node", """SELECT src, dst, w FROM (SELECT b.src, b.dst, 1.0::DOUBLE / (1 + greatest(x.d, y.d)) AS w FROM twoway b JOIN (SELECT src, count(*) AS d FROM twoway GROUP BY 1) x ON x.src = b.src JOIN (SELECT src, count(*) AS d FROM twoway GROUP BY 1) y ON y.src = b.dst)
+ UNION ALL SELECT node, node, 1 - coalesce((SELECT sum(1.0::DOUBLE / (1 + greatest(x.d, y.d))) FROM twoway b JOIN (SELECT src, count(*) AS d FROM twoway GROUP BY 1) x ON x.src = b.src JOIN (SELECT src, count(*) AS d FROM twoway GROUP BY 1) y ON y.src = b.dst WHERE b.src = node), 0) FROM node""")
+cte("mesh0", "updates", f"SELECT client % {NODES} AS node, dim - 1 AS dim, avg(vector[dim]) AS v FROM updates, (SELECT unnest(range(1, 65)) AS dim) WHERE dim <= len(vector) GROUP BY ALL")
+for _step in (1, 2, 3):
+    cte(f"mesh{_step}", f"weights mesh{_step - 1}", f"SELECT w.dst AS node, m.dim, sum(w.w * m.v) AS v FROM weights w JOIN mesh{_step - 1} m ON m.node = w.src GROUP BY ALL")
+
+
+def mesh(spark, d):
+    """Models of the nodes, their links and the live ones."""
+    u = A.updates(spark, d).withColumn("node", F.col("client") % NODES)
+    models = u.select("node", F.posexplode("vector").alias("dim", "v")).groupBy("node", "dim").agg(F.avg("v").alias("v"))
+    nodes = u.select("node").distinct()
+    aims = F.explode(F.array((F.col("node") + 1) % NODES, (F.col("node") * 37 + 11) % NODES)).alias("dst")
+    return models, nodes, nodes.select(F.col("node").alias("src"), aims), nodes.where("node % 7 <> 3")
+
+
+@query("m36_peer_mixing", with_("mesh3", "SELECT node, dim, v FROM mesh3"), "v")
 def m36(spark, d):
-    models = A.updates(spark, d).select(F.col("class").alias("node"), F.posexplode("vector").alias("dim", "v")).groupBy("node", "dim").agg(F.avg("v").alias("v"))
-    edges = A.updates(spark, d).select(F.col("class").alias("src"), ((F.col("class") + 1) % 10).alias("dst")).distinct()
-    return R.mix_models(models, edges, 1)
+    models, nodes, links, live = mesh(spark, d)
+    return M.mix(models, M.metropolis(nodes, links, live), 3)
 
 
-@query("m36_consensus_distance", with_("ring", "SELECT avg(d) AS distance FROM (SELECT node, sqrt(sum((v - m) ^ 2)) AS d FROM (SELECT *, avg(v) OVER (PARTITION BY dim) AS m FROM ring) GROUP BY 1)"), "distance")
+@query("m36_consensus_distance", with_("mesh3", """SELECT avg(d) / (SELECT sqrt(sum(m * m)) FROM (SELECT avg(v) AS m FROM mesh3 WHERE node % 7 <> 3 GROUP BY dim)) AS distance, count(*) AS nodes
+ FROM (SELECT node, sqrt(sum((v - m) ^ 2)) AS d FROM (SELECT *, avg(v) OVER (PARTITION BY dim) AS m FROM mesh3 WHERE node % 7 <> 3) GROUP BY 1)"""), "distance")
 def m36d(spark, d):
-    models = A.updates(spark, d).select(F.col("class").alias("node"), F.posexplode("vector").alias("dim", "v")).groupBy("node", "dim").agg(F.avg("v").alias("v"))
-    return R.consensus_distance(models)
+    models, nodes, links, live = mesh(spark, d)
+    return M.consensus_distance(M.mix(models, M.metropolis(nodes, links, live), 3), live)
+
+
+@query("m36_components", "WITH RECURSIVE e AS (SELECT DISTINCT vec_id AS a, vec_id + 1 AS b FROM embeddings), walk AS (SELECT DISTINCT vec_id AS node, vec_id AS root FROM embeddings WHERE vec_id % 50 <> 7 UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node WHERE e.b % 50 <> 7 AND e.b IN (SELECT vec_id FROM embeddings)) SELECT node, min(root) AS root FROM walk GROUP BY 1")
+def m36c(spark, d):
+    """A line of all clients, broken where one in fifty is dead."""
+    clients = A.updates(spark, d).select(F.col("client").alias("node"))
+    return M.components(clients.where("node % 50 <> 7"), clients.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")))

@@ -113,6 +113,22 @@ def s10(spark, d):
     return IO.read_nextgen(spark, path).withColumn("rxTimeMs", F.col("rxTimeMs").cast("long"))
 
 
+@query("s10_nextgen_arrays", with_("rx", """SELECT msgUid, claimedStationId, rxNodeId::BIGINT AS rxNodeId, CAST(CAST(floor(rxTimeMs) AS BIGINT) * 1000000 AS DOUBLE) / 1e6::DOUBLE AS rxTimeMs, claimedX, claimedY, rxX, rxY, claimedSpeed, claimedHeading, CAST(CASE WHEN msgUid % 4 = 0 THEN 2 ELSE 0 END AS INT) AS label_attackId
+ FROM rx WHERE msgUid % 25 > 0"""), "rxTimeMs claimedX claimedY rxX rxY claimedSpeed claimedHeading")
+def s10a(spark, d):
+    """One JSON array a receiver, read in byte ranges; one position in 25 is broken, and the variant stands in the path."""
+    def text(*cols):
+        return F.concat_ws(",", *[F.col(c).cast("string") for c in cols], F.lit("0"))
+
+    rows = A.rx(spark, d).select(
+        "rxNodeId", "msgUid", (F.floor("rxTimeMs").cast("long") * 1_000_000).alias("rcvTime"), F.concat(F.lit("v_"), F.col("claimedStationId").cast("string")).alias("sender_id"),
+        F.col("msgUid").alias("messageID"), F.when(F.col("msgUid") % 4 == 0, 1).otherwise(0).alias("attacker"),
+        F.struct(F.when(F.col("msgUid") % 25 == 0, "broken").otherwise(text("claimedX", "claimedY")).alias("pos"), F.col("claimedSpeed").cast("string").alias("spd"), F.col("claimedHeading").cast("string").alias("hed")).alias("sender"),
+        F.struct(text("rxX", "rxY").alias("pos")).alias("receiver"))
+    path = IO.write_json_arrays(rows.drop("msgUid"), "rxNodeId", ["messageID"], IO.scratch(spark, "constantPositionOffset"))
+    return IO.read_nextgen_arrays(spark, path, "part-*")
+
+
 @query("s11_unknown_codes", with_("rx", "SELECT msgType, count(*) AS n FROM rx WHERE msgType NOT IN (1, 2) GROUP BY 1"))
 def s11(spark, d):
     return IO.unknown_codes(IO.require_fields(A.rx(spark, d), ["msgUid", "msgType"]), "msgType", [1, 2])

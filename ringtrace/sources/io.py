@@ -120,19 +120,45 @@ def read_nextgen(spark: SparkSession, path: str) -> DataFrame:
 NEXTGEN_VARIANTS = {"constantPositionOffset": 2, "randomPositionOffset": 1}
 
 
-def read_nextgen_arrays(spark: SparkSession, path: str) -> DataFrame:
+def read_json_arrays(spark: SparkSession, path: str, record: str, glob: str = "*.json", opens: str | None = None) -> DataFrame:
+    """(r, file): the records of files that hold one JSON array each, parsed by the schema ``record``.
+
+    ``opens`` is the text a record starts with up to its first colon, by default that of the first record found.  Spark's text reader
+    takes it as the line separator, so a large file is cut into byte ranges like any other text and each task
+    starts at the next record.  A record that opens in another way is read with the one before it;
+    a piece that does not parse goes, alone.  No inner object may open like a record.
+    """
+    files = {"recursiveFileLookup": True, "pathGlobFilter": glob}
+    if opens is None:
+        head = spark.read.options(**files, lineSep=":").text(path).where("value LIKE '%{%'").limit(1).collect()  # up to a first colon
+        if not head:
+            return spark.createDataFrame([], f"r struct<{record}>, file string")
+        opens = "{" + head[0][0].split("{")[-1]
+    pieces = spark.read.options(**files, lineSep=opens).text(path).select("value", F.input_file_name().alias("file"))
+    body = F.regexp_replace("value", r"[,\]\s]+$", "")
+    rest = pieces.where(~F.col("value").rlike(r"^[\[\s]*$"))
+    text = F.when(F.col("value").rlike(r"^\s*\["), F.concat(body, F.lit("]"))).otherwise(F.concat(F.lit("[" + opens), body, F.lit("]")))
+    parsed = F.from_json(text, f"array<struct<{record}>>")
+    return rest.select(F.explode(parsed).alias("r"), "file").where("r IS NOT NULL")
+
+
+#: Attack code of each variant of these logs, which only the path names.
+NEXTGEN_VARIANTS = {"constantPositionOffset": 2, "randomPositionOffset": 1}
+
+
+def read_nextgen_arrays(spark: SparkSession, path: str, glob: str = "veh_*.json") -> DataFrame:
     """A folder with one JSON array for each receiver (``veh_N.json``): positions as text, times in nanoseconds.
 
     The variant, hence the attack code, comes from the path; fails if it names none or both.  Records
-    without sender, receiver or a number go.
+    without sender, receiver or a number go.  The receiver's number stands behind ``veh_`` or ``veh=`` in the path.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "veh_*.json").load(path).select("path")
-    named = files.agg(*[F.count_if(F.contains("path", F.lit(v))).alias(v) for v in NEXTGEN_VARIANTS]).first()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
+    named = listed.agg(*[F.count_if(F.contains("path", F.lit(v))).alias(v) for v in NEXTGEN_VARIANTS]).first()
     found = [v for v in NEXTGEN_VARIANTS if named[v]]
     if len(found) != 1:
         raise ValueError(f"the path names {found or 'none'} of {sorted(NEXTGEN_VARIANTS)}")
-    schema = "rcvTime string, sender_id string, messageID string, attacker string, sender struct<pos string, spd string, hed string>, receiver struct<pos string>"
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "veh_*.json").json(path)
+    record = "rcvTime string, sender_id string, messageID string, attacker string, sender struct<pos string, spd string, hed string>, receiver struct<pos string>"
+    rows = read_json_arrays(spark, path, record, glob).select("r.*", "file")
 
     def part(column: str, k: int):
         return F.get(F.split(column, ","), F.lit(k)).try_cast("double")
@@ -142,10 +168,22 @@ def read_nextgen_arrays(spark: SparkSession, path: str) -> DataFrame:
         part("sender.pos", 0).alias("claimedX"), part("sender.pos", 1).alias("claimedY"), part("receiver.pos", 0).alias("rxX"), part("receiver.pos", 1).alias("rxY"),
         F.col("sender.spd").try_cast("double").alias("claimedSpeed"), F.pmod(F.col("sender.hed").try_cast("double"), F.lit(360.0)).alias("claimedHeading"),
         F.when(F.coalesce(F.col("attacker").try_cast("int"), F.lit(0)) != 0, NEXTGEN_VARIANTS[found[0]]).otherwise(0).alias("label_attackId"),
-        F.regexp_extract(F.input_file_name(), r"veh_(\d+)", 1).try_cast("long").alias("rxNodeId"))
+        F.regexp_extract("file", r"veh[_=](\d+)", 1).try_cast("long").alias("rxNodeId"))
     return out.na.drop(subset=[c for c in out.columns if c != "rxNodeId"])
 
 
+def write_json_arrays(df: DataFrame, receiver: str, order: list[str], path: str) -> str:
+    """One JSON array of records for each value of ``receiver``, in a folder ``veh=N``, in the order of ``order``."""
+    w = Window.partitionBy(receiver).orderBy(*order)
+    rows = df.withColumn("__first", F.row_number().over(w) == 1).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
+    record = F.to_json(F.struct(*[c for c in df.columns if c != receiver]))
+    value = F.concat(F.when(F.col("__first"), "[").otherwise(""), record, F.when(F.col("__last"), "]").otherwise(", "))
+    out = rows.select(value.alias("value"), F.col(receiver).alias("veh"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)])
+    out = out.repartition("veh").sortWithinPartitions("veh", *[f"__o{k}" for k in range(len(order))])
+    out.select("value", "veh").write.partitionBy("veh").text(path)
+    return path
+
+
 def require_fields(df: DataFrame, cols: list[str]) -> DataFrame:
     lacking = [c for c in cols if c not in df.columns]
     if lacking:
