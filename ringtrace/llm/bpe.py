@@ -74,6 +74,7 @@ class TrieBpe:
         self.added_at = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)")
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word_at = regex.compile(pattern)
+        self._library(data)
         self.symbols = byte_symbols()
         # a symbol is a number: the byte, plus 256 for its word-end form
         number = {c: b for b, c in enumerate(self.symbols)}
@@ -111,6 +112,15 @@ class TrieBpe:
         self.proper: dict[int, bool] = {}
         self.long: list[str] = []
 
+    def _library(self, data: dict) -> None:
+        """The library's own normalizer and word split, for what is not ASCII: it follows a Unicode version of its own."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        bare = data | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        first = data["pre_tokenizer"]["pretokenizers"][0]
+        self.normal = Tokenizer.from_str(json.dumps(bare)).normalizer
+        self.split = pre_tokenizers.Split(Regex(first["pattern"]["Regex"]), first["behavior"].lower(), first["invert"])
+
     def _merge(self, symbols: list[int]) -> list[int]:
         """Plain merging of token ids, used only to settle one border of two tokens."""
         parts = list(symbols)
@@ -242,15 +252,12 @@ class TrieBpe:
                     todo.append((size, s, child))
         return out
 
-    def normalise(self, text: str) -> str:
-        """NFC, then lower case letter by letter (white space separates words either way)."""
-        import unicodedata
-
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower() alone would look at the letter's place in the word
-                return "".join(c.lower() for c in text)
-        return text.lower()
+    def words_in(self, piece: str) -> list[str]:
+        """Normalised words of a piece (white space separates words either way)."""
+        if piece.isascii():
+            text = piece.lower()
+            return [text] if text.isalpha() else self.word_at.findall(text)  # letters alone are one word
+        return [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(piece))]
 
     def _learn(self, fresh: set[str]) -> None:
         """Add pieces (runs without ASCII white space) to the cache, as id bytes and decoded bytes."""
@@ -259,8 +266,7 @@ class TrieBpe:
             self.pieces[p] = (array("I", [self.added[p[1:]]]).tobytes(), p[1:].encode())
         split: dict[str, list[str]] = {}
         for piece in fresh - marked:
-            text = self.normalise(piece)
-            split[piece] = [text] if text.isalpha() else self.word_at.findall(text)  # letters alone are one word
+            split[piece] = self.words_in(piece)
         words, pieces = self.words, self.pieces
         unknown = {w for ws in split.values() for w in ws if w not in words}
         self.long = [w for w in unknown if len(w) > LONG]

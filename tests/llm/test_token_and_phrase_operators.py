@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ringtrace.llm import align, bytebpe, phrases, queries
+from ringtrace.llm import align, bpe, bytebpe, phrases, queries
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,6 +93,19 @@ def test_odd_rows_round_trip(odd, empty):
         bytebpe.read_ranks("YQ== 0\nYg== 2")
 
 
+# ---- 4 word-end BPE
+def test_words_follow_the_library_on_every_kind_of_character():
+    spec = bpe.default_tokenizer()
+    engine = Tokenizer.from_str(spec)
+    engine.no_truncation()
+    engine.no_padding()
+    chars = [chr(c) for c in (*range(0x80, 0xD800, 11), *range(0xE000, 0x110000, 211), 0x558, 0x88F, 0x1C89, 0x130, 0x3A3)]
+    texts = ["".join(f"Ab{c}Cd 1{c}2{c}" for c in chars[k : k + 4]) for k in range(0, len(chars), 4)]
+    texts += ["x\u0301\u1df6y", "a\U0001e4ec\u0301 b\U0001e4ed\u0301", *random_texts(8, 500, 40)]
+    want = [e.ids for e in engine.encode_batch(texts, add_special_tokens=False)]
+    assert [list(array("I", a)) for a, _ in bpe.TrieBpe(spec).encode(texts)] == want
+
+
 # ---- 11 alignment
 def test_galloping_finds_what_two_lists_share():
     rng = random.Random(4)
