@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,36 +74,6 @@ def gate_balance(df: DataFrame, label: str, most: float = 0.9) -> DataFrame:
     return s.select(label, "share", (F.col("share") < most).alias("ok"))
 
 
-def nearest_class(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, sample: int = 150_000) -> DataFrame:
-    """1-nearest-neighbour prediction on standardised features; equal distances go to the smaller class.
-
-    The gate samples ``sample`` rows a side; the training side, bounded by that, is sent to the tasks, which compare blocks.
-    """
-    stats = train.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
-    scaled = [((F.col(f).cast("double") - stats[f]["m"]) / (stats[f]["s"] or 1.0)).alias(f) for f in features]
-    held = P.sample_n(train, sample, key).select(*scaled, F.col(label).cast("int").alias("p")).toArrow()  # at most ``sample`` rows
-    rows = P.sample_n(test, sample, key, 1).select(*scaled, F.col(label).cast("int").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        x = np.stack([np.asarray(held.column(f)) for f in features], axis=1)
-        p = np.asarray(held.column("p"))
-        order = np.argsort(p, kind="stable")
-        x, p = x[order], p[order]
-        half = (x**2).sum(axis=1) / 2
-        for batch in batches:
-            q = np.stack([np.asarray(batch.column(k)) for k in range(len(features))], axis=1)
-            found = np.empty(len(q), np.int32)
-            for at in range(0, len(q), 256):
-                near = half[None] - q[at : at + 256] @ x.T
-                best = near.min(axis=1, keepdims=True)
-                found[at : at + 256] = p[(near <= best + 1e-9).argmax(axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(len(features)), pa.array(found)], ["y", "p"])
-
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "y int, p int")
-
-
 def check_campaign(tx: DataFrame, stations: DataFrame) -> DataFrame:
     """(check, ok, detail): roadside units present, CAM at least CPM, gaps not deterministic, errors not zero, attackers
     speak, headings err by a degree at least, most position attackers lie, magnitude bands do not overlap.

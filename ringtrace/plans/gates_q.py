@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates as Q, geometry as G, learn as L, partition as P, reports as R
+from ..operators import gates as Q, geometry as G, learn as L, neighbours as N, partition as P, reports as R
 from ..sources import adapters as A
 from .ctes import cte, with_
 from .reports_q import pred
@@ -34,7 +34,7 @@ def q03(spark, d):
 @query("q04_nearest_neighbour")
 def q04(spark, d):
     df = A.corpus(spark, d)
-    return R.metrics(Q.nearest_class(df.where("label_txNodeId % 5 > 0"), df.where("label_txNodeId % 5 = 0"), FS, Y, "key_rxNodeId"))
+    return R.metrics(N.nearest_class(df.where("label_txNodeId % 5 > 0"), df.where("label_txNodeId % 5 = 0"), FS, Y))
 
 
 @query("q04_small_tree")

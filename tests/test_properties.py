@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
 from ringtrace.functions import scalars as S
-from ringtrace.operators import asof, features as X, fits, gates as Q, geometry as G, learn as L, partition as P, reports as R
+from ringtrace.operators import asof, features as X, fits, gates as Q, geometry as G, learn as L, neighbours as N, partition as P, reports as R
 from ringtrace.operators.ranks import hash_rank
 from ringtrace.sources import adapters as A, io as IO
 
@@ -230,7 +230,8 @@ def test_floor_finds_a_planted_crossing(spark):
     assert all(r.crossing is None for r in none.where("replicate = 0").collect())
 
 
-def test_nearest_class_equals_plain_search(spark):
+@pytest.mark.parametrize("per_cell", [40, 10**6])
+def test_nearest_class_equals_plain_search(spark, per_cell):
     df = A.corpus(spark, SF)
     fs = ["app_quantity", "app_price", "phy_discount", "phy_tax"]
     train, test = df.where("label_txNodeId % 5 > 0"), df.where("label_txNodeId % 5 = 0")
@@ -239,7 +240,7 @@ def test_nearest_class_equals_plain_search(spark):
     x, q = ((t[fs] - m).to_numpy() / s.to_numpy() for t in (a, b))
     d = ((q[:, None] - x[None]) ** 2).sum(2)
     want = [a.label_attackId[row <= row.min() + 2e-9].min() for row in d]
-    got = Q.nearest_class(train, test, fs, "label_attackId", "key_rxNodeId").groupBy("y", "p").count().collect()
+    got = N.nearest_class(train, test, fs, "label_attackId", per_cell).groupBy("y", "p").count().collect()
     assert {(r.y, r.p): r["count"] for r in got} == pd.Series(list(zip(b.label_attackId, want))).value_counts().to_dict()
 
 
