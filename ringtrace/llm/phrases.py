@@ -24,7 +24,7 @@ from .bpe import slices
 from .shared import cut, drop, tidy
 
 #: Bytes of text in a block; side of a tile, tiles a side that may be dense, and the share of a tile's cells its pairs must reach.
-BLOCK, TILE, DENSE_TILES, DENSE_SHARE = 8_000_000, 1024, 16, 1 / 16
+BLOCK, TILE, DENSE_TILES, DENSE_SHARE = 12_000_000, 1024, 16, 1 / 16
 #: Ids are 32-bit.
 MOST_IDS = (1 << 31) - 1
 #: Words are ``[^\x20\x09]+`` in pieces between ``[.,;:!?\x0A-\x0D]``; A-Z are lower-cased.
@@ -111,22 +111,18 @@ def _blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) ->
     return docs.select(text_col, lang).mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, ids binary")
 
 
-def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``rows`` with ``id``: their place from 0 by falling ``f``, then by ``keys``; ranges are sorted apart and counted."""
-    order = [F.desc("f"), *keys]
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), name)
-    sizes = placed.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()  # a row a partition
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r["part"], total))
-        total += r["count"]
-    if total > MOST_IDS:
-        raise ValueError("more frequent phrases of one length than 32-bit ids")
-    starts = rows.sparkSession.createDataFrame(starts, "part long, start long")
-    inside = F.col("at").bitwiseAND((1 << 33) - 1)
-    out = placed.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("part")).select((F.col("start") + inside).alias("id"), *rows.columns)
-    out._cut_path = placed._cut_path
-    return out
+def _frequent(counts: DataFrame, keys: list[str], least: int, keep: list[str], name: str) -> DataFrame:
+    """``keep`` of the blocks' counts whose sum over all blocks, ``f``, is ``least`` or more, with ``f`` and an ``id``.
+
+    Ids rank by frequency: keys fall into buckets by hash, are ranked inside theirs, and the ranks of the
+    buckets interleave, so that low ids are the frequent ones without any task that sees all.
+    """
+    session = counts.sparkSession.conf
+    buckets = max(256, 4 * int(session.get("spark.sql.shuffle.partitions", "200")))
+    rows = counts.withColumn("f", F.sum("c").over(Window.partitionBy(*keys))).where(F.col("f") >= least)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(F.desc("f"), *keys)).cast("long")
+    return cut(rows.select(*keep, "f", ((rank - 1) * buckets + F.col("bucket")).alias("id")), name, "zstd")
 
 
 def _pair_counts(arrays: DataFrame) -> DataFrame:
@@ -162,6 +158,8 @@ def _replaced(arrays: DataFrame, found: DataFrame, neighbours: bool) -> DataFram
             return pa.table({"block": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
         ids = np.frombuffer(mine.column("ids")[0].as_py(), "<i4").astype(np.int64)
         keys, values = new.column("key").to_numpy(), new.column("id").to_numpy()
+        if len(values) and values.max() > MOST_IDS:
+            raise ValueError("more frequent phrases of one length than 32-bit ids")
         order = np.argsort(keys)
         keys, values = np.append(keys[order], 1 << 62), values[order]
         if neighbours:
@@ -205,26 +203,23 @@ def collocations(
     ones included.  Phrases of equal score and frequency come in byte order.  Other columns are ignored, whatever their
     names.  A single text is never cut, so a block holds at least one.
     """
-    blocks = cut(_blocks(docs, text_col, lang_col, block_bytes), "phrase-blocks")
+    blocks = cut(_blocks(docs, text_col, lang_col, block_bytes), "phrase-blocks", "zstd")
     totals = cut(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("key", "x")).select("block", "lang", "key", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    words = words.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least)
-    words = cut(words.select("block", "key", "lang", "word", "f"), "phrase-words")
-    level = _ranked(words.groupBy("lang", "word").agg(F.max("f").alias("f")), ["lang", "word"], "phrase-ranks")
-    arrays = cut(_replaced(blocks, words.join(level.select("lang", "word", "id"), ["lang", "word"]), False), "phrase-arrays")
+    words = _frequent(words, ["lang", "word"], least, ["block", "key", "lang", "word"], "phrase-words")
+    level = cut(words.groupBy("id").agg(F.any_value("lang").alias("lang"), F.any_value("word").alias("word"), F.max("f").alias("f")), "phrase-level")
+    arrays = cut(_replaced(blocks, words, False), "phrase-arrays", "zstd")
     phrases = [level.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("pre"), F.array("f").alias("suf"), "f")]
     drop(blocks)
     drop(words)
     levels = [level]
     for m in range(2, longest + 1):
-        # a block's counts with the corpus count of each pair beside them
-        pairs = _pair_counts(arrays).withColumn("f", F.sum("c").over(Window.partitionBy("pair"))).where(F.col("f") >= least)
-        pairs = cut(pairs.select("block", "pair", "f"), "phrase-pairs")
-        level = _ranked(pairs.groupBy("pair").agg(F.max("f").alias("f")), ["pair"], "phrase-ranks")
-        level = level.select("id", "pair", F.shiftright("pair", 32).alias("i"), F.col("pair").bitwiseAND(MOST_IDS).alias("j"), "f")
+        pairs = _frequent(_pair_counts(arrays), ["pair"], least, ["block", "pair"], "phrase-pairs")
+        level = pairs.groupBy("id").agg(F.max("pair").alias("pair"), F.max("f").alias("f"))
+        level = cut(level.select("id", F.shiftright("pair", 32).alias("i"), F.col("pair").bitwiseAND(MOST_IDS).alias("j"), "f"), "phrase-ids")
         old = arrays
         if m < longest:
-            arrays = cut(_replaced(arrays, pairs.join(level.select("pair", "id"), "pair").withColumnRenamed("pair", "key"), True), "phrase-arrays")
+            arrays = cut(_replaced(arrays, pairs.withColumnRenamed("pair", "key"), True), "phrase-arrays", "zstd")
         drop(old)
         drop(pairs)
         head = phrases[-1].select(F.col("id").alias("i"), "lang", F.col("phrase").alias("head"), F.col("pre").alias("before"))
