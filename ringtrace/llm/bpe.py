@@ -14,6 +14,7 @@ Work is per task: no shuffle, no state beyond a bounded cache of pieces.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -120,6 +121,12 @@ class TrieBpe:
         first = data["pre_tokenizer"]["pretokenizers"][0]
         self.normal = Tokenizer.from_str(json.dumps(bare)).normalizer
         self.split = pre_tokenizers.Split(Regex(first["pattern"]["Regex"]), first["behavior"].lower(), first["invert"])
+        # Latin letters that both sides treat alike, asked here; none of them composes with what stands before it
+        alike = "".join(c for c in map(chr, range(0x80, 0x300)) if c.isalpha() and len(c.lower()) == 1 and self._library_words(f"a{c}a") == [f"a{c.lower()}a"])
+        self.plain = re.compile(rf"[\x00-\x7f{alike}]*\Z")
+
+    def _library_words(self, piece: str) -> list[str]:
+        return [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(piece))]
 
     def _merge(self, symbols: list[int]) -> list[int]:
         """Plain merging of token ids, used only to settle one border of two tokens."""
@@ -254,10 +261,10 @@ class TrieBpe:
 
     def words_in(self, piece: str) -> list[str]:
         """Normalised words of a piece (white space separates words either way)."""
-        if piece.isascii():
+        if piece.isascii() or self.plain.match(piece):
             text = piece.lower()
             return [text] if text.isalpha() else self.word_at.findall(text)  # letters alone are one word
-        return [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(piece))]
+        return self._library_words(piece)
 
     def _learn(self, fresh: set[str]) -> None:
         """Add pieces (runs without ASCII white space) to the cache, as id bytes and decoded bytes."""
