@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -272,13 +273,20 @@ def holdout_tx(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     return r.where(F.col("r") <= F.ceil(F.col("n") * fraction)).select("label_txNodeId", "class")
 
 
+#: Distribution function of Poisson(1), as far as 32-bit hashes can tell its tail.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
 def bootstrap(df: DataFrame, n: int, cluster: str, value: str) -> DataFrame:
-    """(replicate, mean): cluster bootstrap by hashed Poisson weights, so no resample is materialised."""
+    """(replicate, mean): cluster bootstrap by hashed Poisson weights, so no resample is materialised.
+
+    ``cluster`` is an integer column: stations, or whole seeds by number.  A replicate in which no cluster is drawn has a null mean.
+    """
     per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     rep = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    # two rounds of a hash that any SQL engine can repeat, then Poisson(1) by its distribution function (fixed values)
+    # two rounds of a hash that any SQL engine can repeat, then the number of steps of the distribution function below it
     u = hashed(F.floor(hashed(F.col(cluster) * 7919 + F.col("replicate") * 104729) / 4096), 1) / 4294967296
-    w = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
+    w = reduce(lambda x, y: x + y, [(u >= p).cast("int") for p in POISSON])
     return rep.groupBy("replicate").agg(F.try_divide(F.sum(F.col("s") * w), F.sum(F.col("c") * w)).alias("mean"))
 
 

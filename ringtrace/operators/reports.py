@@ -358,5 +358,35 @@ def prototypes(updates: DataFrame) -> DataFrame:
 
 def server_step(updates: DataFrame, rate: float = 1.0) -> DataFrame:
     """Adaptive server step from zero state: the mean update over its own magnitude."""
-    m = aggregate_updates(updates, "weighted")
-    return m.select("dim", (rate * 0.1 * F.col("value") / (F.sqrt(0.01 * F.col("value") * F.col("value")) + 1e-3)).alias("value"))
+    moved = serve(aggregate_updates(updates, "weighted"), None, "adam", rate)
+    return moved.select("dim", (-F.col("value")).alias("value"))
+
+
+def serve(gradient: DataFrame, state: DataFrame | None, optimiser: str = "adam", rate: float = 1.0, beta1: float = 0.9, beta2: float = 0.99, tau: float = 1e-3) -> DataFrame:
+    """(dim, value, m, v): the server's model after one step along a round's pseudo-gradient (dim, value), with its carried state.
+
+    ``state`` is what the round before returned; None is a zero model without momentum, and a dimension missing on either side
+    counts as zero there.  ``avgm`` adds momentum; with ``beta1`` 0 and rate 1 it is the plain average.  ``adam`` scales each weight,
+    without bias correction.
+    """
+    if optimiser not in ("avgm", "adam"):
+        raise ValueError(f"unknown optimiser {optimiser}")
+    rows = gradient.select("dim", F.col("value").alias("d"))
+    if state is None:
+        rows = rows.select("dim", "d", *[F.lit(0.0).alias(c) for c in ("x", "m0", "v0")])
+    else:
+        rows = rows.join(state.select("dim", F.col("value").alias("x"), F.col("m").alias("m0"), F.col("v").alias("v0")), "dim", "full").fillna(0.0, ["d", "x", "m0", "v0"])
+    if optimiser == "avgm":
+        rows = rows.withColumn("m", beta1 * F.col("m0") + F.col("d")).withColumn("v", F.lit(0.0)).withColumn("step", F.col("m"))
+    else:
+        rows = rows.withColumn("m", beta1 * F.col("m0") + (1 - beta1) * F.col("d")).withColumn("v", beta2 * F.col("v0") + (1 - beta2) * F.col("d") * F.col("d"))
+        rows = rows.withColumn("step", F.col("m") / (F.sqrt("v") + tau))
+    return rows.select("dim", (F.col("x") - rate * F.col("step")).alias("value"), "m", "v")
+
+
+def serve_rounds(updates: DataFrame, round_of: Column, rounds: int, optimiser: str = "adam", **settings: float) -> DataFrame:
+    """``serve`` over ``rounds`` rounds of sample-weighted updates, the state being written between them."""
+    state = None
+    for k in range(rounds):
+        state = cut(serve(aggregate_updates(updates.where(round_of == k), "weighted"), state, optimiser, **settings), "server-state")
+    return state

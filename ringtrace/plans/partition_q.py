@@ -230,10 +230,22 @@ def o11(spark, d):
     return P.holdout_tx(A.corpus(spark, d), 0.3)
 
 
-@query("o12_bootstrap", with_("corpus", f"""SELECT CAST(rep AS INT) AS replicate, sum(s * w) / CAST(sum(c * w) AS DOUBLE) AS mean FROM (SELECT rep, s, c, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 ELSE 4 END AS w FROM
- (SELECT rep, s, c, (((((label_txNodeId * 7919 + rep * 104729) * 2654435761) % 4294967296) // 4096) * 2654435761 + 40503) % 4294967296 / 4294967296::DOUBLE AS u FROM (SELECT label_txNodeId, sum(app_quantity) AS s, count(app_quantity) AS c FROM corpus GROUP BY 1), range(1, 51) r(rep))) GROUP BY 1"""), "mean")
+def boot_sql(cluster: str, n: int) -> str:
+    w = " + ".join(f"CAST(u >= {p!r}::DOUBLE AS INT)" for p in P.POISSON)
+    return with_("corpus", f"""SELECT CAST(rep AS INT) AS replicate, sum(s * w) / nullif(CAST(sum(c * w) AS DOUBLE), 0) AS mean FROM (SELECT rep, s, c, {w} AS w FROM
+ (SELECT rep, s, c, (((((cl * 7919 + rep * 104729) * 2654435761) % 4294967296) // 4096) * 2654435761 + 40503) % 4294967296 / 4294967296::DOUBLE AS u FROM (SELECT {cluster} AS cl, sum(app_quantity) AS s, count(app_quantity) AS c FROM corpus GROUP BY 1), range(1, {n + 1}) r(rep))) GROUP BY 1""")
+
+
+@query("o12_bootstrap", boot_sql("label_txNodeId", 2000), "mean")
 def o12(spark, d):
-    return P.bootstrap(A.corpus(spark, d), 50, "label_txNodeId", "app_quantity")
+    return P.bootstrap(A.corpus(spark, d), 2000, "label_txNodeId", "app_quantity")
+
+
+@query("o12_seed_bootstrap", boot_sql("CAST(substr(key_seed, 2) AS BIGINT)", 2000), "mean")
+def o12s(spark, d):
+    """Whole seeds are the clusters, by their number."""
+    df = A.corpus(spark, d).withColumn("seed_number", F.substring("key_seed", 2, 9).cast("long"))
+    return P.bootstrap(df, 2000, "seed_number", "app_quantity")
 
 
 @query("o13_overlap_share", with_("corpus", f"SELECT avg(CAST({h('label_txNodeId')} < 0.25::DOUBLE * 4294967296 AS INT)) AS share FROM (SELECT DISTINCT label_txNodeId FROM corpus WHERE label_attackId = 1)"), "share")

@@ -349,6 +349,26 @@ def m35s(spark, d):
     return R.server_step(A.updates(spark, d))
 
 
+cte("rounds", "updates", """SELECT CAST(dim - 1 AS INT) AS dim, {0} FROM (SELECT dim, client % 3 AS k, n_rows, vector[dim] AS v FROM updates, (SELECT unnest(range(1, 65)) AS dim) WHERE dim <= len(vector)) GROUP BY 1""".format(
+    ", ".join(f"sum(n_rows * v) FILTER (k = {k}) / sum(n_rows) FILTER (k = {k}) AS d{k}" for k in range(3))))
+_M = ["0.1::DOUBLE * d0"]
+_V = ["0.01::DOUBLE * d0 * d0"]
+for _k in (1, 2):
+    _M.append(f"0.9::DOUBLE * ({_M[-1]}) + 0.1::DOUBLE * d{_k}")
+    _V.append(f"0.99::DOUBLE * ({_V[-1]}) + 0.01::DOUBLE * d{_k} * d{_k}")
+
+
+@query("m35_server_rounds", with_("rounds", f"SELECT dim, -({' + '.join(f'({m}) / (sqrt({v}) + 0.001::DOUBLE)' for m, v in zip(_M, _V))}) AS value, {_M[-1]} AS m, {_V[-1]} AS v FROM rounds"), "value m v")
+def m35r(spark, d):
+    """Three rounds with carried momentum and scale."""
+    return R.serve_rounds(A.updates(spark, d), F.col("client") % 3, 3)
+
+
+@query("m35_server_momentum", with_("rounds", "SELECT dim, -0.5::DOUBLE * (d0 + (0.9::DOUBLE * d0 + d1) + (0.9::DOUBLE * (0.9::DOUBLE * d0 + d1) + d2)) AS value, 0.9::DOUBLE * (0.9::DOUBLE * d0 + d1) + d2 AS m, 0.0::DOUBLE AS v FROM rounds"), "value m v")
+def m35a(spark, d):
+    return R.serve_rounds(A.updates(spark, d), F.col("client") % 3, 3, "avgm", rate=0.5)
+
+
 cte("ring", "dims", "SELECT DISTINCT class AS node, CAST(dim AS INT) AS dim, avg(v) OVER (PARTITION BY class, dim) AS v FROM dims")
 
 
