@@ -234,7 +234,7 @@ def verify_checksums(got: DataFrame, manifest: DataFrame, subset: bool = False)
 
 
 def export_replay(pred: DataFrame, second) -> DataFrame:
-    """One JSON record a second: verdicts by receiver and confusion cells."""
+    """One JSON record a second with its confusion cells; ``operators.replay`` has verdicts, frames and scores."""
     rows = pred.withColumn("second", second)
     cells = rows.groupBy("second", "y", "p").agg(F.count("*").alias("n"))
     cells = cells.groupBy("second").agg(F.sort_array(F.collect_list(F.struct("y", "p", "n"))).alias("cells"))  # at most K x K cells

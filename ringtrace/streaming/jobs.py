@@ -184,6 +184,22 @@ def alerts_stream(hits: DataFrame, k: int, m: int, late: str = "0 seconds", hold
     return in_order(hits, ["key_region", "key_claimedStationId"], ["timeMs", "key_window"], ["key_window", "timeMs", "hit"], step, "hits array<boolean>, fired boolean", "key_window long, fired boolean, edge boolean", late, hold_ms)
 
 
+def score_seconds(src: DataFrame, predict: Callable[[DataFrame], DataFrame], by: list[str], time: str, name: str) -> DataFrame:
+    """(by, time, y, p, n): each micro-batch scored by a fitted model, counted by second; ``running_metrics`` makes scores of it.
+
+    ``predict`` keeps ``by`` and ``time`` and adds y and p.  A second may come in several batches: counts are summed on read.
+    A batch that is run again overwrites its own folder, so they are exactly once.
+    """
+    spark = src.sparkSession
+    path = scratch(spark, name)
+
+    def one(batch: DataFrame, n: int) -> None:
+        R.confusion(predict(batch), by=[*by, time]).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    src.writeStream.foreachBatch(one).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy(*by, time, "y", "p").agg(F.sum("n").alias("n"))
+
+
 def score_stream(src: DataFrame, predict: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Each micro-batch scored by a fitted model; (y, p) counts are appended per batch and summed on read.
 
