@@ -30,7 +30,7 @@ def running_metrics(counts: DataFrame, by: list[str], time: str, classes: list[i
     counts = counts.na.drop(subset=[*by, time, "y", "p"])
     if classes is None:
         counts = cut(counts, "second-counts")
-        classes = sorted(r[0] for r in counts.select(F.explode(F.array("y", "p"))).distinct().collect())  # a row a class
+        classes = sorted(r[0] for r in counts.select(F.explode(F.array("y", "p"))).distinct().collect()) or [0]  # a row a class
     y, p = F.col("y"), F.col("p")
 
     def n(cond: Column) -> Column:
