@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
 
 def _load() -> None:
-    from . import campaign_q, features_q, gates_q, geometry_q, partition_q, replay_q, reports_q, scan_q, spacetime_q, stream_q  # noqa: F401
+    from . import arms_q, campaign_q, features_q, gates_q, geometry_q, partition_q, replay_q, reports_q, scan_q, spacetime_q, stream_q  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
