@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import reports as R
+from .asof import gaps
 from .partition import STATION
 from .quantiles import exact_quantiles, quantile_numbers, with_quantiles
 from ..functions import scalars as S
@@ -120,24 +121,6 @@ def regions_per_window(obs: DataFrame, keys: list[str], region: str) -> DataFram
 
 
 # ---- campaign summary
-def gaps(df: DataFrame, keys: list[str], time: str, slice_ms: float, ties: list[str] = ()) -> DataFrame:
-    """Adds ``gap``: time since the key's row before, null for its first; of equal times ``ties`` tells the order.
-
-    Keys are cut into slices of time, and each slice's first row takes the end of the key's slice before, so a busy key
-    is many sorted runs and not one.  Rows without a time have no gap and are not counted as rows before.
-    """
-    rows = df.withColumn("__s", F.floor(F.col(time) / slice_ms))
-    inside = Window.partitionBy(*keys, "__s").orderBy(time, *ties)
-    ends = rows.where("__s IS NOT NULL").groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__s").alias("__t")).agg(F.max(time).alias("__end"))
-    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__t")))  # a row a slice
-    same = F.col("__s") == F.col("__t")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    out = rows.withColumn("__l", F.lag(time).over(inside)).join(ends, same, "left")
-    before = F.coalesce("__l", "__end")
-    return out.withColumn("gap", F.when(F.col("__s").isNotNull(), F.col(time) - before)).select(*df.columns, "gap")
-
-
 def benign_cam_gaps(tx: DataFrame, slice_ms: float) -> DataFrame:
     """Benign CAM with the time since the sender's CAM before it; each sender's first goes."""
     return gaps(tx.where("attackId = 0 AND msgType = 2"), ["key_seed", "txNodeId"], "txTimeMs", slice_ms, ["msgUid"]).where("gap IS NOT NULL")

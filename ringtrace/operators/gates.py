@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import partition as P
+from .asof import gaps
 from .quantiles import quantile_numbers
 
 
@@ -74,7 +75,7 @@ def gate_balance(df: DataFrame, label: str, most: float = 0.9) -> DataFrame:
     return s.select(label, "share", (F.col("share") < most).alias("ok"))
 
 
-def check_campaign(tx: DataFrame, stations: DataFrame) -> DataFrame:
+def check_campaign(tx: DataFrame, stations: DataFrame, slice_ms: float = 60_000.0) -> DataFrame:
     """(check, ok, detail): roadside units present, CAM at least CPM, gaps not deterministic, errors not zero, attackers
     speak, headings err by a degree at least, most position attackers lie, magnitude bands do not overlap.
 
@@ -87,8 +88,7 @@ def check_campaign(tx: DataFrame, stations: DataFrame) -> DataFrame:
                F.count_if(F.col("msgType") == 2).alias("cam"), F.count_if(F.col("msgType") == 14).alias("cpm"), F.count_if(F.col("attackId") > 0).alias("attack"),
                F.max(F.when(F.col("attackId") == 0, err)).alias("err")).first()
     rsu = stations.where("role = 'rsu'").count()
-    w = Window.partitionBy("txNodeId").orderBy("txTimeMs", "msgUid")
-    gaps = tx.select((F.col("txTimeMs") - F.lag("txTimeMs").over(w)).alias("g")).agg(F.count_distinct("g").alias("n")).first()["n"]
+    kinds = gaps(tx, ["txNodeId"], "txTimeMs", slice_ms, ["msgUid"]).agg(F.count_distinct("gap").alias("n")).first()["n"]
     lying = tx.where(F.col("attackId").isin(*POSITION)).groupBy("attackId", "txNodeId").agg(
         F.percentile(err, F.lit(0.99)).alias("top"), F.percentile(F.when(err > (e["err"] or 0.0), err), F.lit(0.5)).alias("lie"))
     bands = {r["attackId"]: r for r in lying.groupBy("attackId").agg(
@@ -96,7 +96,7 @@ def check_campaign(tx: DataFrame, stations: DataFrame) -> DataFrame:
     n, silent = sum(r["n"] for r in bands.values()), sum(r["silent"] for r in bands.values())
     small, medium = (bands.get(c) for c in POSITION[1:])
     apart = not (small and medium and small["hi"] is not None and medium["lo"] is not None) or small["hi"] <= medium["lo"]
-    rows = [("rsu", rsu > 0, str(rsu)), ("cpm", e["cpm"] <= e["cam"], f"{e['cpm']} of {e['cam']}"), ("gaps", gaps > 3, str(gaps)),
+    rows = [("rsu", rsu > 0, str(rsu)), ("cpm", e["cpm"] <= e["cam"], f"{e['cpm']} of {e['cam']}"), ("gaps", kinds > 3, str(kinds)),
             ("error", (e["err"] or 0) > 0, f"{e['err'] or 0:.3f}"), ("attackers", e["attack"] > 0, str(e["attack"])),
             ("heading", e["turn"] is None or e["turn"] >= 1.0, f"{e['turn'] or 0:.3f}"), ("silent", silent <= n / 2, f"{silent} of {n}"), ("bands", apart, str(len(bands)))]
     return tx.sparkSession.createDataFrame(rows, "check string, ok boolean, detail string")

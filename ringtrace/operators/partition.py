@@ -233,9 +233,8 @@ def balanced(df: DataFrame, share: float, observer: str, key: str, seed: int = 0
     n = df.agg(F.count_if(F.col("label_attackId") > 0).alias("a"), F.count_if(F.col("label_attackId") == 0).alias("b")).first()
     want = min(round(share / (1 - share) * n["a"]), n["b"])
     frac = want / max(n["b"], 1)
-    g = Window.partitionBy(observer)
-    benign = df.where("label_attackId = 0").withColumn("__r", F.row_number().over(g.orderBy(hashed(key, seed), key, *[c for c in df.columns if c.startswith("key_")]))).withColumn("__n", F.count("*").over(g))
-    kept = benign.where(F.col("__r") <= F.greatest(F.lit(1.0), F.rint(F.col("__n") * frac))).drop("__r", "__n")
+    benign = hash_rank(df.where("label_attackId = 0"), [observer], hashed(key, seed), [key, *[c for c in df.columns if c.startswith("key_")]], "__rank", "__of", bits=8)
+    kept = benign.where(F.col("__rank") <= F.greatest(F.lit(1.0), F.rint(F.col("__of") * frac))).drop("__rank", "__of")
     return df.where("label_attackId > 0").unionByName(kept)
 
 
@@ -245,7 +244,7 @@ def holdout(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFram
 
 
 def per_key(df: DataFrame, keys: list[str], k: int, by, seed: int = 0) -> DataFrame:
-    """At most ``k`` rows of each key, by hash order."""
+    """At most ``k`` rows of each key, by hash order; up to 1,000 Spark cuts every key to ``k`` rows before the shuffle."""
     r = F.row_number().over(Window.partitionBy(*keys).orderBy(hashed(by, seed), by))
     return df.withColumn("__r", r).where(F.col("__r") <= k).drop("__r")
 
@@ -253,9 +252,8 @@ def per_key(df: DataFrame, keys: list[str], k: int, by, seed: int = 0) -> DataFr
 def thin(df: DataFrame, client: str, cap: int, key: str, least: int = 20, seed: int = 0) -> DataFrame:
     """Every client thinned by the same fraction so that the total comes near ``cap``, ``least`` rows staying."""
     f = min(1.0, cap / max(df.count(), 1))
-    g = Window.partitionBy(client)
-    r = df.withColumn("__r", F.row_number().over(g.orderBy(hashed(key, seed), key))).withColumn("__n", F.count("*").over(g))
-    return r.where(F.col("__r") <= F.greatest(F.lit(float(least)), F.floor(F.col("__n") * f))).drop("__r", "__n")
+    r = hash_rank(df, [client], hashed(key, seed), [key], "__rank", "__of", bits=8)
+    return r.where(F.col("__rank") <= F.greatest(F.lit(float(least)), F.floor(F.col("__of") * f))).drop("__rank", "__of")
 
 
 def clients(df: DataFrame, column: str, least: int, seed: int = 0) -> DataFrame:
@@ -266,6 +264,21 @@ def clients(df: DataFrame, column: str, least: int, seed: int = 0) -> DataFrame:
     return g.select("client", "n", part.alias("part"))
 
 
+def client_parts(df: DataFrame, splits: DataFrame, client: str, least: int) -> DataFrame:
+    """Rows with their ``part`` by the frozen split of transmitters: every client with at least ``least`` train rows trains
+    on them, validation and test rows count wherever they were heard.
+
+    Fails where a transmitter is in two parts or a row has none.
+    """
+    twice = multi(splits, STATION, "split").limit(1).collect()
+    if twice:
+        raise ValueError(f"in more than one part: {tuple(twice[0])}")
+    rows = attach_split(df, splits, STATION, complete=True).withColumnRenamed("split", "part")
+    enough = rows.where("part = 'train'").groupBy(client).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(client)
+    train = rows.where("part = 'train'").join(enough, client, "left_semi")
+    return train.unionByName(rows.where("part <> 'train'"))
+
+
 def holdout_tx(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Transmitters held out within each class."""
     tx = df.groupBy("label_txNodeId").agg(F.mode("label_attackId", True).alias("class"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.io import cut
+from .asof import gaps
 from .quantiles import quantile_numbers, with_quantiles
 from .ranks import running_before
 
@@ -149,9 +150,15 @@ def matched_vote(votes: DataFrame, pooled: DataFrame, shares: list[float]) -> Da
     per = e.groupBy("seed", "share").agg(F.count_if(F.col("k") >= F.ceil(F.col("n") * F.col("share"))).alias("alarms"))
     target = pooled.where("NOT attack").groupBy("seed").agg(F.count_if("flag").alias("alarms"))
     seeds = target.select(F.col("seed").alias("out"))  # one row a seed
-    rest = per.join(seeds, F.col("seed") != F.col("out")).groupBy("out", "share").agg(F.sum("alarms").alias("a"))
-    goal = target.join(seeds, F.col("seed") != F.col("out")).groupBy("out").agg(F.sum("alarms").alias("goal"))
-    return rest.join(goal, "out").where("a <= goal").groupBy(F.col("out").alias("seed")).agg(F.min("share").alias("share"))
+    # the other seeds' alarms are all seeds' less the own ones; a seed alone has nothing to be fitted on
+    total = per.groupBy("share").agg(F.sum("alarms").alias("all"), F.count_distinct("seed").alias("n"))
+    whole = target.agg(F.sum("alarms").alias("whole"))
+    each = seeds.crossJoin(total).crossJoin(whole)  # the given shares, and one row
+    own = per.select(F.col("seed").alias("out"), "share", F.col("alarms").alias("own"))
+    goal = target.select(F.col("seed").alias("out"), F.col("alarms").alias("mine"))
+    j = each.join(own, ["out", "share"], "left").join(goal, "out").where(F.col("n") > F.col("own").isNotNull().cast("int"))
+    fits = F.col("all") - F.coalesce("own", F.lit(0)) <= F.col("whole") - F.col("mine")
+    return j.where(fits).groupBy(F.col("out").alias("seed")).agg(F.min("share").alias("share"))
 
 
 def flag_rates(units: DataFrame, keys: list[str], t: float) -> DataFrame:
@@ -188,11 +195,26 @@ def resample(frames: DataFrame, keys: list[str], value: str, road_length: float
     return f.select(*keys, F.col("f").alias("frame"), at.alias(value), (F.col("f") != F.col("frame")).alias("gap"))
 
 
-def forward_fill(df: DataFrame, keys: list[str], time: str, order: str, column: str, horizon: float | None = None) -> DataFrame:
-    """Adds ``<column>_held``: the latest value not null, if not older than the horizon."""
-    w = Window.partitionBy(*keys).orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col(column).isNotNull(), F.struct(F.col(time).alias("t"), F.col(column).alias("v"))), True).over(w)
-    held = df.withColumn("__l", last)
+def forward_fill(df: DataFrame, keys: list[str], time: str, order: str, column: str, horizon: float | None = None, slice_of: float | None = None) -> DataFrame:
+    """Adds ``<column>_held``: the latest value not null, if not older than the horizon.
+
+    With ``slice_of``, a length of time, rows are sorted inside a key's slices of it only, and the last value of the slices
+    before is carried in.
+    """
+    value = F.when(F.col(column).isNotNull(), F.struct(F.col(time).alias("t"), F.col(column).alias("v")))
+    rows = df.withColumn("__s", F.lit(0) if slice_of is None else F.floor(F.col(time) / slice_of))
+    w = Window.partitionBy(*keys, "__s").orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("__l", F.last(value, True).over(w))
+    if slice_of is not None:
+        copies = [f"__k{n}" for n in range(len(keys))]
+        ends = rows.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, copies)], F.col("__s").alias("__t")).agg(F.max_by(value, F.when(value.isNotNull(), F.struct(time, order))).alias("__end"))
+        along = Window.partitionBy(*copies).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+        ends = ends.withColumn("__end", F.last("__end", True).over(along))
+        same = F.col("__s").eqNullSafe(F.col("__t"))
+        for k, c in zip(keys, copies):
+            same = same & F.col(k).eqNullSafe(F.col(c))
+        held = held.join(ends, same, "left").withColumn("__l", F.coalesce("__l", "__end")).drop("__end", "__t", *copies)
+    held = held.drop("__s")
     fresh = F.lit(True) if horizon is None else F.col(time) - F.col("__l.t") <= horizon
     return held.withColumn(f"{column}_held", F.when(fresh, F.col("__l.v"))).drop("__l")
 
@@ -315,10 +337,9 @@ def upload_cost(units: DataFrame, region: str, minutes: float, bytes_per_row: in
     return g.agg(*[F.percentile("rate", F.lit(q)).alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))], (F.lit(float(model_bytes)) / F.avg("rate")).alias("break_even_minutes"))
 
 
-def campaign_summary(tx: DataFrame) -> DataFrame:
-    """Message mix and benign CAM gaps by class."""
-    w = Window.partitionBy("txNodeId").orderBy("txTimeMs", "msgUid")
-    g = tx.withColumn("gap", F.col("txTimeMs") - F.lag("txTimeMs").over(w))
+def campaign_summary(tx: DataFrame, slice_ms: float = 60_000.0) -> DataFrame:
+    """Message mix and sending gaps by class."""
+    g = gaps(tx, ["txNodeId"], "txTimeMs", slice_ms, ["msgUid"])
     stats = g.groupBy("attackId").agg(F.count("*").alias("n"), F.count_distinct("txNodeId").alias("stations"), *[F.count_if(F.col("msgType") == c).alias(S.MESSAGE[c].lower()) for c in (1, 2, 14)],
                                       F.avg("gap").alias("gap_mean"), F.count_distinct("gap").alias("gaps"))
     return with_quantiles(stats, g, ["attackId"], {"gap": F.col("gap")}, {"gap_median": ("gap", 0.5)})

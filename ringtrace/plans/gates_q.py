@@ -51,9 +51,16 @@ def q05(spark, d):
     return Q.gate_range(A.corpus(spark, d), FS, Y)
 
 
-@query("q06_dead_features", "SELECT 'app_flat' AS feature")
+_DEAD = [*FS, "app_flat", "phy_none", "app_two"]
+cte("flats", "corpus", "SELECT *, CASE WHEN label_attackId = 0 THEN 1.0::DOUBLE ELSE phy_tax END AS app_flat, CAST(NULL AS DOUBLE) AS phy_none, CASE WHEN key_rxNodeId % 7 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS app_two FROM corpus")
+
+
+@query("q06_dead_features", with_("flats", " UNION ALL ".join(f"SELECT '{f}' AS feature FROM flats WHERE label_attackId = 0 HAVING count(DISTINCT {f}) <= 1" for f in _DEAD)))
 def q06(spark, d):
-    return Q.gate_dead(A.corpus(spark, d).withColumn("app_flat", F.when(F.col(Y) == 0, 1.0).otherwise(F.col("phy_tax"))), [*FS, "app_flat"], Y)
+    """Features planted beside the given ones: one flat on benign rows only, one without values, one of two values."""
+    two = F.when(F.col("key_rxNodeId") % 7 == 0, 2.0).otherwise(1.0)
+    df = A.corpus(spark, d).withColumn("app_flat", F.when(F.col(Y) == 0, 1.0).otherwise(F.col("phy_tax"))).withColumn("phy_none", F.lit(None).cast("double")).withColumn("app_two", two)
+    return Q.gate_dead(df, _DEAD, Y)
 
 
 @query("q06_balance", with_("corpus", "SELECT label_attackId, n / CAST(sum(n) OVER () AS DOUBLE) AS share, n / CAST(sum(n) OVER () AS DOUBLE) < 0.9::DOUBLE AS ok FROM (SELECT label_attackId, count(*) AS n FROM corpus GROUP BY 1)"), "share")
@@ -70,14 +77,29 @@ def q07(spark, d):
 
 @query("q08_check_campaign")
 def q08(spark, d):
-    return Q.check_campaign(A.tx(spark, d), A.stations(spark, d))
+    return Q.check_campaign(A.tx(spark, d), A.stations(spark, d), A.WEEK_MS)
+
+
+def alarm_sql(p: str) -> str:
+    """The alarm for predictions ``p``: macro F1 over the classes that occur, at least 0.9."""
+    return with_("pred", f"""SELECT (SELECT avg(CAST(y = p AS INT)) FROM c) AS accuracy, avg(f1) >= 0.9::DOUBLE AS alarm FROM (SELECT k, 2 * count(*) FILTER (y = k AND p = k) / CAST(count(*) FILTER (y = k) + count(*) FILTER (p = k) AS DOUBLE) AS f1
+ FROM c, (SELECT y AS k FROM c UNION SELECT p FROM c) GROUP BY 1)""").replace("SELECT (SELECT", f", c AS (SELECT y, {p} AS p FROM pred) SELECT (SELECT", 1)
 
 
-@query("q09_leakage_alarm", with_("pred", "SELECT avg(CAST(y = p AS INT)) AS accuracy, false AS alarm FROM pred"), "accuracy")
+@query("q09_leakage_alarm", alarm_sql("p"), "accuracy")
 def q09(spark, d):
     return Q.leakage_alarm(R.metrics(pred(spark, d))).select("accuracy", "alarm")
 
 
+LEAK = "CASE WHEN key_rxNodeId % 50 = 0 THEN p ELSE y END"
+
+
+@query("q09_leakage_alarm_planted", alarm_sql(LEAK), "accuracy")
+def q09p(spark, d):
+    """Predictions that see the label in 49 rows of 50."""
+    return Q.leakage_alarm(R.metrics(pred(spark, d).withColumn("p", F.expr(LEAK)))).select("accuracy", "alarm")
+
+
 
 
 @query("m23_fit_score")

@@ -224,6 +224,15 @@ def o10(spark, d):
     return P.clients(A.corpus(spark, d), "key_claimedStationId", 500)
 
 
+@query("o10_client_parts", with_("corpus", f"""SELECT key_observer_role, key_seed, part, count(*) AS n FROM (SELECT *, CASE WHEN label_txNodeId % 5 = 0 THEN 'test' WHEN label_txNodeId % 5 = 1 THEN 'validation' ELSE 'train' END AS part,
+ count(*) FILTER (label_txNodeId % 5 > 1) OVER (PARTITION BY key_claimedStationId) AS own FROM corpus) WHERE part <> 'train' OR own >= 60 GROUP BY ALL"""))
+def o10p(spark, d):
+    """Rows of each part for clients by station, those with 60 train rows at least."""
+    df = A.corpus(spark, d)
+    splits = df.select(*P.STATION).distinct().withColumn("split", F.expr("CASE WHEN label_txNodeId % 5 = 0 THEN 'test' WHEN label_txNodeId % 5 = 1 THEN 'validation' ELSE 'train' END"))
+    return P.client_parts(df, splits, "key_claimedStationId", 60).groupBy("key_observer_role", "key_seed", "part").agg(F.count("*").alias("n"))
+
+
 @query("o11_holdout_transmitters", with_("corpus", f"""SELECT label_txNodeId, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {h('label_txNodeId')}, label_txNodeId) AS r, count(*) OVER (PARTITION BY class) AS n FROM
  (SELECT label_txNodeId, first(label_attackId ORDER BY n DESC, label_attackId) AS class FROM (SELECT label_txNodeId, label_attackId, count(*) AS n FROM corpus GROUP BY ALL) GROUP BY 1)) WHERE r <= ceil(n * 0.3::DOUBLE)"""))
 def o11(spark, d):

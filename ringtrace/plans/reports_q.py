@@ -114,7 +114,7 @@ def w05(spark, d):
  WINDOW w AS (PARTITION BY claimedStationId ORDER BY rxTimeMs, msgUid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""), "held_held")
 def w06(spark, d):
     rows = A.rx(spark, d).withColumn("held", F.when(F.col("msgType") == 2, F.col("claimedX")))
-    return R.forward_fill(rows, ["claimedStationId"], "rxTimeMs", "msgUid", "held", A.WEEK_MS).select("msgUid", "held_held")
+    return R.forward_fill(rows, ["claimedStationId"], "rxTimeMs", "msgUid", "held", A.WEEK_MS, 4 * A.WEEK_MS).select("msgUid", "held_held")
 
 
 @query("w07_gap", with_("tx", "SELECT msgUid, txTimeMs - lag(txTimeMs) OVER (PARTITION BY txNodeId ORDER BY txTimeMs, msgUid) AS gap FROM tx"), "gap")
@@ -310,7 +310,7 @@ def g34(spark, d):
 
 @query("g37_campaign_summary", with_("tx", """SELECT attackId, count(*) AS n, count(DISTINCT txNodeId) AS stations, count(*) FILTER (msgType = 1) AS denm, count(*) FILTER (msgType = 2) AS cam, count(*) FILTER (msgType = 14) AS cpm, quantile_cont(gap, 0.5) AS gap_median, avg(gap) AS gap_mean, count(DISTINCT gap) AS gaps FROM (SELECT *, txTimeMs - lag(txTimeMs) OVER (PARTITION BY txNodeId ORDER BY txTimeMs, msgUid) AS gap FROM tx) GROUP BY 1"""), "gap_median gap_mean")
 def g37(spark, d):
-    return R.campaign_summary(A.tx(spark, d))
+    return R.campaign_summary(A.tx(spark, d), A.WEEK_MS)
 
 
 cte("means", "err", "SELECT avg(err) AS m FROM err WHERE attackId = 0 GROUP BY txNodeId")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringtrace.operators import campaign as C
+from ringtrace.operators.asof import gaps
 
 TX = "key_seed string, msgUid long, txNodeId long, txTimeMs double, attackId int, msgType int, claimedX double, claimedY double, trueX double, trueY double, txCbr double"
 
@@ -16,7 +17,7 @@ TX = "key_seed string, msgUid long, txNodeId long, txTimeMs double, attackId int
 def test_gaps_over_slices(spark, slice_ms):
     rng = random.Random(1)
     rows = [(rng.choice([None, "a", "b"]), float(rng.randrange(200))) for _ in range(150)] + [("a", None)]
-    got = C.gaps(spark.createDataFrame(rows, "k string, t double").withColumn("part", F.lit(1)), ["k"], "t", slice_ms)
+    got = gaps(spark.createDataFrame(rows, "k string, t double").withColumn("part", F.lit(1)), ["k"], "t", slice_ms)
     want = [("a", None, None)]
     for k in {r[0] for r in rows}:
         ts = sorted(t for s, t in rows if s == k and t is not None)
