@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import EDGES, MIN_OBS, TRIPLE, claim_fit, residual_range_corr
+from .quantiles import with_quantiles
+from ..sources.io import cut
 
 FIT_CAP = 48
 
@@ -103,8 +105,10 @@ def estimator_study(units: DataFrame, truth: DataFrame, mu, sd, halfwidth: float
         one = free_fit(units, halfwidth, **how).join(truth, TRIPLE).select(
             F.lit(name).alias("arm"), F.hypot(F.col("estX") - F.col("trueX"), F.col("estY") - F.col("trueY")).alias("err"))
         out = one if out is None else out.union(one)
-    return out.groupBy("arm").agg(F.count("*").alias("n"), F.percentile("err", F.lit(0.5)).alias("median"), F.percentile("err", F.lit(0.75)).alias("p75"),
-                                  F.percentile("err", F.lit(0.9)).alias("p90"), F.sqrt(F.avg(F.col("err") ** 2)).alias("rms"), F.count_if(F.col("err") > 500).alias("diverged"))
+    out = cut(out, "estimator-study")  # every fit once
+    stats = out.groupBy("arm").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("err") ** 2)).alias("rms"), F.count_if(F.col("err") > 500).alias("diverged"))
+    found = with_quantiles(stats, out, ["arm"], {"e": F.col("err")}, {"median": ("e", 0.5), "p75": ("e", 0.75), "p90": ("e", 0.9)})
+    return found.select("arm", "n", "median", "p75", "p90", "rms", "diverged")
 
 
 def _poisson(unit, replicates: int):

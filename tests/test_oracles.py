@@ -9,7 +9,6 @@ from ringtrace.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"m25_benchmark", "m29_select_in_fold", "m30_families", "m30_best_family", "m29_stability", "m31_cross_scenario", "m34_separability", "m17_estimator_study"}
 QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 
@@ -46,6 +45,6 @@ def test_equals_sql(spark, con, name):
     assert table(df.collect(), df.columns) == table(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
