@@ -184,11 +184,23 @@ def last_per_frame(df: DataFrame, keys: list[str], time: str, order: str, width:
     return df.groupBy(*keys, S.window_index(time, width).alias("frame")).agg(F.max(F.struct(time, order, *cols)).alias("m")).select(*keys, "frame", *[F.col(f"m.{c}").alias(c) for c in cols])
 
 
-def resample(frames: DataFrame, keys: list[str], value: str, road_length: float | None = None) -> DataFrame:
-    """Every frame between a key's first and last, gaps interpolated linearly along the short way of a ring."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    step = S.unwrap(F.lead(value).over(w) - F.col(value), road_length)
-    nxt = frames.withColumn("__next", F.lead("frame").over(w)).withColumn("__step", step)
+def resample(frames: DataFrame, keys: list[str], value: str, road_length: float | None = None, slice_of: int | None = None) -> DataFrame:
+    """Every frame between a key's first and last, gaps interpolated linearly along the short way of a ring.
+
+    With ``slice_of`` frames a key is cut into slices, sorted apart; the first row of the slice after is carried in.
+    """
+    rows = frames.withColumn("__s", F.lit(0) if slice_of is None else F.floor(F.col("frame") / slice_of))
+    w = Window.partitionBy(*keys, "__s").orderBy("frame")
+    rows = rows.withColumn("__n", F.lead(F.struct("frame", F.col(value).alias("v"))).over(w))
+    if slice_of is not None:
+        copies = [f"__k{n}" for n in range(len(keys))]
+        starts = rows.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, copies)], F.col("__s").alias("__t")).agg(F.min_by(F.struct("frame", F.col(value).alias("v")), "frame").alias("__first"))
+        starts = starts.withColumn("__first", F.lead("__first").over(Window.partitionBy(*copies).orderBy("__t")))  # a row a slice
+        same = F.col("__s").eqNullSafe(F.col("__t"))
+        for k, c in zip(keys, copies):
+            same = same & F.col(k).eqNullSafe(F.col(c))
+        rows = rows.join(starts, same, "left").withColumn("__n", F.coalesce("__n", "__first"))
+    nxt = rows.withColumn("__next", F.col("__n.frame")).withColumn("__step", S.unwrap(F.col("__n.v") - F.col(value), road_length))
     f = nxt.withColumn("f", F.explode(F.sequence(F.col("frame"), F.coalesce(F.col("__next") - 1, F.col("frame")))))
     at = F.col(value) + F.coalesce(F.col("__step") * (F.col("f") - F.col("frame")) / (F.col("__next") - F.col("frame")), F.lit(0.0))
     at = at if road_length is None else F.pmod(at, F.lit(float(road_length)))

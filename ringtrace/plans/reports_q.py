@@ -142,7 +142,7 @@ def w09(spark, d):
 @query("w10_resample", with_("frames", f"""SELECT claimedStationId, f AS frame, {pmod('claimedX + coalesce(step * (f - frame) / (nxt - frame), 0)', '6000.0::DOUBLE')} AS claimedX, f <> frame AS gap FROM
  (SELECT *, unnest(range(frame, greatest(coalesce(nxt, frame + 1), frame + 1))) AS f FROM (SELECT *, lead(frame) OVER w AS nxt, (lead(claimedX) OVER w - claimedX) - round_even((lead(claimedX) OVER w - claimedX) / 6000.0::DOUBLE, 0) * 6000 AS step FROM frames WINDOW w AS (PARTITION BY claimedStationId ORDER BY frame)))"""), "claimedX")
 def w10(spark, d):
-    return R.resample(R.last_per_frame(A.tx(spark, d), ["claimedStationId"], "txTimeMs", "msgUid", DAY, ["claimedX"]), ["claimedStationId"], "claimedX", 6000.0)
+    return R.resample(R.last_per_frame(A.tx(spark, d), ["claimedStationId"], "txTimeMs", "msgUid", DAY, ["claimedX"]), ["claimedStationId"], "claimedX", 6000.0, 32)
 
 
 @query("w11_running_scores", with_("pred", 'SELECT "second", n, CAST(sum(n) OVER w AS BIGINT) AS seen, sum(hit) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS accuracy FROM (SELECT key_window AS "second", count(*) AS n, count(*) FILTER (y = p) AS hit FROM pred GROUP BY 1) WINDOW w AS (ORDER BY "second" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)'), "accuracy")

@@ -73,6 +73,31 @@ def test_onroad_arms(spark):
     assert all(r.caught > 0.9 for k, r in got.items() if "matched" not in k) and got["all claims"].benign_rate < 0.1
 
 
+def test_region_curves(spark):
+    rng = random.Random(8)
+    claims = [("a", v, w, [0, 0, 1, 11][v % 4], float(v % 3 * 4), 0.0) for v in range(24) for w in range(4)]
+    scored = [(s, v, w, y, rng.random() + 0.4 * (y > 0)) for s, v, w, y, _, _ in claims for _ in range(rng.randrange(1, 4))]
+    shift = spark.createDataFrame([("a", v, 10.0) for v in range(24)], "key_seed string, key_claimedStationId long, offset double")
+    rows = spark.createDataFrame(scored, "key_seed string, key_claimedStationId long, key_window long, label_attackId int, score double")
+    got = {r.arm: r for r in M.region_curves(rows, 0.2, shift, spark.createDataFrame(claims, UNITS), 5.0, [0.0], 1, [1, 11]).collect()}
+    best = {}
+    for s, v, w, y, x in scored:
+        best[v, w, y] = max(x, best.get((v, w, y), 0.0))
+
+    def rates(units, t, on_road):
+        own = {}
+        for v, y, x in units:
+            if not on_road or v % 3 < 2:
+                own.setdefault((v, y > 0), []).append(x > t)
+        return [[sum(f) / len(f) for (_, bad), f in own.items() if bad == side] for side in (False, True)]
+
+    for rule, units in (("per region", [(v, y, x) for _, v, _, y, x in scored]), ("any region", [(v, y, x) for (v, _, y), x in best.items()])):
+        for arm, on_road in ((rule, False), (f"{rule}, matched", False), (f"{rule}, matched, on road", True)):
+            benign, bad = rates(units, got[arm].threshold, on_road)
+            assert got[arm].stations == len(bad) and got[arm].rate == pytest.approx(sum(bad) / len(bad)) and got[arm].benign_rate == pytest.approx(sum(benign) / len(benign))
+        assert got[rule].threshold == 0.5 and got[f"{rule}, matched"].benign_rate <= 0.2
+
+
 REL = T.StructType([T.StructField("key_rxNodeId", T.LongType()), T.StructField("label_txNodeId", T.LongType()), T.StructField("label_attackId", T.IntegerType()), T.StructField("app_x", T.DoubleType()), T.StructField("scenario", T.StringType()), T.StructField("key_seed", T.StringType())])
 
 

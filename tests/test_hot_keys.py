@@ -67,3 +67,10 @@ def test_client_parts(spark):
     for bad in (splits.where("label_txNodeId > 0"), splits.union(spark.createDataFrame([("s", 1, "test")], splits.schema))):
         with pytest.raises(ValueError):
             P.client_parts(df, bad, "client", 3)
+
+
+@pytest.mark.parametrize("slice_of", [1, 4, 1000])
+def test_resample(rows, slice_of):
+    frames = R.last_per_frame(rows, ["k"], "t", "id", 3.0, ["v"]).where("frame % 5 <> 2")
+    got, want = (R.resample(frames, ["k"], "v", 10.0, n) for n in (slice_of, None))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("gap").count() > 0
