@@ -46,14 +46,15 @@ def asof_nearest(
     both = both.withColumn("__w", F.lit(0) if slice_of is None else F.floor(F.col("__t") / slice_of))
     order = Window.partitionBy(*keys, "__apart", "__w").orderBy("__t", F.desc("__side"), "__rid")
     back = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    onward = Window.partitionBy(*keys, "__apart", "__w").orderBy(F.desc("__t"), "__side", F.desc("__rid"))  # the reverse: a frame that looks ahead is read anew for each row
+    ahead = F.last("__r", ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("__b", back).withColumn("__f", ahead).where("__side = 0")
     if slice_of is not None:
         at = F.when(F.col("__side") == 1, F.struct("__t", "__rid"))
         ends = both.where("__apart IS NULL").groupBy(*keys, "__w").agg(F.max_by("__r", at).alias("__last"), F.min_by("__r", at).alias("__first"))
-        along = Window.partitionBy(*keys).orderBy("__w")  # a row a slice
+        along, astern = (Window.partitionBy(*keys).orderBy(w) for w in ("__w", F.desc("__w")))  # a row a slice
         ends = ends.select(*keys, "__w", F.last("__last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__past"),
-                           F.first("__first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__next"))
+                           F.last("__first", ignorenulls=True).over(astern.rowsBetween(Window.unboundedPreceding, -1)).alias("__next"))
         found = found.join(ends, [*keys, "__w"], "left").withColumn("__b", F.coalesce("__b", "__past")).withColumn("__f", F.coalesce("__f", "__next"))
     earlier = F.col("__f").isNull() | (F.col("__t") - F.col("__b.t") <= F.col("__f.t") - F.col("__t"))
     best = F.when(F.col("__b").isNotNull() & earlier, F.col("__b")).otherwise(F.col("__f"))
@@ -76,16 +77,17 @@ def position_at(
     both = own.unionByName(rows, allowMissingColumns=True)
     both = both.withColumn("__w", F.lit(0) if slice_of is None else F.floor(F.col("__t") / slice_of))
     order = Window.partitionBy(*by, "__w").orderBy("__t", "__side", query_id)
-    after = F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    onward = Window.partitionBy(*by, "__w").orderBy(F.desc("__t"), F.desc("__side"), F.desc(query_id))  # the reverse: a frame that looks ahead is read anew for each row
+    after = F.last("__r", ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, 0))
     before = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("__a", after).withColumn("__b", before).where("__side = 0")
     if slice_of is not None:
         at = F.when(F.col("__side") == 1, F.col("__t"))
         names = [f"__k{n}" for n in range(len(by))]
         ends = both.groupBy(*[F.col(c).alias(k) for c, k in zip(by, names)], F.col("__w").alias("__s")).agg(F.max_by("__r", at).alias("__last"), F.min_by("__r", at).alias("__first"))
-        along = Window.partitionBy(*names).orderBy("__s")  # a row a slice
+        along, astern = (Window.partitionBy(*names).orderBy(s) for s in ("__s", F.desc("__s")))  # a row a slice
         ends = ends.withColumn("__past", F.last("__last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
-        ends = ends.withColumn("__next", F.first("__first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)))
+        ends = ends.withColumn("__next", F.last("__first", ignorenulls=True).over(astern.rowsBetween(Window.unboundedPreceding, -1)))
         same = F.col("__w").eqNullSafe(F.col("__s"))
         for c, k in zip(by, names):
             same = same & F.col(c).eqNullSafe(F.col(k))
