@@ -224,7 +224,8 @@ def voiceprint(agg: DataFrame, apart: float = 30.0, crowded: int = 64) -> DataFr
     order = Window.partitionBy(*group, "node.level", "node.index").orderBy("r", "side")
     power = F.when(F.col("side") == 1, F.col("r"))
     before = F.last(power, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(power, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    onward = Window.partitionBy(*group, "node.level", "node.index").orderBy(F.desc("r"), F.desc("side"))  # the reverse: a frame that looks ahead is read anew for each row
+    after = F.last(power, ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, 0))
     wide = asks.unionByName(gives).withColumn("d", F.least(F.col("r") - before, after - F.col("r"))).where("side = 0")
     best = few.unionByName(wide.groupBy(*LINK, "window").agg(F.min("d").alias("d"))).withColumnRenamed("d", "phy_rsrp_voiceprint_min")
     return agg.join(best, [*LINK, "window"], "left")
