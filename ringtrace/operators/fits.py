@@ -1,4 +1,4 @@
-"""Nonlinear fits of small groups: damped Gauss-Newton in Arrow batches, one group at a time."""
+"""Nonlinear fits of small groups: damped Gauss-Newton in Arrow batches, many groups at a time."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from .quantiles import with_quantiles
 from ..sources.io import cut
 
 FIT_CAP = 48
+#: Units fitted together in a task.
+TOGETHER = 512
 
 
 def gauss_newton(ox, oy, power, halfwidth=None, mu=None, sd=None, huber=False, rounds: int = 60):
@@ -58,38 +60,109 @@ def gauss_newton(ox, oy, power, halfwidth=None, mu=None, sd=None, huber=False, r
     return [float(v) for v in p] + [float(np.sqrt(np.mean(raw**2)))]
 
 
-def free_fit(units: DataFrame, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False, cap: int = FIT_CAP) -> DataFrame:
-    """(triple, n_obs, estX, estY, estA, estN, free_rmse); a unit's fit uses at most ``cap`` receivers, by hash.
+def gauss_newton_many(ox, oy, power, held, halfwidth=None, mu=None, sd=None, huber=False, rounds: int = 60):
+    """The same for many groups at once: a row a group, padded where ``held`` is false; (x, y, A, n, rmse) by row."""
+    import numpy as np
+
+    ox, oy, power = (np.where(held, v, 0.0) for v in (ox, oy, power))
+    rows = np.arange(len(ox))
+    k = np.where(held, power, -np.inf).argmax(axis=1)
+    p = np.c_[ox[rows, k], oy[rows, k], power[rows, k] + 20.0, np.full(len(ox), 2.5)]
+    low = np.array([-np.inf, -np.inf if halfwidth is None else -halfwidth, -np.inf, 0.5 if halfwidth is not None else -np.inf])
+    high = np.array([np.inf, np.inf if halfwidth is None else halfwidth, np.inf, 6.0 if halfwidth is not None else np.inf])
+    p = np.clip(p, low, high)
+
+    def model(q, at):
+        dx, dy = q[:, :1] - ox[at], q[:, 1:2] - oy[at]
+        d = np.maximum(np.hypot(dx, dy), 1.0)
+        pred = q[:, 2:3] - 10 * q[:, 3:] * np.log10(d)
+        w = held[at].astype(float)
+        if mu is not None or sd is not None:
+            bins = np.clip(np.digitize(d, EDGES) - 1, 0, len(EDGES) - 2)
+            pred = pred if mu is None else pred + np.asarray(mu)[bins]
+            w = w if sd is None else w / np.asarray(sd)[bins]
+        raw = np.where(held[at], power[at] - pred, 0.0)
+        r = raw * w
+        if huber:
+            w = w * np.sqrt(np.minimum(1.0, 1.5 / np.maximum(np.abs(r), 1e-12)))
+            r = raw * w
+        g = -10 * q[:, 3:] / np.log(10) / d**2
+        return r, np.stack([g * dx, g * dy, np.ones_like(d), -10 * np.log10(d)], axis=2) * w[:, :, None], (raw**2).sum(axis=1)
+
+    r, jac, raw = model(p, rows)
+    cost, damp = (r**2).sum(axis=1), np.full(len(ox), 1e-2)
+    a, b = np.swapaxes(jac, 1, 2) @ jac, np.einsum("uki,uk->ui", jac, r)
+    live = rows
+    for _ in range(rounds):
+        if not len(live):
+            break
+        m = np.nan_to_num(a[live])
+        m[:, range(4), range(4)] += damp[live, None] * (m[:, range(4), range(4)] + 1e-9)
+        step = np.einsum("uij,uj->ui", np.linalg.pinv(m, rcond=4 * np.finfo(float).eps), np.nan_to_num(b[live]))
+        q = np.clip(p[live] + step, low, high)
+        r, jac, raw2 = model(q, live)
+        cost2 = (r**2).sum(axis=1)
+        better = cost2 < cost[live]
+        done = np.where(better, cost[live] - cost2 < 1e-10 * cost[live], damp[live] * 5 > 1e9)
+        won = live[better]
+        p[won], cost[won], raw[won] = q[better], cost2[better], raw2[better]
+        a[won], b[won] = np.swapaxes(jac[better], 1, 2) @ jac[better], np.einsum("uki,uk->ui", jac[better], r[better])
+        damp[live] = np.where(better, np.maximum(damp[live] / 5, 1e-9), damp[live] * 5)
+        live = live[~done]
+    return np.c_[p, np.sqrt(raw / held.sum(axis=1))]
+
+
+def fit_rows(units: DataFrame, cap: int = FIT_CAP) -> DataFrame:
+    """(triple, n_obs, obs): a row a unit with its receivers, at most ``cap`` by hash, as one array.
 
     The cap belongs to the method.  Receivers are ranked within hash parts of a unit first, so that a crowded
-    unit is cut before it meets in one task.
+    unit is cut before it meets in one row.
     """
+    rows = units.where("phy_rsrp_mean IS NOT NULL").select(*TRIPLE, F.struct(F.xxhash64("rxNodeId").alias("h"), F.col("rxX").cast("double").alias("x"), F.col("rxY").cast("double").alias("y"), F.col("phy_rsrp_mean").cast("double").alias("power")).alias("o"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("o.h", "o.x"), F.lit(64)))
+    part = Window.partitionBy(*TRIPLE, "part")
+    kept = rows.withColumn("r", F.row_number().over(part.orderBy("o"))).withColumn("n", F.count("*").over(part)).where(F.col("r") <= cap)
+    return kept.groupBy(*TRIPLE).agg(F.sum(F.when(F.col("r") == 1, F.col("n"))).alias("n_obs"), F.slice(F.sort_array(F.collect_list("o")), 1, cap).alias("obs"))
+
 
-    def run(table: pa.Table) -> pa.Table:
+def fitted(rows: DataFrame, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False) -> DataFrame:
+    """(triple, n_obs, estX, estY, estA, estN, free_rmse) of what ``fit_rows`` gives, ``TOGETHER`` units at a time."""
+
+    def run(batches):
         import numpy as np
 
-        order = np.lexsort((np.asarray(table.column("rxX")), np.asarray(table.column("h"))))[:cap]
-        n = table.column("n_obs")[0].as_py()
-        ox, oy, power = (np.asarray(table.column(c), dtype=float)[order] for c in ("rxX", "rxY", "phy_rsrp_mean"))
-        keys = {k: [table.column(k)[0].as_py()] for k in TRIPLE}
-        fit = gauss_newton(ox, oy, power, halfwidth, mu, sd, huber) if n >= MIN_OBS else [None] * 5
-        return pa.table(keys | {"n_obs": [n]} | {c: pa.array([v], pa.float64()) for c, v in zip(names, fit)})
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column(c) for c in (*TRIPLE, "n_obs", "obs")], [*TRIPLE, "n_obs", "obs"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                n, flat = np.asarray(part.column("n_obs")), part.column("obs").flatten()
+                sizes = np.diff(np.asarray(part.column("obs").offsets))
+                held = np.arange(max(sizes.max(), 1)) < sizes[:, None]
+                values = []
+                for field in ("x", "y", "power"):
+                    values.append(np.zeros(held.shape))
+                    values[-1][held] = flat.field(field).to_numpy(zero_copy_only=False)
+                enough, found = n >= MIN_OBS, np.full((len(n), 5), np.nan)
+                if enough.any():
+                    found[enough] = gauss_newton_many(*[v[enough] for v in values], held[enough], halfwidth, mu, sd, huber)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(v, mask=~enough) for v in found.T]], [*TRIPLE, "n_obs", *names])
 
     names = ["estX", "estY", "estA", "estN", "free_rmse"]
-    rows = units.where("phy_rsrp_mean IS NOT NULL").select(*TRIPLE, "rxX", "rxY", "phy_rsrp_mean", F.xxhash64("rxNodeId").alias("h"))
-    part = F.pmod(F.xxhash64("h", "rxX"), F.lit(64))
-    kept = rows.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(*TRIPLE, "part").orderBy("h", "rxX"))).where(F.col("r") <= cap)
-    kept = kept.join(rows.groupBy(*TRIPLE).agg(F.count("*").alias("n_obs")), TRIPLE).drop("part", "r")
-    schema = "key_seed string, key_claimedStationId long, key_window long, n_obs long, " + ", ".join(f"{n} double" for n in names)
-    return kept.groupBy(*TRIPLE).applyInArrow(run, schema)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in (*TRIPLE, "n_obs")] + [f"{n} double" for n in names]))
+
+
+def free_fit(units: DataFrame, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False, cap: int = FIT_CAP) -> DataFrame:
+    """(triple, n_obs, estX, estY, estA, estN, free_rmse); a unit's fit uses at most ``cap`` receivers, by hash."""
+    return fitted(fit_rows(units, cap), halfwidth, mu, sd, huber)
 
 
 def consensus(units: DataFrame, halfwidth: float | None = None) -> DataFrame:
     """Claim fit and free fit side by side: the consensus statistics of a unit."""
     claim = units.groupBy(*TRIPLE).agg(F.first("claimedX").alias("cx"), F.first("claimedY").alias("cy"))
-    fitted = claim_fit(units)
+    claimed = claim_fit(units)
     span = units.where("phy_rsrp_mean IS NOT NULL").groupBy(*TRIPLE).agg((F.max("rxX") - F.min("rxX")).alias("obs_span"))
-    both = fitted.drop("n_obs").join(free_fit(units, halfwidth), TRIPLE).join(claim, TRIPLE).join(span, TRIPLE).join(residual_range_corr(units, fitted), TRIPLE)
+    both = claimed.drop("n_obs").join(free_fit(units, halfwidth), TRIPLE).join(claim, TRIPLE).join(span, TRIPLE).join(residual_range_corr(units, claimed), TRIPLE)
     return both.select(
         *TRIPLE, "n_obs", "obs_span", F.col("claim_range_corr").alias("claim_resid_corr"), "claim_rmse", "claim_r2", "claim_exp", "free_rmse", F.try_divide("claim_rmse", "free_rmse").alias("rmse_ratio"),
         F.hypot(F.col("estX") - F.col("cx"), F.col("estY") - F.col("cy")).alias("mlat_err"), (F.col("estX") - F.col("cx")).alias("mlat_dx"),
@@ -100,9 +173,9 @@ def estimator_study(units: DataFrame, truth: DataFrame, mu, sd, halfwidth: float
     """Error quantiles of plain, weighted, robust and debiased fits on the same units."""
     arms = {"plain": {}, "weighted": {"sd": sd}, "huber": {"huber": True}, "weighted-huber": {"sd": sd, "huber": True},
             "debiased": {"mu": mu}, "debiased-weighted": {"mu": mu, "sd": sd}, "debiased-huber": {"mu": mu, "huber": True}}
-    out = None
+    rows, out = cut(fit_rows(units), "estimator-units"), None
     for name, how in arms.items():
-        one = free_fit(units, halfwidth, **how).join(truth, TRIPLE).select(
+        one = fitted(rows, halfwidth, **how).join(truth, TRIPLE).select(
             F.lit(name).alias("arm"), F.hypot(F.col("estX") - F.col("trueX"), F.col("estY") - F.col("trueY")).alias("err"))
         out = one if out is None else out.union(one)
     out = cut(out, "estimator-study")  # every fit once
