@@ -50,6 +50,54 @@ def test_pairs_in_reach(spark, slice_ms, reach):
     assert P.prr_by_distance(got, [0, reach]).first().pairs == len(want)
 
 
+@pytest.mark.parametrize("reach, edges, scale", [(80.0, [0, 20, 50, 200], 1.0), (500.0, [0, 50, 100, 150, 200, 300, 400, 500], 1.0), (500.0, [0, 100, 300], 0.01), (30.0, [10, 20], 0.0)])
+def test_counts_of_pairs_without_pairs(spark, monkeypatch, reach, edges, scale):
+    from ringtrace.operators import sweep
+
+    monkeypatch.setattr(sweep, "RUN", 5)
+    rows = [(s, k, v, t, float(round(x)), y * scale, a) for s, k, v, t, x, y, a in trace(11, 400, 15)] + [("a", 900, 3, None, 1.0, 1.0, 0), ("a", 901, None, 9.0, 1.0, 1.0, 0), ("c", 902, 3, 10.0, 0.0, 0.0, 0), (None, 903, 3, 10.0, 0.0, 0.0, 0)]
+    rows.append(rows[7])  # a repeated message
+    rng = random.Random(12)
+    heard = spark.createDataFrame([(s, k, rng.randrange(17)) for s, k, *_ in rows for _ in range(4)], "key_seed string, msgUid long, rxNodeId long")
+    tx = spark.createDataFrame(rows, TX)
+    pairs = P.prr_pairs(tx, heard, reach, 100.0).cache()
+    key = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    order = lambda df: sorted(map(str, map(key, df.collect())))
+    assert pairs.count() and order(P.prr_bands(tx, heard, reach, edges, 100.0)) == order(P.prr_by_distance(pairs, edges))
+    want = pairs.groupBy("key_seed", "sender", "receiver").agg(F.count("*").alias("sent"), F.count_if("ok").alias("got"), F.avg("d").alias("d_mean"))
+    assert order(P.prr_stats(tx, heard, reach)) == order(want)
+    none = tx.limit(0)
+    assert P.prr_stats(none, heard, reach).count() == 0 and P.prr_bands(none, heard, reach, edges, 100.0).count() == 0
+
+
+def test_large_slice_costs_no_pairs():
+    """A slice of 30,000 moments and 60,000 places: all pairs would be 1.8 billion."""
+    import time
+
+    import pyarrow as pa
+
+    from ringtrace.operators import sweep
+
+    rng = np.random.default_rng(5)
+    n = 30_000
+    t, x, y = np.sort(rng.uniform(0, 1000, n)), rng.uniform(0, 3000, n), rng.integers(-3, 4, n).astype(float)
+    turn = rng.uniform(0, 1000, n)  # every station moves once
+    px = rng.uniform(0, 3000, 2 * n)
+    ends = {"from": np.r_[np.full(n, -np.inf), turn], "to": np.r_[turn, np.full(n, np.inf)]}
+    places = pa.table({**ends, "px": px, "py": np.zeros(2 * n)})
+    began = time.time()
+    found, near = sweep.within(t, x, y, places, [0.0, 100.0, 500.0]), sweep.nearest(t, x, y, places, 50.0)
+    assert time.time() - began < 60
+    here, totals = np.arange(0, n, 1000), np.zeros(3, int)
+    for k in here:
+        on = (ends["from"] < t[k]) & (t[k] <= ends["to"])
+        d = np.hypot(px[on] - x[k], y[k])
+        assert near[k] == d.min()
+        totals += [(d <= e).sum() for e in (0.0, 100.0, 500.0)]
+    some = sum(sweep.within(t[k : k + 1], x[k : k + 1], y[k : k + 1], places, [0.0, 100.0, 500.0]) for k in here)
+    assert list(some) == list(totals) and found[2] > found[1] > found[0] == 0
+
+
 def test_pairs_of_nothing(spark):
     none = spark.createDataFrame([], TX)
     assert P.prr_pairs(none, spark.createDataFrame([], "key_seed string, msgUid long, rxNodeId long"), 10.0, 5.0).count() == 0
