@@ -91,3 +91,13 @@ def test_large_sample_does_not_pass_one_task(spark):
     got = P.sample_n(df, 120_000, "key")
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 120_000 and max(sizes) < 30_000
+
+
+def test_scores_read_a_table_of_counts(spark):
+    """A search or a model behind the rows is not part of the scores' plan, where it would stand several times."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60).select((F.col("id") % 2).cast("int").alias("y"), F.udf(lambda x: x % 3, "int")(F.col("id").cast("int")).alias("p"))
+    for scores in (R.metrics(rows), R.class_scores(rows)):
+        plan = scores._jdf.queryExecution().toString()
+        assert "Python" not in plan and "parquet" in plan.lower()
