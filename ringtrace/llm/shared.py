@@ -51,6 +51,16 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most ``rows`` rows in a batch between Spark and Python, which is a setting of the session.
+
+    A batch of texts is held on both sides, so the default of 10,000 rows costs a task some hundred megabytes.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind a frame that ``cut`` returned, once nothing reads it any more."""
     path = getattr(df, "_cut_path", None)

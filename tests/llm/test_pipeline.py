@@ -1,6 +1,7 @@
 """The pipeline's stages against plain Python on the smallest data."""
 
 import corpus_pipeline
+import pyarrow as pa
 from ringtrace.llm import mixing, secretscan
 from ringtrace.llm.shared import cut
 
@@ -40,6 +41,17 @@ def test_stages(spark):
     assert sorted(corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect()) == sorted((r.doc_id, r.ids_sha256) for r in after)
 
 
+def test_stages_pass_small_batches(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)
+    corpus_pipeline.bpe_encoding(spark, docs, SF)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 1000
+
+
 DOCS, LABELS = "doc_id long, text string, lang string, source string, n_chars long, key string, bar string", "doc_id long, quality int, toxic int"
 
 
