@@ -101,3 +101,52 @@ def test_scores_read_a_table_of_counts(spark):
     for scores in (R.metrics(rows), R.class_scores(rows)):
         plan = scores._jdf.queryExecution().toString()
         assert "Python" not in plan and "parquet" in plan.lower()
+
+
+def test_trees_of_counts_are_the_trees_of_the_rows(spark, planted):
+    """Equal rows go in as one weighted kind; up to ``DRAWN`` rows a forest still draws each on its own."""
+    from pyspark.sql import functions as F
+
+    cols = ["app_a", "phy_b"]
+    rows = planted.withColumn("app_a", F.round("app_a", 0)).withColumn("phy_b", F.round("phy_b", 1))  # few values: bins of one value each
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    tree = lambda: L.DecisionTreeClassifier(labelCol="idx", maxDepth=4)
+    one, all_ = (L.fit(x, cols, "label_attackId", tree()).stages[-1].toDebugString.split("\n", 1)[1] for x in (rows, many))
+    assert one == all_
+    got = {(r.y, r.p): r.n for r in L.score_counts(L.fit(rows, cols, "label_attackId", tree()), many, cols, "label_attackId").collect()}
+    scored = L.score(L.fit(rows, cols, "label_attackId", tree()), many, cols, [F.col("label_attackId").alias("y")])
+    assert got == {(r.y, r.p): r["count"] for r in scored.groupBy("y", "p").count().collect()} and sum(got.values()) == 18_000
+
+
+def test_training_table_of_a_forest_stops_growing(spark, planted, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sizes = []
+    whole = L.cut
+    monkeypatch.setattr(L, "cut", lambda df, name: sizes.append((name, whole(df, name))) or sizes[-1][1])
+    monkeypatch.setattr(L, "DRAWN", 1000)
+    many = planted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(100))))  # 36,000 rows of 360 kinds
+    fitted = L.fit(many, ["app_a", "phy_b"], "label_attackId")
+    drawn = dict(sizes)["drawn"].agg(F.count("*"), F.sum("weight"), F.max("weight")).first()
+    assert drawn[0] <= 1000 + 360 and abs(drawn[1] - 36_000) < 1e-6 and drawn[2] <= 36
+    assert L.R.metrics_of_counts(L.score_counts(fitted, many, ["app_a", "phy_b"], "label_attackId")).first().macro_f1 > 0.95
+
+
+@pytest.mark.parametrize("values, bins, want", [([1.0] * 5 + [2.0] * 3 + [9.0], 32, [1.5, 5.5]), ([3.0] * 9, 4, []), ([], 4, []), ([float(v) for v in range(100)], 4, [24.5, 49.5, 74.5]), ([0.0] * 90 + [float(v) for v in range(1, 11)], 4, [0.5, 1.5, 2.5])])
+def test_bins_of_a_feature(values, bins, want):
+    assert L._edges(values, bins) == want
+
+
+def test_mean_chances_equal_separate_runs(planted):
+    """One table of all fold seeds, no shuffle: each row has the mean of its three models, as separate runs give it."""
+    cols, key = ["app_a", "phy_b"], ["key_rxNodeId"]
+    got = {r.key_rxNodeId: r for r in L.mean_chances(planted, cols, "label_attackId", "label_txNodeId", key).collect()}
+    sums = {}
+    for s in (0, 1, 2):
+        for r in L.out_of_fold(planted, cols, "label_attackId", "label_txNodeId", 2, key, seed=s).collect():
+            for c, v in r.chances.items():
+                sums.setdefault(r.key_rxNodeId, {}).setdefault(c, []).append(v)
+    assert set(got) == set(sums) and len(got) == 360
+    assert all(set(got[k].chances) == set(m) and all(len(v) == 3 and abs(got[k].chances[c] - sum(v) / 3) < 0.25 for c, v in m.items()) for k, m in sums.items())
+    called = {r.key_rxNodeId: r.p for r in L.likeliest_of(L.mean_chances(planted, cols, "label_attackId", "label_txNodeId", key), key).collect()}
+    assert sum(called[k] == r.y for k, r in got.items()) > 340
