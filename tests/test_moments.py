@@ -162,3 +162,17 @@ def test_nearest_stream_gives_one_row_a_message(spark):
     want = {k: (best(t, key, lambda r: True), best(t, key, lambda r: not r[4])) for k, key, t in messages if t < at(19000)}
     assert {r.msgUid: (r.sinr, r.ok_sinr) for r in got if r.msgUid < 61} == want and len([r for r in got if r.msgUid < 61]) == len(want)
     assert report and all(rows >= 0 for _, _, rows, _, _ in report)
+
+
+def test_keys_of_a_stream_share_buckets(spark, monkeypatch):
+    """Spark sees a bucket as a key, so that many small keys do not each pay for their calls of the state; keys do not mix in it."""
+    from ringtrace.streaming import stateful
+
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    rows = spark.range(120).selectExpr("'r' AS key_seed", "cast(id % 3 AS int) AS rxNodeId", "nullif(id % 10, 9) AS claimedStationId", "id AS msgUid", "1e6D + id * 1000.0D AS rxTimeMs",
+                                       "id * 2.0D AS claimedX", "0.0D AS claimedY", "1.0D AS claimedSpeed", "0.0D AS claimedHeading", "0.0D AS rxX", "0.0D AS rxY")
+    out = J.residuals_stream(J.file_stream(spark, J.with_time(rows, "rxTimeMs"), "shared", files=3, time="ts", late_ms=5000), "5 seconds")
+    assert out._jdf.queryExecution().analyzed().toString().count("bucket#") > 0
+    got = {r.msgUid: r.dt for r in J.run_to_table(out, "shared-out").collect()}
+    assert set(got) == set(range(114))  # those the last watermark has passed
+    assert all(got[k] == (30.0 if k >= 30 else None) for k in got)
