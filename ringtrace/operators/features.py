@@ -234,9 +234,10 @@ def voiceprint(agg: DataFrame, apart: float = 30.0, crowded: int = 64) -> DataFr
 def versus_bin(agg: DataFrame, value: str, name: str, step: float = 3.0) -> DataFrame:
     """A value minus the mean of its power bin over the seed; null where the power is.
 
-    The bin means are a grouped aggregate joined back, so a crowded bin is never one task.
+    The bin means are a grouped aggregate joined back, so a crowded bin is never one task.  The last bits of a mean
+    depend on the order of its terms; they are rounded away, so that a mean halfway between two bins goes to the even one.
     """
-    binned = agg.withColumn("__bin", F.rint(F.col("phy_rsrp_mean") / step))
+    binned = agg.withColumn("__bin", F.rint(F.round(F.col("phy_rsrp_mean") / step, 10)))
     means = binned.where("__bin IS NOT NULL").groupBy("key_seed", "__bin").agg(F.avg(value).alias("__mean"))
     return binned.join(means, ["key_seed", "__bin"], "left").withColumn(name, F.col(value) - F.col("__mean")).drop("__bin", "__mean")
 

@@ -350,3 +350,11 @@ def test_hash_rank_is_a_row_number(spark, bits):
     g = Window.partitionBy("k")
     want = {r.id: (r.r, r.n) for r in df.withColumn("r", F.row_number().over(g.orderBy(h, "id"))).withColumn("n", F.count("*").over(g)).collect()}
     assert got == want and hash_rank(df.limit(0), ["k"], h, ["id"], "r", "n").count() == 0
+
+
+def test_power_bins_do_not_hang_on_last_bits(spark):
+    """A mean of -64.5 is halfway between two bins of 3 dB, however its terms were added up."""
+    means = [-64.5, np.nextafter(-64.5, 0), np.nextafter(-64.5, -100), -66.0]
+    agg = spark.createDataFrame([("s", n, float(m), float(n)) for n, m in enumerate(means)], "key_seed string, n int, phy_rsrp_mean double, v double")
+    got = {r.n: r.d for r in X.versus_bin(agg, "v", "d").collect()}
+    assert got == {0: -1.5, 1: -0.5, 2: 0.5, 3: 1.5}
