@@ -2,7 +2,8 @@
 
 Every step is a grouped minimum plus an equi-join, so no neighbour list is ever collected, a
 node with a third of all edges is split by AQE like any skewed join, and each round is written
-to the shared folder.  The rounds grow with the logarithm of the longest path.
+to the shared folder.  The rounds grow with the logarithm of the longest path.  Equal ends make the files of
+many edges small, so from ``MERGE`` edges on the joins are merges, whatever Spark makes of their size.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, drop
 
+MERGE = 100_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Undirected ``edges`` to (node, root): root is the smallest node reachable.
@@ -28,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     state = _state(now)
     while state[0]:
-        new = cut(_small_star(_large_star(now)), "edges")
+        new = cut(_small_star(_large_star(now, state[0] >= MERGE), state[0] >= MERGE), "edges")
         drop(now)
         now, before, state = new, state, _state(new)
         if state == before:
@@ -41,13 +44,14 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, merge: bool = False) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    ends = both.where("v > u")
+    return (ends.hint("merge") if merge else ends).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, merge: bool = False) -> DataFrame:
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    moved = (edges.hint("merge") if merge else edges).join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.union(least.select("hi", F.col("m").alias("lo"))).distinct()

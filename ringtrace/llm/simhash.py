@@ -156,7 +156,11 @@ def _at_anchors(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def links(fps: DataFrame, crowded: int = 32) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints in ``fp`` linked at 2 or fewer bits."""
+    """Edges (a, b) that connect all distinct fingerprints in ``fp`` linked at 2 or fewer bits.
+
+    Spark sizes a table after ``explode`` as if it had the rows of before: the joins are merges, so that no such table is
+    broadcast (a fingerprint has up to 32 places at anchors and 65 midpoints).
+    """
     home = (
         _at_anchors(fps, 1)
         .groupBy("block", "anchor")
@@ -166,22 +170,22 @@ def links(fps: DataFrame, crowded: int = 32) -> DataFrame:
     many = home.where(F.col("n") > crowded).select("block", "anchor")
     homes = (
         _at_anchors(fps, 1)
-        .join(few, ["block", "anchor"], "left_semi")
+        .join(few.hint("merge"), ["block", "anchor"], "left_semi")
         .groupBy("block", "anchor")
         .agg(F.collect_list("fp").alias("homes"))
     )
     guests = _at_anchors(fps, 2)
-    close = guests.join(homes, ["block", "anchor"]).select(
+    close = guests.hint("merge").join(homes, ["block", "anchor"]).select(
         F.col("fp").alias("a"),
         F.explode(
             F.filter("homes", lambda h: (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= 2) & (h != F.col("fp")))
         ).alias("b"),
     )
-    dense = guests.join(many, ["block", "anchor"], "left_semi").select("fp").distinct()
+    dense = guests.join(many.hint("merge"), ["block", "anchor"], "left_semi").select("fp").distinct()
     flips = F.lit([0] + [1 << j for j in range(63)] + [-(1 << 63)]).cast("array<bigint>")
     points = dense.select("fp", F.explode(flips).alias("e")).select("fp", F.col("fp").bitwiseXOR(F.col("e")).alias("z"))
     stars = points.groupBy("z").agg(F.min("fp").alias("m"))
-    through = points.join(stars, "z").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    through = points.hint("merge").join(stars, "z").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
     return close.union(through)
 
 

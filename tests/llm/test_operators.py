@@ -83,6 +83,19 @@ def test_fingerprints_and_components(spark):
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in got} == {i: (fps[i], want[i]) for i in fps}
 
 
+def test_no_exploded_table_is_broadcast(spark, monkeypatch, tmp_path):
+    """A file of fingerprints is small where its places at anchors and midpoints are not."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    links = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    monkeypatch.setattr(components, "MERGE", 2)
+    monkeypatch.setattr(components, "cut", lambda df, name, was=components.cut: (seen.append(df._jdf.queryExecution().executedPlan().toString()), was(df, name))[1])
+    got = components.connected_components(spark.createDataFrame([(3, 2), (2, 1), (5, 4)], "a long, b long"))
+    assert {(r.node, r.root) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    assert len(seen) > 1 and not any("Broadcast" in p for p in seen[:2])
+
+
 @pytest.mark.parametrize("crowded", [0, 32])
 def test_every_link_is_found_in_sparse_and_crowded_anchors(spark, crowded):
     rng = random.Random(crowded)
