@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import EDGES, MIN_OBS, TRIPLE, claim_fit, residual_range_corr
 from .quantiles import with_quantiles
 from ..sources.io import cut
 
-FIT_CAP = 48
-#: Units fitted together in a task.
-TOGETHER = 512
+#: Places of the padded arrays of units that are fitted together in a task.
+TOGETHER = 1 << 16
+#: Receivers from which a unit is crowded: it is fitted by passes over its rows, of which no task holds all.
+CROWDED = 4096
 
 
 def gauss_newton(ox, oy, power, halfwidth=None, mu=None, sd=None, huber=False, rounds: int = 60):
@@ -60,84 +61,114 @@ def gauss_newton(ox, oy, power, halfwidth=None, mu=None, sd=None, huber=False, r
     return [float(v) for v in p] + [float(np.sqrt(np.mean(raw**2)))]
 
 
-def gauss_newton_many(ox, oy, power, held, halfwidth=None, mu=None, sd=None, huber=False, rounds: int = 60):
-    """The same for many groups at once: a row a group, padded where ``held`` is false; (x, y, A, n, rmse) by row."""
+def _box(n: int, halfwidth: float | None):
+    """Lower and upper bounds of (x, y, A, n) for ``n`` units."""
     import numpy as np
 
-    ox, oy, power = (np.where(held, v, 0.0) for v in (ox, oy, power))
-    rows = np.arange(len(ox))
-    k = np.where(held, power, -np.inf).argmax(axis=1)
-    p = np.c_[ox[rows, k], oy[rows, k], power[rows, k] + 20.0, np.full(len(ox), 2.5)]
     low = np.array([-np.inf, -np.inf if halfwidth is None else -halfwidth, -np.inf, 0.5 if halfwidth is not None else -np.inf])
     high = np.array([np.inf, np.inf if halfwidth is None else halfwidth, np.inf, 6.0 if halfwidth is not None else np.inf])
-    p = np.clip(p, low, high)
+    return np.tile(low, (n, 1)), np.tile(high, (n, 1))
 
-    def model(q, at):
-        dx, dy = q[:, :1] - ox[at], q[:, 1:2] - oy[at]
-        d = np.maximum(np.hypot(dx, dy), 1.0)
-        pred = q[:, 2:3] - 10 * q[:, 3:] * np.log10(d)
-        w = held[at].astype(float)
-        if mu is not None or sd is not None:
-            bins = np.clip(np.digitize(d, EDGES) - 1, 0, len(EDGES) - 2)
-            pred = pred if mu is None else pred + np.asarray(mu)[bins]
-            w = w if sd is None else w / np.asarray(sd)[bins]
-        raw = np.where(held[at], power[at] - pred, 0.0)
+
+def _terms(q, ox, oy, power, mu, sd, huber):
+    """(r, jac, raw) at parameters ``q``, whose columns broadcast against the receivers: weighted residuals, their four derivatives and plain residuals."""
+    import numpy as np
+
+    dx, dy = q[0] - ox, q[1] - oy
+    d = np.maximum(np.hypot(dx, dy), 1.0)
+    pred = q[2] - 10 * q[3] * np.log10(d)
+    w = np.ones_like(d)
+    if mu is not None or sd is not None:
+        bins = np.clip(np.digitize(d, EDGES) - 1, 0, len(EDGES) - 2)
+        pred = pred if mu is None else pred + np.asarray(mu)[bins]
+        w = w if sd is None else w / np.asarray(sd)[bins]
+    raw = power - pred
+    r = raw * w
+    if huber:
+        w = w * np.sqrt(np.minimum(1.0, 1.5 / np.maximum(np.abs(r), 1e-12)))
         r = raw * w
-        if huber:
-            w = w * np.sqrt(np.minimum(1.0, 1.5 / np.maximum(np.abs(r), 1e-12)))
-            r = raw * w
-        g = -10 * q[:, 3:] / np.log(10) / d**2
-        return r, np.stack([g * dx, g * dy, np.ones_like(d), -10 * np.log10(d)], axis=2) * w[:, :, None], (raw**2).sum(axis=1)
-
-    r, jac, raw = model(p, rows)
-    cost, damp = (r**2).sum(axis=1), np.full(len(ox), 1e-2)
-    a, b = np.swapaxes(jac, 1, 2) @ jac, np.einsum("uki,uk->ui", jac, r)
-    live = rows
+    g = -10 * q[3] / np.log(10) / d**2
+    return r, [g * dx * w, g * dy * w, w, -10 * np.log10(d) * w], raw
+
+
+def _descend(p, box, sums, rounds: int):
+    """Damped Gauss-Newton of many units at once; ``sums(q, live)`` gives (a, b, cost, raw) of the units ``live`` at ``q``.  (x, y, A, n, sum of raw squares) by row."""
+    import numpy as np
+
+    p, live = np.clip(p, *box), np.arange(len(p))
+    a, b, cost, raw = sums(p, live)
+    damp = np.full(len(p), 1e-2)
     for _ in range(rounds):
         if not len(live):
             break
         m = np.nan_to_num(a[live])
         m[:, range(4), range(4)] += damp[live, None] * (m[:, range(4), range(4)] + 1e-9)
         step = np.einsum("uij,uj->ui", np.linalg.pinv(m, rcond=4 * np.finfo(float).eps), np.nan_to_num(b[live]))
-        q = np.clip(p[live] + step, low, high)
-        r, jac, raw2 = model(q, live)
-        cost2 = (r**2).sum(axis=1)
+        q = np.clip(p[live] + step, box[0][live], box[1][live])
+        a2, b2, cost2, raw2 = sums(q, live)
         better = cost2 < cost[live]
         done = np.where(better, cost[live] - cost2 < 1e-10 * cost[live], damp[live] * 5 > 1e9)
         won = live[better]
-        p[won], cost[won], raw[won] = q[better], cost2[better], raw2[better]
-        a[won], b[won] = np.swapaxes(jac[better], 1, 2) @ jac[better], np.einsum("uki,uk->ui", jac[better], r[better])
+        p[won], cost[won], raw[won], a[won], b[won] = q[better], cost2[better], raw2[better], a2[better], b2[better]
         damp[live] = np.where(better, np.maximum(damp[live] / 5, 1e-9), damp[live] * 5)
         live = live[~done]
-    return np.c_[p, np.sqrt(raw / held.sum(axis=1))]
+    return np.c_[p, raw]
+
+
+def gauss_newton_many(ox, oy, power, held, halfwidth=None, mu=None, sd=None, huber=False, rounds: int = 60):
+    """The same for many groups at once: a row a group, padded where ``held`` is false; (x, y, A, n, rmse) by row."""
+    import numpy as np
+
+    ox, oy, power = (np.where(held, v, 0.0) for v in (ox, oy, power))
+    rows = np.arange(len(ox))
+    k = np.where(held, power, -np.inf).argmax(axis=1)
 
+    def sums(q, live):
+        there = held[live]
+        r, jac, raw = _terms(q.T[:, :, None], ox[live], oy[live], power[live], mu, sd, huber)
+        r, raw = np.where(there, r, 0.0), np.where(there, raw, 0.0)
+        jac = np.stack(jac, axis=2) * there[:, :, None]
+        return np.swapaxes(jac, 1, 2) @ jac, np.einsum("uki,uk->ui", jac, r), (r**2).sum(axis=1), (raw**2).sum(axis=1)
 
-def fit_rows(units: DataFrame, cap: int = FIT_CAP) -> DataFrame:
-    """(triple, n_obs, obs): a row a unit with its receivers, at most ``cap`` by hash, as one array.
+    found = _descend(np.c_[ox[rows, k], oy[rows, k], power[rows, k] + 20.0, np.full(len(ox), 2.5)], _box(len(ox), halfwidth), sums, rounds)
+    return np.c_[found[:, :4], np.sqrt(found[:, 4] / held.sum(axis=1))]
+
+
+def fit_rows(units: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(triple, n_obs, obs): a row a unit with all its receivers as one array; apart, (triple, x, y, power) of crowded units, None without any."""
+    rows = units.where("phy_rsrp_mean IS NOT NULL").select(*TRIPLE, F.struct(F.col("rxX").cast("double").alias("x"), F.col("rxY").cast("double").alias("y"), F.col("phy_rsrp_mean").cast("double").alias("power")).alias("o"))
+    crowds = cut(rows.groupBy(*TRIPLE).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).drop("n"), "crowded-units")
+    crowd = None
+    if not crowds.isEmpty():
+        same = [F.col(f"u.{c}").eqNullSafe(F.col(f"c.{c}")) for c in TRIPLE]
+        crowd = cut(rows.alias("u").join(crowds.alias("c"), same, "left_semi").select(*TRIPLE, "o.x", "o.y", "o.power"), "crowded-rows")
+        rows = rows.alias("u").join(crowds.alias("c"), same, "left_anti")
+    # sums of doubles depend on the order of their terms
+    return rows.groupBy(*TRIPLE).agg(F.count("*").alias("n_obs"), F.sort_array(F.collect_list("o")).alias("obs")), crowd
 
-    The cap belongs to the method.  Receivers are ranked within hash parts of a unit first, so that a crowded
-    unit is cut before it meets in one row.
-    """
-    rows = units.where("phy_rsrp_mean IS NOT NULL").select(*TRIPLE, F.struct(F.xxhash64("rxNodeId").alias("h"), F.col("rxX").cast("double").alias("x"), F.col("rxY").cast("double").alias("y"), F.col("phy_rsrp_mean").cast("double").alias("power")).alias("o"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("o.h", "o.x"), F.lit(64)))
-    part = Window.partitionBy(*TRIPLE, "part")
-    kept = rows.withColumn("r", F.row_number().over(part.orderBy("o"))).withColumn("n", F.count("*").over(part)).where(F.col("r") <= cap)
-    return kept.groupBy(*TRIPLE).agg(F.sum(F.when(F.col("r") == 1, F.col("n"))).alias("n_obs"), F.slice(F.sort_array(F.collect_list("o")), 1, cap).alias("obs"))
 
+_NAMES = ["estX", "estY", "estA", "estN", "free_rmse"]
 
-def fitted(rows: DataFrame, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False) -> DataFrame:
-    """(triple, n_obs, estX, estY, estA, estN, free_rmse) of what ``fit_rows`` gives, ``TOGETHER`` units at a time."""
+
+def fitted(rows: DataFrame, crowd: DataFrame | None = None, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False) -> DataFrame:
+    """(triple, n_obs, estX, estY, estA, estN, free_rmse) of what ``fit_rows`` gives, many units at a time."""
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
             batch = pa.RecordBatch.from_arrays([batch.column(c) for c in (*TRIPLE, "n_obs", "obs")], [*TRIPLE, "n_obs", "obs"])
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
+            order = np.argsort(np.asarray(batch.column("n_obs")), kind="stable")
+            at = 0
+            while at < len(order):
+                # units are in order of size, so that few places are padding
+                size = np.asarray(batch.column("n_obs"))[order[at:]]
+                fits = np.flatnonzero(size * np.arange(1, len(size) + 1) <= TOGETHER)
+                many = max(1, int(fits[-1]) + 1 if len(fits) else 1)
+                part = batch.take(pa.array(order[at : at + many]))
+                at += many
                 n, flat = np.asarray(part.column("n_obs")), part.column("obs").flatten()
-                sizes = np.diff(np.asarray(part.column("obs").offsets))
-                held = np.arange(max(sizes.max(), 1)) < sizes[:, None]
+                held = np.arange(max(n.max(), 1)) < n[:, None]
                 values = []
                 for field in ("x", "y", "power"):
                     values.append(np.zeros(held.shape))
@@ -145,16 +176,62 @@ def fitted(rows: DataFrame, halfwidth: float | None = None, mu=None, sd=None, hu
                 enough, found = n >= MIN_OBS, np.full((len(n), 5), np.nan)
                 if enough.any():
                     found[enough] = gauss_newton_many(*[v[enough] for v in values], held[enough], halfwidth, mu, sd, huber)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(v, mask=~enough) for v in found.T]], [*TRIPLE, "n_obs", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(v, mask=~enough) for v in found.T]], [*TRIPLE, "n_obs", *_NAMES])
 
-    names = ["estX", "estY", "estA", "estN", "free_rmse"]
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in (*TRIPLE, "n_obs")] + [f"{n} double" for n in names]))
+    out = rows.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in (*TRIPLE, "n_obs")] + [f"{n} double" for n in _NAMES]))
+    return out if crowd is None else out.unionByName(_fitted_apart(crowd, halfwidth, mu, sd, huber))
+
+
+def _fitted_apart(crowd: DataFrame, halfwidth, mu, sd, huber, rounds: int = 60) -> DataFrame:
+    """The same for crowded units: a step is one pass in which tasks return a few sums for each of them."""
+    import numpy as np
+
+    spark = crowd.sparkSession
+    loudest = F.max(F.struct("power", (-F.col("x")).alias("x"), (-F.col("y")).alias("y")))
+    first = crowd.groupBy(*TRIPLE).agg(F.count("*").alias("n"), loudest.alias("l")).collect()  # a row a crowded unit
+    start = np.array([[-r["l"]["x"], -r["l"]["y"], r["l"]["power"] + 20.0, 2.5] for r in first])
+    kinds = ", ".join(f"{c} {t}" for c, t in crowd.dtypes if c in TRIPLE)
+    number = spark.createDataFrame([(*[r[c] for c in TRIPLE], k) for k, r in enumerate(first)], kinds + ", u int")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"k.{c}")) for c in TRIPLE]
+    rows = cut(crowd.alias("o").join(number.alias("k"), same).select("k.u", "o.x", "o.y", "o.power"), "crowded-numbered")
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
 
+    def sums(q, live):
+        full, asked = np.zeros((len(first), 4)), np.zeros(len(first), bool)
+        full[live], asked[live] = q, True
 
-def free_fit(units: DataFrame, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False, cap: int = FIT_CAP) -> DataFrame:
-    """(triple, n_obs, estX, estY, estA, estN, free_rmse); a unit's fit uses at most ``cap`` receivers, by hash."""
-    return fitted(fit_rows(units, cap), halfwidth, mu, sd, huber)
+        def run(batches):
+            import numpy as np
+
+            total = np.zeros((16, len(full)))
+            for batch in batches:
+                u = np.asarray(batch.column("u"))
+                keep = asked[u]
+                u, (x, y, power) = u[keep], (batch.column(c).to_numpy(zero_copy_only=False)[keep] for c in ("x", "y", "power"))
+                r, jac, raw = _terms(full[u].T, x, y, power, mu, sd, huber)
+                for k, v in enumerate([*[jac[i] * jac[j] for i, j in pairs], *[j * r for j in jac], r**2, raw**2]):
+                    total[k] += np.bincount(u, v, len(full))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(full)), pa.int32()), pa.array(list(total.T), pa.list_(pa.float64()))], ["u", "sums"])
+
+        parts = rows.mapInArrow(run, "u int, sums array<double>").select("u", F.posexplode("sums")).groupBy("u", "pos").agg(F.sum("col").alias("v"))
+        t = np.zeros((len(full), 16))
+        for r in parts.collect():  # sixteen sums a crowded unit
+            t[r["u"], r["pos"]] = r["v"]
+        t = t[live]
+        a = np.zeros((len(live), 4, 4))
+        for k, (i, j) in enumerate(pairs):
+            a[:, i, j] = a[:, j, i] = t[:, k]
+        return a, t[:, 10:14], t[:, 14], t[:, 15]
+
+    found = _descend(start, _box(len(first), halfwidth), sums, rounds)
+    out = [(*[r[c] for c in TRIPLE], r["n"], *map(float, v[:4]), float(np.sqrt(v[4] / r["n"]))) for r, v in zip(first, found)]
+    return spark.createDataFrame(out, kinds + ", n_obs long, " + ", ".join(f"{n} double" for n in _NAMES))
+
+
+def free_fit(units: DataFrame, halfwidth: float | None = None, mu=None, sd=None, huber: bool = False) -> DataFrame:
+    """(triple, n_obs, estX, estY, estA, estN, free_rmse); a unit's fit uses all its receivers."""
+    return fitted(*fit_rows(units), halfwidth, mu, sd, huber)
 
 
 def consensus(units: DataFrame, halfwidth: float | None = None) -> DataFrame:
@@ -173,9 +250,10 @@ def estimator_study(units: DataFrame, truth: DataFrame, mu, sd, halfwidth: float
     """Error quantiles of plain, weighted, robust and debiased fits on the same units."""
     arms = {"plain": {}, "weighted": {"sd": sd}, "huber": {"huber": True}, "weighted-huber": {"sd": sd, "huber": True},
             "debiased": {"mu": mu}, "debiased-weighted": {"mu": mu, "sd": sd}, "debiased-huber": {"mu": mu, "huber": True}}
-    rows, out = cut(fit_rows(units), "estimator-units"), None
+    rows, crowd = fit_rows(units)
+    rows, out = cut(rows, "estimator-units"), None
     for name, how in arms.items():
-        one = fitted(rows, halfwidth, **how).join(truth, TRIPLE).select(
+        one = fitted(rows, crowd, halfwidth, **how).join(truth, TRIPLE).select(
             F.lit(name).alias("arm"), F.hypot(F.col("estX") - F.col("trueX"), F.col("estY") - F.col("trueY")).alias("err"))
         out = one if out is None else out.union(one)
     out = cut(out, "estimator-study")  # every fit once

@@ -63,3 +63,32 @@ def test_free_fit_makes_no_group_of_each_unit(spark):
     got = {r.key_claimedStationId: r for r in found.collect()}
     assert {k: r.n_obs for k, r in got.items()} == {0: 4, 1: 133, 2: 133}
     assert got[0].estX is None and abs(got[1].estX - 900) < 5
+
+
+def receivers(spark, n):
+    """Units of ``n`` receivers each, the sender of which stands at 900."""
+    noise = "(hash(id, 7) % 100) / 50.0D"
+    return spark.range(3 * n).selectExpr("'s' AS key_seed", "id % 3 AS key_claimedStationId", "0L AS key_window", "id AS rxNodeId", "cast((id * 37) % 2000 AS double) AS rxX", "cast(id % 9 AS double) AS rxY",
+                                         f"-40 - 25 * log10(greatest(hypot((id * 37) % 2000 - 900.0D, id % 9), 1.0D)) + {noise} AS phy_rsrp_mean")
+
+
+def test_free_fit_reads_every_receiver(spark, monkeypatch):
+    import numpy as np
+
+    from ringtrace.operators import fits
+
+    units = receivers(spark, 90)
+    whole = {r.key_claimedStationId: r for r in fits.free_fit(units, 18.0).collect()}
+    for k, one in units.toPandas().groupby("key_claimedStationId"):
+        want = fits.gauss_newton(one.rxX.to_numpy(), one.rxY.to_numpy(), one.phy_rsrp_mean.to_numpy(), 18.0)
+        got = whole[k]
+        assert got.n_obs == 90 and np.allclose([got.estX, got.estY, got.estA, got.estN, got.free_rmse], want, rtol=1e-3, atol=1e-2)
+    # a crowded unit is fitted by passes over its rows
+    more = units.union(receivers(spark, 20).withColumn("key_window", F.lit(1)))
+    for how in ({"halfwidth": 18.0}, {"halfwidth": 18.0, "huber": True, "mu": [0.1] * 8, "sd": [1.5] * 8}):
+        monkeypatch.setattr(fits, "CROWDED", 4096)
+        at_once = {(r.key_claimedStationId, r.key_window): r for r in fits.free_fit(more, **how).collect()}
+        monkeypatch.setattr(fits, "CROWDED", 50)
+        apart = {(r.key_claimedStationId, r.key_window): r for r in fits.free_fit(more, **how).collect()}
+        assert len(apart) == 6 and apart.keys() == at_once.keys()
+        assert all(np.allclose(list(apart[k])[3:], list(at_once[k])[3:], rtol=1e-3, atol=1e-2) for k in apart)
