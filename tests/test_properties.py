@@ -244,6 +244,34 @@ def test_nearest_class_equals_plain_search(spark, per_cell):
     assert {(r.y, r.p): r["count"] for r in got} == pd.Series(list(zip(b.label_attackId, want))).value_counts().to_dict()
 
 
+def test_nearest_counts_are_those_of_the_rows(spark):
+    df = A.corpus(spark, SF)
+    fs = ["app_quantity", "app_price", "phy_discount", "phy_tax"]
+    train, test = df.where("label_txNodeId % 5 > 0"), df.where("label_txNodeId % 5 = 0")
+    found = N.nearest_counts(train, test.union(test), fs, "label_attackId")
+    want = N.nearest_class(train, test, fs, "label_attackId").groupBy("y", "p").count().collect()
+    assert {(r.y, r.p): r.n for r in found.collect()} == {(r.y, r.p): 2 * r["count"] for r in want}
+    none = N.nearest_counts(train.limit(0), test, fs, "label_attackId").collect()
+    assert all(r.p is None for r in none) and sum(r.n for r in none) == test.count()
+
+
+def test_floor_reads_its_table_once(spark, tmp_path):
+    """The table behind the stations is gone after the first scan; the steps read their own rows."""
+    import os
+    import shutil
+
+    path = str(tmp_path / "stations")
+    rows = [(f"s{k % 8}", k, 1.0 + k, k % 3 > 0) for k in range(60)]
+    spark.createDataFrame(rows, "key_seed string, station long, offset double, caught boolean").write.parquet(path)
+    was = fits.cut
+    try:
+        fits.cut = lambda df, name: (was(df, name), shutil.rmtree(path))[0]
+        assert fits.detection_floor(spark.read.parquet(path), replicates=20).count() == 42
+    finally:
+        fits.cut = was
+    assert not os.path.exists(path)
+
+
 @pytest.mark.parametrize("late_ms", [0, 3 * 86_400_000])
 def test_streams_hold_rows_for_order_and_drop_later_ones(spark, late_ms):
     from ringtrace.streaming import jobs as J
