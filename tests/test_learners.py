@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ringtrace.operators import learn as L, reports as R
+from ringtrace.operators import learn as L, partition as P, reports as R
 
 KEYS = "key_seed string, key_rxNodeId long, label_txNodeId long, label_attackId int, scenario string, app_a double, phy_b double"
 
@@ -150,3 +150,16 @@ def test_mean_chances_equal_separate_runs(planted):
     assert all(set(got[k].chances) == set(m) and all(len(v) == 3 and abs(got[k].chances[c] - sum(v) / 3) < 0.25 for c, v in m.items()) for k, m in sums.items())
     called = {r.key_rxNodeId: r.p for r in L.likeliest_of(L.mean_chances(planted, cols, "label_attackId", "label_txNodeId", key), key).collect()}
     assert sum(called[k] == r.y for k, r in got.items()) > 340
+
+
+def test_receiver_sweep_picks_once(spark, monkeypatch):
+    """Each size is picked from the next larger one and written; the picks are those of the whole table."""
+    rows = [("s", u, 0, n, float(n * 37 % 11), u % 2) for u in range(4) for n in range(9)]
+    obs = spark.createDataFrame(rows, "key_seed string, key_claimedStationId long, key_window long, rxNodeId long, v double, label int")
+    keys, seen = ["key_seed", "key_claimedStationId", "key_window"], {}
+    monkeypatch.setattr(L, "all_arms", lambda kept, *a, **k: seen.setdefault(len(seen), kept).limit(1).select("v"))
+    L.receiver_sweep(obs, ["v"], keys, "label", "key_claimedStationId", [2, 5])
+    assert len(seen) == 2 and all("Window" not in kept._jdf.queryExecution().optimizedPlan().toString() for kept in seen.values())
+    for kept, n in zip(seen.values(), (5, 2)):
+        want = P.per_key(obs, keys, n, "rxNodeId")
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
